@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, simhash
+from . import ann, bpe, simhash, warc
+from .common import shared_dir
 
 VOCAB = "byte_bpe_multi_50k.tiktoken"
 
@@ -37,10 +38,26 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as the record that was written for it and read back."""
+    path = shared_dir(spark, "archives")
+    warc.write_archives(table(spark, sf_dir, "pages"), path, min_bytes=0)
+    r = warc.read_records(spark, path)
+    response = F.col("type") == "response"
+    return r.select(
+        F.expr("try_cast(nullif(regexp_extract(record_id, '^urn:page:(-?[0-9]*):', 1), '') as long)").alias("page_id"),
+        F.when(response, F.octet_length("payload").cast("long")).otherwise(warc.http_length(F.col("http"))).alias("payload_bytes"),
+        F.when(response, warc.sha1_base32(F.col("payload"))).otherwise(F.col("declared")).alias("payload_digest"),
+        F.col("type").alias("record_type"),
+        F.expr("try_cast(nullif(regexp_extract(refers_to, '^urn:page:(-?[0-9]*):', 1), '') as long)").alias("refers_to"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_ann": op2_ann,
     "op3_bpe": op3_bpe,
     "op5_simhash": op5_simhash,
+    "op6_warc": op6_warc,
 }
 
 ORACLE_SQL: dict[str, str] = {
