@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, simhash, warc
+from . import ann, bpe, license, secrets, simhash, warc
 from .common import shared_dir
 
 VOCAB = "byte_bpe_multi_50k.tiktoken"
@@ -32,6 +32,12 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"), F.sha2(ids.cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op4_license(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Known licence sentences and licences of every document."""
+    out = license.scan(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.array_join("sentences", ",").alias("sentences"), F.array_join("licenses", ",").alias("licenses"), F.size("licenses").cast("long").alias("n_licenses"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     out = simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -53,14 +59,61 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base spans and what ownership in the whole corpus adds, for every document."""
+    out = secrets.scan(table(spark, sf_dir, "documents"))
+    count = lambda spans, kind: F.size(F.filter(spans, lambda x: x["kind"] == kind)).cast("long")
+    return out.select(
+        "doc_id",
+        *(count("base", i).alias(f"n_{k}") for i, k in enumerate(secrets.KINDS[:3])),
+        *(count("added", i + 3).alias(f"n_{k}") for i, k in enumerate(secrets.KINDS[3:])),
+        F.sha2(secrets.text_of(F.col("base")).cast("binary"), 256).alias("base_sha256"),
+        secrets.text_of(F.concat("base", "added")).alias("spans"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_ann": op2_ann,
     "op3_bpe": op3_bpe,
+    "op4_license": op4_license,
     "op5_simhash": op5_simhash,
     "op6_warc": op6_warc,
+    "op8_secrets": op8_secrets,
 }
 
+
+
+def _secrets_sql() -> str:
+    q = lambda s: "'" + s.replace("'", "''") + "'"
+    kinds = [(0, secrets.ASSIGN, 2, secrets.ASSIGN_LEAST), (1, secrets.ACCESS, 0, 0), (2, secrets.HEX, 0, 0), (9, secrets.RUN, 0, 0)]
+    total = lambda x: f"coalesce(list_sum(list_transform({x}, lambda y: length(y))), 0)"
+    found = " UNION ALL ".join(
+        f"SELECT row, {k} AS kind, m[i] AS m, v[i] AS v, ({total('b[1:i]')} + {total('m[1:i-1]')})::BIGINT AS s FROM "
+        f"(SELECT row, regexp_extract_all(text, {q(p)}) AS m, regexp_extract_all(text, {q(p)}, {g}) AS v, string_split_regex(text, {q(p)}) AS b, unnest(range(1, len(m) + 1)) AS i FROM d) WHERE length(v[i]) >= {n}"
+        for k, p, g, n in kinds
+    )
+    names = "['assign', 'access', 'hex', 'live', 'example']"
+    return f"""
+        WITH d AS MATERIALIZED (SELECT row_number() OVER () AS row, doc_id, coalesce(source, '') AS owner, coalesce(text, '') AS text FROM documents),
+        f AS MATERIALIZED ({found}),
+        base AS (SELECT row, kind, s, s + length(m) AS e FROM f WHERE kind < 3),
+        cand AS (SELECT DISTINCT row, v, s + length(m) - length(v) AS s, s + length(m) AS e FROM f
+            WHERE (kind = 9 OR kind = 0 AND length(v) >= {secrets.VALUE_LEAST}) AND regexp_matches(v, '[A-Za-z]') AND regexp_matches(v, '[0-9]')),
+        uses AS (SELECT v, count(DISTINCT owner) AS owners FROM cand JOIN d USING (row) GROUP BY v),
+        added AS (SELECT row, CASE WHEN owners <= {secrets.MAX_OWNERS} THEN 3 ELSE 4 END AS kind, s, e FROM cand JOIN uses USING (v)),
+        spans AS (SELECT *, {names}[kind + 1] || ':' || s || ':' || e AS t FROM (SELECT * FROM base UNION ALL SELECT * FROM added)),
+        g AS (SELECT row, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
+            count(*) FILTER (kind = 3) AS n_live, count(*) FILTER (kind = 4) AS n_example,
+            string_agg(t, ',' ORDER BY s, kind, e) FILTER (kind < 3) AS b, string_agg(t, ',' ORDER BY s, kind, e) AS spans FROM spans GROUP BY row)
+        SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, coalesce(n_live, 0) AS n_live,
+            coalesce(n_example, 0) AS n_example, sha256(coalesce(b, '')) AS base_sha256, coalesce(spans, '') AS spans
+        FROM d LEFT JOIN g USING (row)
+    """
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op4_license": f"SELECT doc_id, coalesce(array_to_string(sentences, ','), '') AS sentences, coalesce(array_to_string(licenses, ','), '') AS licenses, len(licenses)::BIGINT AS n_licenses FROM ({license.oracle('documents')})",
+    "op8_secrets": _secrets_sql(),
     "op2_ann": """
         WITH v AS (
             SELECT DISTINCT vec_id, embedding::DOUBLE[] AS e FROM embeddings
