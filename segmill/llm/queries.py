@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, license, secrets, simhash, warc
+from . import ann, bpe, license, quality, secrets, simhash, warc
 from .common import shared_dir
 
 VOCAB = "byte_bpe_multi_50k.tiktoken"
@@ -72,6 +72,11 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that importance resampling towards the good labels keeps."""
+    return quality.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_ann": op2_ann,
     "op3_bpe": op3_bpe,
@@ -79,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_simhash": op5_simhash,
     "op6_warc": op6_warc,
     "op8_secrets": op8_secrets,
+    "op9_quality": op9_quality,
 }
 
 
