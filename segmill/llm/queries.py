@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, license, quality, secrets, simhash, warc
+from . import ann, bpe, decontam, license, quality, secrets, simhash, warc
 from .common import shared_dir
 
 VOCAB = "byte_bpe_multi_50k.tiktoken"
@@ -77,6 +77,11 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold at least half of a benchmark item, with the item."""
+    return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_hash")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_ann": op2_ann,
     "op3_bpe": op3_bpe,
@@ -85,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_warc": op6_warc,
     "op8_secrets": op8_secrets,
     "op9_quality": op9_quality,
+    "op10_decontam": op10_decontam,
 }
 
 
