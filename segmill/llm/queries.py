@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, decontam, license, quality, secrets, simhash, warc
+from . import ann, bpe, decontam, license, quality, secrets, simhash, suffixes, warc
 from .common import shared_dir
 
 VOCAB = "byte_bpe_multi_50k.tiktoken"
@@ -59,6 +59,13 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stays of every document without repeated strings of 100 bytes."""
+    out = suffixes.remove_repeats(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
+    return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base spans and what ownership in the whole corpus adds, for every document."""
     out = secrets.scan(table(spark, sf_dir, "documents"))
@@ -88,6 +95,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_license": op4_license,
     "op5_simhash": op5_simhash,
     "op6_warc": op6_warc,
+    "op7_suffixes": op7_suffixes,
     "op8_secrets": op8_secrets,
     "op9_quality": op9_quality,
     "op10_decontam": op10_decontam,
