@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, decontam, license, quality, secrets, simhash, suffixes, warc
+from . import ann, bpe, decontam, license, lines, quality, secrets, simhash, suffixes, warc
 from .common import shared_dir
 
 VOCAB = "byte_bpe_multi_50k.tiktoken"
@@ -18,6 +18,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stays of every document without lines that are similar to an earlier one."""
+    out = lines.remove_lines(table(spark, sf_dir, "documents"))
+    removed = F.array_join(F.transform("removed", lambda n: n.cast("string")), ",")
+    return out.select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), removed.alias("removed_lines"), F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op2_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five nearest vectors of each vector whose id is divisible by 50."""
     return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
@@ -90,6 +97,7 @@ def op10_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_lines": op1_lines,
     "op2_ann": op2_ann,
     "op3_bpe": op3_bpe,
     "op4_license": op4_license,
@@ -132,6 +140,22 @@ def _secrets_sql() -> str:
 
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_lines": r"""
+        WITH d AS (SELECT row_number() OVER (ORDER BY doc_id NULLS FIRST) AS r, doc_id, coalesce(text, '') AS t FROM documents),
+        s AS (SELECT r, string_split(t, chr(10)) AS ls FROM d),
+        l AS MATERIALIZED (SELECT r, i, ls[i] AS line, row_number() OVER (ORDER BY r, i) AS id FROM (SELECT r, ls, unnest(range(1, len(ls) + 1)) AS i FROM s)),
+        w AS MATERIALIZED (SELECT id, list_sort(list_distinct(list_filter(string_split_regex(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t\r\v\f]+'), lambda x: x <> ''))) AS ws FROM l),
+        c AS MATERIALIZED (SELECT ws, len(ws) AS n, min(id) AS lead FROM w WHERE len(ws) >= 5 GROUP BY ws),
+        t AS MATERIALIZED (SELECT lead, n, unnest(ws) AS word FROM c),
+        f AS MATERIALIZED (SELECT word, count(*) AS df FROM t GROUP BY word),
+        p AS MATERIALIZED (SELECT lead, n, word FROM (SELECT lead, n, word, row_number() OVER (PARTITION BY lead ORDER BY df, word) AS k FROM t JOIN f USING (word)) WHERE k <= n - (4 * n + 4) // 5 + 1),
+        q AS (SELECT DISTINCT a.lead AS x, b.lead AS y FROM p a JOIN p b ON a.word = b.word AND a.lead > b.lead AND 5 * least(a.n, b.n) >= 4 * greatest(a.n, b.n)),
+        v AS (SELECT DISTINCT x FROM q JOIN c a ON a.lead = x JOIN c b ON b.lead = y WHERE 9 * len(list_intersect(a.ws, b.ws)) >= 4 * (a.n + b.n)),
+        g AS (SELECT id FROM w JOIN c USING (ws) WHERE id <> lead UNION SELECT x FROM v),
+        o AS (SELECT r, count(*) AS n_lines, count(g.id) AS n_removed, coalesce(string_agg((i - 1)::VARCHAR, ',' ORDER BY i) FILTER (g.id IS NOT NULL), '') AS removed_lines,
+            sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (g.id IS NULL), '')) AS kept_sha256 FROM l LEFT JOIN g USING (id) GROUP BY r)
+        SELECT doc_id, n_lines, n_removed, removed_lines, kept_sha256 FROM d JOIN o USING (r)
+    """,
     "op4_license": f"SELECT doc_id, coalesce(array_to_string(sentences, ','), '') AS sentences, coalesce(array_to_string(licenses, ','), '') AS licenses, len(licenses)::BIGINT AS n_licenses FROM ({license.oracle('documents')})",
     "op8_secrets": _secrets_sql(),
     "op2_ann": """
