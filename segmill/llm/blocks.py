@@ -31,14 +31,15 @@ def release(df: DataFrame) -> None:
     df.sparkSession.sparkContext._jvm.System.gc()
 
 
-def pack(docs: DataFrame, id_col: str, text_col: str, block_bytes: int | None = None) -> DataFrame:
+def pack(docs: DataFrame, id_col: str, text_col: str, keep: list[str], block_bytes: int | None = None) -> DataFrame:
     """Blocks (block, ids, ends, hashes, data, size); block numbers and places in a block follow (id, text hash), null ids first.
 
-    ends: cumulative ends of the texts in data (int64 as bytes); hashes: 16 bytes for each text; null texts are empty.
+    ids: the columns keep of each row, as structs of fields c0, c1 and so on; ends: cumulative ends of the texts in data (int64 as bytes); hashes: 16 bytes for each text; null texts are empty.
     """
     spark, most = docs.sparkSession, block_bytes or BLOCK_BYTES
-    kind = docs.schema[id_col].dataType
-    d = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    kept = F.struct(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)))
+    d = docs.select(kept.alias("kept"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.col(id_col).alias("id"))
+    kind = d.schema["kept"].dataType
     order = [F.col("id").asc_nulls_first(), F.xxhash64("text")]
 
     def blocks(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,7 +82,7 @@ def pack(docs: DataFrame, id_col: str, text_col: str, block_bytes: int | None =
         if sizes:
             yield block()
 
-    packed = d.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(blocks, T.StructType([T.StructField("block", T.LongType()), T.StructField("ids", T.ArrayType(kind)), *(T.StructField(c, T.BinaryType()) for c in ("ends", "hashes", "data")), T.StructField("size", T.LongType())]))
+    packed = d.repartitionByRange(*order).sortWithinPartitions(*order).select("kept", "text").mapInArrow(blocks, T.StructType([T.StructField("block", T.LongType()), T.StructField("ids", T.ArrayType(kind)), *(T.StructField(c, T.BinaryType()) for c in ("ends", "hashes", "data")), T.StructField("size", T.LongType())]))
     name = f"segmill_{uuid.uuid4().hex}"
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     packed.write.bucketBy(buckets, "block").sortBy("block").option("path", shared_dir(spark, "blocks")).option("compression", "zstd").saveAsTable(name)

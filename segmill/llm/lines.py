@@ -241,14 +241,16 @@ def _verified(pairs: DataFrame, blocks: DataFrame) -> DataFrame:
     return both.mapInArrow(compare, "block long, line long").distinct()
 
 
-def remove_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each row of docs: id, n_lines, removed (numbers of removed lines, from 0), kept (the text without them).
+def remove_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """One row for each row of docs: its columns keep (the id, if None), n_lines, removed (numbers of removed lines, from 0), kept (the text without them).
 
     A line (between line feeds) of MIN_WORDS distinct words and more is removed if an earlier line's words are similar:
     a line of a row of smaller id (nulls first, equal ids by the text's hash), or before in the same text. Lines are judged
-    on the input. Null texts are empty, of one empty line. Repeated rows count as later copies; other columns are left out.
+    on the input. Null texts are empty, of one empty line. Repeated rows count as later copies; other columns are left out,
+    as are columns of keep that are named as the new ones.
     """
-    blocks = pack(docs, id_col, text_col)
+    keep = [c for c in ([id_col] if keep is None else keep) if c not in ("n_lines", "removed", "kept")]
+    blocks = pack(docs, id_col, text_col, keep)
     amount = total_bytes(blocks)
     deal, bits = bucket_bits(amount / 16), bucket_bits(amount * 0.75)
 
@@ -311,14 +313,13 @@ def remove_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 out = np.zeros(len(b.start), bool)
                 out[lines[flags_of(get("later").as_py(), bucket)[of] | (lines != lead[of])]] = True
                 out[get("similar").as_py() or []] = True
-                yield from _rows(b, get("ids").values, out)
+                yield from _rows(b, get("ids").values, out, [*keep, "n_lines", "removed", "kept"])
 
-    fields = T.StructType([docs.schema[id_col], T.StructField("n_lines", T.LongType()), T.StructField("removed", T.ArrayType(T.LongType())), T.StructField("kept", T.StringType())])
-    fields = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), *fields.fields[1:]])
+    fields = T.StructType([*(T.StructField(c, docs.schema[c].dataType) for c in keep), T.StructField("n_lines", T.LongType()), T.StructField("removed", T.ArrayType(T.LongType())), T.StructField("kept", T.StringType())])
     return base.join(gone, "block", "left").select("block", "ids", "ends", "data", "later", "similar").mapInArrow(remove, fields)
 
 
-def _rows(b: _Lines, ids: pa.Array, out: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _rows(b: _Lines, ids: pa.Array, out: np.ndarray, names: list[str]) -> Iterator[pa.RecordBatch]:
     cuts = np.searchsorted(b.doc, np.arange(len(b.ends) + 1)).tolist()
     raw, start, end = memoryview(b.raw), b.start.tolist(), b.end.tolist()
     for at in range(0, len(b.ends), 512):
@@ -332,4 +333,21 @@ def _rows(b: _Lines, ids: pa.Array, out: np.ndarray) -> Iterator[pa.RecordBatch]
                 kept.append(b"\n".join(raw[start[i] : end[i]] for i in range(s, e) if not out[i]).decode())
             else:
                 kept.append(bytes(raw[start[s] : end[e - 1]]).decode())
-        yield pa.RecordBatch.from_arrays([ids.slice(at, len(n)), pa.array(n, pa.int64()), pa.array(removed, pa.list_(pa.int64())), pa.array(kept, pa.string())], names=["id", "n_lines", "removed", "kept"])
+        yield pa.RecordBatch.from_arrays([*ids.slice(at, len(n)).flatten(), pa.array(n, pa.int64()), pa.array(removed, pa.list_(pa.int64())), pa.array(kept, pa.string())], names=names)
+
+
+def filter_docs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
+    """docs with the texts that remove_lines leaves, all columns kept; texts of which nothing is left go.
+
+    length_col, if docs have it, becomes the new length of texts that lost lines.
+    """
+    inner = [f"__{i}" for i in range(len(docs.columns))]
+    d = docs.toDF(*inner)
+    place = dict(zip(docs.columns, inner, strict=True))
+    out = remove_lines(d, place[id_col], place[text_col], [c for c in inner if c != place[text_col]])
+    lost = F.size("removed") > 0
+    out = out.where(~(lost & (F.trim("kept") == "")))
+    new = {text_col: F.col("kept").cast(docs.schema[text_col].dataType)}
+    if length_col in place:
+        new[length_col] = F.when(lost, F.length("kept")).otherwise(F.col(place[length_col])).cast(docs.schema[length_col].dataType)
+    return out.select(*(new.get(c, F.col(place[c])).alias(c) for c in docs.columns))

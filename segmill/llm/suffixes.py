@@ -122,7 +122,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     if window < MODULUS:
         raise ValueError(f"window must be {MODULUS} at least")
-    blocks = pack(docs, id_col, text_col)
+    blocks = pack(docs, id_col, text_col, [id_col])
     amount = total_bytes(blocks)
     bits = bucket_bits(amount * 4 * len(COVER) / MODULUS)
     deal = bucket_bits(amount * 2)
@@ -194,4 +194,4 @@ def _rows(b: _Block, ids: pa.Array, gone: np.ndarray) -> Iterator[pa.RecordBatch
             kept.append(b"".join(pieces))
             spans.append([{"start": x - s, "end": y - s} for x, y in cut])
             sizes.append(e - s)
-        yield pa.RecordBatch.from_arrays([ids.slice(at, len(sizes)), pa.array(sizes, pa.int64()), pa.array(spans, span), pa.array(kept, pa.binary())], names=["id", "n_bytes", "spans", "kept"])
+        yield pa.RecordBatch.from_arrays([*ids.slice(at, len(sizes)).flatten(), pa.array(sizes, pa.int64()), pa.array(spans, span), pa.array(kept, pa.binary())], names=["id", "n_bytes", "spans", "kept"])

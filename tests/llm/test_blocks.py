@@ -31,11 +31,11 @@ def test_long_spans():
 
 def test_pack_order_and_sizes(spark):
     rows = [(i * 7 % 50, f"{i}" * (i * 3 % 40)) for i in range(50)] + [(None, "first"), (60, None)]
-    got = blocks.pack(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), "doc_id", "text", 100).orderBy("block").collect()
+    got = blocks.pack(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), "doc_id", "text", ["doc_id"], 100).orderBy("block").collect()
     ids, texts = [], []
     for r in got:
         ends = np.frombuffer(r.ends, np.int64).tolist()
         assert len(r.ids) == len(ends) == len(r.hashes) // 16 and r.size == len(r.data) and (r.size <= 100 or len(ends) == 1)
-        ids += r.ids
+        ids += [x.c0 for x in r.ids]
         texts += [bytes(r.data)[s:e].decode() for s, e in zip([0, *ends], ends, strict=False)]
     assert list(zip(ids, texts, strict=True)) == [(None, "first"), *sorted(rows[:50]), (60, "")]

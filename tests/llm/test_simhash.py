@@ -45,7 +45,8 @@ def texts(rnd, n):
 
 def test_fingerprints():
     for t in texts(random.Random(3), 40):
-        assert simhash.fingerprint((t or "").encode(), 4) == plain_fp(t)
+        assert simhash.fingerprint((t or "").encode(), 4).tolist() == [plain_fp(t)]
+        assert int(simhash.fingerprint((t or "").encode(), 4, 3)[0]) == plain_fp(t)
 
 
 def test_forest_connects_what_links_connect(monkeypatch):
@@ -57,10 +58,13 @@ def test_forest_connects_what_links_connect(monkeypatch):
     fps = np.unique(np.concatenate([base, rnd.choice(base, 400) ^ flips]))
     want = plain_components([int(x) for x in fps], 4)
     fps = fps[np.lexsort((fps, simhash._order(simhash.counts(fps))))]
-    u, v = simhash.forest(fps, None, 4)
+    def links(a, b=None):
+        u, v = simhash.forest(a[:, None], None if b is None else b[:, None], 4)
+        nodes = a if b is None else np.concatenate([a, b])
+        return nodes[u], nodes[v]
+
     a, b = fps[::2], fps[1::2]
-    more = [simhash.forest(a, b, 4), simhash.forest(a, None, 4), simhash.forest(b, None, 4)]
-    for edges in ([(u, v)], more):
+    for edges in ([links(fps)], [links(a, b), links(a), links(b)]):
         root = {int(x): int(x) for x in fps}
 
         def find(x, root=root):
@@ -95,3 +99,24 @@ def test_frames(spark, monkeypatch):
     want = sorted(((i, f - 2**64 if f >> 63 else f, least[c]) for (i, _, _), f, c in zip(rows, fps, comp, strict=True)), key=key)
     assert sorted(map(tuple, out), key=key) == want
     assert simhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_filter_docs(spark):
+    rnd = random.Random(8)
+    words = [f"w{i}" for i in range(900)]
+    rows, groups = [], []
+    for g in range(60):
+        t = [rnd.choice(words) for _ in range(rnd.randrange(150, 400))]
+        for c in range(rnd.randrange(1, 4)):
+            s = list(t)
+            if c:
+                s[rnd.randrange(len(s))] = "edit"
+            rows.append((len(rows), " ".join(s), "x", 1))
+            groups.append(g)
+    first = {g: i for i, g in reversed(list(enumerate(groups)))}
+    more = [(None, rows[0][1], "y", 2), rows[-1], (900, None, "e", 0), (901, "  ", "e", 0), (None, "only here " * 9, "z", 3)]
+    df = spark.createDataFrame(rows + more, "doc_id long, text string, fp string, row int")
+    out = simhash.filter_docs(df)
+    assert out.schema == df.schema
+    assert sorted((r.doc_id for r in out.collect()), key=str) == sorted([*first.values(), 900, None], key=str)
+    assert simhash.filter_docs(df.limit(0)).count() == 0
