@@ -7,8 +7,9 @@ word among the first n - ceil(s n) + 1 of each. Pairs that share one must pass t
 they differ; then their words are compared. A line goes if an earlier line is similar, whether or not that one goes.
 
 Rarity is a word's count of lines in a table of fixed size, counted over the whole corpus; any order gives the same result.
-The join has two rounds, so that a large group of similar lines costs no pairs: the first compares each line with the
-PIVOTS earliest of a word only, and what it finds similar needs no other proof; the second compares the rest in full.
+The join has two rounds, so that a large group of similar lines costs no pairs: the first compares the lines of a common
+word with the PIVOTS earliest of them only, and what it finds similar needs no other proof; the second compares the rest in
+full.
 """
 
 from __future__ import annotations
@@ -30,9 +31,12 @@ SIMILAR = (4, 5)
 #: Lines of fewer distinct words are never removed.
 MIN_WORDS = 5
 PIVOTS = 32
-RARITY_BITS = 20
+#: Rows of a word from which the first round looks at it.
+LARGE = 128
+RARITY_BITS = 22
 _SLICES = 16
-_PREFIX = np.dtype([("word", "u8"), ("sig", "u8"), ("line", "u4"), ("n", "u4"), ("i", "u4")])
+_MOST = 65535
+_PREFIX = np.dtype([("sig", "u8"), ("word", "u4"), ("line", "u4"), ("n", "u2"), ("i", "u2")])
 _rolls: dict[int, Rolling] = {}
 
 
@@ -68,8 +72,8 @@ class _Lines:
         last = np.append(self.doc[1:] != self.doc[:-1], True) if len(order) else np.zeros(0, bool)
         self.end = np.where(last, self.ends[self.doc], np.append(self.start[1:], 0) - 1) if len(order) else self.start
 
-    def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Line and hash of each distinct word of a line, sorted by both; lines that have words, and their first row."""
+    def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Hashes of the block's distinct words; line and word number of each distinct word of a line, sorted by both; lines that have words, and their first row."""
         ink = ~_SPACE[self.raw]
         edge = np.zeros(len(ink) + 1, bool)
         edge[self.ends] = True
@@ -77,98 +81,141 @@ class _Lines:
         before = np.concatenate([[False], ink[:-1]])
         starts = np.flatnonzero(ink & (~before | edge[:-1]))
         ends = np.flatnonzero(ink & (np.append(~ink[1:], True) | edge[1:])) + 1
-        h = spans(_roll(), _LOWER[self.raw], starts, ends)
+        uniq, word = np.unique(spans(_roll(), _LOWER[self.raw], starts, ends), return_inverse=True)
         line = np.searchsorted(self.start, starts, side="right") - 1
-        order = np.argsort(h)
-        order = order[np.argsort(line[order], kind="stable")]
-        h, line = h[order], line[order]
-        new = np.concatenate([[True], (h[1:] != h[:-1]) | (line[1:] != line[:-1])]) if len(h) else np.zeros(0, bool)
-        h, line = h[new], line[new]
+        line, word = _sorted_pairs(line, word)
+        new = np.concatenate([[True], (word[1:] != word[:-1]) | (line[1:] != line[:-1])]) if len(word) else np.zeros(0, bool)
+        line, word = line[new], word[new]
         first = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]])) if len(line) else np.zeros(0, np.int64)
-        return line, h, line[first], first
+        return uniq, line, word, line[first], first
 
     def classes(self, deal: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, tuple]:
         """Of lines with enough words, by class: bucket and hash, sorted; class and number of each line; first lines."""
-        line, h, has, first = self.words()
+        uniq, line, word, has, first = self.words()
         n = np.diff(np.append(first, len(line)))
         ok = n >= MIN_WORDS
-        sums = [np.add.reduceat(x, first)[ok] if len(first) else np.zeros(0, np.uint64) for x in (mixed(h ^ np.uint64(0x1234567)), mixed(h + np.uint64(0x89ABCDE)))]
+        sums = [np.add.reduceat(x[word], first)[ok] if len(first) else np.zeros(0, np.uint64) for x in (mixed(uniq ^ np.uint64(0x1234567)), mixed(uniq + np.uint64(0x89ABCDE)))]
         lines, key = has[ok], mixed(sums[0])
         bucket = (mixed(sums[1]) >> np.uint64(64 - deal)).astype(np.int64)
         order = np.lexsort((lines, key, bucket))
         key, bucket, lines = key[order], bucket[order], lines[order]
         new = np.concatenate([[True], (key[1:] != key[:-1]) | (bucket[1:] != bucket[:-1])]) if len(key) else np.zeros(0, bool)
-        return bucket[new], key[new], np.cumsum(new) - 1, lines, lines[new], (line, h, has, first, n)
-
-    def prefixes(self, deal: int, later: list[dict] | None, rarity: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-        """Buckets and rows of the prefixes of the lines that stand for classes no earlier block has; sorted by bucket."""
-        bucket, _, _, _, lead, (line, h, has, first, n) = self.classes(deal)
-        lead = np.sort(lead[~flags_of(later, bucket)])
+        return bucket[new], key[new], np.cumsum(new) - 1, lines, lines[new], (uniq, line, word, has, first, n)
+
+    def prefixes(self, deal: int, later: list[dict] | None, rarity: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Lines whose class came earlier; of the others' first, buckets and rows of the prefixes, sorted by bucket, and which words may be common."""
+        bucket, _, of, lines, lead, (uniq, line, word, has, first, n) = self.classes(deal)
+        known = flags_of(later, bucket)
+        gone = lines[known[of] | (lines != lead[of])]
+        lead = np.sort(lead[~known])
         at = np.searchsorted(has, lead)
         first, n = first[at], n[at]
-        take = np.repeat(first - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum()) if len(n) else np.zeros(0, np.int64)
-        line, h = np.repeat(np.arange(len(lead)), n), h[take]
-        seen = rarity[(h >> np.uint64(64 - RARITY_BITS)).astype(np.int64)]
-        word = (seen.astype(np.uint64) << np.uint64(56)) | (h >> np.uint64(8))
-        order = np.argsort(word)
-        order = order[np.argsort(line[order], kind="stable")]
         starts = np.concatenate([[0], np.cumsum(n)[:-1]]) if len(n) else np.zeros(0, np.int64)
-        i = np.arange(len(line)) - np.repeat(starts, n)
-        sig = np.bitwise_xor.reduceat(np.uint64(1) << (mixed(h) & np.uint64(63)), starts) if len(n) else np.zeros(0, np.uint64)
-        size = n[line] if len(n) else i
+        take = np.repeat(first - starts, n) + np.arange(n.sum())
+        # words by rarity; the same order in all blocks
+        seen = rarity[(uniq >> np.uint64(64 - RARITY_BITS)).astype(np.int64)]
+        rank = np.lexsort((uniq, seen))
+        place = np.empty_like(rank)
+        place[rank] = np.arange(len(rank))
+        line, word = _sorted_pairs(np.repeat(np.arange(len(lead)), n), place[word[take]])
+        i, size = np.arange(len(line)) - np.repeat(starts, n), np.repeat(n, n)
+        uniq, seen = uniq[rank], seen[rank]
+        sig = np.bitwise_xor.reduceat((np.uint64(1) << (mixed(uniq) & np.uint64(63)))[word], starts) if len(n) else np.zeros(0, np.uint64)
         # a word that one line only has in the whole corpus joins nothing
-        use = (i < size - (-(-SIMILAR[0] * size // SIMILAR[1])) + 1) & (seen[order] > 0)
-        out = np.zeros(int(use.sum()), _PREFIX)
-        out["word"], out["i"], out["n"] = word[order][use], i[use], size[use]
-        out["line"], out["sig"] = lead[line[use]], sig[line[use]]
-        b = (mixed(out["word"]) >> np.uint64(64 - bits)).astype(np.int64)
-        order = np.argsort(b, kind="stable")
-        return b[order], out[order]
+        use = (i < size - (-(-SIMILAR[0] * size // SIMILAR[1])) + 1) & (seen[word] > 0)
+        i, size, line, word = i[use], size[use], line[use], word[use]
+        h = mixed(uniq + np.uint64(0x51ED27))
+        b = (h >> np.uint64(64 - bits)).astype(np.int64)[word]
+        order = np.argsort(b.astype(np.uint16) if bits <= 16 else b, kind="stable")
+        out = np.zeros(len(order), _PREFIX)
+        i, size, line, word = i[order], size[order], line[order], word[order]
+        # 32 bits tell a bucket's words apart well enough: equal words stay equal, and pairs are verified
+        out["word"], out["i"], out["n"] = h.astype(np.uint32)[word], np.minimum(i, _MOST), np.minimum(size, _MOST)
+        out["line"], out["sig"] = lead[line], sig[line]
+        return gone, b[order], out, seen[word] >= _level(LARGE)
+
+
+def _sorted_pairs(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Both sorted by x, then y; each below 2^32."""
+    both = np.sort((x.astype(np.uint64) << np.uint64(32)) | y.astype(np.uint64))
+    return (both >> np.uint64(32)).astype(np.int64), (both & np.uint64(0xFFFFFFFF)).astype(np.int64)
+
+
+def _level(count):
+    """Logarithmic counts that fit 8 bits: 0 for what at most one line has."""
+    return np.minimum(255, np.where(np.asarray(count) > 1, np.floor(6 * np.log2(np.maximum(count, 1))), 0)).astype(np.uint8)
+
+
+def _passing(rows: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of rows that pass the length, positional and parity filters. Sizes from _MOST on are not exact and pass."""
+    na, nb = rows["n"][a].astype(np.int32), rows["n"][b].astype(np.int32)
+    must = needed(na, nb)
+    i, j = rows["i"][a], rows["i"][b]
+    left = np.minimum(na - i, nb - j) + np.minimum(i, j)
+    big = np.maximum(na, nb) >= _MOST
+    ok = np.flatnonzero((np.minimum(na, nb) >= must) & ((left >= must) | big))
+    a, b, big, room = a[ok], b[ok], big[ok], (na + nb - 2 * must)[ok]
+    ok = (np.bitwise_count(rows["sig"][a] ^ rows["sig"][b]) <= room) | big
+    return a[ok], b[ok]
+
+
+def _ranges(start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Number of each range, and the numbers in it."""
+    n = stop - start
+    q = np.repeat(np.arange(len(n)), n)
+    return q, np.arange(len(q)) - np.repeat(np.cumsum(n) - n, n) + start[q]
 
 
 def candidates(rows: np.ndarray, at: np.ndarray, open_: np.ndarray | None, pivots: int) -> tuple[np.ndarray, np.ndarray]:
     """Later and earlier rows of pairs that share a word and pass all filters, as row numbers.
 
-    at: order of each row's line; open_: rows whose lines need proof (None: the first round, where each row is compared
-    with the earliest `pivots` rows of its word only, and keeps but its nearest pair).
+    at: order of each row's line; open_: rows whose lines need proof. None is the first round: rows of words with more than
+    LARGE rows are compared with the word's earliest `pivots` rows, and each line keeps its nearest pair.
     """
-    order = np.lexsort((at, rows["word"]))
-    word = rows["word"][order]
-    cuts = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]])) if len(word) else np.zeros(0, np.int64)
+    if not len(rows):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    key = (rows["word"].astype(np.uint64) << np.uint64(16)) | rows["n"]
+    order = np.argsort(key, kind="stable") if open_ is not None else np.lexsort((at, rows["word"]))
+    rows, at, key = rows[order], at[order], key[order]
+    word = rows["word"]
+    cuts = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
     size = np.diff(np.append(cuts, len(word)))
-    start, count = np.repeat(cuts, size), np.repeat(size, size)
-    place = np.arange(len(word)) - start
-    want = place > 0
-    if open_ is not None:
-        want &= open_[order]
-    ask = np.flatnonzero(want)
-    limit = np.minimum(place[ask], pivots) if open_ is None else place[ask]
-    best = {}
     later, earlier = [], []
-    for s in _shares(limit, 4 << 20):
-        q, m = ask[s], limit[s]
-        a = np.repeat(q, m)
-        b = np.repeat(start[q] - np.concatenate([[0], np.cumsum(m)[:-1]]), m) + np.arange(m.sum())
-        x, y = rows[order[a]], rows[order[b]]
-        na, nb = x["n"].astype(np.int64), y["n"].astype(np.int64)
-        must = needed(na, nb)
-        pa_, pb = x["i"].astype(np.int64), y["i"].astype(np.int64)
-        ok = (np.minimum(na, nb) >= must) & (1 + np.minimum(na - pa_, nb - pb) - 1 + np.minimum(pa_, pb) >= must)
-        apart = np.bitwise_count(x["sig"] ^ y["sig"])
-        ok &= apart <= na + nb - 2 * must
-        a, b, apart = order[a[ok]], order[b[ok]], apart[ok]
-        if open_ is None:
-            for i, j, d in zip(a.tolist(), b.tolist(), apart.tolist(), strict=True):
-                if (old := best.get(at[i])) is None or d < old[2]:
-                    best[at[i]] = (i, j, d)
-        else:
-            later.append(a)
-            earlier.append(b)
+
+    def add(q: np.ndarray, lo: np.ndarray, hi: np.ndarray, check: bool) -> None:
+        for s in _shares(hi - lo, 2 << 20):
+            k, b = _ranges(lo[s], hi[s])
+            a, b = _passing(rows, q[s][k], b)
+            if not check:
+                a, b = np.where(at[a] > at[b], a, b), np.where(at[a] > at[b], b, a)
+            ok = at[a] > at[b]
+            if open_ is not None:
+                ok &= opened[a]
+            later.append(a[ok])
+            earlier.append(b[ok])
+
+    large = np.repeat(size > LARGE, size)
+    start = np.repeat(cuts, size)
     if open_ is None:
-        return np.array([v[0] for v in best.values()], np.int64), np.array([v[1] for v in best.values()], np.int64)
-    a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (later, earlier))
-    _, one = np.unique(np.stack([at[a], at[b]]), axis=1, return_index=True) if len(a) else (None, np.zeros(0, np.int64))
-    return a[one], b[one]
+        q = np.flatnonzero(large & (np.arange(len(word)) > start))
+        add(q, start[q], np.minimum(start[q] + pivots, q), True)
+    else:
+        opened = open_[order]
+        n = rows["n"].astype(np.uint64)
+        base = key - n
+        least = np.searchsorted(key, base + (n * np.uint64(SIMILAR[0]) + np.uint64(SIMILAR[1] - 1)) // np.uint64(SIMILAR[1]))
+        q = np.flatnonzero(~large)
+        add(q, least[q], q, False)
+        q = np.flatnonzero(large & opened)
+        most = np.searchsorted(key, base[q] + np.minimum(n[q] * np.uint64(SIMILAR[1]) // np.uint64(SIMILAR[0]), np.uint64(_MOST)), side="right")
+        most = np.where(n[q] == _MOST, np.repeat(cuts + size, size)[q], most)
+        add(q, least[q], most, True)
+    a, b = np.concatenate([*later, np.zeros(0, np.int64)]), np.concatenate([*earlier, np.zeros(0, np.int64)])
+    near = np.bitwise_count(rows["sig"][a] ^ rows["sig"][b])
+    pick = np.lexsort((at[b], near, at[a])) if open_ is None else np.lexsort((at[b], at[a]))
+    a, b = a[pick], b[pick]
+    new = np.concatenate([[True], (at[a][1:] != at[a][:-1]) | ((at[b][1:] != at[b][:-1]) if open_ is not None else False)]) if len(a) else np.zeros(0, bool)
+    return order[a[new]], order[b[new]]
 
 
 def _shares(limit: np.ndarray, most: int) -> Iterator[slice]:
@@ -181,6 +228,7 @@ def _shares(limit: np.ndarray, most: int) -> Iterator[slice]:
         at, base = end, int(sums[end - 1])
 
 
+_NO_LINES = np.zeros(0, np.uint32)
 _PAIRS = "block long, line long, other_block long, other_line long"
 
 
@@ -196,7 +244,7 @@ def _joined(sent: DataFrame, open_lines: DataFrame | None) -> DataFrame:
         at = (of.astype(np.int64) << 32) | rows["line"]
         mask = None
         if openers is not None:
-            mask = np.concatenate([np.isin(p["line"], openers.get(int(b), np.zeros(0, np.uint32))) for b, p in zip(ids, parts, strict=True)])
+            mask = np.concatenate([np.isin(p["line"], openers.get(int(b), _NO_LINES)) for b, p in zip(ids, parts, strict=True)])
         a, b = candidates(rows, at, mask, PIVOTS)
         return pa.table({"block": ids[of[a]], "line": rows["line"][a].astype(np.int64), "other_block": ids[of[b]], "other_line": rows["line"][b].astype(np.int64)})
 
@@ -255,50 +303,62 @@ def remove_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     deal, bits = bucket_bits(amount / 16), bucket_bits(amount * 0.75)
 
     def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(1 << RARITY_BITS, np.int64)
+        seen = np.zeros(1 << RARITY_BITS, np.int32)
         for part in parts:
             for i in range(part.num_rows):
-                bucket, key, _, _, _, (_, h, _, _, _) = _Lines(part.column(1)[i].as_py(), part.column(2)[i].as_py()).classes(deal)
-                seen += np.bincount((h >> np.uint64(64 - RARITY_BITS)).astype(np.int64), minlength=len(seen))
+                bucket, key, _, _, _, (uniq, _, word, _, _, _) = _Lines(part.column(1)[i].as_py(), part.column(2)[i].as_py()).classes(deal)
+                np.add.at(seen, (uniq >> np.uint64(64 - RARITY_BITS)).astype(np.int64), np.bincount(word, minlength=len(uniq)).astype(np.int32))
                 yield batches(rows_of(part.column(0)[i].as_py(), bucket, key), SENT)
         lot = TaskContext.get().partitionId() % 64
-        cut = np.split(seen, _SLICES)
-        yield batches({"block": [lot] * _SLICES, "bucket": [-1 - i for i in range(_SLICES)], "hashes": [x.tobytes() for x in cut]}, SENT)
+        yield _sparse(lot, [(-1 - i, x) for i, x in enumerate(np.split(seen, _SLICES))])
 
     kind = "block long, bucket long, hashes binary"
     first = materialize(blocks.select("block", "ends", "data").mapInArrow(count, kind), "classes")
 
     def total(t: pa.Table) -> pa.Table:
-        s = sum(np.frombuffer(x.as_py(), np.int64) for x in t.column("hashes"))
-        return pa.table({"block": [0], "bucket": t.column("bucket").slice(0, 1), "hashes": pa.array([s.tobytes()], pa.binary())})
+        s = np.zeros((1 << RARITY_BITS) // _SLICES, np.int64)
+        for x in t.column("hashes"):
+            np.add.at(s, *(lambda p: (p["at"], p["n"]))(np.frombuffer(x.as_py(), _COUNT)))
+        return pa.Table.from_batches([_sparse(0, [(t.column("bucket")[0].as_py(), np.minimum(s, 2**31 - 1))])])
 
     # a table of fixed size, summed in lots and then in one, slice by slice
     counts = first.where("bucket < 0").groupBy("block", "bucket").applyInArrow(total, kind).groupBy("bucket").applyInArrow(total, kind).collect()
-    seen = np.concatenate([np.frombuffer(r.hashes, np.int64) for r in sorted(counts, key=lambda r: -r.bucket)]) if counts else np.zeros(1 << RARITY_BITS, np.int64)
-    # logarithmic, so that it fits 8 bits: 0 for what one line has, and no line
-    rarity = docs.sparkSession.sparkContext.broadcast(np.minimum(255, np.where(seen > 1, np.floor(6 * np.log2(np.maximum(seen, 1))), 0)).astype(np.uint8))
+    seen = np.zeros((_SLICES, (1 << RARITY_BITS) // _SLICES), np.int64)
+    for r in counts:
+        p = np.frombuffer(r.hashes, _COUNT)
+        seen[-1 - r.bucket, p["at"]] = p["n"]
+    rarity = docs.sparkSession.sparkContext.broadcast(_level(seen.ravel()))
+    del counts, seen
     later = materialize(gathered(answered(first.where("bucket >= 0"), later_in_blocks, "uint64"), "later"), "later")
 
     def send(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             for i in range(part.num_rows):
-                b, rows = _Lines(part.column(1)[i].as_py(), part.column(2)[i].as_py()).prefixes(deal, part.column(3)[i].as_py(), rarity.value, bits)
-                yield batches(rows_of(part.column(0)[i].as_py(), b, rows), SENT)
+                block = part.column(0)[i].as_py()
+                gone, b, rows, common = _Lines(part.column(1)[i].as_py(), part.column(2)[i].as_py()).prefixes(deal, part.column(3)[i].as_py(), rarity.value, bits)
+                yield batches({"block": [block], "bucket": [-1], "hashes": [gone.astype(np.int64).tobytes()], "common": [False]}, _PARTS)
+                for c in (False, True):
+                    out = rows_of(block, b[common == c], rows[common == c])
+                    yield batches(out | {"common": [c] * len(out["block"])}, _PARTS)
 
     base = blocks.join(later, "block", "left")
-    sent = materialize(base.select("block", "ends", "data", "later").mapInArrow(send, kind), "prefixes")
+    sent = materialize(base.select("block", "ends", "data", "later").mapInArrow(send, kind + ", common boolean"), "prefixes")
+    copies = sent.where("bucket < 0").select("block", F.col("hashes").alias("copies"))
+    sent = sent.where("bucket >= 0")
     release(sent)
-    similar = materialize(_verified(_joined(sent, None), blocks), "similar")
+    similar = materialize(_verified(_joined(sent.where("common"), None), blocks), "similar")
     release(similar)
 
     def still_open(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             for i in range(part.num_rows):
                 lines = np.unique(np.frombuffer(part.column(2)[i].as_py(), _PREFIX)["line"])
-                lines = lines[~np.isin(lines, np.array(part.column(3)[i].as_py() or [], np.int64))]
+                if done := part.column(3)[i].as_py():
+                    lines = lines[~np.isin(lines, np.array(done, np.int64))]
                 yield batches({"block": [part.column(0)[i].as_py()], "bucket": [part.column(1)[i].as_py()], "hashes": [lines.astype(np.uint32).tobytes()]}, SENT)
 
     done = similar.groupBy("block").agg(F.collect_list("line").alias("done"))
+    sent = sent.select("block", "bucket", "hashes")
     open_ = sent.join(done, "block", "left").select("block", "bucket", "hashes", "done").mapInArrow(still_open, kind).withColumnRenamed("hashes", "lines")
     more = materialize(_verified(_joined(sent, open_), blocks), "similar")
     release(more)
@@ -309,14 +369,28 @@ def remove_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             for i in range(part.num_rows):
                 get = lambda c, i=i, part=part: part.column(part.schema.names.index(c))[i]
                 b = _Lines(get("ends").as_py(), get("data").as_py())
-                bucket, _, of, lines, lead, _ = b.classes(deal)
                 out = np.zeros(len(b.start), bool)
-                out[lines[flags_of(get("later").as_py(), bucket)[of] | (lines != lead[of])]] = True
+                out[np.frombuffer(get("copies").as_py() or b"", np.int64)] = True
                 out[get("similar").as_py() or []] = True
                 yield from _rows(b, get("ids").values, out, [*keep, "n_lines", "removed", "kept"])
 
     fields = T.StructType([*(T.StructField(c, docs.schema[c].dataType) for c in keep), T.StructField("n_lines", T.LongType()), T.StructField("removed", T.ArrayType(T.LongType())), T.StructField("kept", T.StringType())])
-    return base.join(gone, "block", "left").select("block", "ids", "ends", "data", "later", "similar").mapInArrow(remove, fields)
+    return blocks.join(copies, "block", "left").join(gone, "block", "left").select("ids", "ends", "data", "copies", "similar").mapInArrow(remove, fields)
+
+
+_COUNT = np.dtype([("at", "u4"), ("n", "u4")])
+_PARTS = SENT.append(pa.field("common", pa.bool_()))
+
+
+def _sparse(lot: int, slices: list[tuple[int, np.ndarray]]) -> pa.RecordBatch:
+    """Rows of the counts of each slice that are not zero."""
+    out = {"block": [lot] * len(slices), "bucket": [k for k, _ in slices], "hashes": []}
+    for _, x in slices:
+        at = np.flatnonzero(x)
+        p = np.zeros(len(at), _COUNT)
+        p["at"], p["n"] = at, x[at]
+        out["hashes"].append(p.tobytes())
+    return batches(out, SENT)
 
 
 def _rows(b: _Lines, ids: pa.Array, out: np.ndarray, names: list[str]) -> Iterator[pa.RecordBatch]:

@@ -61,7 +61,9 @@ def test_nulls_repeats_none(spark):
     assert lines.remove_lines(df.limit(0)).count() == 0
 
 
-def test_filters_lose_nothing():
+@pytest.mark.parametrize("large", [3, 1000])
+def test_filters_lose_nothing(monkeypatch, large):
+    monkeypatch.setattr(lines, "LARGE", large)
     rnd = np.random.default_rng(5)
     sets = [set(rnd.choice(60, rnd.integers(5, 25), replace=False).tolist()) for _ in range(150)]
     sets += [s ^ {int(rnd.integers(60))} for s in sets]
@@ -69,9 +71,13 @@ def test_filters_lose_nothing():
     for n, s in enumerate(sets):
         o, size = sorted(s), len(s)
         sig = np.bitwise_xor.reduce(np.uint64(1) << np.array(o, np.uint64))
-        rows += [(w, sig, n, size, i) for i, w in enumerate(o[: size - (-(-4 * size // 5)) + 1])]
+        rows += [(sig, w, n, size, i) for i, w in enumerate(o[: size - (-(-4 * size // 5)) + 1])]
     rows = np.array(rows, lines._PREFIX)
     a, b = lines.candidates(rows, rows["line"].astype(np.int64), np.ones(len(rows), bool), 1)
     got = set(zip(rows["line"][a].tolist(), rows["line"][b].tolist(), strict=True))
     want = {(i, j) for i in range(len(sets)) for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])}
     assert want and want <= got
+    # what the first round finds, pivots only
+    a, b = lines.candidates(rows, rows["line"].astype(np.int64), None, 3)
+    near = list(zip(rows["line"][a].tolist(), rows["line"][b].tolist(), strict=True))
+    assert len({x for x, _ in near}) == len(near) and set(near) <= got and bool(near) == (large == 3)
