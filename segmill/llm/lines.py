@@ -254,7 +254,10 @@ def _joined(sent: DataFrame, open_lines: DataFrame | None) -> DataFrame:
     def cogrouped(t: pa.Table, o: pa.Table) -> pa.Table:
         if not t.num_rows:
             return pa.table({c: pa.array([], pa.int64()) for c in ("block", "line", "other_block", "other_line")})
-        return run(t, {b: np.frombuffer(x, np.uint32) for b, x in zip(o.column("block").to_pylist(), o.column("lines").to_pylist(), strict=True)})
+        lines: dict[int, bytes] = {}  # a block may have sent two rows
+        for b, x in zip(o.column("block").to_pylist(), o.column("lines").to_pylist(), strict=True):
+            lines[b] = lines.get(b, b"") + x
+        return run(t, {b: np.frombuffer(x, np.uint32) for b, x in lines.items()})
 
     return sent.groupBy("bucket").cogroup(open_lines.groupBy("bucket")).applyInArrow(cogrouped, _PAIRS)
 
