@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import shared_dir
+from .common import shared_dir, small_batches
 
 #: A block is closed when it reaches this; a longer document is a block of its own.
 BLOCK_BYTES = 8 << 20
@@ -36,6 +36,7 @@ def pack(docs: DataFrame, id_col: str, text_col: str, keep: list[str], block_byt
 
     ids: the columns keep of each row, as structs of fields c0, c1 and so on; ends: cumulative ends of the texts in data (int64 as bytes); hashes: 16 bytes for each text; null texts are empty.
     """
+    small_batches(docs.sparkSession)
     spark, most = docs.sparkSession, block_bytes or BLOCK_BYTES
     kept = F.struct(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)))
     d = docs.select(kept.alias("kept"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.col(id_col).alias("id"))

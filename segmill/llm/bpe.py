@@ -29,6 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import small_batches
+
 #: Bytes that are encoded in one go.
 LEAF_BYTES = 8192
 #: A rank file beyond this is refused: its content goes to every worker.
@@ -151,6 +153,7 @@ def _decoded(codec: TreeCodec, lists: pa.Array) -> pa.Array:
 
 
 def _mapped(df: DataFrame, keep: list[str], source: str, out: str, kind: T.DataType, work, ranks: bytes, pattern: str, leaf: int) -> DataFrame:
+    small_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(ranks)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -31,6 +31,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Send texts to Python in batches of 256 rows: Spark's default of 10,000 is many MB for each task, on both sides.
+
+    The setting stays with the session, as plans read it when they run.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "256")
+
+
 def remove_path(spark: SparkSession, path: str) -> None:
     """Delete a path of the shared folder, in whatever store it is."""
     jvm = spark.sparkContext._jvm

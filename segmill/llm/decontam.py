@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, small_batches
 
 MIN_MATCH = 4
 COVERAGE = 0.5
@@ -35,7 +35,7 @@ _BASE = np.uint64(0x100000001B3 | 0x5DEECE66D << 24)
 
 
 class _Hashes(dict):
-    MOST = 400_000
+    MOST = 200_000
 
     def __missing__(self, w: bytes) -> int:
         if len(self) > self.MOST:
@@ -129,6 +129,7 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
     of docs give repeated rows; repeated items count once if id and text are equal. text_hash is xxhash64 of the document's
     text, to find its row again; other columns are left out.
     """
+    small_batches(docs.sparkSession)
     d, kind, of = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")), docs.schema[id_col].dataType.simpleString(), items.schema[item_col].dataType.simpleString()
     i = items.select(F.col(item_col).alias("item"), F.col(item_text_col).cast("string").alias("text")).distinct()
     i = materialize(i.withColumn("no", F.monotonically_increasing_id()), "items")

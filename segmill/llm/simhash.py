@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import mixed
-from .common import materialize
+from .common import materialize, small_batches
 from .components import connected_components
 
 SEED = 42
@@ -56,6 +56,7 @@ def fingerprint(data: bytes, width: int, words64: int = 1) -> np.ndarray:
 
 def fingerprints(docs: DataFrame, text_col: str, width: int, words64: int = 1) -> DataFrame:
     """All columns of docs but the text, with fp (the first 64 bits as a signed long) and rest (the others, as bytes)."""
+    small_batches(docs.sparkSession)
     keep = [c for c in docs.columns if c != text_col]
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
