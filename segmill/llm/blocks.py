@@ -83,7 +83,8 @@ def pack(docs: DataFrame, id_col: str, text_col: str, keep: list[str], block_byt
         if sizes:
             yield block()
 
-    packed = d.repartitionByRange(*order).sortWithinPartitions(*order).select("kept", "text").mapInArrow(blocks, T.StructType([T.StructField("block", T.LongType()), T.StructField("ids", T.ArrayType(kind)), *(T.StructField(c, T.BinaryType()) for c in ("ends", "hashes", "data")), T.StructField("size", T.LongType())]))
+    # by id alone, so that the sample of ranges reads no text; rows of one id are sorted in one task
+    packed = d.repartitionByRange(order[0]).sortWithinPartitions(*order).select("kept", "text").mapInArrow(blocks, T.StructType([T.StructField("block", T.LongType()), T.StructField("ids", T.ArrayType(kind)), *(T.StructField(c, T.BinaryType()) for c in ("ends", "hashes", "data")), T.StructField("size", T.LongType())]))
     name = f"segmill_{uuid.uuid4().hex}"
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     packed.write.bucketBy(buckets, "block").sortBy("block").option("path", shared_dir(spark, "blocks")).option("compression", "zstd").saveAsTable(name)

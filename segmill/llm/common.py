@@ -28,7 +28,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_dir(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(written: DataFrame) -> None:
+    """Delete what materialize() wrote, once nothing is read from it any more."""
+    remove_path(written.sparkSession, written.written_to)
 
 
 def small_batches(spark: SparkSession) -> None:

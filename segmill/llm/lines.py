@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .blocks import SENT, Rolling, answered, bucket_bits, flags_of, gathered, later_in_blocks, mixed, pack, release, rows_of, spans, total_bytes
-from .common import batches, materialize
+from .common import batches, discard, materialize
 
 #: Jaccard similarity as a fraction, so that it is compared in whole numbers.
 SIMILAR = (4, 5)
@@ -81,7 +81,7 @@ class _Lines:
         before = np.concatenate([[False], ink[:-1]])
         starts = np.flatnonzero(ink & (~before | edge[:-1]))
         ends = np.flatnonzero(ink & (np.append(~ink[1:], True) | edge[1:])) + 1
-        uniq, word = np.unique(spans(_roll(), _LOWER[self.raw], starts, ends), return_inverse=True)
+        uniq, word = _distinct(spans(_roll(), _LOWER[self.raw], starts, ends))
         line = np.searchsorted(self.start, starts, side="right") - 1
         line, word = _sorted_pairs(line, word)
         new = np.concatenate([[True], (word[1:] != word[:-1]) | (line[1:] != line[:-1])]) if len(word) else np.zeros(0, bool)
@@ -135,6 +135,22 @@ class _Lines:
         return gone, b[order], out, seen[word] >= _level(LARGE)
 
 
+def _distinct(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """np.unique with the inverse, by a sort of values: 40 bits of hash and the place."""
+    if not 0 < len(h) < 1 << 24:
+        return np.unique(h, return_inverse=True)
+    low = np.uint64(0xFFFFFF)
+    key = np.sort((h & ~low) | np.arange(len(h), dtype=np.uint64))
+    at = (key & low).astype(np.int64)
+    full = h[at]
+    new = np.concatenate([[True], full[1:] != full[:-1]])
+    if (new[1:] & ((key[1:] ^ key[:-1]) <= low)).any():  # 40 bits do not tell two apart
+        return np.unique(h, return_inverse=True)
+    inverse = np.empty(len(h), np.int64)
+    inverse[at] = np.cumsum(new) - 1
+    return full[new], inverse
+
+
 def _sorted_pairs(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Both sorted by x, then y; each below 2^32."""
     both = np.sort((x.astype(np.uint64) << np.uint64(32)) | y.astype(np.uint64))
@@ -345,25 +361,32 @@ def remove_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     yield batches(out | {"common": [c] * len(out["block"])}, _PARTS)
 
     base = blocks.join(later, "block", "left")
-    sent = materialize(base.select("block", "ends", "data", "later").mapInArrow(send, kind + ", common boolean"), "prefixes")
-    copies = sent.where("bucket < 0").select("block", F.col("hashes").alias("copies"))
-    sent = sent.where("bucket >= 0")
+    written = materialize(base.select("block", "ends", "data", "later").mapInArrow(send, kind + ", common boolean"), "prefixes")
+    copies = materialize(written.where("bucket < 0").select("block", F.col("hashes").alias("copies")), "copies")
+    sent = written.where("bucket >= 0")
+    discard(first)
     release(sent)
     similar = materialize(_verified(_joined(sent.where("common"), None), blocks), "similar")
     release(similar)
 
+    def lines_of(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            lines = [np.unique(np.frombuffer(x.as_py(), _PREFIX)["line"]).tobytes() for x in part.column(2)]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(lines, pa.binary())], names=["block", "bucket", "hashes"])
+
     def still_open(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            for i in range(part.num_rows):
-                lines = np.unique(np.frombuffer(part.column(2)[i].as_py(), _PREFIX)["line"])
-                if done := part.column(3)[i].as_py():
-                    lines = lines[~np.isin(lines, np.array(done, np.int64))]
-                yield batches({"block": [part.column(0)[i].as_py()], "bucket": [part.column(1)[i].as_py()], "hashes": [lines.astype(np.uint32).tobytes()]}, SENT)
+            left = []
+            for x, done in zip(part.column(2), part.column(3), strict=True):
+                lines = np.frombuffer(x.as_py(), np.uint32)
+                left.append((lines[~np.isin(lines, np.array(done.as_py(), np.int64))] if done.is_valid else lines).tobytes())
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(left, pa.binary())], names=["block", "bucket", "hashes"])
 
     done = similar.groupBy("block").agg(F.collect_list("line").alias("done"))
     sent = sent.select("block", "bucket", "hashes")
-    open_ = sent.join(done, "block", "left").select("block", "bucket", "hashes", "done").mapInArrow(still_open, kind).withColumnRenamed("hashes", "lines")
+    open_ = sent.mapInArrow(lines_of, kind).join(done, "block", "left").select("block", "bucket", "hashes", "done").mapInArrow(still_open, kind).withColumnRenamed("hashes", "lines")
     more = materialize(_verified(_joined(sent, open_), blocks), "similar")
+    discard(written)
     release(more)
     gone = similar.union(more).groupBy("block").agg(F.collect_set("line").alias("similar"))
 
