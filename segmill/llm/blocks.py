@@ -133,13 +133,13 @@ def gathered(answers: DataFrame, name: str) -> DataFrame:
     return answers.groupBy("block").agg(F.collect_list(F.struct("bucket", "bits")).alias(name))
 
 
-def rows_of(block: int, buckets: np.ndarray, hashes: np.ndarray) -> dict[str, list]:
+def rows_of(block: int, buckets: np.ndarray, hashes: np.ndarray, encode: Callable[[np.ndarray], bytes] = np.ndarray.tobytes) -> dict[str, list]:
     """The rows to send for hashes that are sorted by bucket."""
     if not len(buckets):
         return {"block": [], "bucket": [], "hashes": []}
     cuts = np.flatnonzero(np.concatenate([[True], buckets[1:] != buckets[:-1]]))
     ends = np.append(cuts[1:], len(buckets))
-    return {"block": [block] * len(cuts), "bucket": buckets[cuts].astype(np.int64).tolist(), "hashes": [hashes[s:e].tobytes() for s, e in zip(cuts, ends, strict=True)]}
+    return {"block": [block] * len(cuts), "bucket": buckets[cuts].astype(np.int64).tolist(), "hashes": [encode(hashes[s:e]) for s, e in zip(cuts, ends, strict=True)]}
 
 
 def flags_of(answers: list[dict] | None, buckets: np.ndarray) -> np.ndarray:

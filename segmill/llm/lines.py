@@ -31,6 +31,7 @@ SIMILAR = (4, 5)
 #: Lines of fewer distinct words are never removed.
 MIN_WORDS = 5
 PIVOTS = 32
+BLOCK_BYTES = 4 << 20
 #: Rows of a word from which the first round looks at it.
 LARGE = 128
 RARITY_BITS = 22
@@ -151,6 +152,24 @@ def _distinct(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return full[new], inverse
 
 
+def _encoded(rows: np.ndarray) -> bytes:
+    """Prefix rows by column and byte, line numbers as differences: most bytes are then equal and compress away."""
+    line = np.diff(rows["line"], prepend=np.uint32(0))
+    planes = [np.ascontiguousarray(x).view(np.uint8).reshape(len(rows), -1).T.tobytes() for x in (line, rows["n"], rows["i"])]
+    return b"".join([rows["sig"].tobytes(), rows["word"].tobytes(), *planes])
+
+
+def _decoded(data: bytes) -> np.ndarray:
+    n = len(data) // _PREFIX.itemsize
+    rows, at = np.empty(n, _PREFIX), 12 * n
+    rows["sig"], rows["word"] = np.frombuffer(data, np.uint64, n), np.frombuffer(data, np.uint32, n, 8 * n)
+    for name, size in (("line", 4), ("n", 2), ("i", 2)):
+        rows[name] = np.ascontiguousarray(np.frombuffer(data, np.uint8, size * n, at).reshape(size, n).T).view(f"u{size}").ravel()
+        at += size * n
+    rows["line"] = np.cumsum(rows["line"], dtype=np.uint32)
+    return rows
+
+
 def _sorted_pairs(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Both sorted by x, then y; each below 2^32."""
     both = np.sort((x.astype(np.uint64) << np.uint64(32)) | y.astype(np.uint64))
@@ -199,7 +218,7 @@ def candidates(rows: np.ndarray, at: np.ndarray, open_: np.ndarray | None, pivot
     later, earlier = [], []
 
     def add(q: np.ndarray, lo: np.ndarray, hi: np.ndarray, check: bool) -> None:
-        for s in _shares(hi - lo, 2 << 20):
+        for s in _shares(hi - lo, 1 << 18):
             k, b = _ranges(lo[s], hi[s])
             a, b = _passing(rows, q[s][k], b)
             if not check:
@@ -254,7 +273,7 @@ def _joined(sent: DataFrame, open_lines: DataFrame | None) -> DataFrame:
     def run(t: pa.Table, openers: dict[int, np.ndarray] | None) -> pa.Table:
         t = t.sort_by("block")
         ids = t.column("block").to_numpy()
-        parts = [np.frombuffer(x.as_py(), _PREFIX) for x in t.column("hashes")]
+        parts = [_decoded(x.as_py()) for x in t.column("hashes")]
         rows = np.concatenate(parts)
         of = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
         at = (of.astype(np.int64) << 32) | rows["line"]
@@ -317,7 +336,7 @@ def remove_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     as are columns of keep that are named as the new ones.
     """
     keep = [c for c in ([id_col] if keep is None else keep) if c not in ("n_lines", "removed", "kept")]
-    blocks = pack(docs, id_col, text_col, keep)
+    blocks = pack(docs, id_col, text_col, keep, BLOCK_BYTES)
     amount = total_bytes(blocks)
     deal, bits = bucket_bits(amount / 16), bucket_bits(amount * 0.75)
 
@@ -357,7 +376,7 @@ def remove_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 gone, b, rows, common = _Lines(part.column(1)[i].as_py(), part.column(2)[i].as_py()).prefixes(deal, part.column(3)[i].as_py(), rarity.value, bits)
                 yield batches({"block": [block], "bucket": [-1], "hashes": [gone.astype(np.int64).tobytes()], "common": [False]}, _PARTS)
                 for c in (False, True):
-                    out = rows_of(block, b[common == c], rows[common == c])
+                    out = rows_of(block, b[common == c], rows[common == c], _encoded)
                     yield batches(out | {"common": [c] * len(out["block"])}, _PARTS)
 
     base = blocks.join(later, "block", "left")
@@ -371,7 +390,7 @@ def remove_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def lines_of(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            lines = [np.unique(np.frombuffer(x.as_py(), _PREFIX)["line"]).tobytes() for x in part.column(2)]
+            lines = [np.unique(_decoded(x.as_py())["line"]).tobytes() for x in part.column(2)]
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(lines, pa.binary())], names=["block", "bucket", "hashes"])
 
     def still_open(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -43,7 +43,7 @@ def corpus(seed, n=150):
 
 @pytest.mark.parametrize(("block_bytes", "pivots"), [(3000, 2), (1 << 20, 32)])
 def test_equals_brute_force(spark, monkeypatch, block_bytes, pivots):
-    monkeypatch.setattr(blocks, "BLOCK_BYTES", block_bytes)
+    monkeypatch.setattr(lines, "BLOCK_BYTES", block_bytes)
     monkeypatch.setattr(blocks, "_CHUNK", 900)
     monkeypatch.setattr(lines, "PIVOTS", pivots)
     rows = corpus(block_bytes)
@@ -81,3 +81,13 @@ def test_filters_lose_nothing(monkeypatch, large):
     a, b = lines.candidates(rows, rows["line"].astype(np.int64), None, 3)
     near = list(zip(rows["line"][a].tolist(), rows["line"][b].tolist(), strict=True))
     assert len({x for x, _ in near}) == len(near) and set(near) <= got and bool(near) == (large == 3)
+
+
+def test_rows_round_trip():
+    rnd = np.random.default_rng(6)
+    for n in (0, 1, 500):
+        rows = np.zeros(n, lines._PREFIX)
+        for name in rows.dtype.names:
+            rows[name] = rnd.integers(0, 1 << 16, n)
+        rows["line"] = np.sort(rnd.integers(0, 1 << 31, n)).astype(np.uint32)[::-1]
+        assert (lines._decoded(lines._encoded(rows)) == rows).all()
