@@ -91,7 +91,8 @@ def page_kinds(pages: DataFrame, text_col: str = "text") -> DataFrame:
     fits = lambda pattern: lambda x: x.rlike(pattern)
     m |= {k: count(fits(v)) for k, v in _COUNTED.items()}
     m |= {k: F.exists(F.slice("__l", 1, n), fits(v)) for k, (v, n) in _HEADS.items()}
-    p = p.withColumn("__m", F.struct(*(c.alias(k) for k, c in m.items())))
+    # a generator of one row, so that the measures are made once and not again wherever the decision names them
+    p = p.select("*", F.explode(F.array(F.struct(*(c.alias(k) for k, c in m.items())))).alias("__m"))
     d = _decision({k: F.col(f"__m.{k}") for k in m})
     return p.withColumn("__d", d).withColumn("kind", F.col("__d.kind")).withColumn("detail", F.col("__d.detail")).drop("__l", "__c", "__m", "__d")
 

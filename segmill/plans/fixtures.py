@@ -98,6 +98,7 @@ def tables(spark: SparkSession, sf_dir: str, *names: str) -> dict[str, DataFrame
 
 def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     used, sql = FIXTURES[name]
+    sql = sql.replace("{", "{{").replace("}", "}}")  # the braces of JSON; those of tables come next
     for n in used:
         sql = sql.replace(f"FROM {n}", f"FROM {{{n}}}").replace(f"JOIN {n} ", f"JOIN {{{n}}} ")
     return spark.sql(sql, **tables(spark, sf_dir, *used))

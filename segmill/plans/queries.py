@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as t
-from ..operators import classify, layout, outline, state, terms, validate
+from ..operators import classify, engines, jobs, layout, outline, paragraphs, state, terms, validate
+from ..sources import jsonl
+from . import book
 from .fixtures import fixture, tables, with_fixtures
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -275,3 +277,347 @@ def batch_short_circuit(spark, sf_dir):
     o = tables(spark, sf_dir, "orders")["orders"]
     c = terms.chunk_order(o.withColumnRenamed("o_custkey", "doc_id"), ["doc_id"], ["o_orderkey"]).select("doc_id", (F.col("n") + 1).cast("int").alias("index"), (F.col("o_orderstatus") == "P").alias("failed"), (F.col("o_orderkey") % 5 == 0).alias("done"))
     return outline.batch(c.drop("done"), c.where("done").select("doc_id", "index"), 2, 8)
+
+
+_NAMES = {0: "abandon", 1: "plain text", 2: "title", 3: "figure", 4: "table", 5: "figure_caption", 6: "isolate_formula", 7: "formula_caption"}
+_RANKED = """
+    SELECT page_id, seq, row_number() OVER (PARTITION BY page_id ORDER BY conf DESC, seq) + 1 AS id, cls IN (0, 3, 4, 6, 7) AS is_protected,
+        least(greatest(trunc(x0 - 1), 0), 599)::INTEGER AS px0, least(greatest(trunc(800 - y1 - 1), 0), 799)::INTEGER AS py0, least(greatest(trunc(x1 + 1), 0), 599)::INTEGER AS px1, least(greatest(trunc(800 - y0 + 1), 0), 799)::INTEGER AS py1
+    FROM d_boxes WHERE conf > 0.25
+"""
+
+
+def _boxes(spark, sf_dir) -> DataFrame:
+    return layout.ranked_boxes(fixture(spark, sf_dir, "d_boxes").withColumns({"width": F.lit(600.0), "height": F.lit(800.0)}), _NAMES)
+
+
+@query("box_rank", _RANKED, "d_boxes")
+def box_rank(spark, sf_dir):
+    return _boxes(spark, sf_dir).withColumn("id", F.col("id").cast("long"))
+
+
+@query("glyph_class", f"""
+    WITH b AS MATERIALIZED ({_RANKED}), g AS (SELECT page_id, seq, text, least(greatest(trunc(x0), 0), 599) AS gx, least(greatest(trunc(y0), 0), 799) AS gy FROM d_glyphs)
+    SELECT g.page_id, g.seq, (CASE WHEN any_value(text) = '•' OR coalesce(bool_or(is_protected), false) THEN 0 ELSE coalesce(min(id), 1) END)::BIGINT AS cls
+    FROM g LEFT JOIN b ON g.page_id = b.page_id AND gx >= px0 AND gx < px1 AND gy >= py0 AND gy < py1 GROUP BY g.page_id, g.seq
+""", "d_boxes", "d_glyphs")
+def glyph_class(spark, sf_dir):
+    g = fixture(spark, sf_dir, "d_glyphs").withColumns({"width": F.lit(600.0), "height": F.lit(800.0)})
+    return layout.glyph_classes(g, _boxes(spark, sf_dir)).select("page_id", "seq", F.col("cls").cast("long").alias("cls"))
+
+
+@query("scanned_pages", """
+    SELECT page_id, bool_or(cls = 1 AND greatest(x1 - x0, 0) * greatest(y1 - y0, 0) > 20000 * 0.5) AS is_scanned FROM d_boxes GROUP BY page_id
+""", "d_boxes")
+def scanned_pages(spark, sf_dir):
+    b = fixture(spark, sf_dir, "d_boxes")
+    blocks = b.groupBy("page_id").agg(F.collect_list(F.struct(F.col("cls").alias("type"), F.array("x0", "y0", "x1", "y1").alias("bbox"))).alias("blocks"))
+    return blocks.select("page_id", layout.is_scanned(F.col("blocks"), F.lit(20000.0)).alias("is_scanned"))
+
+
+@query("column_edges", """
+    WITH p AS (SELECT page_id, seq AS para_id, x0, x1, y0, y1, cls % 2 = 0 AS brk FROM d_boxes),
+    e AS (SELECT p.page_id, p.para_id, max(q.x1) FILTER (abs(q.x0 - p.x0) <= 5 AND (q.brk OR q.x1 > p.x1 + 30)) AS col,
+            min(q.x0) FILTER (q.para_id <> p.para_id AND q.x0 > p.x0 + 10 AND NOT (q.y1 < p.y0 - 2 OR q.y0 > p.y1 + 2)) AS stop
+        FROM p JOIN p q ON p.page_id = q.page_id WHERE NOT p.brk GROUP BY p.page_id, p.para_id)
+    SELECT page_id, para_id, CASE WHEN brk THEN x1 ELSE greatest(x1, least(coalesce(col, x1), coalesce(stop - 5, col, x1))) END AS "right" FROM p LEFT JOIN e USING (page_id, para_id)
+""", "d_boxes")
+def column_edges(spark, sf_dir):
+    p = fixture(spark, sf_dir, "d_boxes").select("page_id", F.col("seq").alias("para_id"), "x0", "x1", "y0", "y1", (F.col("cls") % 2 == 0).alias("brk"))
+    return layout.column_edges(p).select("page_id", "para_id", "right")
+
+
+_INK = "SELECT para_id, lidx, round(min(dy + least(0, ylen) - size * 0.22), 6) AS lo, round(max(dy + greatest(0, ylen) + size * 0.78), 6) AS hi FROM d_ink WHERE lidx % 4 <> 3 GROUP BY para_id, lidx"
+
+
+def _ink(spark, sf_dir) -> DataFrame:
+    return layout.ink(fixture(spark, sf_dir, "d_ink").where("lidx % 4 != 3")).withColumns({"lo": F.round("lo", 6), "hi": F.round("hi", 6)})
+
+
+@query("line_ink", _INK, "d_ink")
+def line_ink(spark, sf_dir):
+    return _ink(spark, sf_dir)
+
+
+@query("line_offsets", f"""
+    WITH i AS MATERIALIZED ({_INK}), p AS (SELECT para_id, max(lidx) AS lines, CASE WHEN para_id % 3 = 0 THEN NULL ELSE (para_id % 7)::DOUBLE END AS budget FROM d_ink GROUP BY para_id),
+    l AS (SELECT *, unnest(range(0, lines + 1)) AS line FROM p),
+    j AS (SELECT l.*, coalesce(lo, 0) AS lo, coalesce(hi, 0) AS hi FROM l LEFT JOIN i ON l.para_id = i.para_id AND line = lidx),
+    w AS (SELECT *, CASE WHEN line < lines THEN greatest(0, coalesce(lead(hi) OVER (PARTITION BY para_id ORDER BY line), 0) - lo - 11) ELSE 0 END AS want FROM j),
+    s AS (SELECT *, 11 + want * CASE WHEN budget IS NOT NULL AND sum(want) OVER (PARTITION BY para_id) > budget THEN budget / sum(want) OVER (PARTITION BY para_id) ELSE 1 END AS step FROM w)
+    SELECT para_id, line::INTEGER AS line, round(coalesce(sum(step) OVER (PARTITION BY para_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 4) AS "offset" FROM s
+""", "d_ink")
+def line_offsets(spark, sf_dir):
+    p = fixture(spark, sf_dir, "d_ink").groupBy("para_id").agg(F.max("lidx").alias("lines")).select("para_id", "lines", F.when(F.col("para_id") % 3 != 0, (F.col("para_id") % 7).cast("double")).alias("budget"), F.lit(10.0).alias("size"), F.lit(1.1).alias("leading"))
+    return layout.line_offsets(_ink(spark, sf_dir), p).withColumn("offset", F.round("offset", 4))
+
+
+@query("formula_widths", "SELECT page_id, cls AS vid, max(x1) - arg_min(x0, seq) AS width FROM d_boxes GROUP BY page_id, cls", "d_boxes")
+def formula_widths(spark, sf_dir):
+    return layout.formula_width(fixture(spark, sf_dir, "d_boxes").withColumnRenamed("cls", "vid"))
+
+
+@query("white_backing", "SELECT page_id, seq AS para_id, x0 - 3 AS \"left\", y0 - 3 AS bottom, x1 - x0 + 6 AS w, y1 - y0 + 6 AS h FROM d_boxes WHERE page_id % 2 = 0 AND cls <> 3", "d_boxes")
+def white_backing(spark, sf_dir):
+    b = fixture(spark, sf_dir, "d_boxes")
+    return layout.backing(b.withColumnRenamed("seq", "para_id").withColumns({"is_scanned": F.col("page_id") % 2 == 0, "old": F.lit("3"), "new": F.col("cls").cast("string")}))
+
+
+@query("page_geometry", """
+    SELECT page_id, seq, CASE page_id % 4 WHEN 1 THEN '0,-1,1,0,' || -y0 || ',' || x1 WHEN 2 THEN '-1,0,0,-1,' || x1 || ',' || y1 WHEN 3 THEN '0,1,-1,0,' || y1 || ',' || -x0 ELSE '1,0,0,1,' || -x0 || ',' || -y0 END AS matrix,
+        CASE WHEN x0 > 330 AND x1 > 350 THEN 300 ELSE x0 END AS start_x, round(least(1.0, 0.9 + conf / 100) * 2.0, 6) AS width,
+        round((x0 - round_even((1024 - 600 * least(1024 / 600, 1024 / 800)) / 2 - 0.1, 0)) / least(1024 / 600, 1024 / 800), 6) AS px FROM d_boxes
+""", "d_boxes")
+def page_geometry(spark, sf_dir):
+    b = fixture(spark, sf_dir, "d_boxes")
+    whole = lambda c: F.format_string("%.1f", c)
+    m = layout.page_matrix((F.col("page_id") % 4).cast("int") * 90, F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"))
+    unit = F.transform(F.slice(m, 1, 4), lambda x: x.cast("int").cast("string"))
+    matrix = F.concat(F.array_join(unit, ","), F.lit(","), F.array_join(F.transform(F.slice(m, 5, 2), whole), ","))
+    px, _ = layout.rescaled_box(F.col("x0"), F.col("y0"), F.lit(1024.0), F.lit(1024.0), F.lit(600.0), F.lit(800.0))
+    scale = F.array(F.least(F.lit(1.0), 0.9 + F.col("conf") / 100), F.lit(0.0))
+    return b.select("page_id", "seq", matrix.alias("matrix"), layout.start_x(F.col("x0"), F.lit(300.0), F.col("x1")).alias("start_x"), F.round(layout.scaled_width(F.lit(2.0), scale), 6).alias("width"), F.round(px, 6).alias("px"))
+
+
+@query("fraction_rules", "SELECT page_id, count(*) FILTER (seq % 2 = 0 AND (cls = 0 OR cls = 5)) AS rules, count(*) FILTER (conf < 5) AS drawn FROM d_boxes GROUP BY page_id", "d_boxes")
+def fraction_rules(spark, sf_dir):
+    point = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    y1 = F.when(F.col("seq") % 2 == 0, F.col("y0")).otherwise(F.col("y1"))
+    color = F.when(F.col("cls") != 5, F.array(F.col("cls").cast("double")))
+    one, zero = F.lit(1.0), F.lit(0.0)
+    b = fixture(spark, sf_dir, "d_boxes").withColumn("rule", layout.is_fraction_rule(F.array(point(F.col("x0"), F.col("y0")), point(F.col("x1"), y1)), color, one, zero, zero, one))
+    return b.groupBy("page_id").agg(F.count_if("rule").alias("rules"), F.count_if(F.col("conf") < 5).alias("drawn"))
+
+
+@query("formula_glyphs", f"""
+    SELECT glyph_id, starts_with(text, '(cid:') OR regexp_matches(regexp_extract(font, '[^+]*$'), '{t.FORMULA_FONT}') OR (regexp_matches(text, '{t.FORMULA_CHARACTER}') AND text <> ' ') AS in_formula FROM d_fonts
+""", "d_fonts")
+def formula_glyphs(spark, sf_dir):
+    return fixture(spark, sf_dir, "d_fonts").select("glyph_id", t.is_formula_glyph(F.col("font"), F.col("text")).alias("in_formula"))
+
+
+@query("font_style", """
+    SELECT glyph_id, regexp_matches(lower(font), 'bold|heavy|black|semibold|demi') OR size >= 13.5 AS is_bold, regexp_matches(lower(font), 'italic|oblique') AS is_italic, regexp_matches(lower(font), 'gotham|myriad|bold|semibold|demi|heavy|black') AS is_heading,
+        CASE WHEN contains(lower(font), 'myriad') THEN 'myriad' WHEN contains(lower(font), 'garamond') THEN 'garamond' WHEN contains(lower(font), 'gotham') THEN 'gotham' WHEN contains(lower(font), 'helvetica') THEN 'helvetica' WHEN contains(lower(font), 'times') THEN 'times'
+            ELSE regexp_extract(regexp_extract(lower(font), '[^+]*$'), '^[^-]*') END AS family FROM d_fonts
+""", "d_fonts")
+def font_style(spark, sf_dir):
+    f = F.col("font")
+    return fixture(spark, sf_dir, "d_fonts").select("glyph_id", t.is_bold(f, F.col("size")).alias("is_bold"), t.is_italic(f).alias("is_italic"), t.is_heading_font(f).alias("is_heading"), t.font_family(f).alias("family"))
+
+
+@query("color_ops", """
+    SELECT l_orderkey, l_linenumber, CASE l_linenumber % 4 WHEN 0 THEN printf('%.4f', l_tax) || ' g ' WHEN 1 THEN printf('%.4f %.4f %.4f rg ', l_tax, l_discount, 1.0) WHEN 2 THEN printf('%.4f %.4f %.4f %.4f k ', l_tax, l_discount, 0.0, 1.0) ELSE '0 g ' END AS op FROM lineitem
+""")
+def color_ops(spark, sf_dir):
+    a, b, one, zero = F.col("l_tax"), F.col("l_discount"), F.lit(1.0), F.lit(0.0)
+    n = F.col("l_linenumber") % 4
+    color = F.when(n == 0, F.array(a)).when(n == 1, F.array(a, b, one)).when(n == 2, F.array(a, b, zero, one)).otherwise(F.array(a, b))
+    return tables(spark, sf_dir, "lineitem")["lineitem"].select("l_orderkey", "l_linenumber", t.color_op(color).alias("op"))
+
+
+@query("version_compare", r"""
+    WITH v AS (SELECT id, regexp_replace(regexp_replace(trim(tag), '^[vV]+', ''), '[-+].*$', '') AS a, current AS b FROM d_versions_tags),
+    n AS (SELECT id, CASE WHEN regexp_matches(a, '^[0-9]+(\.[0-9]+)*$') THEN list_transform(string_split(a, '.'), lambda x: x::BIGINT) END AS a, list_transform(string_split(b, '.'), lambda x: x::BIGINT) AS b FROM v)
+    SELECT id, coalesce(list_concat(a, list_transform(range(greatest(len(b) - len(a), 0)), lambda x: 0)) > list_concat(b, list_transform(range(greatest(len(a) - len(b), 0)), lambda x: 0)), false) AS is_newer FROM n
+""", "d_versions_tags")
+def version_compare(spark, sf_dir):
+    return fixture(spark, sf_dir, "d_versions_tags").select("id", t.is_newer(F.col("tag"), F.col("current")).alias("is_newer"))
+
+
+@query("page_selection", r"""
+    WITH r AS (SELECT id, spec, CASE WHEN regexp_matches(spec, '^[1-9][0-9]*(-[1-9][0-9]*)?(,[1-9][0-9]*(-[1-9][0-9]*)?)*$') THEN string_split(spec, ',') END AS parts FROM d_ranges),
+    e AS (SELECT id, unnest(parts) AS p FROM r WHERE parts IS NOT NULL),
+    b AS (SELECT id, split_part(p, '-', 1)::INT AS lo, split_part(p, '-', -1)::INT AS hi FROM e),
+    ok AS (SELECT id FROM b GROUP BY id HAVING bool_and(lo <= hi)),
+    x AS (SELECT id, unnest(range(lo - 1, hi)) AS page FROM b JOIN ok USING (id))
+    SELECT id, ok.id IS NOT NULL AS is_valid, (SELECT count(*) FROM x WHERE x.id = r.id) AS pages, (SELECT coalesce(sum(page), 0)::BIGINT FROM x WHERE x.id = r.id) AS page_sum FROM r LEFT JOIN ok USING (id)
+""", "d_ranges")
+def page_selection(spark, sf_dir):
+    p = fixture(spark, sf_dir, "d_ranges").withColumn("p", F.coalesce(t.page_indices(F.col("spec")), F.expr("cast(array() as array<int>)")))
+    return p.select("id", t.is_page_selection(F.col("spec")).alias("is_valid"), F.size("p").cast("long").alias("pages"), F.aggregate("p", F.lit(0).cast("long"), lambda s, x: s + x).alias("page_sum"))
+
+
+@query("placeholder_normalize", r"""
+    SELECT conv_id, turn, regexp_replace(regexp_replace('< b ' || turn || ' >' || text || '< / b' || turn || '>' || chr(9), '<\s*(/?)\s*b\s*([0-9]+)\s*>', '<\1b\2>', 'g'), '\p{Cc}|\x{ad}', '', 'g') AS text FROM conversations
+""")
+def placeholder_normalize(spark, sf_dir):
+    n = F.col("turn").cast("string")
+    raw = F.concat(F.lit("< b "), n, F.lit(" >"), "text", F.lit("< / b"), n, F.lit(">\t"))
+    return tables(spark, sf_dir, "conversations")["conversations"].select("conv_id", "turn", t.strip_controls(t.normalize_placeholders(raw)).alias("text"))
+
+
+@query("nfc_texts", "SELECT doc_id, sha256(nfc_normalize(replace(text, 'é', 'e' || chr(769)))) AS digest FROM documents")
+def nfc_texts(spark, sf_dir):
+    d = tables(spark, sf_dir, "documents")["documents"]
+    return d.select("doc_id", F.sha2(t.nfc(F.replace("text", F.lit("é"), F.lit("é"))).cast("binary"), 256).alias("digest"))
+
+
+@query("language_options", """
+    SELECT n_nationkey, c, regexp_matches(c, '^[A-Za-z]{2,3}(-[A-Za-z]{2,4})?$') OR c = 'auto' AS is_source, CASE WHEN c IN ('de', 'fr', 'es', 'en', 'vi', 'id') THEN c END AS target,
+        CASE c WHEN 'zh' THEN 1.4 WHEN 'ja' THEN 1.1 WHEN 'en' THEN 1.2 WHEN 'vi' THEN 1.2 ELSE 1.1 END::DOUBLE AS line_height, CASE c WHEN 'zh' THEN 'zh-CN' ELSE c END AS service
+    FROM (SELECT n_nationkey, ['de', 'fr', 'zh', 'ja', 'en', 'vi', 'id', 'auto', 'es', '1x', 'pt-br1'][1 + n_nationkey % 11] AS c FROM nation)
+""")
+def language_options(spark, sf_dir):
+    codes = F.array(*map(F.lit, ["de", "fr", "zh", "ja", "en", "vi", "id", "auto", "es", "1x", "pt-br1"]))
+    n = tables(spark, sf_dir, "nation")["nation"].select("n_nationkey", F.element_at(codes, (F.col("n_nationkey") % 11 + 1).cast("int")).alias("c"))
+    c = F.col("c")
+    return n.select("n_nationkey", "c", t.is_source_language(c).alias("is_source"), t.target_language(c).alias("target"), t.line_height(c).alias("line_height"), t.service_language("google", c).alias("service"))
+
+
+@query("prompt_assembly", f"""
+    SELECT conv_id, turn, '{terms.HEADER[:20]}' || role || CASE WHEN turn % 2 = 0 THEN chr(10) || chr(10) || 'g' || turn ELSE '' END AS system, text AS "user", least(length(text) * 4, 4096)::INTEGER AS max_tokens, 0.3::DOUBLE AS temperature, substring(text, 1, 50) AS head FROM conversations
+""")
+def prompt_assembly(spark, sf_dir):
+    c = tables(spark, sf_dir, "conversations")["conversations"]
+    glossary = F.when(F.col("turn") % 2 == 0, F.concat(F.lit("g"), F.col("turn").cast("string"))).otherwise("")
+    r = engines.chat_request(F.col("text"), F.concat(F.lit(terms.HEADER[:20]), "role"), glossary, "m")
+    return c.select("conv_id", "turn", r.alias("r"), t.truncated(F.col("text"), 50).alias("head")).select("conv_id", "turn", "r.system", "r.user", "r.max_tokens", "r.temperature", "head")
+
+
+@query("endpoint_fallback", """
+    SELECT event_id, coalesce(CASE WHEN event_id % 2 = 0 THEN event_type END, CASE WHEN event_id % 3 = 0 THEN 'b' END) AS value,
+        CASE WHEN event_id % 2 <> 0 AND event_id % 3 <> 0 THEN 'one: timeout; two: empty' END AS error FROM events
+""")
+def endpoint_fallback(spark, sf_dir):
+    e, n = tables(spark, sf_dir, "events")["events"], F.col("event_id")
+    answer = lambda ok, v, err: F.struct(F.when(ok, v).otherwise("").alias("value"), err.alias("error"))
+    value, error = engines.fallback([("one", answer(n % 2 == 0, F.col("event_type"), F.when(n % 2 != 0, "timeout"))), ("two", answer(n % 3 == 0, F.lit("b"), F.lit(None).cast("string")))])
+    return e.select("event_id", value.alias("value"), error.alias("error"))
+
+
+@query("service_answers", """
+    SELECT event_id, event_type || 'xb' AS sentences, CASE event_id % 3 WHEN 0 THEN event_type || 'y' WHEN 1 THEN event_type || 'z' ELSE event_type END AS loose, event_type || chr(10) || 'r' AS scraped FROM events
+""")
+def service_answers(spark, sf_dir):
+    e, kind = tables(spark, sf_dir, "events")["events"], F.col("event_type")
+    full = F.concat(F.lit('[[["'), kind, F.lit('x","s"],["b","q",null]],null,"en"]'))
+    n = F.col("event_id") % 3
+    loose = F.when(n == 0, F.concat(F.lit('["'), kind, F.lit('","y"]'))).when(n == 1, F.concat(F.lit('[["'), kind, F.lit('","en"],["z","en"]]'))).otherwise(F.concat(F.lit('"'), kind, F.lit('"')))
+    page = F.concat(F.lit('<p class="o">n</p><div class="result-container">'), kind, F.lit("\nr</div>"))
+    return e.select("event_id", engines.sentence_list(full).alias("sentences"), engines.loose_list(loose).alias("loose"), engines.scraped(page).alias("scraped"))
+
+
+@query("job_queue_summary", """
+    SELECT user_id, count(*) FILTER (s IN ('queued', 'failed')) AS runnable, count(*) FILTER (s = 'done') AS done, count(*) FILTER (s = 'partial') AS partial, count(*) AS files
+    FROM (SELECT user_id, CASE event_type WHEN 'error' THEN 'failed' WHEN 'purchase' THEN CASE WHEN event_id % 3 = 0 THEN 'partial' ELSE 'done' END WHEN 'view' THEN 'queued' ELSE 'skipped' END AS s FROM events) GROUP BY user_id
+""")
+def job_queue_summary(spark, sf_dir):
+    e = tables(spark, sf_dir, "events")["events"].withColumn("path", F.col("event_id").cast("string"))
+    q = jobs.queue_states(e, failed=F.col("event_type") == "error", exists=~F.col("event_type").isin("error", "purchase", "view"), finished=F.col("event_type") == "purchase", untranslated=F.when(F.col("event_id") % 3 == 0, 1).otherwise(0))
+    return jobs.queue_summary(q, ["user_id"])
+
+
+@query("progress_eta", """
+    SELECT user_id, count(*) AS total, count(*) FILTER (event_type = 'purchase') AS done, round(coalesce(count(*) FILTER (event_type = 'purchase') / nullif(user_id % 4 * 10.0, 0), 0), 6) AS rate,
+        round((count(*) - count(*) FILTER (event_type = 'purchase')) / nullif(coalesce(count(*) FILTER (event_type = 'purchase') / nullif(user_id % 4 * 10.0, 0), 0), 0), 4) AS eta FROM events GROUP BY user_id
+""")
+def progress_eta(spark, sf_dir):
+    g = tables(spark, sf_dir, "events")["events"].groupBy("user_id").agg(F.count("*").alias("total"), F.count_if(F.col("event_type") == "purchase").alias("done"))
+    rate, eta = t.progress(F.col("done"), F.col("total"), F.col("user_id") % 4 * 10.0)
+    return g.select("user_id", "total", "done", F.round(rate, 6).alias("rate"), F.round(eta, 4).alias("eta"))
+
+
+@query("stage_shares", "SELECT event_type AS stage, round(sum(value), 2) AS seconds, round(sum(value) / (SELECT sum(value) FROM events), 6) AS share FROM events GROUP BY event_type")
+def stage_shares(spark, sf_dir):
+    out = jobs.shares(tables(spark, sf_dir, "events")["events"].select(F.col("event_type").alias("stage"), F.col("value").alias("seconds")), ["stage"], "seconds")
+    return out.select("stage", F.round("seconds", 2).alias("seconds"), F.round("share", 6).alias("share"))
+
+
+@query("glossary_jsonl", """
+    SELECT file_id, line_no, trim(json_extract_string(line, '$.en')) AS en, trim(json_extract_string(line, '$.vi')) AS vi, trim(coalesce(json_extract_string(line, '$.notes'), '')) AS notes
+    FROM (SELECT * FROM d_json WHERE line <> '' AND json_valid(line)) WHERE json_type(line, '$.en') = 'VARCHAR' AND json_type(line, '$.vi') = 'VARCHAR' AND trim(json_extract_string(line, '$.en')) <> '' AND trim(json_extract_string(line, '$.vi')) <> ''
+""", "d_json")
+def glossary_jsonl(spark, sf_dir):
+    return jsonl.glossary_rows(fixture(spark, sf_dir, "d_json")).select("file_id", "line_no", "en", "vi", "notes")
+
+
+@query("jsonl_problems", """
+    SELECT file_id, line_no, CASE WHEN NOT json_valid(line) THEN 'invalid JSON' WHEN json_type(line, '$.en') IS NULL THEN 'missing en' WHEN json_type(line, '$.vi') IS NULL THEN 'missing vi' WHEN json_type(line, '$.en') <> 'VARCHAR' THEN 'type en' WHEN json_type(line, '$.vi') <> 'VARCHAR' THEN 'type vi' END AS problem FROM d_json WHERE line <> ''
+""", "d_json")
+def jsonl_problems(spark, sf_dir):
+    return jsonl.parsed(fixture(spark, sf_dir, "d_json"), ["en", "vi"]).select("file_id", "line_no", "problem")
+
+
+@query("profile_validation", """
+    WITH p AS (SELECT file_id, line_no, CASE WHEN NOT json_valid(line) THEN 'invalid JSON' WHEN json_type(line, '$.en') IS NULL OR json_type(line, '$.vi') IS NULL THEN 'missing ''en'' or ''vi''' END AS stop FROM d_json WHERE line <> ''),
+    e AS (SELECT file_id, min(line_no) AS n, arg_min(stop, line_no) AS stop FROM p WHERE stop IS NOT NULL GROUP BY file_id)
+    SELECT file_id, count(*) FILTER (n IS NULL OR line_no < n) AS terms, CASE WHEN any_value(n) IS NOT NULL THEN 'Line ' || any_value(n) || ' ' || any_value(e.stop) END AS error FROM p LEFT JOIN e USING (file_id) GROUP BY file_id
+""", "d_json")
+def profile_validation(spark, sf_dir):
+    return jsonl.profile_summary(fixture(spark, sf_dir, "d_json"), ["file_id"])
+
+
+@query("prompt_glossaries", """
+    SELECT file_id, CASE WHEN bool_or(NOT ok) THEN '' ELSE coalesce(string_agg('  ' || json_extract_string(j, '$.en') || ' = ' || json_extract_string(j, '$.vi'), chr(10) ORDER BY line_no)
+        FILTER (json_type(j, '$.en') = 'VARCHAR' AND json_type(j, '$.vi') = 'VARCHAR'), '') END AS glossary FROM (SELECT *, json_valid(line) AS ok, CASE WHEN json_valid(line) THEN line ELSE '{}' END AS j FROM d_json) WHERE line <> '' AND line_no % 9 <> 3 AND (file_id % 2 = 0 OR line_no % 9 <> 1) GROUP BY file_id
+""", "d_json")
+def prompt_glossaries(spark, sf_dir):
+    d = fixture(spark, sf_dir, "d_json").where("line_no % 9 != 3 and (file_id % 2 = 0 or line_no % 9 != 1)")
+    return jsonl.prompt_glossary(d, ["file_id"])
+
+
+@query("file_collection", "SELECT path, min(ord) AS ord FROM (SELECT lower(p_name) || CASE WHEN p_partkey % 3 = 0 THEN '.PDF' WHEN p_partkey % 3 = 1 THEN '.pdf' ELSE '.txt' END AS path, p_partkey AS ord FROM part) WHERE lower(path) LIKE '%.pdf' GROUP BY path")
+def file_collection(spark, sf_dir):
+    k = F.col("p_partkey") % 3
+    p = tables(spark, sf_dir, "part")["part"].select(F.concat(F.lower("p_name"), F.when(k == 0, ".PDF").when(k == 1, ".pdf").otherwise(".txt")).alias("path"), F.col("p_partkey").alias("ord"))
+    return jsonl.collected(p).select("path", "ord")
+
+
+@query("bilingual_order", "SELECT page_id, seq, (seq * 2 + t)::BIGINT AS position FROM d_boxes, (SELECT unnest([0, 1]) AS t)", "d_boxes")
+def bilingual_order(spark, sf_dir):
+    b = fixture(spark, sf_dir, "d_boxes").select("page_id", F.col("seq").alias("pageno"), F.explode(F.array(F.lit(False), F.lit(True))).alias("is_translated"))
+    return outline.interleaved(b).select("page_id", F.col("pageno").alias("seq"), F.col("position").cast("long").alias("position"))
+
+
+@query("glyph_codes", "SELECT p_partkey, string_agg(lpad(lower(printf('%x', unicode(c))), 4, '0'), '' ORDER BY i) AS wide, string_agg(lpad(lower(printf('%x', unicode(c))), 2, '0'), '' ORDER BY i) AS narrow FROM (SELECT p_partkey, i, substring(p_name, i, 1) AS c FROM (SELECT p_partkey, p_name, unnest(range(1, length(p_name) + 1)) AS i FROM part)) GROUP BY p_partkey")
+def glyph_codes(spark, sf_dir):
+    p = tables(spark, sf_dir, "part")["part"]
+    return p.select("p_partkey", t.glyph_hex(F.col("p_name"), F.lit(True)).alias("wide"), t.glyph_hex(F.col("p_name"), F.lit(False)).alias("narrow"))
+
+
+def _glyph_stream(spark, sf_dir) -> DataFrame:
+    """One glyph for each word's letter of a document's first lines, set in lines of 60 places."""
+    d = tables(spark, sf_dir, "documents")["documents"].select("doc_id", F.posexplode(F.split(F.substring("text", 1, 400), "")).alias("seq", "text")).where("text != ''")
+    line, col = F.expr("seq div 60"), F.col("seq") % 60
+    formula = F.col("seq") % 97 == 5
+    return d.select(
+        "doc_id", F.lit(0).cast("long").alias("page_id"), F.lit(0).cast("long").alias("container"), "seq", "text", F.when(formula, "CMMI10").otherwise("Times-Roman").alias("font"), F.lit(10.0).alias("size"),
+        (50 + col * 5.0).alias("x0"), (700 - line * 12.0).alias("y0"), (55 + col * 5.0).alias("x1"), (710 - line * 12.0).alias("y1"), F.when(line < 4, 2).otherwise(3).alias("cls"), F.lit(True).alias("upright"), F.lit("0 g ").alias("color"), F.lit(600.0).alias("page_width"),
+    )
+
+
+@query("paragraph_assembly")
+def paragraph_assembly(spark, sf_dir):
+    return paragraphs.assemble(_glyph_stream(spark, sf_dir)).select("doc_id", "para_id", "kind", "text", F.round("x0", 3).alias("x0"), F.round("x1", 3).alias("x1"), "brk", "cls")
+
+
+@query("word_wrap")
+def word_wrap(spark, sf_dir):
+    d = tables(spark, sf_dir, "documents")["documents"]
+    p = d.select(F.col("doc_id").alias("para_id"), F.replace("text", F.lit("\n"), F.lit(" ")).alias("text"), F.lit(60.0).alias("x"), F.lit(50.0).alias("x0"), F.lit(350.0).alias("x1"), F.lit(10.0).alias("size"))
+    return paragraphs.wrap_rows(p, {"i": 0.25, "l": 0.25, "m": 0.75, "w": 0.75, " ": 0.25})
+
+
+@query("translate_segments")
+def translate_segments(spark, sf_dir):
+    """Distinct segments through an engine that fails on some of them."""
+    return engines.translate_all(fixture(spark, sf_dir, "d_pairs").select("segment_id", "source"), [engines.upper_case, engines.reversed_words]).select("segment_id", "translation", "error")
+
+
+_DONE = "SELECT src, CASE WHEN n % 3 = 1 THEN src WHEN n % 6 = 2 THEN replace(src, '1', '') ELSE '' END AS dst FROM (SELECT line AS src, length(line) AS n FROM d_pages GROUP BY line) WHERE n % 3 <> 0"
+
+
+@query("book_status", f"""
+    WITH k AS ({classify.oracle('d_pages')}), s AS (SELECT d.page_id * 1000 + d.pos AS segment_id, line AS source, coalesce(kind, 'PROSE') AS kind FROM d_pages d JOIN k USING (page_id)),
+    m AS (SELECT src, dst FROM ({_DONE}) WHERE dst <> ''), j AS (SELECT s.*, dst IS NOT NULL AS hit, coalesce(dst, source) AS translation FROM s LEFT JOIN m ON src = source WHERE kind = 'PROSE'),
+    i AS ({validate.oracle('j')}), c AS (SELECT segment_id, count(*) FILTER (severity = 'warning') AS w, bool_or(severity = 'error') AS e FROM i GROUP BY segment_id)
+    SELECT kind, CASE WHEN e THEN 'failed' WHEN hit THEN 'completed' ELSE 'pending' END AS status, count(*) AS segments, coalesce(sum(w), 0)::BIGINT AS warnings FROM j LEFT JOIN c USING (segment_id) GROUP BY 1, 2
+    UNION ALL SELECT kind, 'kept', count(*), 0 FROM s WHERE kind <> 'PROSE' GROUP BY kind
+""", "d_pages")
+def book_status(spark, sf_dir):
+    pages = fixture(spark, sf_dir, "d_pages")
+    n = F.length("line")
+    memory = pages.groupBy("line").agg(F.first(n).alias("n")).where("n % 3 != 0")
+    memory = memory.select(F.col("line").alias("src"), F.when(F.col("n") % 3 == 1, F.col("line")).when(F.col("n") % 6 == 2, F.replace("line", F.lit("1"), F.lit(""))).otherwise("").alias("dst"), F.lit(0).alias("line_no"))
+    return book.status(pages, memory)
