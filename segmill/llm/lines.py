@@ -155,7 +155,7 @@ def _distinct(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _encoded(rows: np.ndarray) -> bytes:
     """Prefix rows by column and byte, line numbers as differences: most bytes are then equal and compress away."""
     line = np.diff(rows["line"], prepend=np.uint32(0))
-    planes = [np.ascontiguousarray(x).view(np.uint8).reshape(len(rows), -1).T.tobytes() for x in (line, rows["n"], rows["i"])]
+    planes = [np.ascontiguousarray(x).view(np.uint8).reshape(len(rows), x.itemsize).T.tobytes() for x in (line, rows["n"], rows["i"])]
     return b"".join([rows["sig"].tobytes(), rows["word"].tobytes(), *planes])
 
 
