@@ -85,15 +85,24 @@ def pack(docs: DataFrame, id_col: str, text_col: str, keep: list[str], block_byt
 
     # by id alone, so that the sample of ranges reads no text; rows of one id are sorted in one task
     packed = d.repartitionByRange(order[0]).sortWithinPartitions(*order).select("kept", "text").mapInArrow(blocks, T.StructType([T.StructField("block", T.LongType()), T.StructField("ids", T.ArrayType(kind)), *(T.StructField(c, T.BinaryType()) for c in ("ends", "hashes", "data")), T.StructField("size", T.LongType())]))
-    name = f"segmill_{uuid.uuid4().hex}"
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    packed.write.bucketBy(buckets, "block").sortBy("block").option("path", shared_dir(spark, "blocks")).option("compression", "zstd").saveAsTable(name)
-    out = spark.table(name)
+    out, _ = bucketed(packed, "block", dealt=False)
     del packed, d
     release(out)
     return out
 
 
+def bucketed(df: DataFrame, key: str, dealt: bool = True) -> tuple[DataFrame, str]:
+    """df as a table in the shared folder that is bucketed by a key, so that groups and joins by it need no shuffle; and its path.
+
+    dealt: df is dealt by key first, for one file a bucket; else each task writes files of its own.
+    """
+    spark = df.sparkSession
+    name, path, n = f"segmill_{uuid.uuid4().hex}", shared_dir(spark, key), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = df.repartition(n, key) if dealt else df
+    rows.write.bucketBy(n, key).sortBy(key).option("path", path).option("compression", "zstd").saveAsTable(name)
+    return spark.table(name), path
+
+
 def _bytes(texts: pa.Array) -> memoryview:
     """The bytes of a string array without nulls, in a row."""
     if not len(texts):

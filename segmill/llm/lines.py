@@ -7,9 +7,9 @@ word among the first n - ceil(s n) + 1 of each. Pairs that share one must pass t
 they differ; then their words are compared. A line goes if an earlier line is similar, whether or not that one goes.
 
 Rarity is a word's count of lines in a table of fixed size, counted over the whole corpus; any order gives the same result.
-The join has two rounds, so that a large group of similar lines costs no pairs: the first compares the lines of a common
-word with the PIVOTS earliest of them only, and what it finds similar needs no other proof; the second compares the rest in
-full.
+The join has two rounds, so that a large group of similar lines costs no pairs. In the first, a line keeps the nearest of
+its earlier candidates only, and the lines of a common word meet the PIVOTS earliest of them only. What is found similar then
+needs no other proof; the second round takes what is left of the words and lines that the first cut short, in full.
 """
 
 from __future__ import annotations
@@ -23,21 +23,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .blocks import SENT, Rolling, answered, bucket_bits, flags_of, gathered, later_in_blocks, mixed, pack, release, rows_of, spans, total_bytes
-from .common import batches, discard, materialize
+from .blocks import SENT, Rolling, answered, bucket_bits, bucketed, flags_of, gathered, later_in_blocks, mixed, pack, release, rows_of, spans, total_bytes
+from .common import batches, discard, materialize, remove_path
 
 #: Jaccard similarity as a fraction, so that it is compared in whole numbers.
 SIMILAR = (4, 5)
 #: Lines of fewer distinct words are never removed.
 MIN_WORDS = 5
 PIVOTS = 32
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 8 << 20
 #: Rows of a word from which the first round looks at it.
 LARGE = 128
 RARITY_BITS = 22
 _SLICES = 16
 _MOST = 65535
-_PREFIX = np.dtype([("sig", "u8"), ("word", "u4"), ("line", "u4"), ("n", "u2"), ("i", "u2")])
+#: Lines of more words have parities of 128 bits; folded, they compare with those of 64.
+LONG = 70
+_PREFIX = np.dtype([("sig", "u8"), ("sig2", "u8"), ("word", "u4"), ("line", "u4"), ("n", "u2"), ("i", "u2")])
 _rolls: dict[int, Rolling] = {}
 
 
@@ -103,8 +105,8 @@ class _Lines:
         new = np.concatenate([[True], (key[1:] != key[:-1]) | (bucket[1:] != bucket[:-1])]) if len(key) else np.zeros(0, bool)
         return bucket[new], key[new], np.cumsum(new) - 1, lines, lines[new], (uniq, line, word, has, first, n)
 
-    def prefixes(self, deal: int, later: list[dict] | None, rarity: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Lines whose class came earlier; of the others' first, buckets and rows of the prefixes, sorted by bucket, and which words may be common."""
+    def prefixes(self, deal: int, later: list[dict] | None, rarity: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Lines whose class came earlier; of the others' first, buckets and rows of the prefixes, sorted by bucket."""
         bucket, _, of, lines, lead, (uniq, line, word, has, first, n) = self.classes(deal)
         known = flags_of(later, bucket)
         gone = lines[known[of] | (lines != lead[of])]
@@ -121,7 +123,9 @@ class _Lines:
         line, word = _sorted_pairs(np.repeat(np.arange(len(lead)), n), place[word[take]])
         i, size = np.arange(len(line)) - np.repeat(starts, n), np.repeat(n, n)
         uniq, seen = uniq[rank], seen[rank]
-        sig = np.bitwise_xor.reduceat((np.uint64(1) << (mixed(uniq) & np.uint64(63)))[word], starts) if len(n) else np.zeros(0, np.uint64)
+        place, half = np.uint64(1) << (mixed(uniq) & np.uint64(63)), (mixed(uniq) & np.uint64(64)) > 0
+        sig, sig2 = (np.bitwise_xor.reduceat(np.where(h, place, np.uint64(0))[word], starts) if len(n) else np.zeros(0, np.uint64) for h in (~half, half))
+        sig, sig2 = np.where(n > LONG, sig, sig ^ sig2), np.where(n > LONG, sig2, np.uint64(0))
         # a word that one line only has in the whole corpus joins nothing
         use = (i < size - (-(-SIMILAR[0] * size // SIMILAR[1])) + 1) & (seen[word] > 0)
         i, size, line, word = i[use], size[use], line[use], word[use]
@@ -132,8 +136,8 @@ class _Lines:
         i, size, line, word = i[order], size[order], line[order], word[order]
         # 32 bits tell a bucket's words apart well enough: equal words stay equal, and pairs are verified
         out["word"], out["i"], out["n"] = h.astype(np.uint32)[word], np.minimum(i, _MOST), np.minimum(size, _MOST)
-        out["line"], out["sig"] = lead[line], sig[line]
-        return gone, b[order], out, seen[word] >= _level(LARGE)
+        out["line"], out["sig"], out["sig2"] = lead[line], sig[line], sig2[line]
+        return gone, b[order], out
 
 
 def _distinct(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -156,17 +160,18 @@ def _encoded(rows: np.ndarray) -> bytes:
     """Prefix rows by column and byte, line numbers as differences: most bytes are then equal and compress away."""
     line = np.diff(rows["line"], prepend=np.uint32(0))
     planes = [np.ascontiguousarray(x).view(np.uint8).reshape(len(rows), x.itemsize).T.tobytes() for x in (line, rows["n"], rows["i"])]
-    return b"".join([rows["sig"].tobytes(), rows["word"].tobytes(), *planes])
+    return b"".join([len(rows).to_bytes(8, "little"), rows["sig"].tobytes(), rows["word"].tobytes(), *planes, rows["sig2"][rows["n"] > LONG].tobytes()])
 
 
 def _decoded(data: bytes) -> np.ndarray:
-    n = len(data) // _PREFIX.itemsize
-    rows, at = np.empty(n, _PREFIX), 12 * n
-    rows["sig"], rows["word"] = np.frombuffer(data, np.uint64, n), np.frombuffer(data, np.uint32, n, 8 * n)
+    n = int.from_bytes(data[:8], "little")
+    rows, at = np.zeros(n, _PREFIX), 8 + 12 * n
+    rows["sig"], rows["word"] = np.frombuffer(data, np.uint64, n, 8), np.frombuffer(data, np.uint32, n, 8 + 8 * n)
     for name, size in (("line", 4), ("n", 2), ("i", 2)):
         rows[name] = np.ascontiguousarray(np.frombuffer(data, np.uint8, size * n, at).reshape(size, n).T).view(f"u{size}").ravel()
         at += size * n
     rows["line"] = np.cumsum(rows["line"], dtype=np.uint32)
+    rows["sig2"][rows["n"] > LONG] = np.frombuffer(data, np.uint64, -1, at)
     return rows
 
 
@@ -181,6 +186,13 @@ def _level(count):
     return np.minimum(255, np.where(np.asarray(count) > 1, np.floor(6 * np.log2(np.maximum(count, 1))), 0)).astype(np.uint8)
 
 
+def _apart(rows: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A lower bound of the words that only one of two lines has, by their parities."""
+    both = (rows["n"][a] > LONG) & (rows["n"][b] > LONG)
+    one, two = rows["sig"][a] ^ rows["sig"][b], rows["sig2"][a] ^ rows["sig2"][b]
+    return np.where(both, np.bitwise_count(one) + np.bitwise_count(two), np.bitwise_count(one ^ two))
+
+
 def _passing(rows: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The pairs of rows that pass the length, positional and parity filters. Sizes from _MOST on are not exact and pass."""
     na, nb = rows["n"][a].astype(np.int32), rows["n"][b].astype(np.int32)
@@ -190,7 +202,7 @@ def _passing(rows: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray
     big = np.maximum(na, nb) >= _MOST
     ok = np.flatnonzero((np.minimum(na, nb) >= must) & ((left >= must) | big))
     a, b, big, room = a[ok], b[ok], big[ok], (na + nb - 2 * must)[ok]
-    ok = (np.bitwise_count(rows["sig"][a] ^ rows["sig"][b]) <= room) | big
+    ok = (_apart(rows, a, b) <= room) | big
     return a[ok], b[ok]
 
 
@@ -201,56 +213,57 @@ def _ranges(start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return q, np.arange(len(q)) - np.repeat(np.cumsum(n) - n, n) + start[q]
 
 
-def candidates(rows: np.ndarray, at: np.ndarray, open_: np.ndarray | None, pivots: int) -> tuple[np.ndarray, np.ndarray]:
-    """Later and earlier rows of pairs that share a word and pass all filters, as row numbers.
+def candidates(rows: np.ndarray, at: np.ndarray, open_: np.ndarray | None, pivots: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Later and earlier rows of pairs that share a word and pass all filters, and rows that were cut short, as row numbers.
 
-    at: order of each row's line; open_: rows whose lines need proof. None is the first round: rows of words with more than
-    LARGE rows are compared with the word's earliest `pivots` rows, and each line keeps its nearest pair.
+    at: order of each row's line. Without open_ it is the first round: each line keeps its nearest pair, and rows of words with
+    more than LARGE rows meet the word's earliest `pivots` rows; cut short are the later rows of pairs beyond the nearest and the
+    rows of such words. With open_, a mask of rows that were cut short, all their pairs are returned.
     """
+    none = np.zeros(0, np.int64)
     if not len(rows):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return none, none, none
     key = (rows["word"].astype(np.uint64) << np.uint64(16)) | rows["n"]
-    order = np.argsort(key, kind="stable") if open_ is not None else np.lexsort((at, rows["word"]))
+    order = np.argsort(key, kind="stable")
     rows, at, key = rows[order], at[order], key[order]
-    word = rows["word"]
-    cuts = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
-    size = np.diff(np.append(cuts, len(word)))
-    later, earlier = [], []
-
-    def add(q: np.ndarray, lo: np.ndarray, hi: np.ndarray, check: bool) -> None:
+    cuts = np.flatnonzero(np.concatenate([[True], rows["word"][1:] != rows["word"][:-1]]))
+    size = np.diff(np.append(cuts, len(rows)))
+    large, start, stop = np.repeat(size > LARGE, size), np.repeat(cuts, size), np.repeat(cuts + size, size)
+    n = rows["n"].astype(np.uint64)
+    least = np.searchsorted(key, (key - n) + (n * np.uint64(SIMILAR[0]) + np.uint64(SIMILAR[1] - 1)) // np.uint64(SIMILAR[1]))
+    later, earlier = [none], [none]
+
+    def add(q: np.ndarray, lo: np.ndarray, hi: np.ndarray, by: np.ndarray | None = None, both: bool = False) -> None:
         for s in _shares(hi - lo, 1 << 18):
             k, b = _ranges(lo[s], hi[s])
-            a, b = _passing(rows, q[s][k], b)
-            if not check:
+            a, b = _passing(rows, q[s][k], b if by is None else by[b])
+            if both:
                 a, b = np.where(at[a] > at[b], a, b), np.where(at[a] > at[b], b, a)
             ok = at[a] > at[b]
-            if open_ is not None:
-                ok &= opened[a]
             later.append(a[ok])
             earlier.append(b[ok])
 
-    large = np.repeat(size > LARGE, size)
-    start = np.repeat(cuts, size)
     if open_ is None:
-        q = np.flatnonzero(large & (np.arange(len(word)) > start))
-        add(q, start[q], np.minimum(start[q] + pivots, q), True)
-    else:
-        opened = open_[order]
-        n = rows["n"].astype(np.uint64)
-        base = key - n
-        least = np.searchsorted(key, base + (n * np.uint64(SIMILAR[0]) + np.uint64(SIMILAR[1] - 1)) // np.uint64(SIMILAR[1]))
         q = np.flatnonzero(~large)
-        add(q, least[q], q, False)
-        q = np.flatnonzero(large & opened)
-        most = np.searchsorted(key, base[q] + np.minimum(n[q] * np.uint64(SIMILAR[1]) // np.uint64(SIMILAR[0]), np.uint64(_MOST)), side="right")
-        most = np.where(n[q] == _MOST, np.repeat(cuts + size, size)[q], most)
-        add(q, least[q], most, True)
-    a, b = np.concatenate([*later, np.zeros(0, np.int64)]), np.concatenate([*earlier, np.zeros(0, np.int64)])
-    near = np.bitwise_count(rows["sig"][a] ^ rows["sig"][b])
-    pick = np.lexsort((at[b], near, at[a])) if open_ is None else np.lexsort((at[b], at[a]))
+        add(q, least[q], q, both=True)
+        q = np.flatnonzero(large)
+        if len(q):
+            first = np.lexsort((at, rows["word"]))  # rows of a word by line, at the same places
+            add(q, start[q], np.minimum(start[q] + pivots, stop[q]), first)
+    else:
+        q = np.flatnonzero(open_[order])
+        most = np.searchsorted(key, (key - n)[q] + np.minimum(n[q] * np.uint64(SIMILAR[1]) // np.uint64(SIMILAR[0]), np.uint64(_MOST)), side="right")
+        add(q, least[q], np.where(n[q] == _MOST, stop[q], most))
+    a, b = np.concatenate(later), np.concatenate(earlier)
+    pick = np.lexsort((at[b], _apart(rows, a, b), at[a])) if open_ is None else np.lexsort((at[b], at[a]))
     a, b = a[pick], b[pick]
     new = np.concatenate([[True], (at[a][1:] != at[a][:-1]) | ((at[b][1:] != at[b][:-1]) if open_ is not None else False)]) if len(a) else np.zeros(0, bool)
-    return order[a[new]], order[b[new]]
+    cut = none
+    if open_ is None:
+        # other rows of the pair that a line keeps are the same pair
+        kept = np.maximum.accumulate(np.where(new, np.arange(len(a)), 0)) if len(a) else none
+        cut = np.unique(np.concatenate([a[at[b] != at[b][kept]], np.flatnonzero(large)]))
+    return order[a[new]], order[b[new]], order[cut]
 
 
 def _shares(limit: np.ndarray, most: int) -> Iterator[slice]:
@@ -263,38 +276,59 @@ def _shares(limit: np.ndarray, most: int) -> Iterator[slice]:
         at, base = end, int(sums[end - 1])
 
 
-_NO_LINES = np.zeros(0, np.uint32)
-_PAIRS = "block long, line long, other_block long, other_line long"
+_PAIRS = "block long, line long, other_block long, other_line long, bucket long, cut binary"
+
+
+def _rows_in(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Blocks that sent rows to a bucket, their rows, of which block each is, and the order of its line."""
+    t = t.sort_by("block")
+    parts = [_decoded(x.as_py()) for x in t.column("hashes")]
+    of = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+    rows = np.concatenate(parts) if parts else np.zeros(0, _PREFIX)
+    return t.column("block").to_numpy(), rows, of, (of.astype(np.int64) << 32) | rows["line"]
 
 
-def _joined(sent: DataFrame, open_lines: DataFrame | None) -> DataFrame:
-    """Candidate pairs (block, line, other_block, other_line), the other line earlier."""
+def _pairs(ids: np.ndarray, rows: np.ndarray, of: np.ndarray, a: np.ndarray, b: np.ndarray) -> dict:
+    return {"block": ids[of[a]], "line": rows["line"][a].astype(np.int64), "other_block": ids[of[b]], "other_line": rows["line"][b].astype(np.int64)}
 
-    def run(t: pa.Table, openers: dict[int, np.ndarray] | None) -> pa.Table:
-        t = t.sort_by("block")
-        ids = t.column("block").to_numpy()
-        parts = [_decoded(x.as_py()) for x in t.column("hashes")]
-        rows = np.concatenate(parts)
-        of = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
-        at = (of.astype(np.int64) << 32) | rows["line"]
-        mask = None
-        if openers is not None:
-            mask = np.concatenate([np.isin(p["line"], openers.get(int(b), _NO_LINES)) for b, p in zip(ids, parts, strict=True)])
-        a, b = candidates(rows, at, mask, PIVOTS)
-        return pa.table({"block": ids[of[a]], "line": rows["line"][a].astype(np.int64), "other_block": ids[of[b]], "other_line": rows["line"][b].astype(np.int64)})
 
-    if open_lines is None:
-        return sent.groupBy("bucket").applyInArrow(lambda t: run(t, None), _PAIRS)
+def _first_round(t: pa.Table) -> pa.Table:
+    """Pairs, and a row for each block with the places of its rows that were cut short."""
+    bucket = t.column("bucket")[0].as_py()
+    ids, rows, of, at = _rows_in(t)
+    a, b, cut = candidates(rows, at, None, PIVOTS)
+    cut = np.sort(cut)
+    blocks, where = np.unique(of[cut], return_index=True)
+    starts = np.searchsorted(of, blocks)
+    blobs = [np.stack([x - s, rows["line"][x]]).astype(np.uint32).tobytes() for x, s in zip(np.split(cut, where[1:]), starts, strict=True)] if len(cut) else []
+    pairs, m = _pairs(ids, rows, of, a, b), len(blobs)
+    more = {"block": ids[blocks], "line": np.full(m, -1), "other_block": np.full(m, -1), "other_line": np.full(m, -1)}
+    out = {k: pa.array(np.concatenate([pairs[k], more[k]]).astype(np.int64)) for k in pairs}
+    return pa.table(out | {"bucket": pa.array([bucket] * (len(a) + m), pa.int64()), "cut": pa.array([None] * len(a) + blobs, pa.binary())})
 
-    def cogrouped(t: pa.Table, o: pa.Table) -> pa.Table:
-        if not t.num_rows:
-            return pa.table({c: pa.array([], pa.int64()) for c in ("block", "line", "other_block", "other_line")})
-        lines: dict[int, bytes] = {}  # a block may have sent two rows
-        for b, x in zip(o.column("block").to_pylist(), o.column("lines").to_pylist(), strict=True):
-            lines[b] = lines.get(b, b"") + x
-        return run(t, {b: np.frombuffer(x, np.uint32) for b, x in lines.items()})
 
-    return sent.groupBy("bucket").cogroup(open_lines.groupBy("bucket")).applyInArrow(cogrouped, _PAIRS)
+def _second_round(t: pa.Table, o: pa.Table) -> pa.Table:
+    """All pairs of the rows that were cut short, of lines without proof."""
+    none = {c: pa.array([], pa.int64()) for c in ("block", "line", "other_block", "other_line")}
+    if not t.num_rows or not o.num_rows:
+        return pa.table(none)
+    ids, rows, of, at = _rows_in(t)
+    mask = np.zeros(len(rows), bool)
+    for block, blob in zip(o.column("block").to_pylist(), o.column("cut").to_pylist(), strict=True):
+        mask[np.searchsorted(of, np.searchsorted(ids, block)) + np.frombuffer(blob, np.uint32)] = True
+    a, b, _ = candidates(rows, at, mask, PIVOTS)
+    return pa.table(_pairs(ids, rows, of, a, b))
+
+
+def _still_open(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of (bucket, block, cut, done): the places of rows that were cut short and whose lines have no proof."""
+    for part in parts:
+        left = []
+        for cut, done in zip(part.column(2), part.column(3), strict=True):
+            place, line = np.frombuffer(cut.as_py(), np.uint32).reshape(2, -1)
+            left.append((place[~np.isin(line, np.array(done.as_py(), np.int64))] if done.is_valid else place).tobytes())
+        out = pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(left, pa.binary())], names=["bucket", "block", "cut"])
+        yield out.filter(pa.array([len(x) > 0 for x in left]))
 
 
 def _verified(pairs: DataFrame, blocks: DataFrame) -> DataFrame:
@@ -373,41 +407,30 @@ def remove_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for part in parts:
             for i in range(part.num_rows):
                 block = part.column(0)[i].as_py()
-                gone, b, rows, common = _Lines(part.column(1)[i].as_py(), part.column(2)[i].as_py()).prefixes(deal, part.column(3)[i].as_py(), rarity.value, bits)
-                yield batches({"block": [block], "bucket": [-1], "hashes": [gone.astype(np.int64).tobytes()], "common": [False]}, _PARTS)
-                for c in (False, True):
-                    out = rows_of(block, b[common == c], rows[common == c], _encoded)
-                    yield batches(out | {"common": [c] * len(out["block"])}, _PARTS)
+                gone, b, rows = _Lines(part.column(1)[i].as_py(), part.column(2)[i].as_py()).prefixes(deal, part.column(3)[i].as_py(), rarity.value, bits)
+                yield batches({"block": [block], "bucket": [-1], "hashes": [gone.astype(np.int64).tobytes()]}, SENT)
+                yield batches(rows_of(block, b, rows, _encoded), SENT)
 
     base = blocks.join(later, "block", "left")
-    written = materialize(base.select("block", "ends", "data", "later").mapInArrow(send, kind + ", common boolean"), "prefixes")
-    copies = materialize(written.where("bucket < 0").select("block", F.col("hashes").alias("copies")), "copies")
-    sent = written.where("bucket >= 0")
+    # dealt by bucket once, for both rounds
+    sent, path = bucketed(base.select("block", "ends", "data", "later").mapInArrow(send, kind), "bucket")
+    copies = materialize(sent.where("bucket < 0").select("block", F.col("hashes").alias("copies")), "copies")
+    sent = sent.where("bucket >= 0")
     discard(first)
     release(sent)
-    similar = materialize(_verified(_joined(sent.where("common"), None), blocks), "similar")
-    release(similar)
-
-    def lines_of(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            lines = [np.unique(_decoded(x.as_py())["line"]).tobytes() for x in part.column(2)]
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(lines, pa.binary())], names=["block", "bucket", "hashes"])
-
-    def still_open(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            left = []
-            for x, done in zip(part.column(2), part.column(3), strict=True):
-                lines = np.frombuffer(x.as_py(), np.uint32)
-                left.append((lines[~np.isin(lines, np.array(done.as_py(), np.int64))] if done.is_valid else lines).tobytes())
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(left, pa.binary())], names=["block", "bucket", "hashes"])
-
+    found = materialize(sent.groupBy("bucket").applyInArrow(_first_round, _PAIRS), "candidates")
+    pairs = ["block", "line", "other_block", "other_line"]
+    similar = materialize(_verified(found.where("cut is null").select(*pairs), blocks), "similar")
     done = similar.groupBy("block").agg(F.collect_list("line").alias("done"))
-    sent = sent.select("block", "bucket", "hashes")
-    open_ = sent.mapInArrow(lines_of, kind).join(done, "block", "left").select("block", "bucket", "hashes", "done").mapInArrow(still_open, kind).withColumnRenamed("hashes", "lines")
-    more = materialize(_verified(_joined(sent, open_), blocks), "similar")
-    discard(written)
-    release(more)
-    gone = similar.union(more).groupBy("block").agg(F.collect_set("line").alias("similar"))
+    left = found.where("cut is not null").join(done, "block", "left").select("bucket", "block", "cut", "done").mapInArrow(_still_open, "bucket long, block long, cut binary")
+    left = materialize(left, "left")
+    release(left)
+    if left.count():
+        second = sent.groupBy("bucket").cogroup(left.groupBy("bucket")).applyInArrow(_second_round, "block long, line long, other_block long, other_line long")
+        similar = similar.union(materialize(_verified(second, blocks), "similar"))
+    remove_path(docs.sparkSession, path)
+    release(left)
+    gone = similar.groupBy("block").agg(F.collect_set("line").alias("similar"))
 
     def remove(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
@@ -424,7 +447,6 @@ def remove_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 _COUNT = np.dtype([("at", "u4"), ("n", "u4")])
-_PARTS = SENT.append(pa.field("common", pa.bool_()))
 
 
 def _sparse(lot: int, slices: list[tuple[int, np.ndarray]]) -> pa.RecordBatch:
