@@ -8,7 +8,7 @@ they differ; then their words are compared. A line goes if an earlier line is si
 
 Rarity is a word's count of lines in a table of fixed size, counted over the whole corpus; any order gives the same result.
 The join has two rounds, so that a large group of similar lines costs no pairs. In the first, a line keeps the nearest of
-its earlier candidates only, and the lines of a common word meet the PIVOTS earliest of them only. What is found similar then
+its earlier candidates only (NEAREST for each bucket of words), and the lines of a common word meet the PIVOTS earliest of them only. What is found similar then
 needs no other proof; the second round takes what is left of the words and lines that the first cut short, in full.
 """
 
@@ -30,10 +30,12 @@ from .common import batches, discard, materialize, remove_path
 SIMILAR = (4, 5)
 #: Lines of fewer distinct words are never removed.
 MIN_WORDS = 5
-PIVOTS = 32
+PIVOTS = 64
 BLOCK_BYTES = 8 << 20
 #: Rows of a word from which the first round looks at it.
-LARGE = 128
+LARGE = 1024
+#: Candidates that a line keeps in the first round.
+NEAREST = 2
 RARITY_BITS = 22
 _SLICES = 16
 _MOST = 65535
@@ -216,7 +218,7 @@ def _ranges(start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray
 def candidates(rows: np.ndarray, at: np.ndarray, open_: np.ndarray | None, pivots: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Later and earlier rows of pairs that share a word and pass all filters, and rows that were cut short, as row numbers.
 
-    at: order of each row's line. Without open_ it is the first round: each line keeps its nearest pair, and rows of words with
+    at: order of each row's line. Without open_ it is the first round: each line keeps its NEAREST pairs, and rows of words with
     more than LARGE rows meet the word's earliest `pivots` rows; cut short are the later rows of pairs beyond the nearest and the
     rows of such words. With open_, a mask of rows that were cut short, all their pairs are returned.
     """
@@ -255,14 +257,18 @@ def candidates(rows: np.ndarray, at: np.ndarray, open_: np.ndarray | None, pivot
         most = np.searchsorted(key, (key - n)[q] + np.minimum(n[q] * np.uint64(SIMILAR[1]) // np.uint64(SIMILAR[0]), np.uint64(_MOST)), side="right")
         add(q, least[q], np.where(n[q] == _MOST, stop[q], most))
     a, b = np.concatenate(later), np.concatenate(earlier)
+    if not len(a):
+        return none, none, order[np.flatnonzero(large)] if open_ is None else none
     pick = np.lexsort((at[b], _apart(rows, a, b), at[a])) if open_ is None else np.lexsort((at[b], at[a]))
     a, b = a[pick], b[pick]
-    new = np.concatenate([[True], (at[a][1:] != at[a][:-1]) | ((at[b][1:] != at[b][:-1]) if open_ is not None else False)]) if len(a) else np.zeros(0, bool)
-    cut = none
-    if open_ is None:
-        # other rows of the pair that a line keeps are the same pair
-        kept = np.maximum.accumulate(np.where(new, np.arange(len(a)), 0)) if len(a) else none
-        cut = np.unique(np.concatenate([a[at[b] != at[b][kept]], np.flatnonzero(large)]))
+    line = np.concatenate([[True], at[a][1:] != at[a][:-1]])
+    new = line | np.concatenate([[True], at[b][1:] != at[b][:-1]])
+    if open_ is not None:
+        return order[a[new]], order[b[new]], none
+    pairs = np.cumsum(new)
+    rank = pairs - np.repeat(pairs[line], np.diff(np.append(np.flatnonzero(line), len(a))))
+    cut = np.unique(np.concatenate([a[rank >= NEAREST], np.flatnonzero(large)]))
+    new &= rank < NEAREST
     return order[a[new]], order[b[new]], order[cut]
 
 

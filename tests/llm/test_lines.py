@@ -81,7 +81,7 @@ def test_filters_lose_nothing(monkeypatch, large):
     # the first round: one pair a line, and what it does not see is cut short
     a, b, cut = lines.candidates(rows, at, None, 3)
     near = named(a, b)
-    assert len({x for x, _ in near}) == len(near) and set(near) <= got
+    assert len(near) <= lines.NEAREST * len({x for x, _ in near}) and set(near) <= got
     mask = np.zeros(len(rows), bool)
     mask[cut] = True
     a, b, _ = lines.candidates(rows, at, mask, 3)
