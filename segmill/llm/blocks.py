@@ -184,7 +184,7 @@ def shared_by_blocks(arrays: list[np.ndarray]) -> list[np.ndarray | None]:
 
 # Rolling hashes: a window's hash is the sum of random numbers for its bytes times powers of an odd number, mod 2^64.
 
-_CHUNK = 1 << 20
+_CHUNK = 1 << 17
 
 
 class Rolling:
@@ -196,10 +196,16 @@ class Rolling:
         base = np.uint64(int(rnd.integers(2**62, 2**63)) | 5)
         self.up, self.down = (np.concatenate([[np.uint64(1)], np.multiply.accumulate(np.full(span, x, np.uint64))]) for x in (base, np.uint64(pow(int(base), -1, 2**64))))
 
+        self.terms, self.sums = np.zeros(span, np.uint64), np.zeros(span + 1, np.uint64)
+
     def prefix(self, data: np.ndarray) -> np.ndarray:
-        sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(self.table[data] * self.up[: len(data)], out=sums[1:])
-        return sums
+        """Sums of the terms before each byte; valid until the next call."""
+        n = len(data)
+        terms = self.terms[:n]
+        np.take(self.table, data, out=terms, mode="clip")
+        np.multiply(terms, self.up[:n], out=terms)
+        np.cumsum(terms, out=self.sums[1 : n + 1])
+        return self.sums[: n + 1]
 
     def windows(self, data: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
         """Hash of the window of each start; starts are sorted. Width is at most 4,096."""
