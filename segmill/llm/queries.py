@@ -157,6 +157,27 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, n_lines, n_removed, removed_lines, kept_sha256 FROM d JOIN o USING (r)
     """,
     "op4_license": f"SELECT doc_id, coalesce(array_to_string(sentences, ','), '') AS sentences, coalesce(array_to_string(licenses, ','), '') AS licenses, len(licenses)::BIGINT AS n_licenses FROM ({license.oracle('documents')})",
+    "op6_warc": """
+        WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+        h AS (SELECT page_id, octet_length(b) AS n, sha1(b) AS x FROM p),
+        c AS (SELECT page_id, n, list_transform([1, 11, 21, 31], lambda i: ('0x' || substring(x, i, 10))::BIGINT) AS v FROM h),
+        d AS (SELECT page_id, n, array_to_string(list_transform(flatten(list_transform(v, lambda y: list_transform([35, 30, 25, 20, 15, 10, 5, 0], lambda k: (y >> k) & 31))), lambda q: substring('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', q::BIGINT + 1, 1)), '') AS digest FROM c),
+        m AS (SELECT *, max(page_id) OVER (PARTITION BY digest, n) AS keep FROM d)
+        SELECT page_id, n::BIGINT AS payload_bytes, digest AS payload_digest, CASE WHEN page_id IS DISTINCT FROM keep THEN 'revisit' ELSE 'response' END AS record_type,
+            CASE WHEN page_id IS DISTINCT FROM keep THEN keep END AS refers_to FROM m
+    """,
+    "op7_suffixes": """
+        WITH d AS MATERIALIZED (SELECT row_number() OVER (ORDER BY doc_id NULLS FIRST) AS r, doc_id, octet_length(encode(coalesce(text, ''))) AS n, hex(encode(coalesce(text, ''))) AS h FROM documents),
+        w AS MATERIALIZED (SELECT r, p, substring(h, 2 * p + 1, 200) AS s FROM (SELECT r, h, unnest(range(0, n - 99)) AS p FROM d WHERE n >= 100)),
+        f AS (SELECT s, min(r * 10000000000 + p) AS first FROM w GROUP BY s HAVING count(*) > 1),
+        g AS (SELECT r, p, lag(p) OVER (PARTITION BY r ORDER BY p) AS before FROM w JOIN f USING (s) WHERE r * 10000000000 + p > first),
+        k AS (SELECT r, p, count(*) FILTER (before IS NULL OR p > before + 100) OVER (PARTITION BY r ORDER BY p) AS k FROM g),
+        c AS (SELECT r, k, min(p) AS a, max(p) + 100 AS e FROM k GROUP BY r, k),
+        t AS (SELECT c.r, a, e, substring(h, 2 * coalesce(lag(e) OVER (PARTITION BY c.r ORDER BY a), 0) + 1, 2 * (a - coalesce(lag(e) OVER (PARTITION BY c.r ORDER BY a), 0))) AS piece FROM c JOIN d ON c.r = d.r),
+        o AS (SELECT r, count(*) AS n_spans, sum(e - a) AS n_removed, string_agg(piece, '' ORDER BY a) AS head, max(e) AS last FROM t GROUP BY r)
+        SELECT doc_id, n::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+            sha256(unhex(coalesce(head, '') || substring(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256 FROM d LEFT JOIN o USING (r)
+    """,
     "op8_secrets": _secrets_sql(),
     "op2_ann": """
         WITH v AS (
