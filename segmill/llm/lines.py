@@ -188,14 +188,14 @@ def _level(count):
     return np.minimum(255, np.where(np.asarray(count) > 1, np.floor(6 * np.log2(np.maximum(count, 1))), 0)).astype(np.uint8)
 
 
-def _apart(rows: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def _apart(rows: dict[str, np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """A lower bound of the words that only one of two lines has, by their parities."""
     both = (rows["n"][a] > LONG) & (rows["n"][b] > LONG)
     one, two = rows["sig"][a] ^ rows["sig"][b], rows["sig2"][a] ^ rows["sig2"][b]
     return np.where(both, np.bitwise_count(one) + np.bitwise_count(two), np.bitwise_count(one ^ two))
 
 
-def _passing(rows: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _passing(rows: dict[str, np.ndarray], a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The pairs of rows that pass the length, positional and parity filters. Sizes from _MOST on are not exact and pass."""
     na, nb = rows["n"][a].astype(np.int32), rows["n"][b].astype(np.int32)
     must = needed(na, nb)
@@ -227,9 +227,10 @@ def candidates(rows: np.ndarray, at: np.ndarray, open_: np.ndarray | None, pivot
         return none, none, none
     key = (rows["word"].astype(np.uint64) << np.uint64(16)) | rows["n"]
     order = np.argsort(key, kind="stable")
-    rows, at, key = rows[order], at[order], key[order]
+    # columns on their own: pairs gather from each
+    rows, at, key = {c: np.ascontiguousarray(rows[c])[order] for c in _PREFIX.names}, at[order], key[order]
     cuts = np.flatnonzero(np.concatenate([[True], rows["word"][1:] != rows["word"][:-1]]))
-    size = np.diff(np.append(cuts, len(rows)))
+    size = np.diff(np.append(cuts, len(key)))
     large, start, stop = np.repeat(size > LARGE, size), np.repeat(cuts, size), np.repeat(cuts + size, size)
     n = rows["n"].astype(np.uint64)
     least = np.searchsorted(key, (key - n) + (n * np.uint64(SIMILAR[0]) + np.uint64(SIMILAR[1] - 1)) // np.uint64(SIMILAR[1]))
