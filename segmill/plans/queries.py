@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as t
-from ..operators import classify, engines, jobs, layout, outline, paragraphs, state, terms, validate
+from ..operators import classify, engines, jobs, layout, outline, paragraphs, state, terms, typeset, validate
 from ..sources import jsonl
 from . import book
 from .fixtures import fixture, tables, with_fixtures
@@ -621,3 +621,67 @@ def book_status(spark, sf_dir):
     memory = pages.groupBy("line").agg(F.first(n).alias("n")).where("n % 3 != 0")
     memory = memory.select(F.col("line").alias("src"), F.when(F.col("n") % 3 == 1, F.col("line")).when(F.col("n") % 6 == 2, F.replace("line", F.lit("1"), F.lit(""))).otherwise("").alias("dst"), F.lit(0).alias("line_no"))
     return book.status(pages, memory)
+
+
+@query("fit_lines", """
+    WITH RECURSIVE p AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, CAST(1 + l_quantity % 9 AS DOUBLE) AS n, 20 + l_quantity * 2 AS h FROM lineitem WHERE l_orderkey % 20 = 0),
+    g AS (SELECT n, h FROM p GROUP BY n, h),
+    r AS (SELECT n, h, 1.2::DOUBLE AS l, 0 AS i FROM g UNION ALL SELECT n, h, CASE WHEN n * 10 * l > h AND l >= 0.8 THEN l - 0.05 ELSE l END, i + 1 FROM r WHERE i < 40),
+    f AS (SELECT n, h, l FROM r WHERE i = 40)
+    SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, n, round(l, 4) AS leading, round(CASE WHEN n > 1 AND n * 10 * l > h THEN 10 * greatest(h / (n * 10 * l), 0.5) ELSE 10 END, 4) AS size FROM p JOIN f USING (n, h)
+""")
+def fit_lines(spark, sf_dir):
+    l = tables(spark, sf_dir, "lineitem")["lineitem"].where("l_orderkey % 20 = 0")
+    p = l.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", (1 + F.col("l_quantity") % 9).alias("n"), (20 + F.col("l_quantity") * 2).alias("h"))
+    p = p.withColumn("l", typeset.fitted_leading(F.col("n"), F.lit(10.0), F.col("h"), F.lit(1.2)))
+    return p.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "n", F.round("l", 4).alias("leading"), F.round(typeset.fitted_size(F.col("n"), F.lit(10.0), F.col("h"), F.col("l")), 4).alias("size"))
+
+
+@query("draw_ops", """
+    WITH o AS (SELECT page_id, seq, 0 AS back, printf('0 g /F%d %f Tf 1 0 0 1 %f %f Tm [<%s>] TJ ', cls, 10.0, x0, y0, '0061') AS op FROM d_boxes WHERE cls < 4
+        UNION ALL SELECT page_id, seq, 0, printf('ET q 1 0 0 1 %f %f cm [] 0 d 0 J %f w 0 0 m %f %f l S Q BT ', x0, y0, 1.0, x1 - x0, 0.0) FROM d_boxes WHERE cls >= 4
+        UNION ALL SELECT page_id, seq, 1, printf('q 1 1 1 rg %f %f %f %f re f Q ', x0, y0, x1 - x0, y1 - y0) FROM d_boxes WHERE cls = 1)
+    SELECT page_id, coalesce(string_agg(op, '' ORDER BY seq) FILTER (back = 1), '') || 'BT ' || coalesce(string_agg(op, '' ORDER BY seq) FILTER (back = 0), '') || 'ET ' AS ops FROM o GROUP BY page_id
+""", "d_boxes")
+def draw_ops(spark, sf_dir):
+    b = fixture(spark, sf_dir, "d_boxes")
+    x, y, w, h = F.col("x0"), F.col("y0"), F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
+    text = typeset.text_op(F.concat(F.lit("F"), F.col("cls").cast("string")), F.lit(10.0), x, y, t.glyph_hex(F.lit("a"), F.lit(True)), F.lit("0 g "))
+    ops = b.select("page_id", F.col("seq").alias("para_id"), F.lit(0).alias("seq"), F.lit(False).alias("is_backing"), F.when(F.col("cls") < 4, text).otherwise(typeset.line_op(x, y, w, F.lit(0.0), F.lit(1.0))).alias("op"))
+    back = b.where("cls = 1").select("page_id", F.col("seq").alias("para_id"), F.lit(0).alias("seq"), F.lit(True).alias("is_backing"), typeset.rectangle_op(x, y, w, h).alias("op"))
+    return typeset.page_ops(ops.unionByName(back), ["page_id"])
+
+
+@query("color_operands", """
+    SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 3 WHEN 1 THEN p_size WHEN 2 THEN 2 WHEN 3 THEN 4 END::INTEGER AS components,
+        array_to_string(CASE p_partkey % 5 WHEN 0 THEN ['2', '3', '4'] WHEN 1 THEN CASE WHEN p_size >= 4 THEN ['1', '2', '3', '4'] ELSE (['1', '2', '3', '4'])[5 - p_size:4] END WHEN 2 THEN ['3', '4'] WHEN 3 THEN ['1', '2', '3', '4'] ELSE ['4'] END, ',') AS operands FROM part
+""")
+def color_operands(spark, sf_dir):
+    k = F.col("p_partkey") % 5
+    space = F.when(k == 0, "DeviceRGB").when(k == 1, "ICCBased").when(k == 2, "DeviceN").when(k == 3, "DeviceCMYK").otherwise("Unknown")
+    n = typeset.components(space, F.when(k == 1, F.col("p_size")), F.when(k == 2, F.array(F.lit("a"), F.lit("b"))))
+    stack = F.array(*(F.lit(str(i)) for i in (1, 2, 3, 4)))
+    return tables(spark, sf_dir, "part")["part"].select("p_partkey", n.alias("components"), F.array_join(typeset.operands(stack, n), ",").alias("operands"))
+
+
+@query("font_files", """
+    SELECT n_nationkey, CASE c WHEN 'ZH' THEN 'SourceHanSerifCN-Regular.ttf' WHEN 'ja' THEN 'SourceHanSerifJP-Regular.ttf' WHEN 'zh-Hant' THEN 'SourceHanSerifTW-Regular.ttf' ELSE 'GoNotoKurrent-Regular.ttf' END AS font,
+        CASE WHEN n_nationkey % 3 = 0 THEN NULL WHEN n_nationkey % 3 = 1 THEN 'b.ttf' ELSE 'a.ttf' END AS present FROM (SELECT n_nationkey, ['ZH', 'ja', 'zh-Hant', 'th', 'vi'][1 + n_nationkey % 5] AS c FROM nation)
+""")
+def font_files(spark, sf_dir):
+    codes = F.array(*map(F.lit, ["ZH", "ja", "zh-Hant", "th", "vi"]))
+    n = tables(spark, sf_dir, "nation")["nation"]
+    k = F.col("n_nationkey") % 3
+    present = F.when(k == 0, F.array(F.lit("z.ttf"))).when(k == 1, F.array(F.lit("b.ttf"))).otherwise(F.array(F.lit("b.ttf"), F.lit("a.ttf")))
+    candidates = F.array(F.lit(None).cast("string"), F.lit("a.ttf"), F.lit("b.ttf"))
+    return n.select("n_nationkey", typeset.font_file(F.element_at(codes, (F.col("n_nationkey") % 5 + 1).cast("int"))).alias("font"), typeset.first_present(candidates, present).alias("present"))
+
+
+@query("html_texts", "SELECT page_id, replace(replace(replace(replace(replace(html, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&amp;', '&') AS text FROM (SELECT page_id, substring(html, 1, 500) AS html FROM pages)")
+def html_texts(spark, sf_dir):
+    return tables(spark, sf_dir, "pages")["pages"].select("page_id", t.html_unescape(F.substring("html", 1, 500)).alias("text"))
+
+
+@query("persisted_glossary", f"SELECT key, '{{\"en\":\"' || en || '\",\"vi\":\"' || vi || '\",\"notes\":\"' || notes || '\"}}' AS line FROM ({_GLOSSARY})", "d_glossary")
+def persisted_glossary(spark, sf_dir):
+    return _glossary(spark, sf_dir).select("key", F.to_json(F.struct("en", "vi", "notes")).alias("line"))
