@@ -12,7 +12,7 @@ DEFAULT_PROMPT = "Translate the text into {language}. Keep placeholders, numbers
 
 
 def available(spark: SparkSession, base: str) -> DataFrame:
-    """(name, has_prompt, has_glossary) of each directory with files below base; hidden ones are left out."""
+    """(name, has_prompt, has_glossary) of each directory below base with a file that is not empty; hidden ones are left out."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base).select(F.split("path", "/").alias("p"))
     rows = files.select(F.element_at("p", -2).alias("name"), F.element_at("p", -1).alias("file")).where(~F.col("name").startswith("."))
     return rows.groupBy("name").agg(F.bool_or(F.col("file") == PROMPT).alias("has_prompt"), F.bool_or(F.col("file") == GLOSSARY).alias("has_glossary"))

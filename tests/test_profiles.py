@@ -2,7 +2,7 @@ from segmill.sources import profiles
 
 
 def test_profiles(spark, tmp_path):
-    for name, files in {"dental": {profiles.PROMPT: "Be exact.", profiles.GLOSSARY: '{"en":"Jaw","vi":"hàm"}\n'}, "empty": {"x.txt": ""}, ".hidden": {profiles.PROMPT: "no"}}.items():
+    for name, files in {"dental": {profiles.PROMPT: "Be exact.", profiles.GLOSSARY: '{"en":"Jaw","vi":"hàm"}\n'}, "empty": {"x.txt": "x"}, ".hidden": {profiles.PROMPT: "no"}}.items():
         (tmp_path / name).mkdir()
         for f, text in files.items():
             (tmp_path / name / f).write_text(text)
