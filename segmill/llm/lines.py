@@ -7,9 +7,10 @@ word among the first n - ceil(s n) + 1 of each. Pairs that share one must pass t
 they differ; then their words are compared. A line goes if an earlier line is similar, whether or not that one goes.
 
 Rarity is a word's count of lines in a table of fixed size, counted over the whole corpus; any order gives the same result.
-The join has two rounds, so that a large group of similar lines costs no pairs. In the first, a line keeps the nearest of
-its earlier candidates only (NEAREST for each bucket of words), and the lines of a common word meet the PIVOTS earliest of them only. What is found similar then
-needs no other proof; the second round takes what is left of the words and lines that the first cut short, in full.
+The join has rounds, so that a large group of similar lines does not cost all its pairs. In each, a line keeps the nearest of
+its earlier candidates only (NEAREST for each bucket of words), and in the first the lines of a common word meet the PIVOTS
+earliest of them only. What is found similar then needs no other proof; the next round takes what is left of the words and
+lines that were cut short, and the last one in full.
 """
 
 from __future__ import annotations
@@ -34,8 +35,8 @@ PIVOTS = 64
 BLOCK_BYTES = 8 << 20
 #: Rows of a word from which the first round looks at it.
 LARGE = 1024
-#: Candidates that a line keeps in the first round.
-NEAREST = 2
+#: Candidates that a line keeps in each round; all in the last.
+NEAREST = (2, 16, None)
 RARITY_BITS = 22
 _SLICES = 16
 _MOST = 65535
@@ -215,12 +216,12 @@ def _ranges(start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return q, np.arange(len(q)) - np.repeat(np.cumsum(n) - n, n) + start[q]
 
 
-def candidates(rows: np.ndarray, at: np.ndarray, open_: np.ndarray | None, pivots: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def candidates(rows: np.ndarray, at: np.ndarray, open_: np.ndarray | None, pivots: int, nearest: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Later and earlier rows of pairs that share a word and pass all filters, and rows that were cut short, as row numbers.
 
-    at: order of each row's line. Without open_ it is the first round: each line keeps its NEAREST pairs, and rows of words with
-    more than LARGE rows meet the word's earliest `pivots` rows; cut short are the later rows of pairs beyond the nearest and the
-    rows of such words. With open_, a mask of rows that were cut short, all their pairs are returned.
+    at: order of each row's line; nearest: pairs that each line keeps (None: all). Without open_ it is the first round: rows of
+    words with more than LARGE rows meet the word's earliest `pivots` rows. open_: a mask of rows that were cut short, the only
+    ones to be later. Cut short are the later rows of pairs beyond the nearest, and in the first round the rows of such words.
     """
     none = np.zeros(0, np.int64)
     if not len(rows):
@@ -260,16 +261,16 @@ def candidates(rows: np.ndarray, at: np.ndarray, open_: np.ndarray | None, pivot
     a, b = np.concatenate(later), np.concatenate(earlier)
     if not len(a):
         return none, none, order[np.flatnonzero(large)] if open_ is None else none
-    pick = np.lexsort((at[b], _apart(rows, a, b), at[a])) if open_ is None else np.lexsort((at[b], at[a]))
+    pick = np.lexsort((at[b], _apart(rows, a, b), at[a]))
     a, b = a[pick], b[pick]
     line = np.concatenate([[True], at[a][1:] != at[a][:-1]])
     new = line | np.concatenate([[True], at[b][1:] != at[b][:-1]])
-    if open_ is not None:
+    if nearest is None:
         return order[a[new]], order[b[new]], none
     pairs = np.cumsum(new)
     rank = pairs - np.repeat(pairs[line], np.diff(np.append(np.flatnonzero(line), len(a))))
-    cut = np.unique(np.concatenate([a[rank >= NEAREST], np.flatnonzero(large)]))
-    new &= rank < NEAREST
+    cut = np.unique(np.concatenate([a[rank >= nearest], np.flatnonzero(large) if open_ is None else none]))
+    new &= rank < nearest
     return order[a[new]], order[b[new]], order[cut]
 
 
@@ -299,11 +300,11 @@ def _pairs(ids: np.ndarray, rows: np.ndarray, of: np.ndarray, a: np.ndarray, b:
     return {"block": ids[of[a]], "line": rows["line"][a].astype(np.int64), "other_block": ids[of[b]], "other_line": rows["line"][b].astype(np.int64)}
 
 
-def _first_round(t: pa.Table) -> pa.Table:
+def _round(t: pa.Table, mask: np.ndarray | None, nearest: int | None) -> pa.Table:
     """Pairs, and a row for each block with the places of its rows that were cut short."""
     bucket = t.column("bucket")[0].as_py()
     ids, rows, of, at = _rows_in(t)
-    a, b, cut = candidates(rows, at, None, PIVOTS)
+    a, b, cut = candidates(rows, at, mask, PIVOTS, nearest)
     cut = np.sort(cut)
     blocks, where = np.unique(of[cut], return_index=True)
     starts = np.searchsorted(of, blocks)
@@ -314,17 +315,22 @@ def _first_round(t: pa.Table) -> pa.Table:
     return pa.table(out | {"bucket": pa.array([bucket] * (len(a) + m), pa.int64()), "cut": pa.array([None] * len(a) + blobs, pa.binary())})
 
 
-def _second_round(t: pa.Table, o: pa.Table) -> pa.Table:
-    """All pairs of the rows that were cut short, of lines without proof."""
-    none = {c: pa.array([], pa.int64()) for c in ("block", "line", "other_block", "other_line")}
-    if not t.num_rows or not o.num_rows:
-        return pa.table(none)
-    ids, rows, of, at = _rows_in(t)
-    mask = np.zeros(len(rows), bool)
-    for block, blob in zip(o.column("block").to_pylist(), o.column("cut").to_pylist(), strict=True):
-        mask[np.searchsorted(of, np.searchsorted(ids, block)) + np.frombuffer(blob, np.uint32)] = True
-    a, b, _ = candidates(rows, at, mask, PIVOTS)
-    return pa.table(_pairs(ids, rows, of, a, b))
+def _first_round(nearest: int | None):
+    return lambda t: _round(t, None, nearest)
+
+
+def _next_round(nearest: int | None):
+    def run(t: pa.Table, o: pa.Table) -> pa.Table:
+        """A round for the rows that were cut short, of lines without proof."""
+        if not t.num_rows or not o.num_rows:
+            return pa.table({c: pa.array([], pa.binary() if c == "cut" else pa.int64()) for c in ("block", "line", "other_block", "other_line", "bucket", "cut")})
+        ids, rows, of, _ = _rows_in(t)
+        mask = np.zeros(len(rows), bool)
+        for block, blob in zip(o.column("block").to_pylist(), o.column("cut").to_pylist(), strict=True):
+            mask[np.searchsorted(of, np.searchsorted(ids, block)) + np.frombuffer(blob, np.uint32)] = True
+        return _round(t, mask, nearest)
+
+    return run
 
 
 def _still_open(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -425,16 +431,21 @@ def remove_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     sent = sent.where("bucket >= 0")
     discard(first)
     release(sent)
-    found = materialize(sent.groupBy("bucket").applyInArrow(_first_round, _PAIRS), "candidates")
-    pairs = ["block", "line", "other_block", "other_line"]
-    similar = materialize(_verified(found.where("cut is null").select(*pairs), blocks), "similar")
-    done = similar.groupBy("block").agg(F.collect_list("line").alias("done"))
-    left = found.where("cut is not null").join(done, "block", "left").select("bucket", "block", "cut", "done").mapInArrow(_still_open, "bucket long, block long, cut binary")
-    left = materialize(left, "left")
-    release(left)
-    if left.count():
-        second = sent.groupBy("bucket").cogroup(left.groupBy("bucket")).applyInArrow(_second_round, "block long, line long, other_block long, other_line long")
-        similar = similar.union(materialize(_verified(second, blocks), "similar"))
+    similar, left = None, None
+    for nearest in NEAREST:
+        if left is None:
+            found = sent.groupBy("bucket").applyInArrow(_first_round(nearest), _PAIRS)
+        else:
+            found = sent.groupBy("bucket").cogroup(left.groupBy("bucket")).applyInArrow(_next_round(nearest), _PAIRS)
+        found = materialize(found, "candidates")
+        proven = materialize(_verified(found.where("cut is null").select("block", "line", "other_block", "other_line"), blocks), "similar")
+        similar = proven if similar is None else similar.union(proven)
+        done = similar.groupBy("block").agg(F.collect_set("line").alias("done"))
+        left = found.where("cut is not null").join(done, "block", "left").select("bucket", "block", "cut", "done").mapInArrow(_still_open, "bucket long, block long, cut binary")
+        left = materialize(left, "left")
+        release(left)
+        if not left.count():
+            break
     remove_path(docs.sparkSession, path)
     release(left)
     gone = similar.groupBy("block").agg(F.collect_set("line").alias("similar"))

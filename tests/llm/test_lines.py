@@ -74,18 +74,20 @@ def test_filters_lose_nothing(monkeypatch, large):
         rows += [(sig, 0, w, n, size, i) for i, w in enumerate(o[: size - (-(-4 * size // 5)) + 1])]
     rows = np.array(rows, lines._PREFIX)
     at, named = rows["line"].astype(np.int64), lambda a, b: list(zip(rows["line"][a].tolist(), rows["line"][b].tolist(), strict=True))
-    a, b, _ = lines.candidates(rows, at, np.ones(len(rows), bool), 1)
+    a, b, _ = lines.candidates(rows, at, np.ones(len(rows), bool), 1, None)
     got = set(named(a, b))
     want = {(i, j) for i in range(len(sets)) for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])}
     assert want and want <= got
     # the first round: one pair a line, and what it does not see is cut short
-    a, b, cut = lines.candidates(rows, at, None, 3)
+    a, b, cut = lines.candidates(rows, at, None, 3, 2)
     near = named(a, b)
-    assert len(near) <= lines.NEAREST * len({x for x, _ in near}) and set(near) <= got
-    mask = np.zeros(len(rows), bool)
-    mask[cut] = True
-    a, b, _ = lines.candidates(rows, at, mask, 3)
-    assert set(near) | set(named(a, b)) >= want
+    assert len(near) <= 2 * len({x for x, _ in near}) and set(near) <= got
+    for nearest in (4, None):
+        mask = np.zeros(len(rows), bool)
+        mask[cut] = True
+        a, b, cut = lines.candidates(rows, at, mask, 3, nearest)
+        near += named(a, b)
+    assert want <= set(near) <= got and not len(cut)
 
 
 def test_rows_round_trip():
