@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import PLACEHOLDER, is_blank, placeholders, utrim
 
+# Fixed value: the line above a prompt's terms.
 HEADER = "Terminology glossary (use these translations consistently):"
 MAX_TERMS = 100
 
