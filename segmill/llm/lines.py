@@ -8,7 +8,7 @@ they differ; then their words are compared. A line goes if an earlier line is si
 
 Rarity is a word's count of lines in a table of fixed size, counted over the whole corpus; any order gives the same result.
 The join has rounds, so that a large group of similar lines does not cost all its pairs. In each, a line keeps the nearest of
-its earlier candidates only (NEAREST for each bucket of words), and in the first the lines of a common word meet the PIVOTS
+its earlier candidates only (NEAREST for each word), and in the first the lines of a common word meet the PIVOTS
 earliest of them only. What is found similar then needs no other proof; the next round takes what is left of the words and
 lines that were cut short, and the last one in full.
 """
@@ -216,10 +216,11 @@ def _ranges(start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return q, np.arange(len(q)) - np.repeat(np.cumsum(n) - n, n) + start[q]
 
 
-def candidates(rows: np.ndarray, at: np.ndarray, open_: np.ndarray | None, pivots: int, nearest: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def candidates(rows: np.ndarray, at: np.ndarray, open_: np.ndarray | None, pivots: int, nearest: int | None, seen: tuple[int, int] = (0, 0)) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Later and earlier rows of pairs that share a word and pass all filters, and rows that were cut short, as row numbers.
 
-    at: order of each row's line; nearest: pairs that each line keeps (None: all). Without open_ it is the first round: rows of
+    at: order of each row's line; nearest: pairs that each row has had with this round (None: all); seen: those that it had
+    before, which failed, for words of few and of many rows. Without open_ it is the first round: rows of
     words with more than LARGE rows meet the word's earliest `pivots` rows. open_: a mask of rows that were cut short, the only
     ones to be later. Cut short are the later rows of pairs beyond the nearest, and in the first round the rows of such words.
     """
@@ -261,16 +262,16 @@ def candidates(rows: np.ndarray, at: np.ndarray, open_: np.ndarray | None, pivot
     a, b = np.concatenate(later), np.concatenate(earlier)
     if not len(a):
         return none, none, order[np.flatnonzero(large)] if open_ is None else none
-    pick = np.lexsort((at[b], _apart(rows, a, b), at[a]))
+    pick = np.lexsort((at[b], _apart(rows, a, b), a))
     a, b = a[pick], b[pick]
-    line = np.concatenate([[True], at[a][1:] != at[a][:-1]])
-    new = line | np.concatenate([[True], at[b][1:] != at[b][:-1]])
-    if nearest is None:
-        return order[a[new]], order[b[new]], none
-    pairs = np.cumsum(new)
-    rank = pairs - np.repeat(pairs[line], np.diff(np.append(np.flatnonzero(line), len(a))))
-    cut = np.unique(np.concatenate([a[rank >= nearest], np.flatnonzero(large) if open_ is None else none]))
-    new &= rank < nearest
+    first = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]]))
+    # a row's candidates are the same in each round, so are their ranks; but for pivots in the first
+    rank = np.arange(len(a)) - np.repeat(first, np.diff(np.append(first, len(a))))
+    new = rank >= np.where(large[a], seen[1], seen[0])
+    cut = none
+    if nearest is not None:
+        cut = np.unique(np.concatenate([a[rank >= nearest], np.flatnonzero(large) if open_ is None else none]))
+        new &= rank < nearest
     return order[a[new]], order[b[new]], order[cut]
 
 
@@ -300,11 +301,11 @@ def _pairs(ids: np.ndarray, rows: np.ndarray, of: np.ndarray, a: np.ndarray, b:
     return {"block": ids[of[a]], "line": rows["line"][a].astype(np.int64), "other_block": ids[of[b]], "other_line": rows["line"][b].astype(np.int64)}
 
 
-def _round(t: pa.Table, mask: np.ndarray | None, nearest: int | None) -> pa.Table:
+def _round(t: pa.Table, mask: np.ndarray | None, nearest: int | None, seen: tuple[int, int] = (0, 0)) -> pa.Table:
     """Pairs, and a row for each block with the places of its rows that were cut short."""
     bucket = t.column("bucket")[0].as_py()
     ids, rows, of, at = _rows_in(t)
-    a, b, cut = candidates(rows, at, mask, PIVOTS, nearest)
+    a, b, cut = candidates(rows, at, mask, PIVOTS, nearest, seen)
     cut = np.sort(cut)
     blocks, where = np.unique(of[cut], return_index=True)
     starts = np.searchsorted(of, blocks)
@@ -319,7 +320,7 @@ def _first_round(nearest: int | None):
     return lambda t: _round(t, None, nearest)
 
 
-def _next_round(nearest: int | None):
+def _next_round(nearest: int | None, seen: tuple[int, int]):
     def run(t: pa.Table, o: pa.Table) -> pa.Table:
         """A round for the rows that were cut short, of lines without proof."""
         if not t.num_rows or not o.num_rows:
@@ -328,7 +329,7 @@ def _next_round(nearest: int | None):
         mask = np.zeros(len(rows), bool)
         for block, blob in zip(o.column("block").to_pylist(), o.column("cut").to_pylist(), strict=True):
             mask[np.searchsorted(of, np.searchsorted(ids, block)) + np.frombuffer(blob, np.uint32)] = True
-        return _round(t, mask, nearest)
+        return _round(t, mask, nearest, seen)
 
     return run
 
@@ -432,11 +433,11 @@ def remove_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     discard(first)
     release(sent)
     similar, left = None, None
-    for nearest in NEAREST:
+    for k, nearest in enumerate(NEAREST):
         if left is None:
             found = sent.groupBy("bucket").applyInArrow(_first_round(nearest), _PAIRS)
         else:
-            found = sent.groupBy("bucket").cogroup(left.groupBy("bucket")).applyInArrow(_next_round(nearest), _PAIRS)
+            found = sent.groupBy("bucket").cogroup(left.groupBy("bucket")).applyInArrow(_next_round(nearest, (NEAREST[k - 1], NEAREST[k - 1] if k > 1 else 0)), _PAIRS)
         found = materialize(found, "candidates")
         proven = materialize(_verified(found.where("cut is null").select("block", "line", "other_block", "other_line"), blocks), "similar")
         similar = proven if similar is None else similar.union(proven)
