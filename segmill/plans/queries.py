@@ -679,7 +679,7 @@ def font_files(spark, sf_dir):
 
 @query("html_texts", "SELECT page_id, replace(replace(replace(replace(replace(html, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&amp;', '&') AS text FROM (SELECT page_id, substring(html, 1, 500) AS html FROM pages)")
 def html_texts(spark, sf_dir):
-    return tables(spark, sf_dir, "pages")["pages"].select("page_id", t.html_unescape(F.substring("html", 1, 500)).alias("text"))
+    return tables(spark, sf_dir, "pages")["pages"].select("page_id", t.html_unescape("html").alias("text"))
 
 
 @query("persisted_glossary", f"SELECT key, '{{\"en\":\"' || en || '\",\"vi\":\"' || vi || '\",\"notes\":\"' || notes || '\"}}' AS line FROM ({_GLOSSARY})", "d_glossary")
