@@ -2,8 +2,9 @@
 
 A text is cut into sentences; normalised sentences that are known get identifiers, and the sequence of a text's
 identifiers is matched against rules in their order: a rule that occurs takes its sentences, so that a licence's whole
-text is not also reported by a shorter rule. Sentences are read twice: with line ends as sentence ends, and with line
-ends as spaces, as licence texts are often wrapped.
+text is not also reported by a shorter rule. Known sentences are cut as texts are, so one that holds an end is several
+identifiers in a row. Sentences are read three times: with line ends as sentence ends, with line ends as spaces, as licence
+texts are often wrapped, and so but with blank lines as sentence ends, as titles and copyright lines have no end of their own.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ SENTENCES = {
     "bsd-grant": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
     "bsd-source": "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer",
     "bsd-binary": "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution",
+    "bsd-names": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
     "bsd-ref": "Licensed under the BSD License",
     "gpl3-ref": "This work is licensed under the GNU General Public License, version 3",
     "gpl3-ref2": "Licensed under the GNU General Public License, version 3",
@@ -38,13 +40,14 @@ SENTENCES = {
     "cc-by-sa-ref": "Licensed under CC BY-SA 4.0",
 }
 # Licences and the sequences of sentences that stand for them, the first to match first.
-RULES = (
+_RULES = (
     ("MIT", ("mit-grant", "mit-notice", "as-is")),
     ("MIT", ("mit-grant", "mit-notice")),
     ("ISC", ("isc-grant", "as-is")),
     ("ISC", ("isc-grant",)),
     ("Apache-2.0", ("apache-header", "apache-use", "apache-basis")),
     ("Apache-2.0", ("apache-header", "apache-use")),
+    ("BSD-3-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-names")),
     ("BSD-2-Clause", ("bsd-grant", "bsd-source", "bsd-binary")),
     ("GPL-3.0-or-later", ("gpl3-header",)),
     ("MIT", ("mit-ref",)),
@@ -61,16 +64,26 @@ RULES = (
 #: Sentences end at these marks before white space, a quote or the end of the text.
 ENDS = r"""[.;:!?]+["')]*(?:[ \t\r\n\f]+|\z)"""
 LINES = ENDS + r"|[\r\n]+"
+#: A line end before a line without letters and digits.
+BLANK = r"(?>\r\n|\r|\n)[^a-z0-9\r\n]*+(?=[\r\n])"
 #: Each known sentence has one of these, so a text without any has no known sentence.
-ANCHORS = ("licen", "permission", "copyright", "redistribut", "warrant")
+ANCHORS = ("licen", "permission", "copyright", "redistribut", "warrant", "free software", "2")
 
 
 def normal(sentence: str) -> str:
     return re.sub("[^a-z0-9]+", " ", sentence.lower()).strip(" ")
 
 
-KNOWN = {normal(v): k for k, v in SENTENCES.items()}
-assert len(KNOWN) == len(SENTENCES) and all(any(a in s for a in ANCHORS) or s.startswith("licensed") for s in KNOWN)
+def _pieces(text: str) -> list[str]:
+    """A text's normalised sentences."""
+    return [p for p in map(normal, re.split(ENDS.replace(r"\z", r"\Z"), text)) if p]
+
+
+#: Normalised sentences and their identifiers; the pieces of a known sentence that holds ends are numbered from the second on.
+KNOWN = {p: k if n == 0 else f"{k}.{n + 1}" for k, v in SENTENCES.items() for n, p in enumerate(_pieces(v))}
+#: Licences and the identifiers that stand for them.
+RULES = tuple((lic, tuple(KNOWN[p] for k in seq for p in _pieces(SENTENCES[k]))) for lic, seq in _RULES)
+assert len(KNOWN) == sum(len(_pieces(v)) for v in SENTENCES.values()) and all(any(a in s for a in ANCHORS) for s in KNOWN)
 
 
 def _ids(text: Column, ends: str) -> Column:
@@ -95,7 +108,7 @@ def _matched(ids: Column) -> Column:
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of docs: the id, sentences (identifiers in text order, line ends read as sentence ends) and licenses.
 
-    licenses are those of either reading, without repeats, sorted. Null and empty texts have none. Repeated rows give
+    licenses are those of any reading, without repeats, sorted. Null and empty texts have none. Repeated rows give
     repeated rows; other columns are left out. No shuffle: each row is on its own.
     """
     d = docs.select(F.col(id_col), F.lower(F.coalesce(F.col(text_col), F.lit(""))).alias("text"))
@@ -104,9 +117,10 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         some = some | F.contains("text", F.lit(a))
     empty = F.expr("cast(array() as array<string>)")
     joined = F.regexp_replace("text", r"[\r\n]+", " ")
-    both = F.when(some, F.struct(_ids(F.col("text"), LINES).alias("a"), _ids(joined, ENDS).alias("b")))
-    d = d.select(id_col, both.alias("ids"))
-    found = F.when(F.col("ids").isNotNull(), F.array_sort(F.array_union(_matched(F.col("ids.a")), _matched(F.col("ids.b")))))
+    parted = F.regexp_replace(F.regexp_replace("text", BLANK, ". "), r"[\r\n]+", " ")
+    read = F.when(some, F.struct(_ids(F.col("text"), LINES).alias("a"), _ids(joined, ENDS).alias("b"), _ids(parted, ENDS).alias("c")))
+    d = d.select(id_col, read.alias("ids"))
+    found = F.when(F.col("ids").isNotNull(), F.array_sort(F.array_union(F.array_union(_matched(F.col("ids.a")), _matched(F.col("ids.b"))), _matched(F.col("ids.c")))))
     return d.select(id_col, F.coalesce("ids.a", empty).alias("sentences"), F.coalesce(found, empty).alias("licenses"))
 
 
