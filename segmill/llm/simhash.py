@@ -6,6 +6,9 @@ fingerprints that differ in r bits differ by r at most in the sum of these count
 by exclusive-or and bit counts. A tile pair gives a spanning forest of its links, not all of them, so that a
 large group of near copies costs a row for each member and tile, not one for each pair.
 
+filter_docs takes these links as candidates only: the shingle sets of what they connect are compared, exactly but for
+collisions of 64-bit hashes, and only pairs of the least similarity are links.
+
 On the driver: the histogram of the counts, at most 17^4 rows whatever the input, and the tiles' bounds.
 """
 
@@ -229,31 +232,136 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 #: For texts of Jaccard similarity s on shingles, each of the 256 bits differs with probability acos(2s / (1 + s)) / pi: 38.8
-#: bits at 0.8, with a deviation of 5.7; unrelated texts differ in 128, with a deviation of 8. The radius takes in 97 of 100
-#: pairs at 0.8, and an unrelated pair once in 10^21.
-WIDE = {"width": 5, "words64": 4, "radius": 50, "first_radius": 17}
+#: bits at 0.8, with a deviation of 5.7 (48 and 6.2 for sets of four and five shingles, the worst case); unrelated texts differ in
+#: 128, with a deviation of 8. The radii only find candidates, so they are wide.
+WIDE = {"width": 5, "words64": 4, "radius": 72, "first_radius": 22}
+#: Shingles of a part of a candidate group; larger groups are compared by pairs of parts.
+PART_SHINGLES = 1 << 21
 #: Rows up to which the numbers of the rows that go are broadcast; beyond, they are joined with a shuffle.
 BROADCAST_ROWS = 100_000
 
 
+def shingle_set(data: bytes, width: int) -> np.ndarray:
+    """XXH64 of each distinct shingle, sorted; no words: none."""
+    words = data.lower().split()
+    n = max(1, len(words) - width + 1) if words else 0
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(words[i : i + width]), SEED) for i in range(n)), np.uint64, n))
+
+
+def set_bits(hashes: np.ndarray, words64: int) -> np.ndarray:
+    """As fingerprint(), but of a set: repeats of a shingle do not count."""
+    ones = np.zeros(64 * words64, np.int64)
+    for at in range(0, len(hashes), _CHUNK):
+        h = hashes[at : at + _CHUNK]
+        wide = np.stack([h, *(mixed(h + np.uint64(k)) for k in range(1, words64))], axis=1)
+        ones += np.unpackbits(wide.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(ones * 2 > len(hashes), bitorder="little").view(np.uint64)
+
+
+def set_fingerprints(docs: DataFrame, text_col: str, width: int, words64: int) -> DataFrame:
+    """All columns of docs but the text, with fp and rest of the shingle set, 128 bits of the set itself, and its size."""
+    small_batches(docs.sparkSession)
+    keep = [c for c in docs.columns if c != text_col]
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            sets = [shingle_set((x or "").encode(), width) for x in part.column(len(keep)).to_pylist()]
+            fps = np.array([set_bits(x, words64) for x in sets], np.uint64).reshape(-1, words64)
+            new = [pa.array(np.ascontiguousarray(fps[:, 0]).view(np.int64)), pa.array([x.tobytes() for x in fps[:, 1:]], pa.binary()), pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in sets], pa.binary()), pa.array([len(x) for x in sets], pa.int64())]
+            yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(keep))), *new], names=[*keep, "fp", "rest", "whole", "size"])
+
+    fields = docs.select(*keep).schema.add("fp", "long").add("rest", "binary").add("whole", "binary").add("size", "long")
+    return docs.select(*keep, text_col).mapInArrow(run, fields)
+
+
+def similar(sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs of sets with a Jaccard similarity of 4/5 and more, as places in the list."""
+    sizes = np.array([len(x) for x in sets])
+    order = np.argsort(sizes, kind="stable")
+    _, inverse, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    rank = np.empty(len(often), np.int64)
+    rank[np.argsort(often, kind="stable")] = np.arange(len(often))
+    ids = np.split(rank[inverse], np.cumsum(sizes)[:-1])
+    ids, sizes = [np.sort(ids[i]) for i in order], sizes[order]
+    # sets of that similarity share one of the rarest fifth of their shingles, and one more
+    prefix = [x[: len(x) - (4 * len(x) + 4) // 5 + 1] for x in ids]
+    at = np.repeat(np.arange(len(ids)), [len(x) for x in prefix])
+    flat = np.concatenate(prefix)
+    by = np.argsort(flat, kind="stable")
+    flat, at = flat[by], at[by]
+    root, out = np.arange(len(ids)), []
+
+    def joined(i: int, j: int) -> bool:
+        both = len(np.intersect1d(ids[i], ids[j], assume_unique=True))
+        if 9 * both < 4 * (sizes[i] + sizes[j]):
+            return False
+        root[root == root[i]] = root[j]
+        out.append((int(order[i]), int(order[j])))
+        return True
+
+    last = 0
+    for i in range(1, len(ids)):
+        # most groups are copies of one text: one comparison, and what it links needs no other
+        if not joined(i, last):
+            last = i - 1 if i - 1 != last and joined(i, i - 1) else last
+        open_ = (root[:i] != root[i]) & (5 * sizes[:i] >= 4 * sizes[i])
+        if not open_.any():
+            continue
+        lo, hi = np.searchsorted(flat, prefix[i]), np.searchsorted(flat, prefix[i], "right")
+        near = np.unique(np.concatenate([at[a:b] for a, b in zip(lo, hi, strict=True)]))
+        near = near[near < i]
+        for j in near[open_[near]]:
+            if root[j] != root[i]:
+                joined(i, int(j))
+    return out
+
+
+def verified(groups: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """Edges (u, v) between nodes whose shingle sets are similar. groups: node, root, row, size; texts: row, text."""
+    parts = groups.groupBy("root").agg(F.ceil(F.sum("size") / PART_SHINGLES).cast("long").alias("parts"), F.count("*").alias("members")).where("members > 1")
+    of = materialize(groups.join(parts, "root").select("root", "node", "row", "parts"), "groups")
+    side = F.broadcast(of) if of.count() <= BROADCAST_ROWS else of
+    held = texts.join(side, "row").select("root", "node", "parts", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [shingle_set((x or "").encode(), width).tobytes() for x in b.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(sets, pa.binary())], names=["root", "node", "parts", "shingles"])
+
+    def compared(table: pa.Table) -> pa.Table:
+        nodes = table.column("node").to_numpy()
+        pairs = np.array(similar([np.frombuffer(x.as_py(), np.uint64) for x in table.column("shingles")]), np.int64).reshape(-1, 2)
+        return pa.table({"u": nodes[pairs[:, 0]], "v": nodes[pairs[:, 1]]})
+
+    own = F.pmod(F.xxhash64("node"), F.col("parts"))
+    others = F.when(F.col("parts") > 1, F.filter(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda q: q != F.col("own"))).otherwise(F.array(F.lit(0).cast("long")))
+    d = held.mapInArrow(run, "root long, node long, parts long, shingles binary").withColumn("own", own)
+    d = d.select("root", "node", "shingles", "own", F.explode(others).alias("other"))
+    d = d.select("root", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "node", "shingles")
+    return d.groupBy("root", "a", "b").applyInArrow(compared, "u long, v long")
+
+
 def filter_docs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDE["width"], words64: int = WIDE["words64"], radius: int = WIDE["radius"], first_radius: int = WIDE["first_radius"]) -> DataFrame:
     """The row of the smallest id (nulls last) of each component of near-duplicates, with all columns of docs.
 
-    Links are pairs within the radius over all bits, and within first_radius in the first 64. Texts without words are
+    Links are pairs whose sets of shingles have a Jaccard similarity of 4/5 and more. They are looked for among what is
+    connected by pairs within the radius over all bits, and within first_radius in the first 64. Texts without words are
     equal and so are one group; of repeated rows one stays.
     """
     inner = [f"__{i}" for i in range(len(docs.columns))]
     key, text = inner[docs.columns.index(id_col)], inner[docs.columns.index(text_col)]
     d = docs.toDF(*inner).withColumn("text", F.col(text).cast("string"))
-    rows = materialize(fingerprints(d, "text", width, words64).withColumn("row", F.monotonically_increasing_id()), "rows")
+    rows = materialize(set_fingerprints(d, "text", width, words64).withColumn("row", F.monotonically_increasing_id()), "rows")
     place = F.struct(F.col(key).isNull().alias("null"), F.col(key).alias("key"), "row")
-    own = rows.select("fp", "rest", "row", place.alias("place"))
-    distinct = materialize(own.groupBy("fp", "rest").agg(F.min("place").alias("least"), F.count("*").alias("n")).withColumn("node", F.monotonically_increasing_id()), "distinct")
-    roots = connected_components(links(distinct.select("fp", "node", "rest"), radius, first_radius))
+    own = rows.select("fp", "rest", "whole", "size", "row", place.alias("place"))
+    distinct = materialize(own.groupBy("whole", "fp", "rest", "size").agg(F.min("place").alias("least"), F.count("*").alias("n")).withColumn("node", F.monotonically_increasing_id()), "distinct")
+    candidates = connected_components(links(distinct.where("size > 0").select("fp", "node", "rest"), radius, first_radius))
+    groups = distinct.join(candidates, "node").select("node", "root", F.col("least.row").alias("row"), "size")
+    roots = connected_components(verified(groups, rows.select("row", F.col(text).cast("string").alias("text")), width))
     rooted = distinct.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     best = rooted.groupBy("root").agg(F.min("least").alias("best"))
-    of = rooted.join(best, "root").select(F.col("fp").alias("f"), F.col("rest").alias("r"), "best", "least", "n").where("n > 1 or best != least")
-    gone = own.join(of, (own.fp == of.f) & (own.rest == of.r)).where(F.col("row") != F.col("best.row")).select(F.col("row").alias("gone"))
+    of = rooted.join(best, "root").select(F.col("whole").alias("w"), "best", "least", "n").where("n > 1 or best != least")
+    gone = own.join(of, own.whole == of.w).where(F.col("row") != F.col("best.row")).select(F.col("row").alias("gone"))
     gone = materialize(gone, "gone")
     side = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
     return rows.join(side, F.col("row") == F.col("gone"), "left_anti").select(*inner).toDF(*docs.columns)
