@@ -577,8 +577,8 @@ def glyph_codes(spark, sf_dir):
 
 
 def _glyph_stream(spark, sf_dir) -> DataFrame:
-    """One glyph for each word's letter of a document's first lines, set in lines of 60 places."""
-    d = tables(spark, sf_dir, "documents")["documents"].select("doc_id", F.posexplode(F.split(F.substring("text", 1, 400), "")).alias("seq", "text")).where("text != ''")
+    """One glyph for each word's letter of a document, set in lines of 60 places."""
+    d = tables(spark, sf_dir, "documents")["documents"].select("doc_id", F.posexplode(F.split("text", "")).alias("seq", "text")).where("text != ''")
     line, col = F.expr("seq div 60"), F.col("seq") % 60
     formula = F.col("seq") % 97 == 5
     return d.select(
