@@ -1,10 +1,10 @@
-"""Exact removal of repeated byte strings, after blockwise suffix sorting with a difference cover.
+"""Removal of repeated byte strings by hashes of windows, which a difference cover filters; no suffixes are sorted.
 
 Suffixes are compared by their first WINDOW bytes only, which is all that removal asks. In a difference cover modulo v, any
 two suffixes have a shift below v after which both stand in the cover. So if two windows are equal, two cover suffixes that
-begin in them are equal in their first WINDOW - v + 1 bytes. The cover suffixes are ranked first: by bucket of hash, one
-bucket sorted at a time, which tells each whether it is tied. Only windows that hold a tied cover suffix can be repeated;
-these suffixes are then sorted one bucket at a time, and a window is removed if an earlier one is equal. Memory is that of
+begin in them are equal in their first WINDOW - v + 1 bytes. The hashes of these bytes are sorted first, one bucket at a
+time, which tells each cover suffix whether it is tied. Only windows that hold a tied cover suffix can be repeated; the
+hashes of these windows are then sorted one bucket at a time, and a window is removed if an earlier one is equal. Memory is that of
 a block or a bucket, whose sizes are fixed.
 
 Equality of windows is that of 64 hash bits and the bucket's bits (14 or more of a second hash at 100 TB), not of the bytes.
