@@ -1,12 +1,14 @@
 """WARC archives: written by Spark's text sink, read back by boundary-chain verification.
 
-Reading cuts the files at every magic (WARC/1.) in parallel, so a magic inside a payload makes a false candidate.
+Reading cuts the files at every magic (WARC/1.) in parallel, so a magic inside a payload makes a false candidate, and one
+inside a header (in a url, say) cuts the header, which then goes on in the next pieces to the one in which a header ends.
 Each candidate with a well-formed header names its successor: its offset, the header, the content length and the
 closing line breaks. Only what the chain from offset 0 reaches is a record. Candidates that point at the very next
 one are first contracted to runs with window sums; pointer jumping over the runs' exits, written each round, finds
 the runs that the chain enters. Pieces of a record that holds magics are put together again.
 
-Files are bounded by the tasks that wrote them; the windows over a file see offsets and lengths, never payloads.
+Windows see the offsets and lengths of one block of a file, as one task reads it, never payloads; a row for each block
+carries offsets and open headers on. A compressed file is one block.
 """
 
 from __future__ import annotations
@@ -76,7 +78,10 @@ def _field(head: Column, name: str, value: str = r"[^\r\n]*?") -> Column:
 
 
 def _pieces(spark: SparkSession, path: str) -> DataFrame:
-    """What lies before the first magic and after each, in parallel, with its place among the pieces of its file."""
+    """What lies before the first magic and after each, in parallel, with its place in its block of the file.
+
+    head_bytes: bytes before the end of a header, null if none ends here; content: the first length declared before it.
+    """
     raw = spark.read.option("lineSep", MAGIC).text(path)
     head = F.substring_index("value", END, 1)
     whole = F.col("value").contains(END)
@@ -86,25 +91,45 @@ def _pieces(spark: SparkSession, path: str) -> DataFrame:
         F.monotonically_increasing_id().alias("piece"),
         F.octet_length("value").cast("long").alias("bytes"),
         F.when(whole, F.octet_length(head).cast("long")).alias("head_bytes"),
-        F.when(whole & F.col("value").rlike(r"^[01]\r\n"), _field(head, "Content-Length", r"\d{1,18}").cast("long")).alias("content"),
+        F.col("value").rlike(r"^[01]\r\n").alias("opens"),
+        F.when(whole, _field(head, "Content-Length", r"\d{1,18}")).otherwise(_field(F.concat("value", F.lit("-")), "Content-Length", r"\d{1,18}")).cast("long").alias("content"),
         "value",
     )
 
 
 def _chained(pieces: DataFrame) -> DataFrame:
-    """Pieces (file, piece, bytes, offset) with the offset of the record that holds them, null if none does."""
-    order = Window.partitionBy("file").orderBy("block", "piece")
-    file, before = Window.partitionBy("file"), order.rowsBetween(Window.unboundedPreceding, -1)
+    """Pieces (file, piece, offset) with the offset of the record that holds them (null if none does), and whether they are all of it.
+
+    Windows see one block of a file, as one task read it; what crosses blocks is carried by a row for each block.
+    """
+    block = Window.partitionBy("file", "block")
+    order, back = block.orderBy("piece"), block.orderBy(F.desc("piece")).rowsBetween(Window.unboundedPreceding, 0)
+    earlier = order.rowsBetween(Window.unboundedPreceding, -1)
+    files = Window.partitionBy("file").orderBy("block")
+    before, after = files.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy("file").orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)
     size = F.col("bytes") + len(MAGIC)
+    sums = pieces.groupBy("file", "block").agg(F.sum(size).alias("size"))
+    sums = sums.select("file", "block", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("base"), (F.sum("size").over(Window.partitionBy("file")) - len(MAGIC)).alias("end"))
     # the first piece of a file stands before the first magic and has none
-    at = pieces.select("*", F.row_number().over(order).alias("i"), F.coalesce(F.sum(size).over(before), F.lit(0)).alias("seen"), (F.sum(size).over(file) - len(MAGIC)).alias("end"))
-    at = at.withColumn("offset", F.when(F.col("i") > 1, F.col("seen") - len(MAGIC)))
-    next_ = F.col("offset") + len(MAGIC) + F.col("head_bytes") + F.col("content") + 2 * len(END)
-    at = at.withColumn("next", F.when(next_ <= F.col("end"), next_)).drop("seen", "head_bytes", "content")
+    at = pieces.join(sums, ["file", "block"]).withColumn("seen", F.col("base") + F.coalesce(F.sum(size).over(earlier), F.lit(0)))
+    at = at.withColumn("offset", F.when((F.col("base") > 0) | (F.row_number().over(order) > 1), F.col("seen") - len(MAGIC)))
+    at = materialize(at.select("file", "block", "piece", "bytes", "offset", "end", "opens", (F.col("seen") + F.col("head_bytes")).alias("header_end"), "content"), "offsets")
+
+    # a header that holds magics goes on to the piece in which one ends, if need be in a later block
+    ends, lengths = F.when(F.col("header_end").isNotNull(), F.struct("piece", "header_end")), F.when(F.col("content").isNotNull(), F.struct("piece", "content"))
+    firsts = at.groupBy("file", "block").agg(F.min(ends).alias("e"), F.min(lengths).alias("c"))
+    own = lambda x: F.when(F.col(x).isNotNull(), F.struct("block", f"{x}.*"))
+    firsts = firsts.select("file", "block", F.last(own("e"), True).over(after).alias("far_end"), F.last(own("c"), True).over(after).alias("far_length"))
+    at = at.join(firsts, ["file", "block"]).withColumns({"e": F.last(ends, True).over(back), "c": F.last(lengths, True).over(back)})
+    far = F.when((F.col("far_length.block") < F.col("far_end.block")) | ((F.col("far_length.block") == F.col("far_end.block")) & (F.col("far_length.piece") <= F.col("far_end.piece"))), F.col("far_length.content"))
+    length = F.when(F.col("c").isNotNull() & (F.col("e").isNull() | (F.col("c.piece") <= F.col("e.piece"))), F.col("c.content")).when(F.col("e").isNull(), far)
+    next_ = F.coalesce("e.header_end", "far_end.header_end") + length + 2 * len(END)
+    at = at.withColumn("next", F.when(F.col("offset").isNotNull() & F.col("opens") & (next_ <= F.col("end")), next_))
+
     tight = at.withColumn("breaks", F.when(F.lag("next").over(order) == F.col("offset"), 0).otherwise(1)).withColumn("run", F.sum("breaks").over(order))
-    run = Window.partitionBy("file", "run")
-    runs = tight.withColumn("exit", F.max_by("next", "i").over(run)).drop("breaks")
-    runs = materialize(runs.select("file", "piece", "bytes", "i", "offset", "next", "run", "exit", "end"), "chain")
+    run = Window.partitionBy("file", "block", "run")
+    runs = tight.withColumn("exit", F.max_by("next", "piece").over(run))
+    runs = materialize(runs.select("file", "block", "piece", "bytes", "offset", "next", "run", "exit"), "chain")
     # the chain may enter a run in its middle, so what is reached is kept by offset
     jumps = runs.where("offset is not null and exit is not null").select("file", F.col("offset").alias("from"), F.col("exit").alias("to"))
     reached = materialize(runs.where("offset = 0").select("file", "offset"), "reached")
@@ -117,12 +142,14 @@ def _chained(pieces: DataFrame) -> DataFrame:
         known = now
         far = jumps.select("file", F.col("from").alias("to"), F.col("to").alias("far"))
         jumps = materialize(jumps.join(far, ["file", "to"]).select("file", "from", F.col("far").alias("to")), "jumps")
-    entries = runs.join(reached, ["file", "offset"], "left_semi").groupBy("file", "run").agg(F.min("offset").alias("entry"))
-    held = runs.join(entries, ["file", "run"], "left")
-    held = held.withColumn("start", F.when((F.col("offset") >= F.col("entry")) & F.col("next").isNotNull(), F.col("offset")))
-    upto = Window.partitionBy("file").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    held = held.withColumn("last", F.last("start", True).over(upto)).withColumn("until", F.last(F.when(F.col("start").isNotNull(), F.col("next")), True).over(upto))
-    return held.select("file", "piece", "i", "offset", F.when(F.col("offset") < F.col("until"), F.col("last")).alias("record"), (F.col("start").isNotNull() & (F.col("next") == F.col("offset") + len(MAGIC) + F.col("bytes"))).alias("single"))
+    entries = runs.join(reached, ["file", "offset"], "left_semi").groupBy("file", "block", "run").agg(F.min("offset").alias("entry"))
+    held = runs.join(entries, ["file", "block", "run"], "left")
+    held = held.withColumn("start", F.when((F.col("offset") >= F.col("entry")) & F.col("next").isNotNull(), F.struct(F.col("offset").alias("record"), F.col("next").alias("until"))))
+    open_ = held.groupBy("file", "block").agg(F.max("start").alias("s")).select("file", "block", F.last("s", True).over(before).alias("carried"))
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    held = held.join(open_, ["file", "block"]).withColumn("in", F.coalesce(F.last("start", True).over(upto), "carried"))
+    single = F.col("start").isNotNull() & (F.col("next") == F.col("offset") + len(MAGIC) + F.col("bytes"))
+    return held.select("file", "piece", "offset", F.when(F.col("offset") < F.col("in.until"), F.col("in.record")).alias("record"), single.alias("single"))
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
@@ -134,7 +161,7 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     """
     pieces = materialize(_pieces(spark, path), "pieces")
     chain = materialize(_chained(pieces.drop("value")), "records")
-    odd = materialize(chain.where("not coalesce(single, false) and i > 1").select("file", "piece", "record"), "odd")
+    odd = materialize(chain.where("not coalesce(single, false) and offset is not null").select("file", "piece", "record"), "odd")
     count = odd.count()
     rows = pieces.where("value != ''").select("file", "piece", "value")
     texts = rows.select("file", "value")
@@ -150,7 +177,7 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
 def _parsed(texts: DataFrame) -> DataFrame:
     head = F.substring_index("value", END, 1)
     t = texts.select("file", head.alias("head"), F.expr(f"substring(cast(value as binary), octet_length(substring_index(value, '{END}', 1)) + {len(END) + 1})").alias("rest"))
-    t = t.withColumn("content", _field(F.col("head"), "Content-Length", r"\d{1,18}").cast("int"))
+    t = t.withColumn("content", F.least(_field(F.col("head"), "Content-Length", r"\d{1,18}").cast("long"), F.lit(2**31 - 1)).cast("int"))
     t = t.select("*", F.expr("substring(rest, 1, content)").alias("block"))
     http = _field(F.col("head"), "Content-Type").startswith("application/http") & F.col("block").cast("string").contains(END)
     t = t.withColumn("http", F.when(http, F.substring_index(F.col("block").cast("string"), END, 1)))

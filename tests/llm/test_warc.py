@@ -11,6 +11,7 @@ INNER = "WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n
 ROWS = [
     (1, "http://a/", "<p>one</p>"), (2, None, "<p>one</p>"), (3, "http://a b\r\n/", None), (4, "u", ""), (5, "u", "WARC/1.0\r\nWARC/1.1\r\n"),
     (6, "u", INNER * 3 + "tail"), (7, "u", "x" * 200_000 + INNER + "é日😀"), (None, "u", "<p>one</p>"), (None, "u", "alone"), (None, "u", "alone"), (8, "u", "\r\n\r\n"), (9, "u", INNER[:40]), (2, None, "<p>one</p>"),
+    (10, "http://a/WARC/1.0/spec", "<p>spec</p>"), (11, "WARC/1.1\r\nContent-Length: 3WARC/1.", INNER), (12, "http://a/WARC/1.0/spec", "<p>one</p>"),
 ]
 
 
@@ -62,3 +63,18 @@ def test_foreign_files(spark, tmp_path):
     (tmp_path / "w/e.warc").write_bytes(b"")
     got = sorted((r.file[-9:].rpartition("/")[2], r.version, r.type, bytes(r.payload).decode()) for r in warc.read_records(spark, f"{tmp_path}/w").collect())
     assert got == [("a.warc", "1.0", "warcinfo", "software!"), ("a.warc", "1.1", "response", "abc"), ("b.warc.gz"[-9:], "1.0", "warcinfo", "software!"), ("c.warc", "1.0", "warcinfo", "software!")]
+
+
+@pytest.mark.parametrize("size", ["700", "134217728"])
+def test_magic_in_headers(spark, tmp_path, size):
+    """Magics in any header line, before and after the length, and in payloads; records keep their urls. Blocks cut anywhere."""
+    head = "WARC/1.1\r\nWARC-Type: response\r\nX: WARC/1.0 a\r\nContent-Length: {}\r\nWARC-Target-URI: http://a/WARC/1.0/{}\r\nY: WARC/1.\r\n\r\n{}\r\n\r\n"
+    bodies = ["abc", INNER, "", "WARC/1.", "x" * 3000 + "WARC/1.1\r\n", INNER * 20, "end"]
+    (tmp_path / "w").mkdir()
+    (tmp_path / "w/a.warc").write_bytes("".join(head.format(len(b), i, b) for i, b in enumerate(bodies)).encode())
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    try:
+        got = warc.read_records(spark, f"{tmp_path}/w").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert sorted((r.target_uri, bytes(r.payload).decode()) for r in got) == sorted((f"http://a/WARC/1.0/{i}", b) for i, b in enumerate(bodies))
