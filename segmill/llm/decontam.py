@@ -6,7 +6,9 @@ unmarked words again and again until none of MIN_MATCH words is left; an item co
 tiles cover enough of its words, in whatever order they stand.
 
 Documents meet the items' seeds first in a Bloom filter of fixed size, so that a document without any costs no shuffle;
-the rest is joined by seed. Nothing that is broadcast grows with documents or items.
+the rest is joined by seed. An item's commonest seeds, which could not reach the coverage if all of them were hit, are left
+out of that join, so that a phrase of many items and documents does not multiply them. Nothing that is broadcast grows with
+documents or items. Items of fewer than MIN_MATCH words have no seed; they match texts that consist of the same words.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, small_batches
@@ -63,8 +65,17 @@ def seeds_of(words: list[bytes], size: int = MIN_MATCH) -> np.ndarray:
     return out
 
 
+def keys_of(words: list[bytes], size: int = MIN_MATCH) -> np.ndarray:
+    """The seeds, or one hash of all words where there are fewer than `size`; none without words."""
+    if not words or len(words) >= size:
+        return seeds_of(words, size)
+    return np.array([xxhash.xxh64_intdigest(b" ".join(words), len(words))], np.uint64)
+
+
 def tiles(doc: list[bytes], item: list[bytes], size: int = MIN_MATCH) -> list[tuple[int, int, int]]:
     """(start in doc, start in item, words) of greedy string tiling: longest first, ties by start in item, then in doc."""
+    if len(item) < size:
+        return [(0, 0, len(item))] if item and doc == item else []
     where = defaultdict(list)
     for j, h in enumerate(seeds_of(item, size).tolist()):
         where[h].append(j)
@@ -116,16 +127,16 @@ def _item_seeds(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in parts:
         for item, text in zip(part.column(0), part.column(1).to_pylist(), strict=True):
             w = words_of(text)
-            s = seeds_of(w)
+            s = keys_of(w)
             if len(s):
                 a, b = _bits(s)
-                yield pa.RecordBatch.from_arrays([pa.array([item.as_py()] * len(s), part.column(0).type), pa.array(s.view(np.int64)), pa.array(a), pa.array(b), pa.array([len(w)] * len(s))], names=["item", "seed", "a", "b", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array([item.as_py()] * len(s), part.column(0).type), pa.array(s.view(np.int64)), pa.array(a), pa.array(b), pa.array([len(w)] * len(s))], names=["no", "seed", "a", "b", "n"])
 
 
 def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", coverage: float = COVERAGE) -> DataFrame:
     """(id, item id, matched_words, n_tiles, coverage, text_hash) of each row of docs and item with tiles over at least `coverage` of the item's words.
 
-    Null texts have no words. Items of fewer than MIN_MATCH words match nothing. Null ids are kept as such. Repeated rows
+    Null texts have no words. Items of fewer than MIN_MATCH words match texts of the same words only, items without words nothing. Null ids are kept as such. Repeated rows
     of docs give repeated rows; repeated items count once if id and text are equal. text_hash is xxhash64 of the document's
     text, to find its row again; other columns are left out.
     """
@@ -133,7 +144,7 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
     d, kind, of = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")), docs.schema[id_col].dataType.simpleString(), items.schema[item_col].dataType.simpleString()
     i = items.select(F.col(item_col).alias("item"), F.col(item_text_col).cast("string").alias("text")).distinct()
     i = materialize(i.withColumn("no", F.monotonically_increasing_id()), "items")
-    seeds = materialize(i.select("no", "text").mapInArrow(_item_seeds, "item long, seed long, a long, b long, n long"), "seeds")
+    seeds = materialize(i.select("no", "text").mapInArrow(_item_seeds, "no long, seed long, a long, b long, n long"), "seeds")
     spots = seeds.select(F.explode(F.array("a", "b")).alias("bit"))
     table = np.zeros(BLOOM_BITS // 64, np.int64)
     for r in spots.groupBy(F.shiftright("bit", 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("bits")).collect():
@@ -145,7 +156,7 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
         for part in parts:
             rows = {"at": [], "seeds": []}
             for at, text in enumerate(part.column(1)):
-                s = seeds_of(words_of(text.as_py()))
+                s = keys_of(words_of(text.as_py()))
                 if len(s):
                     a, b = _bits(s)
                     s = s[bits[a] & bits[b]]
@@ -156,9 +167,14 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
                 yield pa.RecordBatch.from_arrays([*(part.column(c).take(pa.array(rows["at"])) for c in (0, 1)), pa.array(rows["seeds"], pa.list_(pa.int64()))], names=["id", "text", "seeds"])
 
     near = materialize(d.mapInArrow(find, f"id {kind}, text string, seeds array<long>").withColumn("row", F.monotonically_increasing_id()), "near")
-    hits = near.select("row", F.explode("seeds").alias("seed")).join(seeds, "seed").groupBy("row", "item").agg(F.count("*").alias("hits"), F.first("n").alias("n"))
+    each = near.select("row", F.explode("seeds").alias("seed"))
     # each seed that is hit can cover MIN_MATCH words at most
-    pairs = hits.where(F.col("hits") * MIN_MATCH >= F.col("n") * coverage).select("row", F.col("item").alias("no"))
+    least = F.ceil(F.col("n") * coverage / MIN_MATCH)
+    times = seeds.groupBy("no", "seed").agg(F.count("*").alias("times"), F.first("n").alias("n")).join(each.groupBy("seed").agg(F.count("*").alias("docs")), "seed")
+    common = Window.partitionBy("no").orderBy(F.desc("docs"), "seed").rowsBetween(Window.unboundedPreceding, 0)
+    rare = materialize(times.withColumn("upto", F.sum("times").over(common)).where(F.col("upto") >= least).select("no", "seed"), "rare")
+    pairs = each.join(rare, "seed").select("row", "no").distinct()
+    own = i.join(seeds.groupBy("no").agg(F.collect_list("seed").alias("own"), F.first("n").alias("n")), "no").select("no", "item", F.col("text").alias("passage"), "own", "n")
 
     def tile(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
@@ -171,13 +187,18 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
                 out["coverage"].append(out["matched"][-1] / len(item))
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(out["matched"]), pa.array(out["tiles"]), pa.array(out["coverage"]), part.column(4)], names=["id", "item", "matched_words", "n_tiles", "coverage", "text_hash"])
 
-    both = pairs.join(near.select("row", "id", F.col("text").alias("doc")), "row").join(i.select("no", "item", F.col("text").alias("passage")), "no")
+    both = pairs.join(near.select("row", "id", F.col("text").alias("doc"), "seeds"), "row").join(own, "no")
+    both = both.where(F.size(F.filter("own", lambda x: F.array_contains("seeds", x))) >= least)
     found = both.select("id", "item", "doc", "passage", F.xxhash64("doc").alias("text_hash")).mapInArrow(tile, f"id {kind}, item {of}, matched_words long, n_tiles long, coverage double, text_hash long")
     return found.where(F.col("coverage") >= coverage).withColumnsRenamed({"id": id_col, "item": item_col} if id_col != "item" else {"item": item_col})
 
 
 def filter_docs(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of docs that no item leaked into, with all their columns."""
-    bad = materialize(leaks(docs, items, id_col, text_col, **options).select(F.col(id_col).alias("__id"), F.col("text_hash").alias("__hash")).distinct(), "leaks")
+    """The rows of docs that no item leaked into, with all their columns, whatever their names."""
+    inner = [f"__{i}" for i in range(len(docs.columns))]
+    key, text = inner[docs.columns.index(id_col)], inner[docs.columns.index(text_col)]
+    d = docs.toDF(*inner)
+    found = leaks(d.select(F.col(key).alias("id"), F.col(text).alias("text")), items, "id", "text", **options)
+    bad = materialize(found.select(F.col("id").alias("bad"), "text_hash").distinct(), "leaks")
     side = F.broadcast(bad) if bad.count() <= BROADCAST_ROWS else bad
-    return docs.join(side, F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(F.col(text_col).cast("string")) == F.col("__hash")), "left_anti")
+    return d.join(side, F.col(key).eqNullSafe(F.col("bad")) & (F.xxhash64(F.col(text).cast("string")) == F.col("text_hash")), "left_anti").toDF(*docs.columns)
