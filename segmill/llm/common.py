@@ -7,6 +7,7 @@ import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
@@ -38,6 +39,27 @@ def discard(written: DataFrame) -> None:
     remove_path(written.sparkSession, written.written_to)
 
 
+#: Keys whose rows are more than one in so many of all go by broadcast; so many keys at most.
+HOT_KEYS = 10_000
+#: A key of fewer rows is never hot.
+HOT_LEAST = 1_000
+
+
+def spread_join(rows: DataFrame, side: DataFrame, key: str, often: str = "n") -> DataFrame:
+    """rows joined (inner) with side, both written tables, by a column of one name; side has one row for each key.
+
+    often: a column of side, how many rows have the key. The rows of hot keys stay where they are and meet a broadcast of
+    HOT_KEYS rows at most; the others are dealt by key, none of which has more than its share.
+    """
+    total = side.agg(F.sum(often)).first()[0] or 0
+    bound = max(total // HOT_KEYS, HOT_LEAST)
+    hot = side.where(F.col(often) > bound)
+    if hot.isEmpty():
+        return rows.join(side, key)
+    cold = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(side.where(F.col(often) <= bound), key)
+    return rows.join(F.broadcast(hot), key).unionByName(cold)
+
+
 def small_batches(spark: SparkSession) -> None:
     """Send texts to Python in batches of 256 rows: Spark's default of 10,000 is many MB for each task, on both sides.
 

@@ -127,8 +127,8 @@ def _secrets_sql() -> str:
         base AS (SELECT row, kind, s, s + length(m) AS e FROM f WHERE kind < 3),
         cand AS (SELECT DISTINCT row, v, s + length(m) - length(v) AS s, s + length(m) AS e FROM f
             WHERE (kind = 9 OR kind = 0 AND length(v) >= {secrets.VALUE_LEAST}) AND regexp_matches(v, '[A-Za-z]') AND regexp_matches(v, '[0-9]')),
-        uses AS (SELECT v, count(DISTINCT owner) AS owners FROM cand JOIN d USING (row) GROUP BY v),
-        added AS (SELECT row, CASE WHEN owners <= {secrets.MAX_OWNERS} THEN 3 ELSE 4 END AS kind, s, e FROM cand JOIN uses USING (v)),
+        uses AS (SELECT v, count(DISTINCT owner) AS owners, count(DISTINCT coalesce(doc_id::VARCHAR, '')) AS repositories FROM cand JOIN d USING (row) GROUP BY v),
+        added AS (SELECT row, CASE WHEN owners <= {secrets.MAX_OWNERS} AND repositories <= {secrets.MAX_REPOSITORIES} THEN 3 ELSE 4 END AS kind, s, e FROM cand JOIN uses USING (v)),
         spans AS (SELECT *, {names}[kind + 1] || ':' || s || ':' || e AS t FROM (SELECT * FROM base UNION ALL SELECT * FROM added)),
         g AS (SELECT row, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
             count(*) FILTER (kind = 3) AS n_live, count(*) FILTER (kind = 4) AS n_example,

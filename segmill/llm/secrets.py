@@ -2,8 +2,9 @@
 
 Three base patterns mark assignments, access keys and hex strings. The method then takes candidates (values of
 assignments, and long runs of key characters, each with a letter and a digit), hashes them, and counts over the
-whole corpus in how many repositories and with how many owners each hash occurs. A candidate with few owners is
-marked as live, one that many share as an example. Base spans stay as they are.
+whole corpus in how many repositories and with how many owners each hash occurs. A candidate of few owners and few
+repositories is marked as live, one that is widely copied, within an owner or beyond, as an example. Base spans stay as
+they are.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, spread_join
 
 # The base patterns, in the order in which kinds are listed.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -22,6 +23,9 @@ KINDS = ("assign", "access", "hex", "live", "example")
 ASSIGN_LEAST = 6
 VALUE_LEAST = 8
 MAX_OWNERS = 2
+MAX_REPOSITORIES = 10
+#: Matches whose places are summed in one go; sums of longer lists go part by part.
+_PART = 512
 _SPANS = "array<struct<start: int, kind: int, end: int>>"
 
 
@@ -31,15 +35,29 @@ def _found(text: Column, pattern: str, group: int | None = None) -> Column:
     values = matches if group is None else F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
     zipped = F.arrays_zip(matches.alias("m"), F.slice(between, 1, F.size(matches)).alias("b"), values.alias("v"))
     sizes = F.transform(zipped, lambda x: F.struct(F.length(x["b"]).alias("skip"), F.length(x["m"]).alias("n"), x["v"].alias("v")))
-    none = F.expr("named_struct('at', 0, 'out', cast(array() as array<struct<start: int, end: int, value: string>>))")
+    spans = "array<struct<start: int, end: int, value: string>>"
+    empty = F.expr(f"cast(array() as {spans})")
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["skip"]
-        hit = F.struct(start.alias("start"), (start + x["n"]).alias("end"), x["v"].alias("value"))
-        return F.struct((start + x["n"]).alias("at"), F.array_append(acc["out"], hit).alias("out"))
+    def placed(part: Column, at: Column) -> Column:
+        """The matches of a part that begins at a place."""
 
-    got = F.aggregate(sizes, none, step, lambda acc: acc["out"])
-    return F.when(F.size(matches) > 0, got).otherwise(F.expr("cast(array() as array<struct<start: int, end: int, value: string>>)"))
+        def step(acc: Column, x: Column) -> Column:
+            start = acc["at"] + x["skip"]
+            hit = F.struct(start.alias("start"), (start + x["n"]).alias("end"), x["v"].alias("value"))
+            return F.struct((start + x["n"]).alias("at"), F.array_append(acc["out"], hit).alias("out"))
+
+        return F.aggregate(part, F.struct(at.alias("at"), empty.alias("out")), step, lambda acc: acc["out"])
+
+    def joined(all_: Column) -> Column:
+        """Parts one after the other, so that appending costs little whatever the number of matches."""
+        parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(all_) - 1) / _PART).cast("int")), lambda i: F.slice(all_, i * _PART + 1, F.lit(_PART)))
+        length = lambda part: F.aggregate(part, F.lit(0), lambda n, x: n + x["skip"] + x["n"])
+        both = lambda acc, part: F.struct((acc["at"] + length(part)).alias("at"), F.concat(acc["out"], placed(part, acc["at"])).alias("out"))
+        return F.aggregate(parts, F.struct(F.lit(0).alias("at"), empty.alias("out")), both, lambda acc: acc["out"])
+
+    # the list is bound to a name first, as it would be made anew for each part
+    got = F.when(F.size(matches) <= _PART, placed(sizes, F.lit(0))).otherwise(F.element_at(F.transform(F.array(sizes), joined), 1))
+    return F.when(F.size(matches) > 0, got).otherwise(empty)
 
 
 def _spans(found: str, kind: int) -> Column:
@@ -52,11 +70,11 @@ def text_of(spans: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(spans), lambda x: F.concat_ws(":", F.element_at(names, x["kind"] + 1), x["start"].cast("string"), x["end"].cast("string"))), ",")
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", max_owners: int = MAX_OWNERS) -> DataFrame:
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", max_owners: int = MAX_OWNERS, max_repositories: int = MAX_REPOSITORIES) -> DataFrame:
     """One row for each row of docs: the id, base and added (arrays of start, kind number, end; code points, end exclusive).
 
-    A row is a repository of its owner; null owners are one owner, null ids one repository. A candidate is live with at
-    most max_owners distinct owners in the whole corpus, else an example. Null texts count as empty and have no spans.
+    An id is a repository of its owner; null owners are one owner, null ids one repository. A candidate is live with at most
+    max_owners distinct owners and max_repositories distinct repositories in the whole corpus, else an example. Null texts count as empty and have no spans.
     Repeated rows give repeated rows; other columns are left out.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -71,9 +89,10 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_
     # written once, so that the number of a row is the same wherever it is used
     d = materialize(d.select(F.monotonically_increasing_id().alias("row"), "id", "owner", base.cast(_SPANS).alias("base"), cands.alias("cands")), "secrets")
 
-    hits = d.where(F.size("cands") > 0).select("row", "id", "owner", F.explode("cands").alias("c")).select("row", "id", "owner", "c.*")
-    uses = hits.groupBy("hash").agg(F.countDistinct("owner").alias("owners"), F.countDistinct("id").alias("repositories"))
-    kind = F.when(F.col("owners") <= max_owners, 3).otherwise(4)
-    marked = hits.join(uses, "hash").groupBy("row").agg(F.collect_list(F.struct("start", kind.alias("kind"), "end")).cast(_SPANS).alias("added"))
+    hits = d.where(F.size("cands") > 0).select("row", F.coalesce(F.col("id").cast("string"), F.lit("")).alias("id"), "owner", F.explode("cands").alias("c")).select("row", "id", "owner", "c.*")
+    uses = hits.groupBy("hash").agg(F.countDistinct("owner").alias("owners"), F.countDistinct("id").alias("repositories"), F.count("*").alias("n"))
+    kind = F.when((F.col("owners") <= max_owners) & (F.col("repositories") <= max_repositories), 3).otherwise(4)
+    uses = materialize(uses.select("hash", kind.alias("kind"), "n"), "uses")
+    marked = spread_join(hits.drop("id", "owner"), uses, "hash").groupBy("row").agg(F.collect_list(F.struct("start", "kind", "end")).cast(_SPANS).alias("added"))
     none = F.expr(f"cast(array() as {_SPANS})")
     return d.join(marked, "row", "left").select(F.col("id").alias(id_col), "base", F.coalesce("added", none).alias("added"))

@@ -1,6 +1,8 @@
 import re
 
-from segmill.llm import license, secrets
+import pytest
+
+from segmill.llm import common, license, secrets
 
 ASSIGN = re.compile(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A)
 TEXTS = [
@@ -9,6 +11,8 @@ TEXTS = [
     "secret: changeme1 " * 300, "logo_" + "Zz9+" * 7 + "==", "passwd:" + "z" * 70_000,
 ]
 DOCS = [(i, t, f"o{i % 4}" if i % 5 else None, "n") for i, t in enumerate(TEXTS)] + [(1, "", "o1", "n"), (None, "token = " + "ab12" * 12, "o9", "n")]
+# one owner: copied into many repositories, and into many places of few
+DOCS += [(100 + i, "secret = copied" + "c3" * 9, "one", "n") for i in range(12)] + [(200 + i, "secret = kept" + "k4" * 9 + "\nsecret = kept" + "k4" * 9, "one", "n") for i in range(10)] + [(200, "secret = kept" + "k4" * 9, "one", "n")]
 
 
 def base(t):
@@ -26,15 +30,19 @@ def candidates(t):
     return {c for c in out if re.search("[A-Za-z]", c[2]) and re.search("[0-9]", c[2])}
 
 
-def test_secrets(spark):
+@pytest.mark.parametrize(("part", "least"), [(512, 1000), (7, 2)])
+def test_secrets(spark, monkeypatch, part, least):
+    monkeypatch.setattr(secrets, "_PART", part)
+    monkeypatch.setattr(common, "HOT_LEAST", least)
     got = secrets.scan(spark.createDataFrame(DOCS, "doc_id long, text string, source string, owner string")).collect()
-    owners = {}
-    for _, t, o, _ in DOCS:
+    owners, repositories = {}, {}
+    for i, t, o, _ in DOCS:
         for c in candidates(t):
             owners.setdefault(c[2], set()).add(o or "")
+            repositories.setdefault(c[2], set()).add(i)
     want = []
     for i, t, _, _ in DOCS:
-        added = sorted((s, 3 if len(owners[v]) <= 2 else 4, e) for s, e, v in candidates(t))
+        added = sorted((s, 3 if len(owners[v]) <= 2 and len(repositories[v]) <= 10 else 4, e) for s, e, v in candidates(t))
         want.append((i, base(t), added))
     assert {x for w in want for x in (y[1] for y in w[2])} == {3, 4}
     assert sorted(((r.doc_id, sorted(map(tuple, r.base)), sorted(map(tuple, r.added))) for r in got), key=str) == sorted(want, key=str)
