@@ -23,6 +23,8 @@ from .common import shared_dir, small_batches
 
 #: A block is closed when it reaches this; a longer document is a block of its own.
 BLOCK_BYTES = 8 << 20
+#: Bytes of text that a task packs, and a bucket holds, about; their number follows from the input's size.
+TASK_BYTES = 64 << 20
 
 
 def release(df: DataFrame) -> None:
@@ -34,6 +36,8 @@ def release(df: DataFrame) -> None:
 def pack(docs: DataFrame, id_col: str, text_col: str, keep: list[str], block_bytes: int | None = None) -> DataFrame:
     """Blocks (block, ids, ends, hashes, data, size); block numbers and places in a block follow (id, text hash), null ids first.
 
+    Texts are dealt by ranges of ids, and of hashes too where many rows share an id; only copies of one row are sorted in one
+    task whatever their number. A task's blocks are numbered so that they all go to one bucket, and so to one file.
     ids: the columns keep of each row, as structs of fields c0, c1 and so on; ends: cumulative ends of the texts in data (int64 as bytes); hashes: 16 bytes for each text; null texts are empty.
     """
     small_batches(docs.sparkSession)
@@ -42,9 +46,14 @@ def pack(docs: DataFrame, id_col: str, text_col: str, keep: list[str], block_byt
     d = docs.select(kept.alias("kept"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.col(id_col).alias("id"))
     kind = d.schema["kept"].dataType
     order = [F.col("id").asc_nulls_first(), F.xxhash64("text")]
+    about = d.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0)).alias("bytes"), F.count("*").alias("rows"), F.approx_count_distinct("id").alias("ids")).first()
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-about["bytes"] // TASK_BYTES))
+    # by id alone if that will do, so that the sample of ranges reads no text
+    ranges = order[: 1 if about["ids"] >= 0.9 * about["rows"] else 2]
 
     def blocks(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = TaskContext.get().partitionId() << 32
+        task = TaskContext.get().partitionId()
+        number = _in_bucket(task << 32, task % tasks, tasks)
         ids, pieces, sizes = [], [], []
 
         def block() -> pa.RecordBatch:
@@ -56,7 +65,7 @@ def pack(docs: DataFrame, id_col: str, text_col: str, keep: list[str], block_byt
                 at += n
             ends = np.cumsum(np.concatenate(sizes)).astype(np.int64)
             out = [pa.array([number]), pa.array([pa.concat_arrays(ids)], pa.list_(ids[0].type)), pa.array([ends.tobytes()], pa.binary()), pa.array([b"".join(hashes)], pa.binary()), pa.array([data], pa.binary()), pa.array([len(data)])]
-            number += 1
+            number = _in_bucket(number + 1, task % tasks, tasks)
             for x in (ids, pieces, sizes):
                 x.clear()
             return pa.RecordBatch.from_arrays(out, names=["block", "ids", "ends", "hashes", "data", "size"])
@@ -83,24 +92,57 @@ def pack(docs: DataFrame, id_col: str, text_col: str, keep: list[str], block_byt
         if sizes:
             yield block()
 
-    # by id alone, so that the sample of ranges reads no text; rows of one id are sorted in one task
-    packed = d.repartitionByRange(order[0]).sortWithinPartitions(*order).select("kept", "text").mapInArrow(blocks, T.StructType([T.StructField("block", T.LongType()), T.StructField("ids", T.ArrayType(kind)), *(T.StructField(c, T.BinaryType()) for c in ("ends", "hashes", "data")), T.StructField("size", T.LongType())]))
-    out, _ = bucketed(packed, "block", dealt=False)
+    packed = d.repartitionByRange(tasks, *ranges).sortWithinPartitions(*order).select("kept", "text").mapInArrow(blocks, T.StructType([T.StructField("block", T.LongType()), T.StructField("ids", T.ArrayType(kind)), *(T.StructField(c, T.BinaryType()) for c in ("ends", "hashes", "data")), T.StructField("size", T.LongType())]))
+    out, _ = bucketed(packed, "block", tasks, dealt=False)
     del packed, d
     release(out)
     return out
 
 
-def bucketed(df: DataFrame, key: str, dealt: bool = True) -> tuple[DataFrame, str]:
+def bucketed(df: DataFrame, key: str, buckets: int, dealt: bool = True) -> tuple[DataFrame, str]:
     """df as a table in the shared folder that is bucketed by a key, so that groups and joins by it need no shuffle; and its path.
 
-    dealt: df is dealt by key first, for one file a bucket; else each task writes files of its own.
+    dealt: df is dealt by key first, for one file a bucket; else each task writes files of its own. The table's name is
+    taken back from the catalog at once; the frame still knows its buckets.
     """
     spark = df.sparkSession
-    name, path, n = f"segmill_{uuid.uuid4().hex}", shared_dir(spark, key), int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = df.repartition(n, key) if dealt else df
-    rows.write.bucketBy(n, key).sortBy(key).option("path", path).option("compression", "zstd").saveAsTable(name)
-    return spark.table(name), path
+    name, path = f"segmill_{uuid.uuid4().hex}", shared_dir(spark, key)
+    rows = df.repartition(buckets, key) if dealt else df
+    rows.write.bucketBy(buckets, key).sortBy(key).option("path", path).option("compression", "zstd").saveAsTable(name)
+    out = spark.table(name)
+    out.schema  # noqa: B018  the frame is resolved before the name goes
+    spark.sql(f"DROP TABLE {name}")
+    return out, path
+
+
+def buckets_of(blocks: DataFrame) -> int:
+    """As many buckets as suit the size of all blocks."""
+    return max(int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total_bytes(blocks) // TASK_BYTES))
+
+
+def spark_bucket(numbers: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket of each long, as Spark deals them: Murmur3 of its two halves, seed 42."""
+
+    def mix(h: np.ndarray, k: np.ndarray) -> np.ndarray:
+        k = k * np.uint32(0xCC9E2D51)
+        k = ((k << np.uint32(15)) | (k >> np.uint32(17))) * np.uint32(0x1B873593)
+        h = h ^ k
+        return ((h << np.uint32(13)) | (h >> np.uint32(19))) * np.uint32(5) + np.uint32(0xE6546B64)
+
+    n = numbers.astype(np.uint64)
+    h = mix(mix(np.full(len(n), 42, np.uint32), n.astype(np.uint32)), (n >> np.uint64(32)).astype(np.uint32)) ^ np.uint32(8)
+    h = (h ^ (h >> np.uint32(16))) * np.uint32(0x85EBCA6B)
+    h = (h ^ (h >> np.uint32(13))) * np.uint32(0xC2B2AE35)
+    return (h ^ (h >> np.uint32(16))).view(np.int32).astype(np.int64) % buckets
+
+
+def _in_bucket(least: int, bucket: int, buckets: int) -> int:
+    """The first number from `least` on that goes to a bucket."""
+    while True:
+        hit = np.flatnonzero(spark_bucket(np.arange(least, least + 4 * buckets), buckets) == bucket)
+        if len(hit):
+            return least + int(hit[0])
+        least += 4 * buckets
 
 
 def _bytes(texts: pa.Array) -> memoryview:

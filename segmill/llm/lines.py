@@ -6,6 +6,9 @@ word among the first n - ceil(s n) + 1 of each. Pairs that share one must pass t
 (enough words can be left behind the shared one) and a filter on 64-bit parities of the sets, a lower bound of how much
 they differ; then their words are compared. A line goes if an earlier line is similar, whether or not that one goes.
 
+Lines of JOINED words and more can be similar to others than their like; shorter ones are settled by classes. Sets are
+equal if two sums of 64-bit hashes of their words are; pairs that the join finds are compared word by word.
+
 Rarity is a word's count of lines in a table of fixed size, counted over the whole corpus; any order gives the same result.
 The join has rounds, so that a large group of similar lines does not cost all its pairs. In each, a line keeps the nearest of
 its earlier candidates only (NEAREST for each word), and in the first the lines of a common word meet the PIVOTS
@@ -24,13 +27,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .blocks import SENT, Rolling, answered, bucket_bits, bucketed, flags_of, gathered, later_in_blocks, mixed, pack, release, rows_of, spans, total_bytes
+from .blocks import SENT, Rolling, answered, bucket_bits, bucketed, buckets_of, flags_of, gathered, mixed, pack, release, rows_of, spans, total_bytes
 from .common import batches, discard, materialize, remove_path
 
 #: Jaccard similarity as a fraction, so that it is compared in whole numbers.
 SIMILAR = (4, 5)
-#: Lines of fewer distinct words are never removed.
-MIN_WORDS = 5
+#: The fewest words of which a set can be similar to a larger one.
+JOINED = SIMILAR[0]
 PIVOTS = 64
 BLOCK_BYTES = 4 << 20
 #: Rows of a word from which the first round looks at it.
@@ -39,6 +42,8 @@ LARGE = 1024
 NEAREST = (2, 16, None)
 RARITY_BITS = 22
 _SLICES = 16
+#: Tables of counts that are summed in one group.
+_FAN_IN = 64
 _MOST = 65535
 #: Lines of more words have parities of 128 bits; folded, they compare with those of 64.
 LONG = 70
@@ -95,27 +100,28 @@ class _Lines:
         first = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]])) if len(line) else np.zeros(0, np.int64)
         return uniq, line, word, line[first], first
 
-    def classes(self, deal: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, tuple]:
-        """Of lines with enough words, by class: bucket and hash, sorted; class and number of each line; first lines."""
+    def classes(self, deal: int, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, tuple]:
+        """Of lines with enough words, by class: bucket and two hashes, sorted; class and number of each line; first lines."""
         uniq, line, word, has, first = self.words()
         n = np.diff(np.append(first, len(line)))
-        ok = n >= MIN_WORDS
+        ok = n >= max(min_words, 1)
         sums = [np.add.reduceat(x[word], first)[ok] if len(first) else np.zeros(0, np.uint64) for x in (mixed(uniq ^ np.uint64(0x1234567)), mixed(uniq + np.uint64(0x89ABCDE)))]
-        lines, key = has[ok], mixed(sums[0])
-        bucket = (mixed(sums[1]) >> np.uint64(64 - deal)).astype(np.int64)
-        order = np.lexsort((lines, key, bucket))
-        key, bucket, lines = key[order], bucket[order], lines[order]
-        new = np.concatenate([[True], (key[1:] != key[:-1]) | (bucket[1:] != bucket[:-1])]) if len(key) else np.zeros(0, bool)
-        return bucket[new], key[new], np.cumsum(new) - 1, lines, lines[new], (uniq, line, word, has, first, n)
-
-    def prefixes(self, deal: int, later: list[dict] | None, rarity: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        lines, keys = has[ok], np.column_stack([mixed(x) for x in sums])
+        bucket = (keys[:, 1] >> np.uint64(64 - deal)).astype(np.int64)
+        order = np.lexsort((lines, keys[:, 0], bucket))
+        keys, bucket, lines = keys[order], bucket[order], lines[order]
+        new = np.concatenate([[True], (keys[1:] != keys[:-1]).any(axis=1)]) if len(keys) else np.zeros(0, bool)
+        return bucket[new], keys[new], np.cumsum(new) - 1, lines, lines[new], (uniq, line, word, has, first, n)
+
+    def prefixes(self, deal: int, min_words: int, later: list[dict] | None, rarity: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Lines whose class came earlier; of the others' first, buckets and rows of the prefixes, sorted by bucket."""
-        bucket, _, of, lines, lead, (uniq, line, word, has, first, n) = self.classes(deal)
+        bucket, _, of, lines, lead, (uniq, line, word, has, first, n) = self.classes(deal, min_words)
         known = flags_of(later, bucket)
         gone = lines[known[of] | (lines != lead[of])]
         lead = np.sort(lead[~known])
         at = np.searchsorted(has, lead)
-        first, n = first[at], n[at]
+        long = n[at] >= JOINED
+        lead, first, n = lead[long], first[at][long], n[at][long]
         starts = np.concatenate([[0], np.cumsum(n)[:-1]]) if len(n) else np.zeros(0, np.int64)
         take = np.repeat(first - starts, n) + np.arange(n.sum())
         # words by rarity; the same order in all blocks
@@ -316,6 +322,21 @@ def _round(t: pa.Table, mask: np.ndarray | None, nearest: int | None, seen: tupl
     return pa.table(out | {"bucket": pa.array([bucket] * (len(a) + m), pa.int64()), "cut": pa.array([None] * len(a) + blobs, pa.binary())})
 
 
+def _later(arrays: list[np.ndarray]) -> list[np.ndarray]:
+    """For arrays of distinct pairs of hashes in the order of blocks: which pairs an earlier array has."""
+    all_ = np.concatenate(arrays).reshape(-1, 2)
+    order = np.argsort(all_[:, 0], kind="stable")
+    s = all_[order]
+    same = (s[1:] == s[:-1]).all(axis=1)
+    if (same != (s[1:, 0] == s[:-1, 0])).any():  # one hash does not tell two pairs apart
+        order = np.lexsort((all_[:, 1], all_[:, 0]))
+        s = all_[order]
+        same = (s[1:] == s[:-1]).all(axis=1)
+    later = np.zeros(len(all_), bool)
+    later[order[1:]] = same
+    return np.split(later, np.cumsum([len(a) // 2 for a in arrays])[:-1])
+
+
 def _first_round(nearest: int | None):
     return lambda t: _round(t, None, nearest)
 
@@ -375,12 +396,12 @@ def _verified(pairs: DataFrame, blocks: DataFrame) -> DataFrame:
     return both.mapInArrow(compare, "block long, line long").distinct()
 
 
-def remove_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+def remove_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, min_words: int = 1) -> DataFrame:
     """One row for each row of docs: its columns keep (the id, if None), n_lines, removed (numbers of removed lines, from 0), kept (the text without them).
 
-    A line (between line feeds) of MIN_WORDS distinct words and more is removed if an earlier line's words are similar:
+    A line (between line feeds) of min_words distinct words and more is removed if an earlier such line's words are similar:
     a line of a row of smaller id (nulls first, equal ids by the text's hash), or before in the same text. Lines are judged
-    on the input. Null texts are empty, of one empty line. Repeated rows count as later copies; other columns are left out,
+    on the input; lines without words stay. Null texts are empty, of one empty line. Repeated rows count as later copies; other columns are left out,
     as are columns of keep that are named as the new ones.
     """
     keep = [c for c in ([id_col] if keep is None else keep) if c not in ("n_lines", "removed", "kept")]
@@ -392,11 +413,10 @@ def remove_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         seen = np.zeros(1 << RARITY_BITS, np.int32)
         for part in parts:
             for i in range(part.num_rows):
-                bucket, key, _, _, _, (uniq, _, word, _, _, _) = _Lines(part.column(1)[i].as_py(), part.column(2)[i].as_py()).classes(deal)
+                bucket, key, _, _, _, (uniq, _, word, _, _, _) = _Lines(part.column(1)[i].as_py(), part.column(2)[i].as_py()).classes(deal, min_words)
                 np.add.at(seen, (uniq >> np.uint64(64 - RARITY_BITS)).astype(np.int64), np.bincount(word, minlength=len(uniq)).astype(np.int32))
                 yield batches(rows_of(part.column(0)[i].as_py(), bucket, key), SENT)
-        lot = TaskContext.get().partitionId() % 64
-        yield _sparse(lot, [(-1 - i, x) for i, x in enumerate(np.split(seen, _SLICES))])
+        yield _sparse(TaskContext.get().partitionId(), [(-1 - i, x) for i, x in enumerate(np.split(seen, _SLICES))])
 
     kind = "block long, bucket long, hashes binary"
     first = materialize(blocks.select("block", "ends", "data").mapInArrow(count, kind), "classes")
@@ -405,29 +425,36 @@ def remove_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         s = np.zeros((1 << RARITY_BITS) // _SLICES, np.int64)
         for x in t.column("hashes"):
             np.add.at(s, *(lambda p: (p["at"], p["n"]))(np.frombuffer(x.as_py(), _COUNT)))
-        return pa.Table.from_batches([_sparse(0, [(t.column("bucket")[0].as_py(), np.minimum(s, 2**31 - 1))])])
-
-    # a table of fixed size, summed in lots and then in one, slice by slice
-    counts = first.where("bucket < 0").groupBy("block", "bucket").applyInArrow(total, kind).groupBy("bucket").applyInArrow(total, kind).collect()
+        return pa.Table.from_batches([_sparse(t.column("block")[0].as_py(), [(t.column("bucket")[0].as_py(), np.minimum(s, 2**31 - 1))])])
+
+    # tables of fixed size, one for each task: a tree of sums, slice by slice
+    counts = first.where("bucket < 0")
+    tasks = counts.agg(F.max("block")).first()[0] or 0
+    while True:
+        counts = counts.withColumn("block", F.expr(f"block div {_FAN_IN}")).groupBy("block", "bucket").applyInArrow(total, kind)
+        if tasks < _FAN_IN:
+            break
+        tasks //= _FAN_IN
+    counts = counts.collect()
     seen = np.zeros((_SLICES, (1 << RARITY_BITS) // _SLICES), np.int64)
     for r in counts:
         p = np.frombuffer(r.hashes, _COUNT)
         seen[-1 - r.bucket, p["at"]] = p["n"]
     rarity = docs.sparkSession.sparkContext.broadcast(_level(seen.ravel()))
     del counts, seen
-    later = materialize(gathered(answered(first.where("bucket >= 0"), later_in_blocks, "uint64"), "later"), "later")
+    later = materialize(gathered(answered(first.where("bucket >= 0"), _later, "uint64"), "later"), "later")
 
     def send(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             for i in range(part.num_rows):
                 block = part.column(0)[i].as_py()
-                gone, b, rows = _Lines(part.column(1)[i].as_py(), part.column(2)[i].as_py()).prefixes(deal, part.column(3)[i].as_py(), rarity.value, bits)
+                gone, b, rows = _Lines(part.column(1)[i].as_py(), part.column(2)[i].as_py()).prefixes(deal, min_words, part.column(3)[i].as_py(), rarity.value, bits)
                 yield batches({"block": [block], "bucket": [-1], "hashes": [gone.astype(np.int64).tobytes()]}, SENT)
                 yield batches(rows_of(block, b, rows, _encoded), SENT)
 
     base = blocks.join(later, "block", "left")
     # dealt by bucket once, for both rounds
-    sent, path = bucketed(base.select("block", "ends", "data", "later").mapInArrow(send, kind), "bucket")
+    sent, path = bucketed(base.select("block", "ends", "data", "later").mapInArrow(send, kind), "bucket", buckets_of(blocks))
     copies = materialize(sent.where("bucket < 0").select("block", F.col("hashes").alias("copies")), "copies")
     sent = sent.where("bucket >= 0")
     discard(first)

@@ -145,7 +145,7 @@ ORACLE_SQL: dict[str, str] = {
         s AS (SELECT r, string_split(t, chr(10)) AS ls FROM d),
         l AS MATERIALIZED (SELECT r, i, ls[i] AS line, row_number() OVER (ORDER BY r, i) AS id FROM (SELECT r, ls, unnest(range(1, len(ls) + 1)) AS i FROM s)),
         w AS MATERIALIZED (SELECT id, list_sort(list_distinct(list_filter(string_split_regex(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t\r\v\f]+'), lambda x: x <> ''))) AS ws FROM l),
-        c AS MATERIALIZED (SELECT ws, len(ws) AS n, min(id) AS lead FROM w WHERE len(ws) >= 5 GROUP BY ws),
+        c AS MATERIALIZED (SELECT ws, len(ws) AS n, min(id) AS lead FROM w WHERE len(ws) > 0 GROUP BY ws),
         t AS MATERIALIZED (SELECT lead, n, unnest(ws) AS word FROM c),
         f AS MATERIALIZED (SELECT word, count(*) AS df FROM t GROUP BY word),
         p AS MATERIALIZED (SELECT lead, n, word FROM (SELECT lead, n, word, row_number() OVER (PARTITION BY lead ORDER BY df, word) AS k FROM t JOIN f USING (word)) WHERE k <= n - (4 * n + 4) // 5 + 1),

@@ -1,4 +1,5 @@
 import numpy as np
+from pyspark.sql import functions as F
 
 from segmill.llm import blocks
 
@@ -39,3 +40,23 @@ def test_pack_order_and_sizes(spark):
         ids += [x.c0 for x in r.ids]
         texts += [bytes(r.data)[s:e].decode() for s, e in zip([0, *ends], ends, strict=False)]
     assert list(zip(ids, texts, strict=True)) == [(None, "first"), *sorted(rows[:50]), (60, "")]
+
+
+def test_buckets_are_those_of_spark(spark):
+    rows = spark.range(0, 10**12, 10**9 + 7).select("id", F.pmod(F.hash("id"), F.lit(37)).alias("b")).collect()
+    assert blocks.spark_bucket(np.array([r.id for r in rows]), 37).tolist() == [r.b for r in rows]
+
+
+def test_pack_deals_evenly(spark, monkeypatch):
+    """Tasks follow from the bytes, each writes one file, and a null id of many rows is not one task's."""
+    monkeypatch.setattr(blocks, "TASK_BYTES", 10_000)
+    texts = [(None if i % 3 else i, f"{i} " * 50) for i in range(900)]
+    out = blocks.pack(spark.createDataFrame(texts, "doc_id long, text string"), "doc_id", "text", ["doc_id"], 2000)
+    got = out.select("block", "size", F.input_file_name().alias("file")).collect()
+    tasks = {}
+    for r in got:
+        tasks.setdefault(r.block >> 32, []).append(r)
+    assert len(tasks) > 12 and all(len({r.file for r in rs}) == 1 for rs in tasks.values())
+    assert max(sum(r.size for r in rs) for rs in tasks.values()) < 60_000
+    assert "Exchange" not in out.groupBy("block").count()._jdf.queryExecution().executedPlan().toString().replace("AdaptiveSparkPlan", "")
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("segmill_")]

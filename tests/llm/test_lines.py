@@ -6,14 +6,14 @@ import pytest
 from segmill.llm import blocks, lines
 
 
-def plain(rows):
+def plain(rows, least=1):
     """rows in order: (id, n_lines, removed, kept) by comparing each line with all before it."""
     seen, out = [], []
     for i, t in rows:
         ls, removed = (t or "").split("\n"), []
         for n, line in enumerate(ls):
             w = set(line.encode().lower().split())
-            if len(w) < lines.MIN_WORDS:
+            if len(w) < least:
                 continue
             if any(5 * len(w & v) >= 4 * len(w | v) for v in seen):
                 removed.append(n)
@@ -27,7 +27,7 @@ def corpus(seed, n=150):
     common, rare = [f"c{i}" for i in range(8)], [f"Wé{i}" for i in range(500)]
     word = lambda: rnd.choice(common if rnd.random() < 0.5 else rare)
     pool = [[word() for _ in range(rnd.randrange(1, 40))] for _ in range(40)]
-    texts = [None, "", "\n", "a b c d e\n\na b c d e", "x" * 6000 + " p q r s", "X" * 6000 + " p q r s\n", " ".join(rare * 9)]
+    texts = [None, "", "\n", "a b\nB a\na\n a b c\na b c d\na b c d e\na b c d e f", "\u65e5\u672c\u8a9e\nx\n\u65e5\u672c\u8a9e", "a b c d e\nd c b a", "a b c d e\n\na b c d e", "x" * 6000 + " p q r s", "X" * 6000 + " p q r s\n", " ".join(rare * 9)]
     for _ in range(n):
         ls = []
         for _ in range(rnd.randrange(1, 9)):
@@ -41,15 +41,16 @@ def corpus(seed, n=150):
     return list(zip(rnd.sample(range(-50, 1000), len(texts)), texts, strict=True))
 
 
-@pytest.mark.parametrize(("block_bytes", "pivots"), [(3000, 2), (1 << 20, 32)])
-def test_equals_brute_force(spark, monkeypatch, block_bytes, pivots):
+@pytest.mark.parametrize(("block_bytes", "pivots", "least"), [(3000, 2, 1), (1 << 20, 32, 1), (3000, 32, 5)])
+def test_equals_brute_force(spark, monkeypatch, block_bytes, pivots, least):
+    monkeypatch.setattr(lines, "_FAN_IN", 2)
     monkeypatch.setattr(lines, "BLOCK_BYTES", block_bytes)
     monkeypatch.setattr(blocks, "_CHUNK", 900)
     monkeypatch.setattr(lines, "PIVOTS", pivots)
     rows = corpus(block_bytes)
     df = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, kept string")
-    got = {r.doc_id: tuple(r) for r in lines.remove_lines(df).collect()}
-    want = plain(sorted(rows))
+    got = {r.doc_id: tuple(r) for r in lines.remove_lines(df, min_words=least).collect()}
+    want = plain(sorted(rows), least)
     assert len(got) == len(rows) and sum(len(w[2]) for w in want) > 100
     assert [got[w[0]] for w in want] == want
 
@@ -57,7 +58,7 @@ def test_equals_brute_force(spark, monkeypatch, block_bytes, pivots):
 def test_nulls_repeats_none(spark):
     df = spark.createDataFrame([(None, "a b c d e f"), (1, "f e d c b A\nz"), (1, "f e d c b A\nz"), (2, None)], "doc_id long, text string")
     got = sorted(((r.doc_id, r.n_lines, r.removed, r.kept) for r in lines.remove_lines(df).collect()), key=str)
-    assert got == sorted([(None, 1, [], "a b c d e f"), (1, 2, [0], "z"), (1, 2, [0], "z"), (2, 1, [], "")], key=str)
+    assert got == sorted([(None, 1, [], "a b c d e f"), (1, 2, [0], "z"), (1, 2, [0, 1], ""), (2, 1, [], "")], key=str)
     assert lines.remove_lines(df.limit(0)).count() == 0
 
 
