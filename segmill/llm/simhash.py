@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import mixed
-from .common import materialize, small_batches
+from .common import materialize, small_batches, spread_join
 from .components import connected_components
 
 SEED = 42
@@ -197,9 +197,8 @@ def links(distinct: DataFrame, radius: int, first_radius: int | None = None) ->
         order = np.lexsort((fps, _order(c)))
         wide, nodes = np.column_stack([fps, rest])[order], table.column("node").to_numpy()[order]
         t = table.column("tile")[0].as_py()
-        with_ = np.flatnonzero(_near(lo[t], hi[t], lo, hi, near))
-        blob, n = wide.tobytes(), len(with_)
-        return pa.table({"a": pa.array(np.minimum(t, with_)), "b": pa.array(np.maximum(t, with_)), "tile": pa.array(np.full(n, t)), "nodes": pa.array([nodes.tobytes()] * n, pa.binary()), "fps": pa.array([blob] * n, pa.binary())})
+        near_ = np.flatnonzero(_near(lo[t], hi[t], lo, hi, near))
+        return pa.table({"tile": [t], "near": pa.array([near_], pa.list_(pa.int64())), "nodes": pa.array([nodes.tobytes()], pa.binary()), "fps": pa.array([wide.tobytes()], pa.binary())})
 
     def compared(table: pa.Table) -> pa.Table:
         nodes = [np.frombuffer(x.as_py(), np.int64) for x in table.column("nodes")]
@@ -208,8 +207,10 @@ def links(distinct: DataFrame, radius: int, first_radius: int | None = None) ->
         nodes = np.concatenate(nodes)
         return pa.table({"u": nodes[u], "v": nodes[v]})
 
-    kind = "a long, b long, tile long, nodes binary, fps binary"
-    tiles = distinct.select("fp", "node", "rest").mapInArrow(dealt, "fp long, tile long, node long, rest binary").groupBy("tile").applyInArrow(packed, kind)
+    tiles = distinct.select("fp", "node", "rest").mapInArrow(dealt, "fp long, tile long, node long, rest binary").groupBy("tile").applyInArrow(packed, "tile long, near array<long>, nodes binary, fps binary")
+    # one row a tile, copied for each near tile row by row: no task holds more than one copy
+    tiles = materialize(tiles, "tiles").select("tile", "nodes", "fps", F.explode("near").alias("other"))
+    tiles = tiles.select(F.least("tile", "other").alias("a"), F.greatest("tile", "other").alias("b"), "nodes", "fps")
     return tiles.groupBy("a", "b").applyInArrow(compared, "u long, v long")
 
 
@@ -222,13 +223,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     d = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     fps = materialize(fingerprints(d, "text", width).select("id", "fp"), "fingerprints")
-    distinct = materialize(fps.groupBy("fp").agg(F.min("id").alias("least")), "distinct")
+    distinct = materialize(fps.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n")), "distinct")
     roots = connected_components(links(distinct.select("fp", F.col("fp").alias("node"), F.lit(b"").alias("rest")), radius))
     rooted = distinct.join(roots, distinct.fp == roots.node).select("fp", "root", "least")
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     known = rooted.join(least, "root").select(F.col("fp").alias("k"), "component_id")
-    of = distinct.join(known, distinct.fp == known.k, "left").select(F.col("fp").alias("f"), F.coalesce("component_id", "least").alias("component_id"))
-    return fps.join(of, fps.fp == of.f).select(F.col("id").alias(id_col), "fp", "component_id")
+    of = materialize(distinct.join(known, distinct.fp == known.k, "left").select("fp", F.coalesce("component_id", "least").alias("component_id"), "n"), "components")
+    return spread_join(fps, of, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
 #: For texts of Jaccard similarity s on shingles, each of the 256 bits differs with probability acos(2s / (1 + s)) / pi: 38.8
@@ -360,8 +361,8 @@ def filter_docs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     roots = connected_components(verified(groups, rows.select("row", F.col(text).cast("string").alias("text")), width))
     rooted = distinct.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     best = rooted.groupBy("root").agg(F.min("least").alias("best"))
-    of = rooted.join(best, "root").select(F.col("whole").alias("w"), "best", "least", "n").where("n > 1 or best != least")
-    gone = own.join(of, own.whole == of.w).where(F.col("row") != F.col("best.row")).select(F.col("row").alias("gone"))
+    of = materialize(rooted.join(best, "root").where("n > 1 or best != least").groupBy("whole").agg(F.first("best").alias("best"), F.sum("n").alias("n")), "components")
+    gone = spread_join(own, of, "whole").where(F.col("row") != F.col("best.row")).select(F.col("row").alias("gone"))
     gone = materialize(gone, "gone")
     side = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
     return rows.join(side, F.col("row") == F.col("gone"), "left_anti").select(*inner).toDF(*docs.columns)

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .blocks import SENT, Rolling, answered, bucket_bits, flags_of, gathered, later_in_blocks, pack, release, rows_of, shared_by_blocks, total_bytes
-from .common import batches, materialize
+from .common import batches, materialize, spread_join
 
 WINDOW = 100
 # A perfect difference set; its differences are all residues modulo 57.
@@ -127,9 +127,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     bits = bucket_bits(amount * 4 * len(COVER) / MODULUS)
     deal = bucket_bits(amount * 2)
 
-    texts = blocks.select("block", F.posexplode(F.expr("transform(sequence(0, cast(octet_length(hashes) / 16 as int) - 1), i -> substring(hashes, 16 * i + 1, 16))")).alias("at", "hash")).where("octet_length(hash) = 16")
-    twice = texts.groupBy("hash").agg(F.min(F.struct("block", "at")).alias("first"), F.count("*").alias("n")).where("n > 1").select("hash", "first")
-    copies = materialize(texts.join(twice, "hash").where("struct(block, at) != first").groupBy("block").agg(F.collect_list("at").alias("copies")), "copies")
+    hashes = F.expr("transform(sequence(0, cast(octet_length(hashes) / 16 as int) - 1), i -> substring(hashes, 16 * i + 1, 16))")
+    texts = blocks.select("block", F.posexplode(hashes).alias("at", "hash")).where("octet_length(hash) = 16")
+    twice = texts.groupBy("hash").agg(F.min(F.struct("block", "at")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    copies = spread_join(texts, materialize(twice, "twice"), "hash").where("struct(block, at) != first")
+    copies = materialize(copies.groupBy("block").agg(F.collect_list("at").alias("copies")), "copies")
     base = blocks.select("block", "ids", "ends", "data").join(copies, "block", "left")
 
     def send_cover(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -4,7 +4,7 @@ import re
 import numpy as np
 import xxhash
 
-from segmill.llm import simhash
+from segmill.llm import common, simhash
 
 
 def plain_fp(text, width=4):
@@ -87,6 +87,7 @@ def test_forest_connects_what_links_connect(monkeypatch):
 def test_frames(spark, monkeypatch):
     monkeypatch.setattr(simhash, "TILE", 16)
     monkeypatch.setattr(simhash, "TILE_MOST", 16)
+    monkeypatch.setattr(common, "HOT_LEAST", 1)
     rows = [(i * 3 % 1009 if i % 37 else None, t, "x") for i, t in enumerate(texts(random.Random(5), 60))]
     rows += rows[:5]
     out = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string, fp string")).collect()
