@@ -31,6 +31,18 @@ SENTENCES = {
     "bsd-binary": "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution",
     "bsd-names": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
     "bsd-ref": "Licensed under the BSD License",
+    "gpl2-header": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version",
+    "gpl2-ref": "Licensed under the GNU General Public License, version 2",
+    "lgpl21-header": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version",
+    "lgpl3-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
+    "agpl3-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
+    "agpl3-ref": "Licensed under the GNU Affero General Public License, version 3",
+    "unlicense": "This is free and unencumbered software released into the public domain",
+    "zlib-as-is": "This software is provided 'as-is', without any express or implied warranty",
+    "zlib-grant": "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions",
+    "boost-ref": "Distributed under the Boost Software License, Version 1.0",
+    "epl2-header": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
+    "cc0-deed": "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide",
     "gpl3-ref": "This work is licensed under the GNU General Public License, version 3",
     "gpl3-ref2": "Licensed under the GNU General Public License, version 3",
     "gpl3-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
@@ -38,6 +50,9 @@ SENTENCES = {
     "cc-by-nc-ref": "Licensed under CC BY-NC 4.0",
     "cc-by-ref": "Licensed under CC BY 4.0",
     "cc-by-sa-ref": "Licensed under CC BY-SA 4.0",
+    "cc-by-nd-ref": "Licensed under CC BY-ND 4.0",
+    "cc-by-nc-sa-ref": "Licensed under CC BY-NC-SA 4.0",
+    "cc0-ref": "Licensed under CC0 1.0",
 }
 # Licences and the sequences of sentences that stand for them, the first to match first.
 _RULES = (
@@ -49,17 +64,31 @@ _RULES = (
     ("Apache-2.0", ("apache-header", "apache-use")),
     ("BSD-3-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-names")),
     ("BSD-2-Clause", ("bsd-grant", "bsd-source", "bsd-binary")),
+    ("AGPL-3.0-or-later", ("agpl3-header",)),
+    ("LGPL-3.0-or-later", ("lgpl3-header",)),
+    ("LGPL-2.1-or-later", ("lgpl21-header",)),
     ("GPL-3.0-or-later", ("gpl3-header",)),
+    ("GPL-2.0-or-later", ("gpl2-header",)),
+    ("Zlib", ("zlib-as-is", "zlib-grant")),
+    ("Unlicense", ("unlicense",)),
+    ("EPL-2.0", ("epl2-header",)),
+    ("BSL-1.0", ("boost-ref",)),
+    ("CC0-1.0", ("cc0-deed",)),
     ("MIT", ("mit-ref",)),
     ("MIT", ("mit-ref2",)),
     ("Apache-2.0", ("apache-ref",)),
-    ("BSD-3-Clause", ("bsd-ref",)),
+    ("LicenseRef-BSD", ("bsd-ref",)),
+    ("GPL-2.0-only", ("gpl2-ref",)),
+    ("AGPL-3.0-only", ("agpl3-ref",)),
     ("GPL-3.0-only", ("gpl3-ref",)),
     ("GPL-3.0-only", ("gpl3-ref2",)),
     ("MPL-2.0", ("mpl2-ref",)),
     ("CC-BY-NC-4.0", ("cc-by-nc-ref",)),
     ("CC-BY-4.0", ("cc-by-ref",)),
     ("CC-BY-SA-4.0", ("cc-by-sa-ref",)),
+    ("CC-BY-ND-4.0", ("cc-by-nd-ref",)),
+    ("CC-BY-NC-SA-4.0", ("cc-by-nc-sa-ref",)),
+    ("CC0-1.0", ("cc0-ref",)),
 )
 #: Sentences end at these marks before white space, a quote or the end of the text.
 ENDS = r"""[.;:!?]+["')]*(?:[ \t\r\n\f]+|\z)"""
@@ -67,7 +96,7 @@ LINES = ENDS + r"|[\r\n]+"
 #: A line end before a line without letters and digits.
 BLANK = r"(?>\r\n|\r|\n)[^a-z0-9\r\n]*+(?=[\r\n])"
 #: Each known sentence has one of these, so a text without any has no known sentence.
-ANCHORS = ("licen", "permission", "copyright", "redistribut", "warrant", "free software", "2")
+ANCHORS = ("licen", "permission", "copyright", "redistribut", "warrant", "free software", "public domain", "2")
 
 
 def normal(sentence: str) -> str:
@@ -80,10 +109,13 @@ def _pieces(text: str) -> list[str]:
 
 
 #: Normalised sentences and their identifiers; the pieces of a known sentence that holds ends are numbered from the second on.
-KNOWN = {p: k if n == 0 else f"{k}.{n + 1}" for k, v in SENTENCES.items() for n, p in enumerate(_pieces(v))}
+KNOWN: dict[str, str] = {}
+for _name, _sentence in SENTENCES.items():
+    for _n, _piece in enumerate(_pieces(_sentence)):
+        KNOWN.setdefault(_piece, _name if _n == 0 else f"{_name}.{_n + 1}")  # a piece of several sentences keeps its first name
 #: Licences and the identifiers that stand for them.
 RULES = tuple((lic, tuple(KNOWN[p] for k in seq for p in _pieces(SENTENCES[k]))) for lic, seq in _RULES)
-assert len(KNOWN) == sum(len(_pieces(v)) for v in SENTENCES.values()) and all(any(a in s for a in ANCHORS) for s in KNOWN)
+assert len({seq for _, seq in RULES}) == len(RULES) and all(any(a in s for a in ANCHORS) for s in KNOWN)
 
 
 def _ids(text: Column, ends: str) -> Column:
@@ -134,10 +166,13 @@ def oracle(table: str) -> str:
         mark = quote("".join(f"<{x}>" for x in seq))
         steps.append(f"r{n} AS (SELECT row, replace(seq, {mark}, '<>') AS seq, CASE WHEN contains(seq, {mark}) THEN list_append(got, {quote(lic)}) ELSE got END AS got FROM {last})")
         last = f"r{n}"
+    # a run of line ends with lines without letters and digits between them ends a sentence
+    lf = r"regexp_replace(text, '\r\n?', chr(10), 'g')"
+    parted = rf"regexp_replace(regexp_replace({lf}, '\n(?:[^a-z0-9\n]*\n)+', '. ', 'g'), '\n', ' ', 'g')"
     return f"""
         WITH d AS (SELECT row_number() OVER () AS row, doc_id, lower(coalesce(text, '')) AS text FROM {table}),
-        s AS (SELECT row, doc_id, {ids("text", LINES)} AS a, {ids(r"regexp_replace(text, '[\r\n]+', ' ', 'g')", ENDS)} AS b FROM d),
-        i AS (SELECT row, list_aggregate(list_transform(x, lambda y: '<' || y || '>'), 'string_agg', '') AS seq, []::VARCHAR[] AS got FROM (SELECT row, a AS x FROM s UNION ALL SELECT row, b FROM s)),
+        s AS (SELECT row, doc_id, {ids("text", LINES)} AS a, {ids(r"regexp_replace(text, '[\r\n]+', ' ', 'g')", ENDS)} AS b, {ids(parted, ENDS)} AS c FROM d),
+        i AS (SELECT row, list_aggregate(list_transform(x, lambda y: '<' || y || '>'), 'string_agg', '') AS seq, []::VARCHAR[] AS got FROM (SELECT row, a AS x FROM s UNION ALL SELECT row, b FROM s UNION ALL SELECT row, c FROM s)),
         {", ".join(steps)},
         g AS (SELECT row, list_sort(list_distinct(flatten(list(got)))) AS licenses FROM {last} GROUP BY row)
         SELECT doc_id, a AS sentences, licenses FROM s JOIN g USING (row)

@@ -2,6 +2,9 @@
 
 import textwrap
 
+import duckdb
+import pandas as pd
+
 from segmill.llm import license
 
 
@@ -23,9 +26,18 @@ def test_files(spark):
         "BSD-3-Clause": [wrap(*bsd)],
         "BSD-2-Clause": [wrap(*bsd[:-1])],
         "GPL-3.0-or-later": [wrap(s["gpl3-header"] + ".")],
+        "GPL-2.0-or-later": [wrap(s["gpl2-header"] + "."), "# " + wrap(s["gpl2-header"]).replace("\n", "\n# ")],
+        "LGPL-2.1-or-later": [wrap(s["lgpl21-header"] + ".")],
+        "AGPL-3.0-or-later": [wrap(s["agpl3-header"] + ".")],
+        "Zlib": [wrap(owner, s["zlib-as-is"] + ".", s["zlib-grant"] + ":")],
+        "Unlicense": [wrap(s["unlicense"] + ".")],
+        "LicenseRef-BSD": ["Licensed under the BSD License."],
         "MPL-2.0": [wrap(s["mpl2-ref"] + ".")],
         "": ["This program is free software: you may not.", "Mozilla Public License, v. 2.0", "2.0", owner + "\n\n" * 20_000],
     }
     rows = [(x, lic) for lic, xs in texts.items() for x in xs]
     got = license.scan(spark.createDataFrame([(i, x) for i, (x, _) in enumerate(rows)], "doc_id long, text string")).collect()
     assert {r.doc_id: ",".join(r.licenses) for r in got} == {i: lic for i, (_, lic) in enumerate(rows)}
+    docs = pd.DataFrame({"doc_id": range(len(rows)), "text": [x for x, _ in rows]})  # noqa: F841  read by the SQL
+    known = duckdb.connect().execute(f"SELECT doc_id, licenses FROM ({license.oracle('docs')})").fetchall()
+    assert {i: ",".join(x) for i, x in known} == {i: lic for i, (_, lic) in enumerate(rows)}
