@@ -48,3 +48,15 @@ def test_frames(spark):
     assert sorted((r.doc_id or 0, bytes(r.decoded).decode()) for r in out) == sorted((r[0] or 0, r[1] or "") for r in rows)
     assert all(r.token_ids == REF.encode_ordinary(bytes(r.decoded).decode()) for r in out)
     assert bpe.encode(docs.limit(0), PATH, P.PATTERN).count() == 0
+
+
+def test_other_patterns():
+    """Of patterns that the proofs do not cover, texts are encoded whole."""
+    pattern = r"\p{N}{1,3}|\p{L}+|[^\p{L}\p{N}]+"
+    ref = tiktoken.Encoding("other", pat_str=pattern, mergeable_ranks=REF._mergeable_ranks, special_tokens={})
+    codec = bpe.TreeCodec(RANKS, pattern, 8)
+    rnd = random.Random(2)
+    for _ in range(300):
+        t = "".join(rnd.choice("0123456789ab .") for _ in range(200))
+        assert codec.encode(t) == ref.encode_ordinary(t)
+    assert P.PATTERN in bpe.PROVEN
