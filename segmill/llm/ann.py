@@ -4,7 +4,7 @@ Vectors are scaled to length one and rounded to int8 codes with a step of their
 leaves bounds how far a product of codes can be from the cosine. Tiles of query codes times candidate codes give
 each pair a lower and an upper bound; a pair survives whose upper bound reaches the k-th largest lower bound of
 its query, within the tile and then over all tiles. Survivors get the cosine from the original vectors in double
-precision, and heaps merge them. The result is exact.
+precision; each task keeps a heap of the nearest of each query, and heaps merge those of all tasks. The result is exact.
 
 Equal vectors are one class: tiles hold each once, with its k + 1 smallest ids, so copies cost no pairs.
 """
@@ -96,23 +96,53 @@ def _side(dim: int, table: pa.Table, i: int) -> tuple[np.ndarray, tuple]:
 
 
 def cosine(a, b):
-    """Cosine of two array<double> columns, summed from the first element on."""
+    """Cosine of two array<double> columns, summed from the first element on; null if the squares leave the range of doubles."""
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, p: s + p)
-    return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))))
+    return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.try_divide(dot(a, b), F.sqrt(dot(a, a) * dot(b, b)))))
+
+
+def in_range(v):
+    """An array<double> column, vectors of extreme numbers scaled by a power of two, which changes no cosine."""
+    most = F.array_max(F.transform(v, F.abs))
+    power = F.pow(F.lit(2.0), F.greatest(F.lit(-1000.0), F.least(F.lit(1000.0), -F.floor(F.log2(most)).cast("double"))))
+    return F.when(most.between(1e-60, 1e60), v).otherwise(F.transform(F.array(power), lambda p: F.transform(v, lambda x: x * p))[0])
+
+
+class _Nearest:
+    """The k + 1 nearest (score, id) of each query, on heaps: the worst kept is on top."""
+
+    def __init__(self, k: int):
+        self.k, self.heaps = k, {}
+
+    def add(self, q: int, score: float, i: int) -> None:
+        heap = self.heaps.setdefault(q, [])
+        if len(heap) <= self.k:
+            heapq.heappush(heap, (score, -i))
+        else:
+            heapq.heappushpop(heap, (score, -i))
+
+    def rows(self) -> pa.Table:
+        """All that is kept, nearest first, ties by id."""
+        flat = [(q, -i, s) for q, heap in self.heaps.items() for s, i in sorted(heap, reverse=True)]
+        return pa.table({"q": pa.array([x[0] for x in flat], pa.int64()), "id": pa.array([x[1] for x in flat], pa.int64()), "score": pa.array([x[2] for x in flat], pa.float64())})
+
+
+#: Queries whose heaps a task holds before it passes them on.
+HEAPS = 100_000
 
 
 def nearest(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """(query_id, rank from 1, vec_id, score): for each query the k rows of largest cosine, ties to smaller ids.
 
-    is_query: a condition on id_col. Rows take no part whose id is null or whose vector is null, empty, zero or
+    is_query: a condition on id_col, a long. Rows take no part whose id is null or whose vector is null, empty, zero or
     holds nulls or values that are not finite. A query never gets rows of its own id; vectors of another length are
-    no candidates. Fewer candidates give fewer rows. Repeated rows of one id and vector count once; other columns
-    are left out. Vectors so small or large that their squares leave the range of doubles are not supported.
+    no candidates. Fewer candidates give fewer rows. Repeated rows of one id and vector count once. An id of several
+    vectors has one list, of the nearest to any of them, and may stand in a list with each. Other columns are left out.
     """
     num = F.transform(F.col(vec_col), lambda x: x.cast("double"))
     good = F.forall(num, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists(num, lambda x: x != 0)
-    rows = vectors.where(F.col(id_col).isNotNull() & F.col(vec_col).isNotNull()).where(good).select(F.col(id_col).alias("id"), num.alias("v"), is_query.alias("asks"))
-    rows = materialize(rows, "vectors")
+    rows = vectors.where(F.col(id_col).isNotNull() & F.col(vec_col).isNotNull()).where(good).select(F.col(id_col).cast("long").alias("id"), num.alias("v"), is_query.alias("asks"))
+    rows = materialize(rows.withColumn("v", in_range(F.col("v"))), "vectors")
 
     near = Window.partitionBy("v").orderBy("id")
     least = rows.select("v", "id").withColumn("n", F.dense_rank().over(near)).where(F.col("n") <= k + 1)
@@ -147,10 +177,28 @@ def nearest(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", ve
         .join(classes.select(F.col("cls").alias("q"), F.col("v").alias("qv")), "q")
         .select("q", F.explode("ids").alias("id"), cosine(F.col("qv"), F.col("cv")).alias("score"))
     )
-    best = Window.partitionBy("q").orderBy(F.desc("score"), "id")
-    top = scored.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k + 1).groupBy("q").agg(F.array_sort(F.collect_list(F.struct("n", "id", "score"))).alias("top"))
+
+    def kept(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = _Nearest(k)
+        for part in parts:
+            for q, i, score in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                best.add(q, score, i)
+            if len(best.heaps) > HEAPS:
+                yield from best.rows().to_batches()
+                best = _Nearest(k)
+        yield from best.rows().to_batches()
+
+    def merged(table: pa.Table) -> pa.Table:
+        best = _Nearest(k)
+        for q, i, score in zip(*(c.to_pylist() for c in table.columns), strict=True):
+            best.add(q, score, i)
+        return best.rows()
+
+    kind = "q long, id long, score double"
+    top = scored.mapInArrow(kept, kind).groupBy("q").applyInArrow(merged, kind).groupBy("q").agg(F.collect_list(F.struct((-F.col("score")).alias("far"), "id", "score")).alias("top"))
     queries = rows.where("asks").select("id", "v").distinct().join(classes.select("v", F.col("cls").alias("q")), "v").select("id", "q")
-    mine = queries.join(top, "q").select("id", F.slice(F.filter("top", lambda x: x["id"] != F.col("id")), 1, k).alias("top"))
+    mine = queries.join(top, "q").select("id", F.slice(F.array_sort(F.filter("top", lambda x: x["id"] != F.col("id"))), 1, k).alias("top"))
+    mine = mine.groupBy("id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("top"))), 1, k).alias("top"))
     return mine.select("id", F.posexplode("top").alias("at", "hit")).select(F.col("id").alias("query_id"), (F.col("at") + 1).alias("rank"), F.col("hit.id").alias(id_col), F.col("hit.score").alias("score"))
 
 
