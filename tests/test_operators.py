@@ -124,7 +124,7 @@ def test_paragraphs(spark):
 
 def test_wrap():
     w = lambda s, x1=50.0: paragraphs.wrap(s, lambda c: 2.0 if len(c) > 1 else 0.5, 0.0, 0.0, x1, 10.0)
-    assert w("aaaa bbbb cccc") == ["aaaa bbbb", "cccc"] and w("") == [""] and w("a" * 12) == ["a" * 10, "aa"]
+    assert w("aaaa bbbb cccc") == ["aaaa bbbb", "cccc"] and w("") == [""] and w("a" * 12 + " b") == ["a" * 12, "b"]
     assert w("aaa {v0} {v1} b") == ["aaa {v0}", "{v1} b"]
 
 def test_engines(spark):
