@@ -24,6 +24,8 @@ PLACEHOLDER = r"</?b\d+>"
 FORMULA_PLACEHOLDER = r"\{v\d+\}"
 FORMULA_FONT = r"^(?:CM[^R]|MS.M|XY|MT|BL|RM|EU|LA|RS|LINE|LCIRCLE|TeX-|rsfs|txsy|wasy|stmary|.*Mono|.*Code|.*Sym|.*Math|.*Typewriter|Cousine|Consolas|Menlo|Monaco|Inconsolata|Source.?Code|Fira.?Code|DejaVu.?Sans.?Mono|Liberation.?Mono|Courier)"
 FORMULA_CHARACTER = r"^[\p{Lm}\p{Mn}\p{Sk}\p{Sm}\p{Zl}\p{Zp}\p{Zs}\x{370}-\x{3ff}]"
+BOLD_FONT = "bold|heavy|black|semibold|demi"
+HEADING_FONT = "gotham|myriad|bold|semibold|demi|heavy|black"
 BULLETS = "•■□▪▸▹►▶●○◆◇★☆‣⬤"
 LINE_HEIGHTS = {"zh-cn": 1.4, "zh-tw": 1.4, "zh-hans": 1.4, "zh-hant": 1.4, "zh": 1.4, "ja": 1.1, "ko": 1.2, "en": 1.2, "ar": 1.0, "ru": 0.8, "uk": 0.8, "ta": 0.8, "vi": 1.2}
 DEFAULT_LINE_HEIGHT = 1.1
@@ -104,7 +106,7 @@ def is_formula_glyph(font: Column, text: Column, font_pattern: str | None = None
 
 
 def is_bold(font: Column, size: Column) -> Column:
-    return F.lower(font).rlike("bold|heavy|black|demi") | (size >= 13.5)
+    return F.lower(font).rlike(BOLD_FONT) | (size >= 13.5)
 
 
 def is_italic(font: Column) -> Column:
@@ -112,7 +114,7 @@ def is_italic(font: Column) -> Column:
 
 
 def is_heading_font(font: Column) -> Column:
-    return F.lower(font).rlike("gotham|myriad|bold|demi|heavy|black")
+    return F.lower(font).rlike(HEADING_FONT)
 
 
 def font_family(font: Column) -> Column:
@@ -142,18 +144,31 @@ def is_bullet(c: Column) -> Column:
 
 
 def is_page_selection(c: Column) -> Column:
-    """Whether a selection of one-based pages such as 1,3-5 is well formed."""
-    pair = lambda x: F.transform(F.split(x, "-"), lambda y: y.cast("long"))
+    """Whether a selection of one-based pages such as 1,3-5 is well formed, whatever the length of its numbers."""
+    # numbers without leading zeros are in the order of their lengths, then of their digits
+    pair = lambda x: F.transform(F.split(x, "-"), lambda y: F.struct(F.length(y), y))
     return F.when(c.rlike(PAGE_RANGES), F.forall(F.split(c, ","), lambda x: F.element_at(pair(x), 1) <= F.element_at(pair(x), -1))).otherwise(F.lit(False))
 
 
 def page_indices(c: Column) -> Column:
-    """Zero-based pages of a well-formed selection, in its order, repeats kept; null if it is malformed."""
-    end = lambda x, i: F.element_at(F.split(x, "-"), i).cast("int") - 1
+    """Zero-based pages of a well-formed selection, in its order, repeats kept; null if it is malformed or a number is no int.
+
+    For open-ended selections of large documents see in_selection, which lists no pages.
+    """
+    end = lambda x, i: F.element_at(F.split(x, "-"), i).try_cast("int") - 1
     pages = F.flatten(F.transform(F.split(c, ","), lambda x: F.sequence(end(x, 1), end(x, -1))))
     return F.when(is_page_selection(c), pages)
 
 
+def in_selection(page: Column, c: Column) -> Column:
+    """Whether a zero-based page is selected; a null or empty selection means all pages, a malformed one none."""
+    n = (page.cast("long") + 1).cast("string")
+    at = F.struct(F.length(n), n)
+    pair = lambda x: F.transform(F.split(x, "-"), lambda y: F.struct(F.length(y), y))
+    hit = F.exists(F.split(c, ","), lambda x: (F.element_at(pair(x), 1) <= at) & (at <= F.element_at(pair(x), -1)))
+    return F.when(c.isNull() | (c == ""), True).otherwise(is_page_selection(c) & hit)
+
+
 def is_source_language(c: Column) -> Column:
     return (c == "auto") | c.rlike(SOURCE_LANGUAGE)
 
@@ -171,15 +186,16 @@ def service_language(engine: str, c: Column) -> Column:
 
 
 def version_parts(c: Column) -> Column:
-    """Numbers of a version tag, null if it has others: v0.2.0-rc1 is 0, 2, 0."""
+    """Numbers of a version tag, null if it has others or one of over 38 digits: v0.2.0-rc1 is 0, 2, 0."""
     core = F.element_at(F.split(F.element_at(F.split(F.regexp_replace(utrim(c), "^[vV]+", ""), "-", -1), 1), r"\+", -1), 1)
-    return F.when(core.rlike(r"^[0-9]+(\.[0-9]+)*$"), F.transform(F.split(core, r"\."), lambda x: x.cast("long")))
+    parts = F.transform(F.split(core, r"\."), lambda x: x.try_cast("decimal(38,0)"))
+    return F.when(core.rlike(r"^[0-9]+(\.[0-9]+)*$") & ~F.exists(parts, lambda x: x.isNull()), parts)
 
 
 def is_newer(tag: Column, current: Column) -> Column:
     """Whether tag is a later version; false if either is malformed. Missing numbers are 0."""
     a, b = version_parts(tag), version_parts(current)
-    pad = lambda x, y: F.concat(x, F.array_repeat(F.lit(0).cast("long"), F.greatest(F.size(y) - F.size(x), F.lit(0))))
+    pad = lambda x, y: F.concat(x, F.array_repeat(F.lit(0).cast("decimal(38,0)"), F.greatest(F.size(y) - F.size(x), F.lit(0))))
     return F.coalesce(pad(a, b) > pad(b, a), F.lit(False))
 
 
@@ -209,6 +225,11 @@ def retry_wait(attempt: Column, most: float = 15) -> Column:
     return F.least(F.pow(F.lit(2.0), attempt), F.lit(float(most)))
 
 
+def call_wait(attempt: Column, least: float = 1, most: float = 60) -> Column:
+    """Seconds after the n-th failed call of a service (from 1): doubled each time."""
+    return F.least(F.greatest(F.pow(F.lit(2.0), attempt - 1), F.lit(float(least))), F.lit(float(most)))
+
+
 def progress(done: Column, total: Column, elapsed: Column) -> tuple[Column, Column]:
     """Segments a second (0 before any time has passed) and the seconds left (null without a rate)."""
     rate = F.coalesce(F.try_divide(done.cast("double"), elapsed.cast("double")), F.lit(0.0))
@@ -225,3 +246,43 @@ def glyph_hex(c: Column, wide: Column) -> Column:
 def canonical_params(params: Column) -> Column:
     """A map<string,string> as JSON whose keys are sorted: the name of a cache's space."""
     return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(params))))
+
+
+def canonical_json(c: Column) -> Column:
+    """JSON text without spaces, the keys of all its objects sorted; null if it is no JSON or an object repeats a key.
+
+    The fields of a variant's objects are kept in the order of their names, at every depth.
+    """
+    return F.to_json(F.try_parse_json(c))
+
+
+def merged_params(params: Column, more: Column) -> Column:
+    """Parameters with others added or replaced, as canonical JSON."""
+    kept = F.map_filter(params, lambda k, _: ~F.array_contains(F.map_keys(more), k))
+    return canonical_params(F.map_concat(kept, more))
+
+
+def valid_threads(c: Column) -> Column:
+    """Whether a text is a number of threads, 1 to 8."""
+    return F.coalesce(c.rlike("^[0-9]+$") & c.try_cast("int").between(1, 8), F.lit(False))
+
+
+def option_problem(engine: Column, output: Column, segments: Column, emit: Column) -> Column:
+    """What is wrong with the options of a run (null: not given), or null: the first of the checks that fails."""
+    both = segments.isNull() & emit.isNull()
+    return (
+        F.when(output.isNull() & emit.isNull(), "an output directory is needed unless segments are emitted")
+        .when((engine == "handoff") & both, "handoff needs segments, a path to emit them to, or both")
+        .when((engine != "handoff") & ~both, "segments are for handoff only")
+    )
+
+
+def minutes(seconds: Column) -> Column:
+    """Seconds as minutes and seconds: 2m 05.0s."""
+    return F.format_string("%dm %04.1fs", F.floor(seconds / 60).cast("long"), F.pmod(seconds.cast("double"), F.lit(60.0)))
+
+
+def stage_line(name: Column, seconds: Column, total: Column, note: Column) -> Column:
+    """A line of a run's summary: name, seconds, share of the total in per cent, note."""
+    share = F.coalesce(F.try_divide(seconds * 100.0, total), F.lit(0.0))
+    return F.format_string("%s: %.2fs (%.1f%%) [%s]", name, seconds.cast("double"), share, note)

@@ -119,6 +119,16 @@ def engine_options(defaults: dict[str, str], environment: dict[str, str], overri
     return out
 
 
+def described(error: BaseException) -> str:
+    """An error and what led to it, in one line, the outermost first; an error that comes again ends the line."""
+    names, known = [], set()
+    while error is not None and id(error) not in known:
+        known.add(id(error))
+        names.append(type(error).__name__ + (f": {text}" if (text := str(error).strip()) else ""))
+        error = error.__cause__ or error.__context__
+    return " <- ".join(names)
+
+
 def upper_case(text: str) -> str:
     """A stand-in for a service: fails on texts with figures, answers nothing to others with quotes."""
     if any(c.isdigit() for c in text):

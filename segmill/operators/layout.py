@@ -5,6 +5,8 @@ Joins carry the page as an equality, with the geometry as a condition beside it,
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,7 +26,8 @@ def is_scanned(blocks: Column, page_area: Column) -> Column:
 
 
 def _clip(c: Column, most: Column) -> Column:
-    return F.least(F.greatest(c.cast("int"), F.lit(0)), most.cast("int") - 1)
+    """A coordinate as a whole number within 0 and most; numbers of any size are clipped, what is no number counts as 0."""
+    return F.least(F.greatest(F.nanvl(c.cast("double"), F.lit(0.0)), F.lit(0.0)), (most.cast("int") - 1).cast("double")).cast("int")
 
 
 def ranked_boxes(boxes: DataFrame, names: dict[int, str], least: float = LEAST_CONFIDENCE) -> DataFrame:
@@ -75,6 +78,29 @@ def column_edges(paragraphs: DataFrame) -> DataFrame:
     return j.withColumn("right", F.when(F.col("brk"), F.col("x1")).otherwise(right)).drop("col", "stop")
 
 
+def column_edges_in_order(paragraphs: DataFrame) -> DataFrame:
+    """As column_edges, but paragraphs grow one after the other (by para_id) and later ones see how far earlier ones have grown.
+
+    A page is folded in one task; each step is an operation on the page's columns.
+    """
+
+    def grow(t: pa.Table) -> pa.Table:
+        t = t.sort_by("para_id")
+        x0, x1, y0, y1 = (t.column(c).to_numpy().astype(np.float64) for c in ("x0", "x1", "y0", "y1"))
+        wrapped = t.column("brk").to_numpy()
+        for i in np.flatnonzero(~wrapped):
+            column = (np.abs(x0 - x0[i]) <= COLUMN_TOLERANCE) & (wrapped | (x1 > x1[i] + COLUMN_EXTRA))
+            beside = (x0 > x0[i] + OBSTACLE_GAP) & (y1 >= y0[i] - OBSTACLE_OVERLAP) & (y0 <= y1[i] + OBSTACLE_OVERLAP)
+            edge = x1[column].max() if column.any() else x1[i]
+            if beside.any():
+                edge = min(edge, x0[beside].min() - OBSTACLE_MARGIN)
+            x1[i] = max(x1[i], edge)
+        return pa.table({"page_id": t.column("page_id"), "para_id": t.column("para_id"), "right": x1})
+
+    p = paragraphs.select(F.col("page_id").cast("long").alias("page_id"), F.col("para_id").cast("long").alias("para_id"), "x0", "x1", "y0", "y1", "brk")
+    return p.groupBy("page_id").applyInArrow(grow, "page_id long, para_id long, right double")
+
+
 def ink(ops: DataFrame) -> DataFrame:
     """(para_id, lidx, lo, hi): how far a line's operations (para_id, lidx, dy, ylen, size) reach below and above its baseline."""
     lo = F.col("dy") + F.least(F.lit(0.0), F.col("ylen")) - F.col("size") * DESCENT

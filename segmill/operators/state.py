@@ -42,11 +42,16 @@ def reconcile(state: DataFrame, segments: DataFrame, prune: bool = False) -> Dat
 def fold_events(state: DataFrame, events: DataFrame) -> DataFrame:
     """The state after a log of (segment_id, seq, event, payload), event completed (payload: translation) or failed (error).
 
-    The last event sets the status; each failure adds a retry; translation and error are those of the last event of their
-    kind. Unknown events and segments change nothing. One aggregation with partial sums, so a hot segment costs a row a task.
+    The last event sets the status and the time; each failure adds a retry; translation, model and tokens are those of the
+    last completion, the error that of the last failure. The log may have at (seconds; else seq is the time), model,
+    tokens_in and tokens_out. Unknown events and segments change nothing. One aggregation with partial sums, so a hot
+    segment costs a row a task.
     """
+    given = lambda c, kind, default: (F.col(c).cast(kind) if c in events.columns else default.cast(kind)).alias(c)
+    none = F.lit(None)
+    entry = F.struct("seq", "event", "payload", given("at", "double", F.col("seq")), given("model", "string", none), given("tokens_in", "int", none), given("tokens_out", "int", none))
     done, failed = F.col("event") == "completed", F.col("event") == "failed"
-    last = lambda cond: F.max(F.when(cond, F.struct("seq", "event", "payload")))
+    last = lambda cond: F.max(F.when(cond, entry))
     e = events.where(done | failed).groupBy("segment_id").agg(last(done | failed).alias("l"), last(done).alias("d"), last(failed).alias("f"), F.count_if(failed).alias("failures"))
     j = state.join(e, "segment_id", "left")
     new = {
@@ -54,11 +59,26 @@ def fold_events(state: DataFrame, events: DataFrame) -> DataFrame:
         "translation": F.coalesce("d.payload", "translation"),
         "error": F.coalesce("f.payload", "error"),
         "retry_count": (F.col("retry_count") + F.coalesce("failures", F.lit(0))).cast("int"),
-        "timestamp": F.coalesce(F.col("l.seq").cast("double"), "timestamp"),
+        "timestamp": F.coalesce("l.at", "timestamp"),
+        "model": F.coalesce("d.model", "model"),
+        "tokens_in": F.coalesce("d.tokens_in", "tokens_in"),
+        "tokens_out": F.coalesce("d.tokens_out", "tokens_out"),
     }
     return j.select(*(new.get(c, F.col(c)).alias(c) for c in COLUMNS))
 
 
+def run_events(attempts: DataFrame, max_retries: int = MAX_RETRIES) -> DataFrame:
+    """Events (segment_id, run, seq, event, payload) from the attempts (segment_id, run, attempt from 1, seq, outcome, payload) of runs.
+
+    A run ends with the first attempt that is ok or invalid (a translation that fails its checks is not tried again), or
+    with the exception that comes after max_retries others; its failures count once. Runs that have not ended give none.
+    """
+    ends = F.col("outcome").isin("ok", "invalid") | ((F.col("outcome") == "exception") & (F.col("attempt") > max_retries))
+    last = attempts.groupBy("segment_id", "run").agg(F.min(F.when(ends, F.struct("attempt", "seq", "outcome", "payload"))).alias("e")).where("e is not null")
+    payload = F.when(F.col("e.outcome") == "invalid", F.concat(F.lit("validation: "), "e.payload")).otherwise(F.col("e.payload"))
+    return last.select("segment_id", "run", "e.seq", F.when(F.col("e.outcome") == "ok", "completed").otherwise("failed").alias("event"), payload.alias("payload"))
+
+
 def skip_trivial(state: DataFrame) -> DataFrame:
     """Pending segments without two characters are completed as they are."""
     skip = (F.col("status") == "pending") & (F.length(utrim(F.col("source_text"))) < 2)
@@ -72,13 +92,14 @@ def pending(state: DataFrame, max_retries: int = MAX_RETRIES) -> DataFrame:
 
 
 def stats(state: DataFrame) -> DataFrame:
-    """Segments by status and in total."""
-    return state.rollup("status").agg(F.count("*").alias("segments")).select(F.when(F.col("status").isNull(), "total").otherwise(F.col("status")).alias("status"), "segments")
+    """Segments by status (null: unknown) and in total."""
+    g = state.rollup("status").agg(F.grouping("status").alias("__all"), F.count("*").alias("segments"))
+    return g.select(F.when(F.col("__all") == 1, "total").otherwise(F.coalesce("status", F.lit("unknown"))).alias("status"), "segments")
 
 
 def is_complete(state: DataFrame) -> DataFrame:
-    """One row: whether no segment is left; true without segments."""
-    return state.agg((F.count_if(F.col("status") != "completed") == 0).alias("is_complete"), F.count("*").alias("segments"))
+    """One row: whether no segment is left; true without segments. Segments without a status are left."""
+    return state.agg((F.count_if(~F.col("status").eqNullSafe(F.lit("completed"))) == 0).alias("is_complete"), F.count("*").alias("segments"))
 
 
 def export(state: DataFrame) -> DataFrame:

@@ -5,10 +5,13 @@ Lookups are equi-joins whose side Catalyst broadcasts if it is small enough; not
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import PLACEHOLDER, is_blank, placeholders, utrim
+from .state import upsert
 
 # Fixed value: the line above a prompt's terms.
 HEADER = "Terminology glossary (use these translations consistently):"
@@ -82,6 +85,27 @@ def cached(requests: DataFrame, cache: DataFrame, bypass: bool = False) -> DataF
     return requests.join(cache.select(*keys, "translation"), keys, "left")
 
 
+def bypasses(engine: Column) -> Column:
+    """Whether an engine's answers are never kept: a handoff passes texts through, which must not be taken for translations."""
+    return engine == "handoff"
+
+
+def read_through(requests: DataFrame, cache: DataFrame, translate_: Callable[[DataFrame], DataFrame], bypass: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(requests with translation, the cache after them): what the cache lacks goes through translate_ once and is kept.
+
+    translate_ adds a column translation to distinct keys (null: it failed, which is not kept). With bypass, or for engines
+    that bypass, the cache is neither read nor written.
+    """
+    keys = ["translate_engine", "translate_engine_params", "original_text"]
+    past = F.lit(bypass) | bypasses(F.col("translate_engine"))
+    known = cache.select(*keys, F.col("translation").alias("__known")).where(~past)
+    asked = requests.select(*keys).distinct()
+    made = translate_(asked.join(known, keys, "left_anti")).select(*keys, "translation")
+    answers = requests.join(known, keys, "left").join(made.select(*keys, F.col("translation").alias("__made")), keys, "left")
+    answers = answers.withColumn("translation", F.coalesce("__known", "__made")).drop("__known", "__made")
+    return answers, upsert(cache, made.where(~past & F.col("translation").isNotNull()), keys)
+
+
 def chunk_order(rows: DataFrame, partition: list[str], order: list[str], name: str = "n") -> DataFrame:
     """rows numbered from 0 within a partition."""
     return rows.withColumn(name, (F.row_number().over(Window.partitionBy(*partition).orderBy(*order)) - 1).cast("long"))

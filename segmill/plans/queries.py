@@ -2,32 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as t
 from ..operators import classify, engines, jobs, layout, outline, paragraphs, state, terms, typeset, validate
 from ..sources import jsonl
-from . import book
-from .fixtures import fixture, tables, with_fixtures
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None, *names: str):
-    """Register a query, with its SQL over the fixtures named."""
-
-    def add(f):
-        QUERIES[name] = f
-        if sql:
-            ORACLE_SQL[name] = with_fixtures(sql, *names) if names else sql
-        return f
-
-    return add
+from . import book, more
+from .fixtures import fixture, tables
+from .registry import ORACLE_SQL, QUERIES, query
 
+__all__ = ["ORACLE_SQL", "QUERIES", "more"]
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Page texts from their lines."""
@@ -624,10 +609,10 @@ def book_status(spark, sf_dir):
 
 
 @query("fit_lines", """
-    WITH RECURSIVE p AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, CAST(1 + l_quantity % 9 AS DOUBLE) AS n, 20 + l_quantity * 2 AS h FROM lineitem WHERE l_orderkey % 20 = 0),
+    WITH RECURSIVE p AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, CAST(1 + l_quantity % 9 AS DOUBLE) AS n, 20 + l_quantity * 2 AS h FROM lineitem),
     g AS (SELECT n, h FROM p GROUP BY n, h),
-    r AS (SELECT n, h, 1.2::DOUBLE AS l, 0 AS i FROM g UNION ALL SELECT n, h, CASE WHEN n * 10 * l > h AND l >= 0.8 THEN l - 0.05 ELSE l END, i + 1 FROM r WHERE i < 40),
-    f AS (SELECT n, h, l FROM r WHERE i = 40)
+    r AS (SELECT n, h, 1.2::DOUBLE AS l FROM g UNION ALL SELECT n, h, l - 0.05 FROM r WHERE n * 10 * l > h AND l >= 0.8),
+    f AS (SELECT n, h, min(l) AS l FROM r GROUP BY n, h)
     SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, n, round(l, 4) AS leading, round(CASE WHEN n > 1 AND n * 10 * l > h THEN 10 * greatest(h / (n * 10 * l), 0.5) ELSE 10 END, 4) AS size FROM p JOIN f USING (n, h)
 """)
 def fit_lines(spark, sf_dir):
@@ -677,7 +662,17 @@ def font_files(spark, sf_dir):
     return n.select("n_nationkey", typeset.font_file(F.element_at(codes, (F.col("n_nationkey") % 5 + 1).cast("int"))).alias("font"), typeset.first_present(candidates, present).alias("present"))
 
 
-@query("html_texts", "SELECT page_id, replace(replace(replace(replace(replace(html, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&amp;', '&') AS text FROM (SELECT page_id, substring(html, 1, 500) AS html FROM pages)")
+# the entities that occur in the tables, and the plainest others; a text that has more has no such SQL, see tests/test_html.py
+_ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "''", "&copy;": "©", "&middot;": "·"}
+
+
+def _unescaped(c: str) -> str:
+    for entity, char in _ENTITIES.items():
+        c = f"replace({c}, '{entity}', '{char}')"
+    return f"regexp_replace({c}, '&amp;?', '&', 'g')"
+
+
+@query("html_texts", f"SELECT page_id, {_unescaped('html')} AS text FROM pages")
 def html_texts(spark, sf_dir):
     return tables(spark, sf_dir, "pages")["pages"].select("page_id", t.html_unescape("html").alias("text"))
 

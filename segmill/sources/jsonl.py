@@ -5,7 +5,7 @@ from_json would turn the number in {"src": 1} into text, so values are read as v
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import is_blank, utrim
@@ -47,6 +47,13 @@ def strict(rows: DataFrame) -> DataFrame:
     return rows.where(F.when(F.col("problem").isNotNull(), F.raise_error(text).cast("boolean")).otherwise(F.lit(True))).drop("problem")
 
 
+def segments(lines: DataFrame) -> DataFrame:
+    """(file, segment_id from 0, source) of the lines of segment files, in their order; a line without a text src is an error."""
+    rows = strict(parsed(lines, ["src"]))
+    order = Window.partitionBy("file").orderBy("line_no")
+    return rows.select("file", (F.row_number().over(order) - 1).cast("long").alias("segment_id"), F.col("src").alias("source"))
+
+
 def glossary_rows(lines: DataFrame) -> DataFrame:
     """(…, en, vi, notes) of well-formed lines with both texts; the others are skipped one by one. notes may be absent."""
     r = parsed(lines.withColumn("__l", F.col("line")), ["en", "vi"])
