@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.store import work_dir
+from ..sources.store import written
 from .typeset import components
 
 # Operators that are left out, beside all that begin with T; those that end a path without drawing it anew.
@@ -71,9 +71,7 @@ def frames(roots: DataFrame, uses: DataFrame, most: int = 64) -> DataFrame:
     for depth in range(1, most + 2):
         j = level.join(u, F.col("form_id") == F.col("parent_id")).where(~F.array_contains("trail", F.col("inner")))
         level = j.select("root_id", F.col("inner").alias("form_id"), F.lit(depth).alias("depth"), product(F.col("matrix"), F.col("ctm")).alias("ctm"), F.concat("trail", F.array("inner")).alias("trail"))
-        path = work_dir(roots.sparkSession, "frames")
-        level.write.parquet(path)
-        level = roots.sparkSession.read.schema(level.schema).parquet(path)
+        level = written(level, "frames")
         if level.isEmpty():
             break
         if depth > most:

@@ -27,7 +27,7 @@ FIXTURES: dict[str, tuple[tuple[str, ...], str]] = {
         """
         SELECT segment_id, source, CASE segment_id % 7 WHEN 0 THEN source WHEN 1 THEN '  ' WHEN 2 THEN replace(source, '</b0>', '') WHEN 3 THEN replace(source, '15', '')
             WHEN 4 THEN substring(source, 1, 20) WHEN 5 THEN source || ' ' || source || ' ' || source || ' ' || source ELSE replace(source, '3-2', '4') END AS translation
-        FROM (SELECT doc_id AS segment_id, substring(replace(text, chr(10), ' '), 1, 60 + CAST(doc_id % 40 AS INT)) || CASE doc_id % 5 WHEN 0 THEN ' <b0></b0>' WHEN 1 THEN ' see Figure 3-2' WHEN 2 THEN ' of 15 mm' WHEN 3 THEN ' at 45.5% in Table 15' ELSE '' END AS source FROM documents) x
+        FROM (SELECT doc_id AS segment_id, replace(text, chr(10), ' ') || CASE doc_id % 5 WHEN 0 THEN ' <b0></b0>' WHEN 1 THEN ' see Figure 3-2' WHEN 2 THEN ' of 15 mm' WHEN 3 THEN ' at 45.5% in Table 15' ELSE '' END AS source FROM documents) x
         """,
     ),
     "d_glossary": (
@@ -40,7 +40,7 @@ FIXTURES: dict[str, tuple[tuple[str, ...], str]] = {
     ),
     "d_versions": (
         ("documents",),
-        "SELECT doc_id AS segment_id, CASE WHEN doc_id % 11 <> 0 THEN substring(text, 1, 200) END AS text_v1, CASE WHEN doc_id % 13 <> 0 THEN CASE WHEN doc_id % 3 = 0 THEN substring(text, 2, 200) ELSE substring(text, 1, 200) END END AS text_v2 FROM documents",
+        "SELECT doc_id AS segment_id, CASE WHEN doc_id % 11 <> 0 THEN text END AS text_v1, CASE WHEN doc_id % 13 <> 0 THEN CASE WHEN doc_id % 3 = 0 THEN substring(text, 2) ELSE text END END AS text_v2 FROM documents",
     ),
     "d_boxes": (
         ("lineitem",),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as t
 from ..operators import classify, engines, jobs, layout, outline, paragraphs, state, terms, typeset, validate
-from ..sources import jsonl
+from ..sources import jsonl, store
 from . import book, more
 from .fixtures import fixture, tables
 from .registry import ORACLE_SQL, QUERIES, query
@@ -601,7 +601,7 @@ _DONE = "SELECT src, CASE WHEN n % 3 = 1 THEN src WHEN n % 6 = 2 THEN replace(sr
     UNION ALL SELECT kind, 'kept', count(*), 0 FROM s WHERE kind <> 'PROSE' GROUP BY kind
 """, "d_pages")
 def book_status(spark, sf_dir):
-    pages = fixture(spark, sf_dir, "d_pages")
+    pages = store.written(fixture(spark, sf_dir, "d_pages"), "pages")  # read three times
     n = F.length("line")
     memory = pages.groupBy("line").agg(F.first(n).alias("n")).where("n % 3 != 0")
     memory = memory.select(F.col("line").alias("src"), F.when(F.col("n") % 3 == 1, F.col("line")).when(F.col("n") % 6 == 2, F.replace("line", F.lit("1"), F.lit(""))).otherwise("").alias("dst"), F.lit(0).alias("line_no"))

@@ -23,6 +23,13 @@ def work_dir(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/segmill/{name}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a table of its own in the shared folder, for what is read more than once; a lost executor costs no recomputation."""
+    path = work_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 class Store:
     """Versions of one table under a path. A version counts once its mark is there, so readers never see half of one.
 
