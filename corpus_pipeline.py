@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from segmill.llm import bpe, decontam, lines, quality, simhash
-from segmill.llm.common import materialize
+from segmill.llm.common import discard, materialize
 
 VOCAB = "byte_bpe_multi_50k.tiktoken"
 
@@ -56,10 +56,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of the last stage, each stage written to the shared folder and read again before the next."""
+    """The rows of the last stage, each stage written to the shared folder, read again by the next and then deleted."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for n, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        kept = stage(spark, docs, sf_dir)
         if n + 1 < len(STAGES):
-            docs = materialize(docs, f"stage{n}")
+            kept = materialize(kept, f"stage{n}")
+            if n:
+                discard(docs)
+        docs = kept
     return docs

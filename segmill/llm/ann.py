@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, small_batches
 
 CANDIDATES = 8192  # rows of a candidate block
 QUERIES = 1024  # rows of a query block
@@ -153,24 +153,30 @@ def nearest(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", ve
 
     raw = _raw(classes)
     cand = materialize(raw.select("cls", "raw").mapInArrow(_packed(CANDIDATES), _BLOCK).withColumn("n", F.monotonically_increasing_id()), "candidates")
-    asks = materialize(raw.where("asks").select("cls", "raw").mapInArrow(_packed(QUERIES), _BLOCK).withColumn("m", F.monotonically_increasing_id()), "queries")
-    # numbers of blocks by length of vector: a row for each 1,024 queries
-    names = asks.groupBy("dim").agg(F.collect_list("m").alias("ms"))
-    right = cand.join(names, "dim").select("n", F.explode("ms").alias("m"), "dim", F.lit(1).alias("side"), "cls", "codes", "steps", "rests")
-    left = asks.join(cand.groupBy("dim").agg(F.collect_list("n").alias("ns")), "dim").select(F.explode("ns").alias("n"), "m", "dim", F.lit(0).alias("side"), "cls", "codes", "steps", "rests")
-
-    def tile(table: pa.Table) -> pa.Table:
-        table = table.sort_by("side")
-        dim = table.column("dim")[0].as_py()
-        (qcls, q), (ccls, c) = _side(dim, table, 0), _side(dim, table, 1)
-        i, j, low, high = tile_survivors(q, c, k + 1)
-        return pa.table({"q": qcls[i], "c": ccls[j], "low": low.astype(np.float64), "high": high.astype(np.float64)})
+    asks = materialize(raw.where("asks").select("cls", "raw").mapInArrow(_packed(QUERIES), _BLOCK), "queries")
+    # each candidate block goes to one task, which all query blocks pass through: what is sent grows with queries times blocks
+    names = cand.groupBy("dim").agg(F.collect_list("n").alias("ns"))
+    right = cand.select("n", F.lit(0).alias("side"), "dim", "cls", "codes", "steps", "rests")
+    left = asks.join(names, "dim").select(F.explode("ns").alias("n"), F.lit(1).alias("side"), "dim", "cls", "codes", "steps", "rests")
+
+    def tiles(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = None
+        for part in parts:
+            table = pa.Table.from_batches([part])
+            for r, (side, dim) in enumerate(zip(table.column("side").to_pylist(), table.column("dim").to_pylist(), strict=True)):
+                cls, vectors = _side(dim, table, r)
+                if side == 0:
+                    block = cls, vectors
+                    continue
+                i, j, low, high = tile_survivors(vectors, block[1], k + 1)
+                yield pa.RecordBatch.from_arrays([pa.array(cls[i]), pa.array(block[0][j]), pa.array(low.astype(np.float64)), pa.array(high.astype(np.float64))], names=["q", "c", "low", "high"])
 
     def merge(table: pa.Table) -> pa.Table:
         floor = min(heapq.nlargest(k + 1, table.column("low").to_pylist()))
         return table.filter(pa.compute.greater_equal(table.column("high"), floor)).select(["q", "c"])
 
-    pairs = left.unionByName(right).groupBy("n", "m").applyInArrow(tile, "q long, c long, low double, high double")
+    small_batches(rows.sparkSession)
+    pairs = right.unionByName(left).repartition("n").sortWithinPartitions("n", "side").mapInArrow(tiles, "q long, c long, low double, high double")
     pairs = materialize(pairs.groupBy("q").applyInArrow(merge, "q long, c long"), "survivors")
     scored = (
         pairs.join(classes.select(F.col("cls").alias("c"), F.col("v").alias("cv"), "ids"), "c")
