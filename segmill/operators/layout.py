@@ -10,13 +10,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import is_bullet
+from ..functions.text import is_bullet, utrim
 
 # Fixed values.
 PROTECTED = ("abandon", "figure", "table", "isolate_formula", "formula_caption")
 LEAST_CONFIDENCE = 0.25
 COLUMN_TOLERANCE, COLUMN_EXTRA, OBSTACLE_GAP, OBSTACLE_OVERLAP, OBSTACLE_MARGIN = 5.0, 30.0, 10.0, 2.0, 5.0
-DESCENT, ASCENT = 0.22, 0.78
+DESCENT, ASCENT, SMALL = 0.22, 0.78, 0.79
 
 
 def is_scanned(blocks: Column, page_area: Column) -> Column:
@@ -137,6 +137,16 @@ def backing(paragraphs: DataFrame, pad: float = 3.0) -> DataFrame:
     return p.select("page_id", "para_id", (F.col("x0") - pad).alias("left"), (F.col("y0") - pad).alias("bottom"), (F.col("x1") - F.col("x0") + 2 * pad).alias("w"), (F.col("y1") - F.col("y0") + 2 * pad).alias("h"))
 
 
+def is_vertical(m0: Column, m3: Column) -> Column:
+    """Whether a glyph's matrix turns it on its side."""
+    return (m0 == 0) & (m3 == 0)
+
+
+def is_script(cls: Column, last_cls: Column, said: Column, size: Column, text_size: Column, text: Column) -> Column:
+    """Whether a glyph is a raised or lowered sign of the text before it: of its class, much smaller, and no letter."""
+    return (cls == last_cls) & (F.length(utrim(said)) > 1) & (size < text_size * SMALL) & ~text.rlike(r"^\p{L}+$")
+
+
 def start_x(x: Column, x0: Column, x1: Column) -> Column:
     """Where a translated line begins: at the paragraph's left if its first glyph stood far to the right."""
     return F.when((x > x0 + 30) & (x1 > x0 + 50), x0).otherwise(x)

@@ -360,3 +360,13 @@ def chapter_files(spark, sf_dir):
     c = tables(spark, sf_dir, "lineitem")["lineitem"].select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("index"), F.lit(False).alias("failed")).distinct()
     kept = outline.batch(c, c.limit(0).select("doc_id", "index"), 2, 5)
     return kept.groupBy(F.col("doc_id").alias("l_orderkey")).agg(F.array_join(F.transform(F.array_sort(F.collect_list("index")), lambda x: x.cast("string")), ",").alias("lines"))
+
+
+@query("glyph_flags", """
+    SELECT p_partkey, p_partkey % 3 = 0 AND p_size % 2 = 0 AS vertical, p_partkey % 4 = 1 AND length(trim(CASE WHEN p_partkey % 5 = 0 THEN ' a ' ELSE p_name END)) > 1 AND p_size < 30 * 0.79 AND p_partkey % 2 = 1 AND p_partkey % 7 <> 0 AS script FROM part
+""")
+def glyph_flags(spark, sf_dir):
+    n = F.col("p_partkey")
+    zero_if = lambda c: F.when(c, 0.0).otherwise(1.0)
+    script = layout.is_script(F.when(n % 4 == 1, 2).otherwise(3), F.lit(2), F.when(n % 5 == 0, " a ").otherwise(F.col("p_name")), F.col("p_size").cast("double"), F.lit(30.0), F.when(n % 7 == 0, "é").otherwise("2"))
+    return tables(spark, sf_dir, "part")["part"].select("p_partkey", layout.is_vertical(zero_if(n % 3 == 0), zero_if(F.col("p_size") % 2 == 0)).alias("vertical"), script.alias("script"))

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .jsonl import glossary_rows, numbered_lines
+from .jsonl import files, glossary_rows, numbered_lines
 
 PROMPT, GLOSSARY = "system_prompt.txt", "glossary_base.jsonl"
 DEFAULT_PROMPT = "Translate the text into {language}. Keep placeholders, numbers and markup as they are."
@@ -33,3 +33,16 @@ def prompt(spark: SparkSession, path: str | None, language: str) -> str:
     if not path:
         return DEFAULT_PROMPT.format(language=language)
     return spark.read.text(f"{path}/{PROMPT}", wholetext=True).first().value
+
+
+def assets(found: DataFrame, name: str, system_prompt: str | None = None, glossary_: str | None = None, base: str = "") -> dict[str, str | None]:
+    """The prompt and the glossary of a run: what is given explicitly, else the file of the profile (a row of available), else None."""
+    row = found.where(F.col("name") == name).first() if name else None
+    own = lambda has, file: f"{base}/{name}/{file}" if row is not None and row[has] else None
+    return {"system_prompt": system_prompt or own("has_prompt", PROMPT), "glossary": glossary_ or own("has_glossary", GLOSSARY)}
+
+
+def chapter_files(spark: SparkSession, path: str, done_suffix: str = "-vi.pdf") -> DataFrame:
+    """(name, path, n from 1) of the chapters of a directory in the order of their names, without the results beside them."""
+    f = files(spark, path, "*.pdf").where(~F.col("name").endswith(done_suffix))
+    return f.select("name", "path", F.row_number().over(Window.orderBy("name")).alias("n"))  # the files of one directory

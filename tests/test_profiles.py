@@ -11,3 +11,10 @@ def test_profiles(spark, tmp_path):
     assert profiles.resolve("a", ["r/a", "a"], "b", "r") == "a" and profiles.resolve("a", ["r/a"], "b", "r") == "r/a" and profiles.resolve("", ["b/"], "b", "r") is None
     assert [r.vi for r in profiles.glossary(spark, f"{tmp_path}/dental").collect()] == ["hàm"]
     assert profiles.prompt(spark, f"{tmp_path}/dental", "vi") == "Be exact." and "vi" in profiles.prompt(spark, None, "vi")
+    found = profiles.available(spark, str(tmp_path))
+    base = str(tmp_path)
+    assert profiles.assets(found, "dental", glossary_="g.jsonl", base=base) == {"system_prompt": f"{base}/dental/{profiles.PROMPT}", "glossary": "g.jsonl"}
+    assert profiles.assets(found, "empty", base=base) == profiles.assets(found, "gone", base=base) == profiles.assets(found, "", base=base) == {"system_prompt": None, "glossary": None}
+    for n in ("b.pdf", "a.pdf", "a-vi.pdf", "c.txt"):
+        (tmp_path / n).write_text("x")
+    assert [(r.name, r.n) for r in profiles.chapter_files(spark, base).orderBy("n").collect()] == [("a.pdf", 1), ("b.pdf", 2)]
