@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Leading is taken back in steps down to a least; type shrinks to half at most; components of colour spaces.
+# Leading is taken back in steps down to a least; type shrinks to half at most; components of colour spaces;
+# fonts, and where those of Vietnamese are looked for by weight, in that order.
 LEADING_STEP, LEADING_LEAST, SHRINK_MOST = 0.05, 0.8, 0.5
 COMPONENTS = {"CalGray": 1, "CalRGB": 3, "Lab": 3, "Separation": 1, "Indexed": 1, "Pattern": 1, "DeviceGray": 1, "DeviceRGB": 3, "DeviceCMYK": 4}
 GENERAL_FONT = "GoNotoKurrent-Regular.ttf"

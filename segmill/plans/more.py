@@ -114,7 +114,14 @@ def font_runs(spark, sf_dir):
     return formulas.font_runs(p, f, {"tiro": "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789 .,;:!?'\"-()"}, "noto", {"i": 0.25, "l": 0.25, "m": 0.75, "w": 0.75, " ": 0.25})
 
 
-@query("column_edges_in_order")
+@query("column_edges_in_order", """
+    WITH RECURSIVE p AS (SELECT page_id, count(*) AS n, list(seq ORDER BY seq) AS ids, list(x0 ORDER BY seq) AS x0, list(x1 ORDER BY seq) AS x1, list(y0 ORDER BY seq) AS y0, list(y1 ORDER BY seq) AS y1, list(cls % 2 = 0 ORDER BY seq) AS brk FROM d_boxes GROUP BY page_id),
+    r AS (SELECT page_id, n, ids, x0, x1, y0, y1, brk, 1 AS i FROM p UNION ALL
+        SELECT page_id, n, ids, x0, list_transform(range(1, n + 1), lambda k: CASE WHEN k = i AND NOT brk[k] THEN greatest(x1[k], least(coalesce(edge, x1[k]), coalesce(stop - 5, edge, x1[k]))) ELSE x1[k] END), y0, y1, brk, i + 1
+        FROM (SELECT *, list_max(list_transform(range(1, n + 1), lambda k: CASE WHEN abs(x0[k] - x0[i]) <= 5 AND (brk[k] OR x1[k] > x1[i] + 30) THEN x1[k] END)) AS edge,
+            list_min(list_transform(range(1, n + 1), lambda k: CASE WHEN x0[k] > x0[i] + 10 AND y1[k] >= y0[i] - 2 AND y0[k] <= y1[i] + 2 THEN x0[k] END)) AS stop FROM r WHERE i <= n) q)
+    SELECT page_id, unnest(ids) AS para_id, unnest(x1) AS "right" FROM r WHERE i = n + 1
+""", "d_boxes")
 def column_edges_in_order(spark, sf_dir):
     p = fixture(spark, sf_dir, "d_boxes").select("page_id", F.col("seq").alias("para_id"), "x0", "x1", "y0", "y1", (F.col("cls") % 2 == 0).alias("brk"))
     return layout.column_edges_in_order(p)

@@ -584,10 +584,14 @@ def word_wrap(spark, sf_dir):
     return paragraphs.wrap_rows(p, {"i": 0.25, "l": 0.25, "m": 0.75, "w": 0.75, " ": 0.25})
 
 
-@query("translate_segments")
+@query("translate_segments", r"""
+    WITH s AS (SELECT segment_id, source, regexp_matches(source, '[0-9]') AS figures, contains(source, '"') AS quotes, contains(source, '%') AS cents FROM d_pairs)
+    SELECT segment_id, CASE WHEN trim(source) = '' THEN source ELSE regexp_replace(CASE WHEN NOT figures AND NOT quotes THEN '[1] ' || source WHEN NOT cents THEN array_to_string(list_reverse(string_split(source, ' ')), ' ') END, '\p{Cc}|\x{ad}', '', 'g') END AS translation,
+        CASE WHEN trim(source) <> '' AND (figures OR quotes) AND cents THEN CASE WHEN figures THEN 'tagged: figures' ELSE 'tagged: empty' END || '; reversed_words: per cent' END AS error FROM s
+""", "d_pairs")
 def translate_segments(spark, sf_dir):
     """Distinct segments through an engine that fails on some of them."""
-    return engines.translate_all(fixture(spark, sf_dir, "d_pairs").select("segment_id", "source"), [engines.upper_case, engines.reversed_words]).select("segment_id", "translation", "error")
+    return engines.translate_all(fixture(spark, sf_dir, "d_pairs").select("segment_id", "source"), [engines.tagged, engines.reversed_words]).select("segment_id", "translation", "error")
 
 
 _DONE = "SELECT src, CASE WHEN n % 3 = 1 THEN src WHEN n % 6 = 2 THEN replace(src, '1', '') ELSE '' END AS dst FROM (SELECT line AS src, length(line) AS n FROM d_pages GROUP BY line) WHERE n % 3 <> 0"

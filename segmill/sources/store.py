@@ -17,7 +17,8 @@ def work_dir(spark: SparkSession, name: str) -> str:
     """A new path in the folder that spark.checkpoint.dir names; local sessions without one use a temporary folder."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        master = spark.sparkContext.master
+        if not master.startswith("local[") and master != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = f"{tempfile.gettempdir()}/checkpoints"
     return f"{root.rstrip('/')}/segmill/{name}-{uuid.uuid4().hex}"
