@@ -2,26 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new path under the folder that driver and executors share.
-
-    The cluster names it in spark.checkpoint.dir. Only a local session, whose driver and executors
-    are one process, may fall back to a temporary folder.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        root = f"{tempfile.gettempdir()}/checkpoints"
-    return f"{root.rstrip('/')}/segmill/{name}-{uuid.uuid4().hex}"
+from ..sources.store import work_dir as shared_dir
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
