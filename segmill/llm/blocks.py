@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -48,12 +48,13 @@ def pack(docs: DataFrame, id_col: str, text_col: str, keep: list[str], block_byt
     order = [F.col("id").asc_nulls_first(), F.xxhash64("text")]
     about = d.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0)).alias("bytes"), F.count("*").alias("rows"), F.approx_count_distinct("id").alias("ids")).first()
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-about["bytes"] // TASK_BYTES))
+    buckets = min(tasks, _most_buckets(spark))
     # by id alone if that will do, so that the sample of ranges reads no text
     ranges = order[: 1 if about["ids"] >= 0.9 * about["rows"] else 2]
 
     def blocks(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId()
-        number = _in_bucket(task << 32, task % tasks, tasks)
+        number = _in_bucket(task << 32, task % buckets, buckets)
         ids, pieces, sizes = [], [], []
 
         def block() -> pa.RecordBatch:
@@ -65,7 +66,7 @@ def pack(docs: DataFrame, id_col: str, text_col: str, keep: list[str], block_byt
                 at += n
             ends = np.cumsum(np.concatenate(sizes)).astype(np.int64)
             out = [pa.array([number]), pa.array([pa.concat_arrays(ids)], pa.list_(ids[0].type)), pa.array([ends.tobytes()], pa.binary()), pa.array([b"".join(hashes)], pa.binary()), pa.array([data], pa.binary()), pa.array([len(data)])]
-            number = _in_bucket(number + 1, task % tasks, tasks)
+            number = _in_bucket(number + 1, task % buckets, buckets)
             for x in (ids, pieces, sizes):
                 x.clear()
             return pa.RecordBatch.from_arrays(out, names=["block", "ids", "ends", "hashes", "data", "size"])
@@ -93,7 +94,7 @@ def pack(docs: DataFrame, id_col: str, text_col: str, keep: list[str], block_byt
             yield block()
 
     packed = d.repartitionByRange(tasks, *ranges).sortWithinPartitions(*order).select("kept", "text").mapInArrow(blocks, T.StructType([T.StructField("block", T.LongType()), T.StructField("ids", T.ArrayType(kind)), *(T.StructField(c, T.BinaryType()) for c in ("ends", "hashes", "data")), T.StructField("size", T.LongType())]))
-    out, _ = bucketed(packed, "block", tasks, dealt=False)
+    out, _ = bucketed(packed, "block", buckets, dealt=False)
     del packed, d
     release(out)
     return out
@@ -116,8 +117,13 @@ def bucketed(df: DataFrame, key: str, buckets: int, dealt: bool = True) -> tuple
 
 
 def buckets_of(blocks: DataFrame) -> int:
-    """As many buckets as suit the size of all blocks."""
-    return max(int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total_bytes(blocks) // TASK_BYTES))
+    """As many buckets as suit the size of all blocks, and as the session allows; a bucket's rows are read one by one."""
+    spark = blocks.sparkSession
+    return min(_most_buckets(spark), max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total_bytes(blocks) // TASK_BYTES)))
+
+
+def _most_buckets(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets"))
 
 
 def spark_bucket(numbers: np.ndarray, buckets: int) -> np.ndarray:

@@ -59,4 +59,10 @@ def test_pack_deals_evenly(spark, monkeypatch):
     assert len(tasks) > 12 and all(len({r.file for r in rs}) == 1 for rs in tasks.values())
     assert max(sum(r.size for r in rs) for rs in tasks.values()) < 60_000
     assert "Exchange" not in out.groupBy("block").count()._jdf.queryExecution().executedPlan().toString().replace("AdaptiveSparkPlan", "")
+    spark.conf.set("spark.sql.sources.bucketing.maxBuckets", "5")  # fewer buckets than tasks: still a file for each task
+    try:
+        again = blocks.pack(spark.createDataFrame(texts, "doc_id long, text string"), "doc_id", "text", ["doc_id"], 2000).select("block", F.input_file_name().alias("file")).collect()
+    finally:
+        spark.conf.unset("spark.sql.sources.bucketing.maxBuckets")
+    assert len({(r.block >> 32, r.file) for r in again}) == len({r.block >> 32 for r in again}) > 12
     assert not [t for t in spark.catalog.listTables() if t.name.startswith("segmill_")]
