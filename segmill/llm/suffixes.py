@@ -31,6 +31,8 @@ from .blocks import SENT, Rolling, answered, bucket_bits, gathered, mixed, pack,
 from .common import batches, materialize, spread_join
 
 WINDOW = 100
+#: Blocks are small, as the JVM holds several copies of those that pass through it.
+BLOCK_BYTES = 4 << 20
 #: Neighbouring suffixes of which one is in the sample.
 SPAN = 57
 #: Different surroundings of one beginning, from which its windows are dealt one by one.
@@ -305,7 +307,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     if not SPAN <= window <= 4096 - SPAN:
         raise ValueError(f"window must be {SPAN} at least, {4096 - SPAN} at most")
-    blocks = pack(docs, id_col, text_col, [id_col])
+    blocks = pack(docs, id_col, text_col, [id_col], BLOCK_BYTES)
     amount = total_bytes(blocks)
     bits, deal = bucket_bits(amount / 4), bucket_bits(amount * 2)
 

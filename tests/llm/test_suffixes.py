@@ -43,7 +43,7 @@ def corpus(seed):
 
 @pytest.mark.parametrize(("block_bytes", "window", "hot"), [(2000, 100, 100_000), (300, 57, 100_000), (2000, 100, 2), (1 << 20, 130, 0)])
 def test_equals_brute_force(spark, monkeypatch, block_bytes, window, hot):
-    monkeypatch.setattr(blocks, "BLOCK_BYTES", block_bytes)
+    monkeypatch.setattr(suffixes, "BLOCK_BYTES", block_bytes)
     rows = corpus(block_bytes) + [(None, "n" * 250)]
     df = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, kept string")
     got = {r.doc_id: (r.doc_id, r.n_bytes, [tuple(s) for s in r.spans], bytes(r.kept)) for r in suffixes.remove_repeats(df, window=window, hot=hot).collect()}
