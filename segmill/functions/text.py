@@ -6,7 +6,9 @@ Patterns spell out Unicode classes, as \\s and \\d mean ASCII to Java and Unicod
 from __future__ import annotations
 
 import html
+import re
 import unicodedata
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -24,6 +26,7 @@ PLACEHOLDER = r"</?b\d+>"
 FORMULA_PLACEHOLDER = r"\{v\d+\}"
 FORMULA_FONT = r"^(?:CM[^R]|MS.M|XY|MT|BL|RM|EU|LA|RS|LINE|LCIRCLE|TeX-|rsfs|txsy|wasy|stmary|.*Mono|.*Code|.*Sym|.*Math|.*Typewriter|Cousine|Consolas|Menlo|Monaco|Inconsolata|Source.?Code|Fira.?Code|DejaVu.?Sans.?Mono|Liberation.?Mono|Courier)"
 FORMULA_CHARACTER = r"^[\p{Lm}\p{Mn}\p{Sk}\p{Sm}\p{Zl}\p{Zp}\p{Zs}\x{370}-\x{3ff}]"
+BOLD_SIZE = 13.5
 BOLD_FONT = "bold|heavy|black|semibold|demi"
 HEADING_FONT = "gotham|myriad|bold|semibold|demi|heavy|black"
 BULLETS = "•■□▪▸▹►▶●○◆◇★☆‣⬤"
@@ -106,7 +109,7 @@ def is_formula_glyph(font: Column, text: Column, font_pattern: str | None = None
 
 
 def is_bold(font: Column, size: Column) -> Column:
-    return F.lower(font).rlike(BOLD_FONT) | (size >= 13.5)
+    return F.lower(font).rlike(BOLD_FONT) | (size >= BOLD_SIZE)
 
 
 def is_italic(font: Column) -> Column:
@@ -126,6 +129,19 @@ def font_family(font: Column) -> Column:
     return out
 
 
+@lru_cache(maxsize=4096)
+def font_traits(font: str) -> tuple[bool, bool, bool, bool, str]:
+    """What a font's name tells, for folds in Python: formula, bold, italic, heading, family; as the columns of these names."""
+    bare, low = font.split("+")[-1], font.lower()
+    family = next((f for f in FONT_FAMILIES if f in low), low.split("+")[-1].split("-")[0])
+    return re.search(FORMULA_FONT, bare) is not None, re.search(BOLD_FONT, low) is not None, re.search("italic|oblique", low) is not None, re.search(HEADING_FONT, low) is not None, family
+
+
+def is_formula_text(text: Column) -> Column:
+    """Whether a glyph's text alone makes it part of a formula."""
+    return text.startswith("(cid:") | (text.rlike(FORMULA_CHARACTER) & (text != " "))
+
+
 def color_op(color: Column) -> Column:
     """The fill operator for an array of 1, 3 or 4 components; black otherwise."""
     part = lambda i: F.format_string("%.4f", color[i])
