@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,6 +55,13 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "256")
 
 
+def give_back() -> None:
+    """Return to the system what this worker has freed, so that it is small when it is idle."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def remove_path(spark: SparkSession, path: str) -> None:
     """Delete a path of the shared folder, in whatever store it is."""
     jvm = spark.sparkContext._jvm
