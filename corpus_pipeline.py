@@ -38,8 +38,8 @@ def decontam_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each text, their number, and whether they decode to the text."""
     path, pattern = public_tokenizers.path(VOCAB), public_tokenizers.PATTERN
-    tokens = bpe.encode(docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash")), path, pattern, keep=["doc_id", "text_hash"])
-    both = bpe.decode(tokens, path, pattern)
+    hashed = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"))
+    both = bpe.round_trip(hashed, path, pattern, keep=["doc_id", "text_hash"])
     return both.select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"), "token_ids", (F.xxhash64(F.col("decoded").cast("string")) == F.col("text_hash")).alias("round_trip"))
 
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, small_batches
+from .common import lean, materialize, small_batches
 
 CANDIDATES = 8192  # rows of a candidate block
 QUERIES = 1024  # rows of a query block
@@ -152,8 +152,8 @@ def nearest(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", ve
     classes = materialize(classes, "classes")
 
     raw = _raw(classes)
-    cand = materialize(raw.select("cls", "raw").mapInArrow(_packed(CANDIDATES), _BLOCK).withColumn("n", F.monotonically_increasing_id()), "candidates")
-    asks = materialize(raw.where("asks").select("cls", "raw").mapInArrow(_packed(QUERIES), _BLOCK), "queries")
+    cand = materialize(raw.select("cls", "raw").mapInArrow(lean(_packed(CANDIDATES)), _BLOCK).withColumn("n", F.monotonically_increasing_id()), "candidates")
+    asks = materialize(raw.where("asks").select("cls", "raw").mapInArrow(lean(_packed(QUERIES)), _BLOCK), "queries")
     # each candidate block goes to one task, which all query blocks pass through: what is sent grows with queries times blocks
     names = cand.groupBy("dim").agg(F.collect_list("n").alias("ns"))
     right = cand.select("n", F.lit(0).alias("side"), "dim", "cls", "codes", "steps", "rests")
@@ -176,7 +176,7 @@ def nearest(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", ve
         return table.filter(pa.compute.greater_equal(table.column("high"), floor)).select(["q", "c"])
 
     small_batches(rows.sparkSession)
-    pairs = right.unionByName(left).repartition("n").sortWithinPartitions("n", "side").mapInArrow(tiles, "q long, c long, low double, high double")
+    pairs = right.unionByName(left).repartition("n").sortWithinPartitions("n", "side").mapInArrow(lean(tiles), "q long, c long, low double, high double")
     pairs = materialize(pairs.groupBy("q").applyInArrow(merge, "q long, c long"), "survivors")
     scored = (
         pairs.join(classes.select(F.col("cls").alias("c"), F.col("v").alias("cv"), "ids"), "c")
@@ -201,7 +201,7 @@ def nearest(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", ve
         return best.rows()
 
     kind = "q long, id long, score double"
-    top = scored.mapInArrow(kept, kind).groupBy("q").applyInArrow(merged, kind).groupBy("q").agg(F.collect_list(F.struct((-F.col("score")).alias("far"), "id", "score")).alias("top"))
+    top = scored.mapInArrow(lean(kept), kind).groupBy("q").applyInArrow(merged, kind).groupBy("q").agg(F.collect_list(F.struct((-F.col("score")).alias("far"), "id", "score")).alias("top"))
     queries = rows.where("asks").select("id", "v").distinct().join(classes.select("v", F.col("cls").alias("q")), "v").select("id", "q")
     mine = queries.join(top, "q").select("id", F.slice(F.array_sort(F.filter("top", lambda x: x["id"] != F.col("id"))), 1, k).alias("top"))
     mine = mine.groupBy("id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("top"))), 1, k).alias("top"))
@@ -218,4 +218,4 @@ def _raw(classes: DataFrame) -> DataFrame:
             raw = [values[s:e].tobytes() for s, e in zip(at[:-1], at[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(raw, pa.binary())], names=["cls", "asks", "raw"])
 
-    return classes.select("cls", "asks", "v").mapInArrow(run, "cls long, asks boolean, raw binary")
+    return classes.select("cls", "asks", "v").mapInArrow(lean(run), "cls long, asks boolean, raw binary")

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import shared_dir, small_batches
+from .common import lean, shared_dir, small_batches
 
 #: A block is closed when it reaches this; a longer document is a block of its own.
 BLOCK_BYTES = 8 << 20
@@ -93,7 +93,7 @@ def pack(docs: DataFrame, id_col: str, text_col: str, keep: list[str], block_byt
         if sizes:
             yield block()
 
-    packed = d.repartitionByRange(tasks, *ranges).sortWithinPartitions(*order).select("kept", "text").mapInArrow(blocks, T.StructType([T.StructField("block", T.LongType()), T.StructField("ids", T.ArrayType(kind)), *(T.StructField(c, T.BinaryType()) for c in ("ends", "hashes", "data")), T.StructField("size", T.LongType())]))
+    packed = d.repartitionByRange(tasks, *ranges).sortWithinPartitions(*order).select("kept", "text").mapInArrow(lean(blocks), T.StructType([T.StructField("block", T.LongType()), T.StructField("ids", T.ArrayType(kind)), *(T.StructField(c, T.BinaryType()) for c in ("ends", "hashes", "data")), T.StructField("size", T.LongType())]))
     out, _ = bucketed(packed, "block", buckets, dealt=False)
     del packed, d
     release(out)

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small_batches
+from .common import lean, small_batches
 
 #: Bytes that are encoded in one go.
 LEAF_BYTES = 8192
@@ -142,24 +142,35 @@ def encode(docs: DataFrame, vocab: str, pattern: str, text_col: str = "text", ou
     A column of docs that is named as out_col gives way to the ids. Null texts get an empty list. Texts are encoded as trees
     if the pattern is one of PROVEN, else whole, with the same result.
     """
-    return _mapped(docs, [c for c in (docs.columns if keep is None else keep) if c not in (text_col, out_col)], text_col, out_col, T.ArrayType(T.IntegerType(), False), _encoded, read_ranks(vocab), pattern, leaf)
+    return _mapped(docs, [c for c in (docs.columns if keep is None else keep) if c not in (text_col, out_col)], text_col, (out_col,), [T.ArrayType(T.IntegerType(), False)], _encoded, read_ranks(vocab), pattern, leaf)
 
 
 def decode(tokens: DataFrame, vocab: str, pattern: str, ids_col: str = "token_ids", out_col: str = "decoded", leaf: int = LEAF_BYTES) -> DataFrame:
     """All columns of tokens and the bytes that each list of ids stands for (null: empty)."""
-    return _mapped(tokens, [c for c in tokens.columns if c != out_col], ids_col, out_col, T.BinaryType(), _decoded, read_ranks(vocab), pattern, leaf)
+    return _mapped(tokens, [c for c in tokens.columns if c != out_col], ids_col, (out_col,), [T.BinaryType()], _decoded, read_ranks(vocab), pattern, leaf)
 
 
-def _encoded(codec: TreeCodec, texts: pa.Array) -> pa.Array:
+def round_trip(docs: DataFrame, vocab: str, pattern: str, text_col: str = "text", out_col: str = "token_ids", back_col: str = "decoded", keep: list[str] | None = None, leaf: int = LEAF_BYTES) -> DataFrame:
+    """As encode and then decode, by one worker: the ids never leave it in between."""
+    outs = (out_col, back_col)
+    return _mapped(docs, [c for c in (docs.columns if keep is None else keep) if c not in (text_col, *outs)], text_col, outs, [T.ArrayType(T.IntegerType(), False), T.BinaryType()], _both, read_ranks(vocab), pattern, leaf)
+
+
+def _encoded(codec: TreeCodec, texts: pa.Array) -> list[pa.Array]:
     ids = [codec.encode(x) for x in texts.to_pylist()]
-    return pa.array(ids, pa.list_(pa.field("element", pa.int32(), False)))
+    return [pa.array(ids, pa.list_(pa.field("element", pa.int32(), False)))]
+
+
+def _decoded(codec: TreeCodec, lists: pa.Array) -> list[pa.Array]:
+    return [pa.array([codec.decode(x or []) for x in lists.to_pylist()], pa.binary())]
 
 
-def _decoded(codec: TreeCodec, lists: pa.Array) -> pa.Array:
-    return pa.array([codec.decode(x or []) for x in lists.to_pylist()], pa.binary())
+def _both(codec: TreeCodec, texts: pa.Array) -> list[pa.Array]:
+    ids = _encoded(codec, texts)
+    return [*ids, *_decoded(codec, ids[0])]
 
 
-def _mapped(df: DataFrame, keep: list[str], source: str, out: str, kind: T.DataType, work, ranks: bytes, pattern: str, leaf: int) -> DataFrame:
+def _mapped(df: DataFrame, keep: list[str], source: str, outs: tuple[str, ...], kinds: list[T.DataType], work, ranks: bytes, pattern: str, leaf: int) -> DataFrame:
     small_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(ranks)
 
@@ -169,8 +180,8 @@ def _mapped(df: DataFrame, keep: list[str], source: str, out: str, kind: T.DataT
             for at in range(0, part.num_rows, 256):
                 piece = part.slice(at, 256)
                 kept = [piece.column(i) for i in range(len(keep))]
-                yield pa.RecordBatch.from_arrays([*kept, work(codec, piece.column(len(keep)))], names=[*keep, out])
+                yield pa.RecordBatch.from_arrays([*kept, *work(codec, piece.column(len(keep)))], names=[*keep, *outs])
 
     # the last column is the source under a name of its own, so that a kept column may share it
     taken = df.select(*(F.col(f"`{c}`") for c in keep), F.col(f"`{source}`").alias("__source"))
-    return taken.mapInArrow(run, T.StructType([*(df.schema[c] for c in keep), T.StructField(out, kind)]))
+    return taken.mapInArrow(lean(run), T.StructType([*(df.schema[c] for c in keep), *(T.StructField(c, k) for c, k in zip(outs, kinds, strict=True))]))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -62,6 +63,16 @@ def give_back() -> None:
         trim(0)
 
 
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, which gives back its memory at the end of a task."""
+
+    def all_(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(parts)
+        give_back()
+
+    return all_
+
+
 def remove_path(spark: SparkSession, path: str) -> None:
     """Delete a path of the shared folder, in whatever store it is."""
     jvm = spark.sparkContext._jvm

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, small_batches
+from .common import lean, materialize, small_batches
 
 MIN_MATCH = 4
 COVERAGE = 0.5
@@ -49,6 +49,11 @@ class _Hashes(dict):
 _hashes = _Hashes()
 
 
+def forget() -> None:
+    """At the end of a task: an idle worker holds no hashes."""
+    _hashes.clear()
+
+
 def words_of(text: str | None) -> list[bytes]:
     return (text or "").lower().encode().translate(_PLAIN).split()
 
@@ -144,7 +149,7 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
     d, kind, of = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")), docs.schema[id_col].dataType.simpleString(), items.schema[item_col].dataType.simpleString()
     i = items.select(F.col(item_col).alias("item"), F.col(item_text_col).cast("string").alias("text")).distinct()
     i = materialize(i.withColumn("no", F.monotonically_increasing_id()), "items")
-    seeds = materialize(i.select("no", "text").mapInArrow(_item_seeds, "no long, seed long, a long, b long, n long"), "seeds")
+    seeds = materialize(i.select("no", "text").mapInArrow(lean(_item_seeds), "no long, seed long, a long, b long, n long"), "seeds")
     spots = seeds.select(F.explode(F.array("a", "b")).alias("bit"))
     table = np.zeros(BLOOM_BITS // 64, np.int64)
     for r in spots.groupBy(F.shiftright("bit", 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("bits")).collect():
@@ -165,8 +170,9 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
                     rows["seeds"].append(np.unique(s).view(np.int64))
             if rows["at"]:
                 yield pa.RecordBatch.from_arrays([*(part.column(c).take(pa.array(rows["at"])) for c in (0, 1)), pa.array(rows["seeds"], pa.list_(pa.int64()))], names=["id", "text", "seeds"])
+        forget()
 
-    near = materialize(d.mapInArrow(find, f"id {kind}, text string, seeds array<long>").withColumn("row", F.monotonically_increasing_id()), "near")
+    near = materialize(d.mapInArrow(lean(find), f"id {kind}, text string, seeds array<long>").withColumn("row", F.monotonically_increasing_id()), "near")
     each = near.select("row", F.explode("seeds").alias("seed"))
     # each seed that is hit can cover MIN_MATCH words at most
     least = F.ceil(F.col("n") * coverage / MIN_MATCH)
@@ -189,7 +195,7 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
 
     both = pairs.join(near.select("row", "id", F.col("text").alias("doc"), "seeds"), "row").join(own, "no")
     both = both.where(F.size(F.filter("own", lambda x: F.array_contains("seeds", x))) >= least)
-    found = both.select("id", "item", "doc", "passage", F.xxhash64("doc").alias("text_hash")).mapInArrow(tile, f"id {kind}, item {of}, matched_words long, n_tiles long, coverage double, text_hash long")
+    found = both.select("id", "item", "doc", "passage", F.xxhash64("doc").alias("text_hash")).mapInArrow(lean(tile), f"id {kind}, item {of}, matched_words long, n_tiles long, coverage double, text_hash long")
     return found.where(F.col("coverage") >= coverage).withColumnsRenamed({"id": id_col, "item": item_col} if id_col != "item" else {"item": item_col})
 
 

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .blocks import SENT, Rolling, answered, bucket_bits, bucketed, buckets_of, flags_of, gathered, mixed, pack, release, rows_of, spans, total_bytes
-from .common import batches, discard, materialize, remove_path
+from .common import batches, discard, lean, materialize, remove_path
 
 #: Jaccard similarity as a fraction, so that it is compared in whole numbers.
 SIMILAR = (4, 5)
@@ -379,7 +379,7 @@ def _verified(pairs: DataFrame, blocks: DataFrame) -> DataFrame:
                 text = [_LOWER[b.raw[b.start[n] : b.end[n]]].tobytes() for n in lines]
                 yield pa.RecordBatch.from_arrays([pa.array([part.column(0)[i].as_py()] * len(lines)), pa.array(lines, pa.int64()), pa.array(text, pa.binary())], names=["b", "l", "words"])
 
-    texts = materialize(blocks.join(asked, "block").select("block", "ends", "data", "lines").mapInArrow(fetch, "b long, l long, words binary"), "lines")
+    texts = materialize(blocks.join(asked, "block").select("block", "ends", "data", "lines").mapInArrow(lean(fetch), "b long, l long, words binary"), "lines")
 
     def compare(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
@@ -393,7 +393,7 @@ def _verified(pairs: DataFrame, blocks: DataFrame) -> DataFrame:
     one = texts.select(F.col("b").alias("block"), F.col("l").alias("line"), F.col("words").alias("x"))
     two = texts.select(F.col("b").alias("other_block"), F.col("l").alias("other_line"), F.col("words").alias("y"))
     both = pairs.join(one, ["block", "line"]).join(two, ["other_block", "other_line"]).select("block", "line", "x", "y")
-    return both.mapInArrow(compare, "block long, line long").distinct()
+    return both.mapInArrow(lean(compare), "block long, line long").distinct()
 
 
 def remove_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, min_words: int = 1) -> DataFrame:
@@ -419,7 +419,7 @@ def remove_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         yield _sparse(TaskContext.get().partitionId(), [(-1 - i, x) for i, x in enumerate(np.split(seen, _SLICES))])
 
     kind = "block long, bucket long, hashes binary"
-    first = materialize(blocks.select("block", "ends", "data").mapInArrow(count, kind), "classes")
+    first = materialize(blocks.select("block", "ends", "data").mapInArrow(lean(count), kind), "classes")
 
     def total(t: pa.Table) -> pa.Table:
         s = np.zeros((1 << RARITY_BITS) // _SLICES, np.int64)
@@ -454,7 +454,7 @@ def remove_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     base = blocks.join(later, "block", "left")
     # dealt by bucket once, for both rounds
-    sent, path = bucketed(base.select("block", "ends", "data", "later").mapInArrow(send, kind), "bucket", buckets_of(blocks))
+    sent, path = bucketed(base.select("block", "ends", "data", "later").mapInArrow(lean(send), kind), "bucket", buckets_of(blocks))
     copies = materialize(sent.where("bucket < 0").select("block", F.col("hashes").alias("copies")), "copies")
     sent = sent.where("bucket >= 0")
     discard(first)
@@ -469,7 +469,7 @@ def remove_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         proven = materialize(_verified(found.where("cut is null").select("block", "line", "other_block", "other_line"), blocks), "similar")
         similar = proven if similar is None else similar.union(proven)
         done = similar.groupBy("block").agg(F.collect_set("line").alias("done"))
-        left = found.where("cut is not null").join(done, "block", "left").select("bucket", "block", "cut", "done").mapInArrow(_still_open, "bucket long, block long, cut binary")
+        left = found.where("cut is not null").join(done, "block", "left").select("bucket", "block", "cut", "done").mapInArrow(lean(_still_open), "bucket long, block long, cut binary")
         left = materialize(left, "left")
         release(left)
         if not left.count():
@@ -489,7 +489,7 @@ def remove_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 yield from _rows(b, get("ids").values, out, [*keep, "n_lines", "removed", "kept"])
 
     fields = T.StructType([*(T.StructField(c, docs.schema[c].dataType) for c in keep), T.StructField("n_lines", T.LongType()), T.StructField("removed", T.ArrayType(T.LongType())), T.StructField("kept", T.StringType())])
-    return blocks.join(copies, "block", "left").join(gone, "block", "left").select("ids", "ends", "data", "copies", "similar").mapInArrow(remove, fields)
+    return blocks.join(copies, "block", "left").join(gone, "block", "left").select("ids", "ends", "data", "copies", "similar").mapInArrow(lean(remove), fields)
 
 
 _COUNT = np.dtype([("at", "u4"), ("n", "u4")])

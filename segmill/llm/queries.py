@@ -33,8 +33,7 @@ def op2_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document and what they decode to, as digests."""
     path, pattern = public_tokenizers.path(VOCAB), public_tokenizers.PATTERN
-    tokens = bpe.encode(table(spark, sf_dir, "documents"), path, pattern, keep=["doc_id"])
-    both = bpe.decode(tokens, path, pattern)
+    both = bpe.round_trip(table(spark, sf_dir, "documents"), path, pattern, keep=["doc_id"])
     ids = F.array_join(F.transform("token_ids", lambda x: x.cast("string")), ",")
     return both.select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"), F.sha2(ids.cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 

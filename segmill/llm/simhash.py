@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import mixed
-from .common import materialize, small_batches, spread_join
+from .common import lean, materialize, small_batches, spread_join
 from .components import connected_components
 
 SEED = 42
@@ -69,7 +69,7 @@ def fingerprints(docs: DataFrame, text_col: str, width: int, words64: int = 1) -
             yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(keep))), pa.array(np.ascontiguousarray(fps[:, 0]).view(np.int64)), pa.array(rest, pa.binary())], names=[*keep, "fp", "rest"])
 
     fields = docs.select(*keep).schema.add("fp", "long").add("rest", "binary")
-    return docs.select(*keep, text_col).mapInArrow(run, fields)
+    return docs.select(*keep, text_col).mapInArrow(lean(run), fields)
 
 
 def counts(fps: np.ndarray) -> np.ndarray:
@@ -207,7 +207,7 @@ def links(distinct: DataFrame, radius: int, first_radius: int | None = None) ->
         nodes = np.concatenate(nodes)
         return pa.table({"u": nodes[u], "v": nodes[v]})
 
-    tiles = distinct.select("fp", "node", "rest").mapInArrow(dealt, "fp long, tile long, node long, rest binary").groupBy("tile").applyInArrow(packed, "tile long, near array<long>, nodes binary, fps binary")
+    tiles = distinct.select("fp", "node", "rest").mapInArrow(lean(dealt), "fp long, tile long, node long, rest binary").groupBy("tile").applyInArrow(packed, "tile long, near array<long>, nodes binary, fps binary")
     # one row a tile, copied for each near tile row by row: no task holds more than one copy
     tiles = materialize(tiles, "tiles").select("tile", "nodes", "fps", F.explode("near").alias("other"))
     tiles = tiles.select(F.least("tile", "other").alias("a"), F.greatest("tile", "other").alias("b"), "nodes", "fps")
@@ -272,7 +272,7 @@ def set_fingerprints(docs: DataFrame, text_col: str, width: int, words64: int) -
             yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(keep))), *new], names=[*keep, "fp", "rest", "whole", "size"])
 
     fields = docs.select(*keep).schema.add("fp", "long").add("rest", "binary").add("whole", "binary").add("size", "long")
-    return docs.select(*keep, text_col).mapInArrow(run, fields)
+    return docs.select(*keep, text_col).mapInArrow(lean(run), fields)
 
 
 def similar(sets: list[np.ndarray]) -> list[tuple[int, int]]:
@@ -336,7 +336,7 @@ def verified(groups: DataFrame, texts: DataFrame, width: int) -> DataFrame:
 
     own = F.pmod(F.xxhash64("node"), F.col("parts"))
     others = F.when(F.col("parts") > 1, F.filter(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda q: q != F.col("own"))).otherwise(F.array(F.lit(0).cast("long")))
-    d = held.mapInArrow(run, "root long, node long, parts long, shingles binary").withColumn("own", own)
+    d = held.mapInArrow(lean(run), "root long, node long, parts long, shingles binary").withColumn("own", own)
     d = d.select("root", "node", "shingles", "own", F.explode(others).alias("other"))
     d = d.select("root", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "node", "shingles")
     return d.groupBy("root", "a", "b").applyInArrow(compared, "u long, v long")

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .blocks import SENT, Rolling, answered, bucket_bits, gathered, mixed, pack, release, rows_of, total_bytes
-from .common import batches, give_back, materialize, spread_join
+from .common import batches, lean, materialize, spread_join
 
 WINDOW = 100
 #: Blocks are small, as the JVM holds several copies of those that pass through it.
@@ -325,9 +325,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 rows = np.zeros(len(keys), _COUNT)
                 rows["h"], rows["n"] = keys.astype(np.uint32), np.minimum(n, 65535)
                 yield batches(rows_of(block, keys >> np.uint64(32), rows), SENT)
-            give_back()
 
-    sent = base.select("block", "ends", "data", "copies").mapInArrow(send_beginnings, "block long, bucket long, hashes binary")
+    sent = base.select("block", "ends", "data", "copies").mapInArrow(lean(send_beginnings), "block long, bucket long, hashes binary")
     ties = materialize(gathered(answered(sent, lambda arrays: tied_beginnings(arrays, hot), _COUNT), "ties"), "ties")
     release(ties)
     base = base.join(ties, "block", "left")
@@ -336,9 +335,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         for part in parts:
             for _, block, b, tie, _ in _blocks(part, window):
                 yield from b.parts(bits, deal, tie).rows(block)
-            give_back()
 
-    sent = base.select("block", "ends", "data", "copies", "ties").mapInArrow(send_parts, "block long, bucket long, at long, raw long, rows binary")
+    sent = base.select("block", "ends", "data", "copies", "ties").mapInArrow(lean(send_parts), "block long, bucket long, at long, raw long, rows binary")
     later = sent.groupBy("bucket").applyInArrow(_later(window), "block long, bucket long, at long, bits binary")
     later = materialize(later.groupBy("block").agg(F.collect_list(F.struct("bucket", "at", "bits")).alias("later")), "later")
     release(later)
@@ -349,12 +347,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             for i, _, b, tie, late in _blocks(part, window):
                 ids = part.column(part.schema.names.index("ids"))[i].values
                 yield from _rows(b, ids, b.parts(bits, deal, tie).gone(late))
-            give_back()
 
     kind = docs.schema[id_col].dataType
     span = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
     out = T.StructType([T.StructField(id_col, kind), T.StructField("n_bytes", T.LongType()), T.StructField("spans", span), T.StructField("kept", T.BinaryType())])
-    return base.select("block", "ids", "ends", "data", "copies", "ties", "later").mapInArrow(remove, out)
+    return base.select("block", "ids", "ends", "data", "copies", "ties", "later").mapInArrow(lean(remove), out)
 
 
 def _rows(b: _Block, ids: pa.Array, gone: np.ndarray) -> Iterator[pa.RecordBatch]:

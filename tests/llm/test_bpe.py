@@ -47,6 +47,8 @@ def test_frames(spark):
     out = bpe.decode(bpe.encode(docs, PATH, P.PATTERN), PATH, P.PATTERN).collect()
     assert sorted((r.doc_id or 0, bytes(r.decoded).decode()) for r in out) == sorted((r[0] or 0, r[1] or "") for r in rows)
     assert all(r.token_ids == REF.encode_ordinary(bytes(r.decoded).decode()) for r in out)
+    both = bpe.round_trip(docs.withColumn("decoded", docs.doc_id), PATH, P.PATTERN).collect()
+    assert sorted((r.doc_id or 0, r.token_ids, bytes(r.decoded)) for r in both) == sorted((r.doc_id or 0, r.token_ids, bytes(r.decoded)) for r in out)
     assert bpe.encode(docs.limit(0), PATH, P.PATTERN).count() == 0
 
 
