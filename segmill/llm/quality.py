@@ -9,8 +9,8 @@ rows best.
 N-grams are words, word pairs, and pairs of word shapes (case, what the word ends in, whether it repeats the one
 before it); the shapes let junk be known by its form whatever its words.
 
-The raw model counts every document. The target model and the threshold are fitted on at most SAMPLE labelled rows of
-each class, those of the smallest hashes.
+The raw model counts every document, the target model every document that is labelled good, and the threshold is the best
+of all cuts between the weights of all labelled documents.
 """
 
 from __future__ import annotations
@@ -18,9 +18,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,8 +29,8 @@ from .common import lean, materialize, small_batches
 WORD_BUCKETS = 1 << 16
 SHAPE_BUCKETS = 1 << 14
 BUCKETS = WORD_BUCKETS + SHAPE_BUCKETS
-#: Labelled rows of each class that the target model and the threshold see at most.
-SAMPLE = 20_000
+#: Labels that meet the documents by broadcast at most; more are joined by id, for which the texts are shuffled.
+BROADCAST_ROWS = 1_000_000
 #: Log weights are divided by it before noise is added: small beside what separates the classes.
 TEMPERATURE = 0.005
 SMOOTHING = 1.0
@@ -87,40 +85,44 @@ def ngrams(text: str) -> np.ndarray:
     return np.concatenate([deal(h, WORD_BUCKETS), deal(pairs, WORD_BUCKETS), WORD_BUCKETS + deal(shapes, SHAPE_BUCKETS)])
 
 
-def _sample(labels: DataFrame, id_col: str, label_col: str, good: int, most: int) -> np.ndarray:
-    """Sorted ids of at most `most` labelled rows, those of the smallest hashes."""
-    ids = labels.where((F.col(label_col) == good) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id")).distinct()
-    return np.sort(np.array([r.id for r in ids.orderBy(F.xxhash64("id"), "id").limit(most).collect()], np.int64))
+def _labelled(labels: DataFrame, id_col: str, label_col: str, label: int) -> DataFrame:
+    """Distinct ids (id, as longs) of the rows with a label."""
+    return labels.where((F.col(label_col) == label) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id")).where(F.col("id").isNotNull()).distinct()
 
 
-def _has(ids: np.ndarray, sample: np.ndarray) -> np.ndarray:
-    return sample[np.minimum(np.searchsorted(sample, ids), max(len(sample) - 1, 0))] == ids if len(sample) else np.zeros(len(ids), bool)
+def _marked(texts: DataFrame, ids: DataFrame, most: int) -> DataFrame:
+    """(text, hit) of all rows of texts (id, text): hit is true if the id is one of ids, which are distinct, and else null."""
+    hits, n = ids.withColumn("hit", F.lit(True)), ids.count()
+    if n <= most:
+        return texts.join(F.broadcast(hits), "id", "left").select("text", "hit")
+    # null ids are dealt by text; a task's ids are a table, by which the texts pass unsorted, unless they are too many
+    spread = F.when(F.col("id").isNull(), F.pmod(F.xxhash64("text"), F.lit(4096)) + 1).otherwise(0).cast("int")
+    hint = "shuffle_hash" if n <= BROADCAST_ROWS * int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")) else "merge"
+    return texts.withColumn("spread", spread).join(hits.withColumn("spread", F.lit(0)).hint(hint), ["id", "spread"], "left").select("text", "hit")
 
 
-def _ids(column: pa.Array) -> np.ndarray:
-    """Ids as longs; nulls become the least long, which no sample holds."""
-    return pc.fill_null(column.cast(pa.int64()), np.iinfo(np.int64).min).to_numpy(zero_copy_only=False)
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most: int = BROADCAST_ROWS) -> np.ndarray:
+    """Log ratio of the target and raw models by bucket. Without labelled good rows it is zero throughout.
 
-
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> np.ndarray:
-    """Log ratio of the target and raw models by bucket. Without labelled good rows it is zero throughout."""
+    most: good labels that are broadcast at most.
+    """
     small_batches(docs.sparkSession)
-    good = docs.sparkSession.sparkContext.broadcast(_sample(labels, id_col, label_col, 1, sample))
 
     def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, target = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
         for part in parts:
-            for text, hit in zip(part.column(1), _has(_ids(part.column(0)), good.value), strict=True):
+            for text, hit in zip(part.column(0), part.column(1), strict=True):
                 c = np.bincount(ngrams(text.as_py() or ""), minlength=BUCKETS)
                 raw += c
-                if hit:
+                if hit.is_valid:
                     target += c
         forget()
         some = np.flatnonzero(raw)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(raw[some]), pa.array(target[some])], names=["bucket", "raw", "target"])
 
     # a task sends a row for each bucket at most; the sums are a table of fixed size
-    counted = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(lean(count), "bucket long, raw long, target long")
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    counted = _marked(texts, _labelled(labels, id_col, label_col, 1), most).mapInArrow(lean(count), "bucket long, raw long, target long")
     sums = counted.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toArrow()
     last = np.zeros((2, BUCKETS), np.int64)
     for n, c in enumerate(("target", "raw")):
@@ -179,23 +181,43 @@ def kth_largest(rows: DataFrame, column: str, k: int) -> int | None:
     return prefix - (1 << 63)
 
 
-def threshold(weights: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", sample: int = SAMPLE) -> float:
-    """The log weight that separates the labelled rows of the sample with fewest errors; -inf with one class only."""
-    found = []
-    for good in (1, 0):
-        ids = _sample(labels, id_col, label_col, good, sample)
-        picked = weights.sparkSession.createDataFrame(pd.DataFrame({"__pick": ids})) if len(ids) else None
-        if picked is None:
-            return float("-inf")
-        joined = weights.join(F.broadcast(picked), F.col(id_col).cast("long") == F.col("__pick")).groupBy("__pick").agg(F.max("log_weight").alias("w"))
-        found.append(np.array([r.w for r in joined.collect()]))
-    good, bad = map(np.sort, found)
-    if not len(good) or not len(bad):
+def threshold(weights: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality") -> float:
+    """The log weight that separates the labelled rows with fewest errors (shares of each class); -inf with one class only.
+
+    An id of several rows weighs as the heaviest. Of cuts with equal errors it is the least.
+    """
+    good, bad = (_labelled(labels, id_col, label_col, k).withColumn(c, F.lit(1)) for c, k in (("good", 1), ("bad", 0)))
+    marks = good.join(bad, "id", "full")
+    of = weights.select(F.col(id_col).cast("long").alias("id"), "log_weight").where(F.col("id").isNotNull()).groupBy("id").agg(F.max("log_weight").alias("w"))
+    # -0.0 and 0.0 are one group; adding zero makes them one number too
+    cuts = materialize(of.join(marks, "id").groupBy((F.col("w") + F.lit(0.0)).alias("w")).agg(F.count("good").alias("good"), F.count("bad").alias("bad")), "cuts")
+    total = cuts.agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")).first()
+    if not total.good or not total.bad:
         return float("-inf")
-    cuts = np.unique(np.concatenate([good, bad]))
-    errors = np.searchsorted(good, cuts) / len(good) + 1 - np.searchsorted(bad, cuts) / len(bad)
-    best = int(np.argmin(errors))
-    return float((cuts[best] + cuts[best - 1]) / 2) if best else float(cuts[0])
+
+    def best(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of a range of cuts in order: the first, the one of fewest errors and these beyond the range's first, and the range's rows."""
+        first, least, at, g, b = None, None, None, 0, 0
+        for part in parts:
+            w, ng, nb = (part.column(c).to_numpy() for c in range(3))
+            if not len(w):
+                continue
+            errors = (g + np.cumsum(ng) - ng) * total.bad - (b + np.cumsum(nb) - nb) * total.good
+            n = int(np.argmin(errors))
+            if least is None or errors[n] < least:
+                least, at = int(errors[n]), w[n]
+            first, g, b = w[0] if first is None else first, g + int(ng.sum()), b + int(nb.sum())
+        if first is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (first, at, least, g, b)], names=["first", "at", "least", "good", "bad"])
+
+    ranges = cuts.repartitionByRange("w").sortWithinPartitions("w").select("w", "good", "bad").mapInArrow(best, "first double, at double, least long, good long, bad long")
+    found, g, b = [], 0, 0
+    for r in sorted(ranges.collect(), key=lambda r: r["first"]):
+        found.append((r.least + g * total.bad - b * total.good, r["at"]))
+        g, b = g + r.good, b + r.bad
+    cut = min(found)[1]
+    below = cuts.where(F.col("w") < cut).agg(F.max("w")).first()[0]
+    return cut if below is None else (cut + below) / 2
 
 
 def select_k(weights: DataFrame, cut: float) -> int | None:

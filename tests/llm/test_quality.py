@@ -92,3 +92,41 @@ def test_without_rows_or_labels(spark):
     assert quality.resample(docs, none).count() == 2
     assert quality.resample(docs.limit(0), none.union(spark.createDataFrame([(1, 1)], none.schema))).count() == 0
     assert quality.filter_docs(spark, docs, none).where(F.col("doc_id") == 2).count() == 1
+
+
+def test_all_labels_count(spark):
+    """More labelled rows than were once sampled of a class, by broadcast and by a join."""
+    rnd = random.Random(5)
+    vocab = ["".join(rnd.choice("aeioutnrsl") for _ in range(rnd.randrange(2, 8))) for _ in range(300)]
+    rows = [(i, " ".join(rnd.choice(vocab) for _ in range(3))) for i in range(24_000)] + [(None, "a text"), (None, None), (3, "one id, two texts")]
+    labels = [(i, 0 if i % 50 == 0 else 1) for i in range(24_000)] + [(None, 1), (5, None), (1, 1), (99_999, 1)]
+    docs, marks = spark.createDataFrame(rows, "doc_id long, text string").repartition(3), spark.createDataFrame(labels, "doc_id long, quality int")
+    raw, target = np.zeros(quality.BUCKETS), np.zeros(quality.BUCKETS)
+    for i, t in rows:
+        c = np.bincount(quality.ngrams(t or ""), minlength=quality.BUCKETS)
+        raw += c
+        target += c if i is not None and i % 50 else 0
+    words = slice(0, quality.WORD_BUCKETS)
+    want = [np.log((x[words] + 1) / (x[words].sum() + quality.WORD_BUCKETS)) for x in (target, raw)]
+    ratio = quality.fit(docs, marks)
+    assert np.allclose(ratio[words], want[0] - want[1], rtol=0, atol=1e-12)
+    assert (quality.fit(docs, marks, most=10) == ratio).all()
+
+
+def test_threshold_of_all_labels(spark):
+    """Weights whose best cut few rows decide, with ties, ids of two rows and zeros of both signs."""
+    rnd = np.random.default_rng(3)
+    for n, scale in ((60_000, 1), (700, 1), (700, 0.01)):
+        label = rnd.random(n) < 0.7
+        w = np.round(rnd.normal(label * 0.1, 1), 4) * scale
+        rows = [(i, float(x)) for i, x in enumerate(w)] + [(0, 9.0), (1, -9.0), (None, 0.5), (n + 5, 0.0), (n + 6, -0.0)]
+        labels = [(i, int(x)) for i, x in enumerate(label)] + [(n + 5, 1), (n + 6, 0), (7, 1), (7, 0), (-1, 1), (None, 0)]
+        of = {}
+        for i, x in rows:
+            of[i] = max(x, of.get(i, x))
+        good, bad = (np.sort([of[i] for i in {i for i, q in labels if q == k} if i in of and i is not None]) for k in (1, 0))
+        cuts = np.unique(np.concatenate([good, bad]))
+        best = int(np.argmin(np.searchsorted(good, cuts) * len(bad) - np.searchsorted(bad, cuts) * len(good)))
+        frame, marks = spark.createDataFrame(rows, "doc_id long, log_weight double"), spark.createDataFrame(labels, "doc_id long, quality int")
+        assert quality.threshold(frame, marks) == ((cuts[best] + cuts[best - 1]) / 2 if best else cuts[0])
+    assert quality.threshold(frame, marks.where("quality = 1")) == float("-inf")
