@@ -33,12 +33,13 @@ def release(df: DataFrame) -> None:
     df.sparkSession.sparkContext._jvm.System.gc()
 
 
-def pack(docs: DataFrame, id_col: str, text_col: str, keep: list[str], block_bytes: int | None = None) -> DataFrame:
+def pack(docs: DataFrame, id_col: str, text_col: str, keep: list[str], block_bytes: int | None = None, squeezed: bool = False) -> DataFrame:
     """Blocks (block, ids, ends, hashes, data, size); block numbers and places in a block follow (id, text hash), null ids first.
 
     Texts are dealt by ranges of ids, and of hashes too where many rows share an id; only copies of one row are sorted in one
     task whatever their number. A task's blocks are numbered so that they all go to one bucket, and so to one file.
     ids: the columns keep of each row, as structs of fields c0, c1 and so on; ends: cumulative ends of the texts in data (int64 as bytes); hashes: 16 bytes for each text; null texts are empty.
+    squeezed: data is compressed (unsqueezed() takes it back), so that each step that reads blocks moves less.
     """
     small_batches(docs.sparkSession)
     spark, most = docs.sparkSession, block_bytes or BLOCK_BYTES
@@ -65,7 +66,7 @@ def pack(docs: DataFrame, id_col: str, text_col: str, keep: list[str], block_byt
                 hashes.append(hashlib.blake2b(data[at : at + n], digest_size=16).digest())
                 at += n
             ends = np.cumsum(np.concatenate(sizes)).astype(np.int64)
-            out = [pa.array([number]), pa.array([pa.concat_arrays(ids)], pa.list_(ids[0].type)), pa.array([ends.tobytes()], pa.binary()), pa.array([b"".join(hashes)], pa.binary()), pa.array([data], pa.binary()), pa.array([len(data)])]
+            out = [pa.array([number]), pa.array([pa.concat_arrays(ids)], pa.list_(ids[0].type)), pa.array([ends.tobytes()], pa.binary()), pa.array([b"".join(hashes)], pa.binary()), pa.array([_codec().compress(data, asbytes=True) if squeezed else data], pa.binary()), pa.array([len(data)])]
             number = _in_bucket(number + 1, task % buckets, buckets)
             for x in (ids, pieces, sizes):
                 x.clear()
@@ -100,6 +101,15 @@ def pack(docs: DataFrame, id_col: str, text_col: str, keep: list[str], block_byt
     return out
 
 
+def _codec() -> pa.Codec:
+    return pa.Codec("zstd", compression_level=3)
+
+
+def unsqueezed(ends: bytes, data: pa.BinaryScalar) -> pa.Buffer:
+    """The texts of a block that was packed squeezed."""
+    return _codec().decompress(data.as_buffer(), int(np.frombuffer(ends, np.int64)[-1]))
+
+
 def bucketed(df: DataFrame, key: str, buckets: int, dealt: bool = True) -> tuple[DataFrame, str]:
     """df as a table in the shared folder that is bucketed by a key, so that groups and joins by it need no shuffle; and its path.
 

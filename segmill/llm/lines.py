@@ -18,6 +18,7 @@ lines that were cut short, and the last one in full.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .blocks import SENT, Rolling, answered, bucket_bits, bucketed, buckets_of, flags_of, gathered, mixed, pack, release, rows_of, spans, total_bytes
+from .blocks import SENT, answered, bucket_bits, bucketed, buckets_of, flags_of, gathered, mixed, pack, release, rows_of, total_bytes, unsqueezed
 from .common import batches, discard, lean, materialize, remove_path
 
 #: Jaccard similarity as a fraction, so that it is compared in whole numbers.
@@ -48,13 +49,10 @@ _MOST = 65535
 #: Lines of more words have parities of 128 bits; folded, they compare with those of 64.
 LONG = 70
 _PREFIX = np.dtype([("sig", "u8"), ("sig2", "u8"), ("word", "u4"), ("line", "u4"), ("n", "u2"), ("i", "u2")])
-_rolls: dict[int, Rolling] = {}
-
-
-def _roll() -> Rolling:
-    if 9 not in _rolls:
-        _rolls[9] = Rolling(9)
-    return _rolls[9]
+#: Words of more bytes are hashed one by one.
+_WIDE = 256
+#: What stays of eight bytes, by how many of them are a word's.
+_FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 
 def needed(na, nb):
@@ -64,14 +62,12 @@ def needed(na, nb):
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_SPACE = np.zeros(256, bool)
-_SPACE[[32, 9, 10, 11, 12, 13]] = True
 
 
 class _Lines:
     """The lines of a block's texts and their words: ASCII white space parts words, A-Z are lowered."""
 
-    def __init__(self, ends: bytes, data: bytes):
+    def __init__(self, ends: bytes, data: bytes | pa.Buffer):
         self.raw = np.frombuffer(data, np.uint8)
         self.ends = np.frombuffer(ends, np.int64)
         first = np.concatenate([[0], self.ends[:-1]]) if len(self.ends) else self.ends
@@ -84,18 +80,20 @@ class _Lines:
         self.end = np.where(last, self.ends[self.doc], np.append(self.start[1:], 0) - 1) if len(order) else self.start
 
     def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Hashes of the block's distinct words; line and word number of each distinct word of a line, sorted by both; lines that have words, and their first row."""
-        ink = ~_SPACE[self.raw]
-        edge = np.zeros(len(ink) + 1, bool)
-        edge[self.ends] = True
-        edge[0] = True
-        before = np.concatenate([[False], ink[:-1]])
-        starts = np.flatnonzero(ink & (~before | edge[:-1]))
-        ends = np.flatnonzero(ink & (np.append(~ink[1:], True) | edge[1:])) + 1
-        uniq, word = _distinct(spans(_roll(), _LOWER[self.raw], starts, ends))
-        line = np.searchsorted(self.start, starts, side="right") - 1
-        line, word = _sorted_pairs(line, word)
-        new = np.concatenate([[True], (word[1:] != word[:-1]) | (line[1:] != line[:-1])]) if len(word) else np.zeros(0, bool)
+        """Hashes of the block's distinct words; line and word number of each distinct word of a line, in their order; lines that have words, and their first row."""
+        raw, size = self.raw, len(self.raw)
+        ink = np.zeros(size + 2, bool)
+        np.logical_and((raw - np.uint8(9)) > 4, raw != 32, out=ink[1:-1])
+        turns = np.flatnonzero(ink[1:] != ink[:-1])
+        starts, ends = turns[::2], turns[1::2]
+        # a text ends where its last word does, whatever the next begins with
+        cut = np.unique(self.ends)
+        cut = cut[ink[cut] & ink[cut + 1]]
+        starts, ends = np.insert(starts, np.searchsorted(starts, cut), cut), np.insert(ends, np.searchsorted(ends, cut), cut)
+        low = np.zeros((size + 23) // 8 * 8, np.uint8)
+        np.bitwise_or(raw, ((raw - np.uint8(65)) < 26).view(np.uint8) << 5, out=low[:size])
+        line = np.repeat(np.arange(len(self.start), dtype=np.int32), np.diff(np.searchsorted(starts, self.start), append=len(starts)))
+        uniq, word, new = _distinct(_hashes(low, starts, ends), line)
         line, word = line[new], word[new]
         first = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]])) if len(line) else np.zeros(0, np.int64)
         return uniq, line, word, line[first], first
@@ -149,20 +147,57 @@ class _Lines:
         return gone, b[order], out
 
 
-def _distinct(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """np.unique with the inverse, by a sort of values: 40 bits of hash and the place."""
-    if not 0 < len(h) < 1 << 24:
-        return np.unique(h, return_inverse=True)
+def _read(ends: pa.BinaryScalar, data: pa.BinaryScalar) -> _Lines:
+    return _Lines(ends := ends.as_py(), unsqueezed(ends, data))
+
+
+def _hashes(text: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hash of each span of text, which has eight bytes more and whole eights. Equal bytes have equal hashes wherever they stand."""
+    eights, size = text.view(np.uint64), ends - starts
+
+    def taken(at: np.ndarray, left: np.ndarray) -> np.ndarray:
+        i, shift = at >> 3, (at.astype(np.uint64) & np.uint64(7)) << np.uint64(3)
+        both = (eights[i] >> shift) | ((eights[i + 1] << np.uint64(1)) << (np.uint64(63) - shift))
+        return both & _FIRST[np.minimum(left, 8)]
+
+    h = mixed(taken(starts, size) + size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    some = np.flatnonzero((size > 8) & (size <= _WIDE))
+    at, left = starts[some] + 8, size[some] - 8
+    while len(some):
+        h[some] = mixed(h[some] * np.uint64(0xD1342543DE82EF95) + taken(at, left))
+        go = left > 8
+        some, at, left = some[go], at[go] + 8, left[go] - 8
+    for k in np.flatnonzero(size > _WIDE).tolist():
+        h[k] = np.frombuffer(hashlib.blake2b(text[starts[k] : ends[k]].tobytes(), digest_size=8).digest(), np.uint64)[0]
+    return h
+
+
+def _distinct(h: np.ndarray, line: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """np.unique of hashes with the inverse, and which are the first of their kind in a line; lines ascend.
+
+    By a sort of values: 40 bits of hash and the place.
+    """
     low = np.uint64(0xFFFFFF)
-    key = np.sort((h & ~low) | np.arange(len(h), dtype=np.uint64))
-    at = (key & low).astype(np.int64)
-    full = h[at]
-    new = np.concatenate([[True], full[1:] != full[:-1]])
-    if (new[1:] & ((key[1:] ^ key[:-1]) <= low)).any():  # 40 bits do not tell two apart
-        return np.unique(h, return_inverse=True)
-    inverse = np.empty(len(h), np.int64)
-    inverse[at] = np.cumsum(new) - 1
-    return full[new], inverse
+    at = None
+    if 0 < len(h) < 1 << 24:
+        key = np.sort((h & ~low) | np.arange(len(h), dtype=np.uint64))
+        at = (key & low).astype(np.int32)
+        full = h[at]
+        new = np.concatenate([[True], full[1:] != full[:-1]])
+        if (new[1:] & ((key[1:] ^ key[:-1]) <= low)).any():  # 40 bits do not tell two apart
+            at = None
+    if at is None:
+        at = np.argsort(h, kind="stable")
+        full = h[at]
+        new = np.concatenate([[True], full[1:] != full[:-1]]) if len(h) else np.zeros(0, bool)
+    inverse, first = np.empty(len(h), np.int32 if len(h) < 1 << 31 else np.int64), np.empty(len(h), bool)
+    inverse[at] = np.cumsum(new, dtype=inverse.dtype) - 1
+    # copies of a word stand in the order of their places
+    of = line[at]
+    new_in_line = new.copy()
+    new_in_line[1:] |= of[1:] != of[:-1]
+    first[at] = new_in_line
+    return full[new], inverse, first
 
 
 def _encoded(rows: np.ndarray) -> bytes:
@@ -197,9 +232,11 @@ def _level(count):
 
 def _apart(rows: dict[str, np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """A lower bound of the words that only one of two lines has, by their parities."""
-    both = (rows["n"][a] > LONG) & (rows["n"][b] > LONG)
-    one, two = rows["sig"][a] ^ rows["sig"][b], rows["sig2"][a] ^ rows["sig2"][b]
-    return np.where(both, np.bitwise_count(one) + np.bitwise_count(two), np.bitwise_count(one ^ two))
+    out = np.bitwise_count(rows["folded"][a] ^ rows["folded"][b])
+    both = np.flatnonzero(rows["long"][a] & rows["long"][b])
+    p, q = a[both], b[both]
+    out[both] = np.bitwise_count(rows["sig"][p] ^ rows["sig"][q]) + np.bitwise_count(rows["sig2"][p] ^ rows["sig2"][q])
+    return out
 
 
 def _passing(rows: dict[str, np.ndarray], a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -237,6 +274,7 @@ def candidates(rows: np.ndarray, at: np.ndarray, open_: np.ndarray | None, pivot
     order = np.argsort(key, kind="stable")
     # columns on their own: pairs gather from each
     rows, at, key = {c: np.ascontiguousarray(rows[c])[order] for c in _PREFIX.names}, at[order], key[order]
+    rows |= {"folded": rows["sig"] ^ rows["sig2"], "long": rows["n"] > LONG}
     cuts = np.flatnonzero(np.concatenate([[True], rows["word"][1:] != rows["word"][:-1]]))
     size = np.diff(np.append(cuts, len(key)))
     large, start, stop = np.repeat(size > LARGE, size), np.repeat(cuts, size), np.repeat(cuts + size, size)
@@ -245,7 +283,7 @@ def candidates(rows: np.ndarray, at: np.ndarray, open_: np.ndarray | None, pivot
     later, earlier = [none], [none]
 
     def add(q: np.ndarray, lo: np.ndarray, hi: np.ndarray, by: np.ndarray | None = None, both: bool = False) -> None:
-        for s in _shares(hi - lo, 1 << 18):
+        for s in _shares(hi - lo, 1 << 14):
             k, b = _ranges(lo[s], hi[s])
             a, b = _passing(rows, q[s][k], b if by is None else by[b])
             if both:
@@ -311,7 +349,13 @@ def _round(t: pa.Table, mask: np.ndarray | None, nearest: int | None, seen: tupl
     """Pairs, and a row for each block with the places of its rows that were cut short."""
     bucket = t.column("bucket")[0].as_py()
     ids, rows, of, at = _rows_in(t)
-    a, b, cut = candidates(rows, at, mask, PIVOTS, nearest, seen)
+    if mask is None:
+        a, b, cut = candidates(rows, at, None, PIVOTS, nearest, seen)
+    else:  # all rows of the words that open rows have, and no others
+        words = np.append(np.unique(rows["word"][mask]), np.uint32(0))
+        at_word = np.searchsorted(words[:-1], rows["word"])
+        some = np.flatnonzero((words[at_word] == rows["word"]) & (at_word < len(words) - 1))
+        a, b, cut = (some[x] for x in candidates(rows[some], at[some], mask[some], PIVOTS, nearest, seen))
     cut = np.sort(cut)
     blocks, where = np.unique(of[cut], return_index=True)
     starts = np.searchsorted(of, blocks)
@@ -361,7 +405,7 @@ def _still_open(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         left = []
         for cut, done in zip(part.column(2), part.column(3), strict=True):
             place, line = np.frombuffer(cut.as_py(), np.uint32).reshape(2, -1)
-            left.append((place[~np.isin(line, np.array(done.as_py(), np.int64))] if done.is_valid else place).tobytes())
+            left.append((place[~np.isin(line, done.values.to_numpy())] if done.is_valid else place).tobytes())
         out = pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(left, pa.binary())], names=["bucket", "block", "cut"])
         yield out.filter(pa.array([len(x) > 0 for x in left]))
 
@@ -374,7 +418,7 @@ def _verified(pairs: DataFrame, blocks: DataFrame) -> DataFrame:
     def fetch(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             for i in range(part.num_rows):
-                b = _Lines(part.column(1)[i].as_py(), part.column(2)[i].as_py())
+                b = _read(part.column(1)[i], part.column(2)[i])
                 lines = part.column(3)[i].as_py()
                 text = [_LOWER[b.raw[b.start[n] : b.end[n]]].tobytes() for n in lines]
                 yield pa.RecordBatch.from_arrays([pa.array([part.column(0)[i].as_py()] * len(lines)), pa.array(lines, pa.int64()), pa.array(text, pa.binary())], names=["b", "l", "words"])
@@ -383,9 +427,11 @@ def _verified(pairs: DataFrame, blocks: DataFrame) -> DataFrame:
 
     def compare(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            keep = []
+            keep, last, b = [], None, set()
             for i, (x, y) in enumerate(zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)):
-                a, b = set(x.split()), set(y.split())
+                if y != last:
+                    last, b = y, set(y.split())
+                a = set(x.split())
                 if len(a & b) >= needed(len(a), len(b)):
                     keep.append(i)
             yield part.select(["block", "line"]).take(pa.array(keep, pa.int64()))
@@ -405,7 +451,7 @@ def remove_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     as are columns of keep that are named as the new ones.
     """
     keep = [c for c in ([id_col] if keep is None else keep) if c not in ("n_lines", "removed", "kept")]
-    blocks = pack(docs, id_col, text_col, keep, BLOCK_BYTES)
+    blocks = pack(docs, id_col, text_col, keep, BLOCK_BYTES, squeezed=True)
     amount = total_bytes(blocks)
     deal, bits = bucket_bits(amount / 16), bucket_bits(amount * 0.75)
 
@@ -413,7 +459,7 @@ def remove_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         seen = np.zeros(1 << RARITY_BITS, np.int32)
         for part in parts:
             for i in range(part.num_rows):
-                bucket, key, _, _, _, (uniq, _, word, _, _, _) = _Lines(part.column(1)[i].as_py(), part.column(2)[i].as_py()).classes(deal, min_words)
+                bucket, key, _, _, _, (uniq, _, word, _, _, _) = _read(part.column(1)[i], part.column(2)[i]).classes(deal, min_words)
                 np.add.at(seen, (uniq >> np.uint64(64 - RARITY_BITS)).astype(np.int64), np.bincount(word, minlength=len(uniq)).astype(np.int32))
                 yield batches(rows_of(part.column(0)[i].as_py(), bucket, key), SENT)
         yield _sparse(TaskContext.get().partitionId(), [(-1 - i, x) for i, x in enumerate(np.split(seen, _SLICES))])
@@ -448,7 +494,7 @@ def remove_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for part in parts:
             for i in range(part.num_rows):
                 block = part.column(0)[i].as_py()
-                gone, b, rows = _Lines(part.column(1)[i].as_py(), part.column(2)[i].as_py()).prefixes(deal, min_words, part.column(3)[i].as_py(), rarity.value, bits)
+                gone, b, rows = _read(part.column(1)[i], part.column(2)[i]).prefixes(deal, min_words, part.column(3)[i].as_py(), rarity.value, bits)
                 yield batches({"block": [block], "bucket": [-1], "hashes": [gone.astype(np.int64).tobytes()]}, SENT)
                 yield batches(rows_of(block, b, rows, _encoded), SENT)
 
@@ -482,7 +528,7 @@ def remove_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for part in parts:
             for i in range(part.num_rows):
                 get = lambda c, i=i, part=part: part.column(part.schema.names.index(c))[i]
-                b = _Lines(get("ends").as_py(), get("data").as_py())
+                b = _read(get("ends"), get("data"))
                 out = np.zeros(len(b.start), bool)
                 out[np.frombuffer(get("copies").as_py() or b"", np.int64)] = True
                 out[get("similar").as_py() or []] = True
@@ -517,10 +563,10 @@ def _rows(b: _Lines, ids: pa.Array, out: np.ndarray, names: list[str]) -> Iterat
             n.append(e - s)
             removed.append(gone)
             if gone:
-                kept.append(b"\n".join(raw[start[i] : end[i]] for i in range(s, e) if not out[i]).decode())
+                kept.append(b"\n".join(raw[start[i] : end[i]] for i in range(s, e) if not out[i]))
             else:
-                kept.append(bytes(raw[start[s] : end[e - 1]]).decode())
-        yield pa.RecordBatch.from_arrays([*ids.slice(at, len(n)).flatten(), pa.array(n, pa.int64()), pa.array(removed, pa.list_(pa.int64())), pa.array(kept, pa.string())], names=names)
+                kept.append(bytes(raw[start[s] : end[e - 1]]))
+        yield pa.RecordBatch.from_arrays([*ids.slice(at, len(n)).flatten(), pa.array(n, pa.int64()), pa.array(removed, pa.list_(pa.int64())), pa.array(kept, pa.binary()).view(pa.string())], names=names)
 
 
 def filter_docs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str = "n_chars") -> DataFrame:

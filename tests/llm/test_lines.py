@@ -1,6 +1,8 @@
 import random
+import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from segmill.llm import blocks, lines
@@ -100,3 +102,40 @@ def test_rows_round_trip():
         rows["sig2"][rows["n"] <= lines.LONG] = 0
         rows["line"] = np.sort(rnd.integers(0, 1 << 31, n)).astype(np.uint32)[::-1]
         assert (lines._decoded(lines._encoded(rows)) == rows).all()
+
+
+def test_words_of_a_block():
+    """Words by eights of bytes: texts that end in a word, words of all lengths, null bytes, empty texts."""
+    rnd = random.Random(8)
+    some = [b"a", b"A", b"Zz", b" ", b"\n", b"\t", b"\x0b", b"\x00", b"\x0e", b"\x08", b"[", b"@", "é".encode(), b"longerwordhere", b"x" * 255, b"y" * 300]
+    for _ in range(200):
+        texts = [b"".join(rnd.choice(some) for _ in range(rnd.randrange(0, 50))) for _ in range(rnd.randrange(1, 7))]
+        ends = np.cumsum([len(x) for x in texts]).astype(np.int64).tobytes()
+        uniq, line, word, has, first = lines._read(pa.scalar(ends, pa.binary()), pa.scalar(blocks._codec().compress(b"".join(texts), asbytes=True), pa.binary())).words()
+        want = [set(re.sub(rb"[A-Z]", lambda m: m[0].lower(), x).split()) for t in texts for x in t.split(b"\n")]
+        assert len(uniq) == len(set().union(*want)) == len(np.unique(uniq))
+        assert has.tolist() == [n for n, w in enumerate(want) if w] and line[first].tolist() == has.tolist()
+        got = {n: set(word[line == n].tolist()) for n in has.tolist()}
+        assert all(len(got[n]) == len(want[n]) == (line == n).sum() for n in got)
+        assert all(len(got[n] & got[m]) == len(want[n] & want[m]) for n in got for m in got)
+
+
+def test_hashes_go_by_bytes_only():
+    """The same words at other places and beside other bytes hash alike, words of other lengths or last bytes do not."""
+    words = [b"a", b"a\x00", b"\x00a", b"abcdefgh", b"abcdefgh\x00", b"abcdefghabcdefgh", b"abcdefghabcdefgi", b"q" * 256, b"q" * 257, b"q" * 258]
+    seen = []
+    for shift in range(9):
+        text = b"z" * shift + b"!".join(words)
+        starts = shift + np.cumsum([0] + [len(w) + 1 for w in words[:-1]])
+        low = np.zeros((len(text) + 23) // 8 * 8, np.uint8)
+        low[: len(text)] = np.frombuffer(text, np.uint8)
+        seen.append(lines._hashes(low, starts, starts + [len(w) for w in words]).tolist())
+    assert all(x == seen[0] for x in seen) and len(set(seen[0])) == len(words)
+
+
+def test_blocks_move_compressed(spark):
+    """What the JVM and the disk hold of a block is compressed; the texts come back whole."""
+    docs = spark.createDataFrame([(i, "the same words again and again " * 50) for i in range(40)] + [(41, None)], "doc_id long, text string")
+    packed = blocks.pack(docs, "doc_id", "text", ["doc_id"], 1 << 14, squeezed=True).collect()
+    assert all(len(r.data) < r["size"] / 10 for r in packed if r["size"])
+    assert sum(len(blocks.unsqueezed(bytes(r.ends), pa.scalar(bytes(r.data), pa.binary()))) for r in packed) == 40 * 31 * 50
