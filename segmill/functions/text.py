@@ -18,6 +18,8 @@ from pyspark.sql import types as T
 #: What counts as white space around a text, as the inside of a character class.
 WS = r"\x09-\x0d\x1c-\x20\x85\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 S = f"[{WS}]"
+#: The same as characters.
+SPACES = "".join(map(chr, (*range(0x9, 0xE), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 NUM = r"\p{Nd}"
 LINE_ENDS = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\x{2028}\x{2029}]"
 
@@ -41,7 +43,7 @@ SOURCE_LANGUAGE = r"^[A-Za-z]{2,3}(-[A-Za-z]{2,4})?$"
 
 def utrim(c: Column) -> Column:
     """Without white space of any kind at both ends."""
-    return F.regexp_replace(c, f"^{S}+|{S}+$", "")
+    return F.btrim(c, F.lit(SPACES))
 
 
 def is_blank(c: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +18,16 @@ HALLUCINATION_RATIO, HALLUCINATION_LEAST = 2.5, 20
 _ISSUES = "array<struct<code: string, severity: string, detail: string>>"
 
 
+#: The same for Java: where a match can begin is told by its first character, before borders and words are looked at.
+_NUMBER = NUMBER.replace("(?U)", r"(?U)(?=\d)")
+_REFERENCE = REFERENCE.replace("(?i)", "(?=[FTft])(?i)")
+
+
+def _once(c: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is made once, however often f names it."""
+    return F.element_at(F.transform(F.array(c), f), 1)
+
+
 def _all(c: Column, pattern: str) -> Column:
     return F.regexp_extract_all(c, F.lit(pattern), F.lit(0))
 
@@ -25,25 +37,29 @@ def issues(source: Column, translation: Column, min_ratio: float = MIN_RATIO, ma
 
     An empty translation is the only issue of its row. Details name placeholders, lengths, numbers or references in order.
     """
-    s, t = F.coalesce(source, F.lit("")), F.coalesce(translation, F.lit(""))
     one = lambda code, severity, detail: F.array(F.struct(F.lit(code).alias("code"), F.lit(severity).alias("severity"), detail.alias("detail"))).cast(_ISSUES)
     none = F.expr(f"cast(array() as {_ISSUES})")
-    n, m = F.length(utrim(s)), F.length(utrim(t))
-    lengths = F.concat(m.cast("string"), F.lit("/"), n.cast("string"))
-    ratio = F.try_divide(m.cast("double"), n.cast("double"))
-    a, b = placeholders(s, placeholder), placeholders(t, placeholder)
-    missing = F.array_sort(F.array_except(F.array_distinct(_all(s, NUMBER)), _all(t, NUMBER)))
-    refs = F.array_sort(F.array_distinct(_all(s, REFERENCE)))
-    lost = F.flatten(F.transform(refs, lambda r: F.transform(F.filter(_all(r, REFERENCE_NUMBER), lambda x: ~F.contains(t, x)), lambda x: F.concat(x, F.lit(" from "), r))))
-    parts = [
-        F.when(~a.eqNullSafe(b), one("placeholders", "error", F.concat(F.array_join(a, ""), F.lit("|"), F.array_join(b, "")))),
-        F.when((n > 0) & (ratio < min_ratio), one("short", "warning", lengths)).when((n > 0) & (ratio > max_ratio), one("long", "warning", lengths)),
-        F.when(F.size(missing) > 0, one("numbers", "warning", F.array_join(missing, ","))),
-        F.when(F.size(refs) > 0, F.transform(lost, lambda x: F.struct(F.lit("reference").alias("code"), F.lit("warning").alias("severity"), x.alias("detail"))).cast(_ISSUES)),
-        F.when((m > n * HALLUCINATION_RATIO) & (n > HALLUCINATION_LEAST), one("hallucination", "warning", lengths)),
-    ]
-    rest = F.concat(*(F.coalesce(p, none) for p in parts))
-    return F.when(m == 0, one("empty", "error", F.lit(""))).otherwise(rest)
+
+    def checks(p: Column) -> Column:
+        s, t, n, m = (p[c] for c in "stnm")
+        lengths = F.concat(m.cast("string"), F.lit("/"), n.cast("string"))
+        ratio = F.try_divide(m.cast("double"), n.cast("double"))
+        missing = _once(F.array_distinct(_all(s, _NUMBER)), lambda a: F.when(F.size(a) > 0, F.array_sort(F.array_except(a, _all(t, _NUMBER)))))
+        lost = lambda refs: F.flatten(F.transform(refs, lambda r: F.transform(F.filter(_all(r, REFERENCE_NUMBER), lambda x: ~F.contains(t, x)), lambda x: F.concat(x, F.lit(" from "), r))))
+        parts = [
+            _once(F.struct(placeholders(s, placeholder).alias("a"), placeholders(t, placeholder).alias("b")), lambda x: F.when(~x["a"].eqNullSafe(x["b"]), one("placeholders", "error", F.concat(F.array_join(x["a"], ""), F.lit("|"), F.array_join(x["b"], ""))))),
+            F.when((n > 0) & (ratio < min_ratio), one("short", "warning", lengths)).when((n > 0) & (ratio > max_ratio), one("long", "warning", lengths)),
+            _once(missing, lambda x: F.when(F.size(x) > 0, one("numbers", "warning", F.array_join(x, ",")))),
+            _once(F.array_sort(F.array_distinct(_all(s, _REFERENCE))), lambda refs: F.when(F.size(refs) > 0, F.transform(lost(refs), lambda x: F.struct(F.lit("reference").alias("code"), F.lit("warning").alias("severity"), x.alias("detail"))).cast(_ISSUES))),
+            F.when((m > n * HALLUCINATION_RATIO) & (n > HALLUCINATION_LEAST), one("hallucination", "warning", lengths)),
+        ]
+        rest = F.concat(*(F.coalesce(x, none) for x in parts))
+        # a text that stands for itself has lost nothing
+        alike = F.lit(min_ratio <= 1 <= max_ratio) & (s == t)
+        return F.when(m == 0, one("empty", "error", F.lit(""))).when(alike, none).otherwise(rest)
+
+    texts = F.struct(F.coalesce(source, F.lit("")).alias("s"), F.coalesce(translation, F.lit("")).alias("t"))
+    return _once(texts, lambda x: _once(F.struct(x["s"].alias("s"), x["t"].alias("t"), F.length(utrim(x["s"])).alias("n"), F.length(utrim(x["t"])).alias("m")), checks))
 
 
 def validate(pairs: DataFrame, source_col: str = "source", translation_col: str = "translation", **options) -> DataFrame:
@@ -59,9 +75,10 @@ def issue_rows(validated: DataFrame, id_col: str = "segment_id") -> DataFrame:
 
 def issue_counts(validated: DataFrame) -> DataFrame:
     """Segments and issues by code and severity, and how many segments are valid, as one table."""
-    counts = validated.select(F.explode("issues").alias("i")).groupBy("i.code", "i.severity").agg(F.count("*").alias("issues"))
-    valid = validated.groupBy(F.when(F.col("is_valid"), "valid").otherwise("invalid").alias("code")).agg(F.count("*").alias("issues"))
-    return counts.unionByName(valid.withColumn("severity", F.lit("segment")))
+    of_all = F.struct(F.when(F.col("is_valid"), "valid").otherwise("invalid").alias("code"), F.lit("segment").alias("severity"))
+    named = F.transform("issues", lambda i: F.struct(i["code"].alias("code"), i["severity"].alias("severity")))
+    # one reading of the texts for both counts
+    return validated.select(F.explode(F.concat(named, F.array(of_all))).alias("i")).groupBy("i.code", "i.severity").agg(F.count("*").alias("issues"))
 
 
 def log_lines(validated: DataFrame, source_col: str = "source", translation_col: str = "translation", id_col: str = "segment_id") -> DataFrame:

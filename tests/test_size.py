@@ -1,10 +1,11 @@
 """Plans and steps that must grow no faster than their input."""
 
 import random
+import re
 
 from pyspark.sql import functions as F
 
-from segmill.operators import paragraphs
+from segmill.operators import paragraphs, validate
 from segmill.plans import queries
 
 SF = "/root/testdata/sf0.001"
@@ -36,3 +37,38 @@ def test_pages_together(spark):
             assert sorted(map(repr, paragraphs.assemble(g, together=True).collect())) == want
     finally:
         spark.conf.set(key, was)
+
+
+def test_texts_are_checked_once(spark):
+    """Texts are read once, for rows and for counts of issues, and each pattern stands once for each text."""
+    p = plan(queries.QUERIES["validation_issue_counts"](spark, SF))
+    assert p.count("FileScan") == 1 and "Union" not in p
+    p = spark.range(1).select(validate.issues(F.lit("a"), F.lit("b")).alias("i"))._jdf.queryExecution().analyzed().toString()
+    assert p.count(validate._NUMBER) == 2 and p.count(validate._REFERENCE) == 1 and p.count("btrim") == 2
+
+
+def plain_checks(s, t):
+    s, t = s or "", t or ""
+    n, m = len(s.strip()), len(t.strip())
+    if m == 0:
+        return [("empty", "error", "")]
+    number, out = r"\b\d+(?:\.\d+)?%?\b", []
+    a, b = (re.findall(r"</?b\d+>", x) for x in (s, t))
+    if a != b:
+        out.append(("placeholders", "error", "".join(a) + "|" + "".join(b)))
+    if n and not 0.3 <= m / n <= 3:
+        out.append(("short" if m / n < 0.3 else "long", "warning", f"{m}/{n}"))
+    if lost := sorted({x for x in re.findall(number, s)} - set(re.findall(number, t))):
+        out.append(("numbers", "warning", ",".join(lost)))
+    for r in sorted(set(re.findall(r"(?i)(?:Figure|Table|Fig\.?)\s*\d+(?:[.-]\d+)?", s))):
+        out += [("reference", "warning", f"{x} from {r}") for x in re.findall(r"\d+(?:[.-]\d+)?", r) if x not in t]
+    if n > 20 and m > 2.5 * n:
+        out.append(("hallucination", "warning", f"{m}/{n}"))
+    return out
+
+
+def test_checks_on_odd_texts(spark):
+    texts = [None, "", " \u3000\n", "a", "15", "x15 15 15.5% 1.2.3 \u0661\u0662", "Fig. 3-2, FIGURE 7 table 1.2 fig2 Tabl 3", "<b0></b0> 15 mm", "\u2003Table 4.5\x85", "y" * 40, "y" * 200, "é 7ème 7 è"]
+    rows = [(i * 100 + j, a, b) for i, a in enumerate(texts) for j, b in enumerate(texts)]
+    got = {r.segment_id: [tuple(x) for x in r.issues] for r in validate.validate(spark.createDataFrame(rows, "segment_id long, source string, translation string")).collect()}
+    assert got == {i: plain_checks(a, b) for i, a, b in rows}
