@@ -5,8 +5,11 @@ Joins carry the page as an equality, with the geometry as a condition beside it,
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -81,24 +84,60 @@ def column_edges(paragraphs: DataFrame) -> DataFrame:
 def column_edges_in_order(paragraphs: DataFrame) -> DataFrame:
     """As column_edges, but paragraphs grow one after the other (by para_id) and later ones see how far earlier ones have grown.
 
-    A page is folded in one task; each step is an operation on the page's columns.
+    A page is folded in one task, many pages at once; each step is an operation on the columns of all pages that have as many paragraphs.
     """
 
-    def grow(t: pa.Table) -> pa.Table:
-        t = t.sort_by("para_id")
-        x0, x1, y0, y1 = (t.column(c).to_numpy().astype(np.float64) for c in ("x0", "x1", "y0", "y1"))
-        wrapped = t.column("brk").to_numpy()
-        for i in np.flatnonzero(~wrapped):
-            column = (np.abs(x0 - x0[i]) <= COLUMN_TOLERANCE) & (wrapped | (x1 > x1[i] + COLUMN_EXTRA))
-            beside = (x0 > x0[i] + OBSTACLE_GAP) & (y1 >= y0[i] - OBSTACLE_OVERLAP) & (y0 <= y1[i] + OBSTACLE_OVERLAP)
-            edge = x1[column].max() if column.any() else x1[i]
-            if beside.any():
-                edge = min(edge, x0[beside].min() - OBSTACLE_MARGIN)
-            x1[i] = max(x1[i], edge)
-        return pa.table({"page_id": t.column("page_id"), "para_id": t.column("para_id"), "right": x1})
-
-    p = paragraphs.select(F.col("page_id").cast("long").alias("page_id"), F.col("para_id").cast("long").alias("para_id"), "x0", "x1", "y0", "y1", "brk")
-    return p.groupBy("page_id").applyInArrow(grow, "page_id long, para_id long, right double")
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for part in parts:
+            held.append(part)
+            size += pc.sum(pc.list_value_length(part.column("paras"))).as_py() or 0
+            if size >= _AT_ONCE:
+                yield _grown(held)
+                held, size = [], 0
+        if held:
+            yield _grown(held)
+
+    p = paragraphs.select(F.col("page_id").cast("long").alias("page_id"), F.struct(F.col("para_id").cast("long").alias("para_id"), *(F.col(c).cast("double").alias(c) for c in ("x0", "x1", "y0", "y1")), "brk").alias("para"))
+    return p.groupBy("page_id").agg(F.collect_list("para").alias("paras")).mapInArrow(run, "page_id long, para_id long, right double")
+
+
+#: Paragraphs that are folded at once, at least; a page is never parted.
+_AT_ONCE = 1 << 17
+
+
+def _grown(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+    """(page_id, para_id, right) of whole pages (page_id, paras), in the order of column_edges_in_order."""
+    t = pa.Table.from_batches(parts).combine_chunks()
+    lists = t.column("paras").combine_chunks()
+    paras = lists.flatten()
+    # pages with more paragraphs first: those that have an i-th one stand at the beginning
+    n = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+    rank = np.empty(len(n), np.int64)
+    rank[np.argsort(-n, kind="stable")] = np.arange(len(n))
+    para = paras.field("para_id").to_numpy()
+    order = np.lexsort((para, np.repeat(rank, n)))
+    x0, x1, y0, y1 = (paras.field(c).to_numpy()[order] for c in ("x0", "x1", "y0", "y1"))
+    wrapped = paras.field("brk").to_numpy(zero_copy_only=False)[order]
+    n = n[np.argsort(rank)]
+    starts = np.cumsum(n) - n
+    for i in range(int(n[0]) if len(n) else 0):
+        pages = np.flatnonzero(n[: np.searchsorted(-n, -i)] > i)
+        pages = pages[~wrapped[starts[pages] + i]]
+        if not len(pages):
+            continue
+        own, many = starts[pages] + i, n[pages]
+        first = np.cumsum(many) - many
+        at = np.arange(many.sum()) + np.repeat(starts[pages] - first, many)
+        of = lambda c: np.repeat(c[own], many)  # noqa: E731,B023
+        a0, a1 = x0[at], x1[at]
+        column = (np.abs(a0 - of(x0)) <= COLUMN_TOLERANCE) & (wrapped[at] | (a1 > of(x1) + COLUMN_EXTRA))
+        beside = (a0 > of(x0) + OBSTACLE_GAP) & (y1[at] >= of(y0) - OBSTACLE_OVERLAP) & (y0[at] <= of(y1) + OBSTACLE_OVERLAP)
+        edge = np.maximum.reduceat(np.where(column, a1, -np.inf), first)
+        edge = np.where(np.logical_or.reduceat(column, first), edge, x1[own])
+        x1[own] = np.maximum(x1[own], np.minimum(edge, np.minimum.reduceat(np.where(beside, a0, np.inf), first) - OBSTACLE_MARGIN))
+    page = np.repeat(t.column("page_id").to_numpy()[np.argsort(rank)], n)
+    return pa.RecordBatch.from_arrays([pa.array(page, pa.int64()), pa.array(para[order], pa.int64()), pa.array(x1, pa.float64())], names=["page_id", "para_id", "right"])
 
 
 def ink(ops: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from segmill.operators import paragraphs, validate
+from segmill.operators import layout, paragraphs, validate
 from segmill.plans import queries
 
 SF = "/root/testdata/sf0.001"
@@ -72,3 +72,25 @@ def test_checks_on_odd_texts(spark):
     rows = [(i * 100 + j, a, b) for i, a in enumerate(texts) for j, b in enumerate(texts)]
     got = {r.segment_id: [tuple(x) for x in r.issues] for r in validate.validate(spark.createDataFrame(rows, "segment_id long, source string, translation string")).collect()}
     assert got == {i: plain_checks(a, b) for i, a, b in rows}
+
+
+def test_pages_grow_together(spark):
+    """Pages of all sizes are folded in few calls, each as if alone."""
+    rnd, rows = random.Random(8), []
+    for page in range(300):
+        for i in rnd.sample(range(50), rnd.choice([1, 1, 2, 3, 4, 7, 40])):
+            x, y = rnd.choice([0.0, 3.0, 40.0, 200.0]), rnd.randrange(60) * 1.0
+            rows.append((page, i, x, x + rnd.randrange(1, 150), y, y + rnd.randrange(1, 20), rnd.random() < 0.4))
+    df = spark.createDataFrame(rows, "page_id long, para_id long, x0 double, x1 double, y0 double, y1 double, brk boolean")
+    grown = layout.column_edges_in_order(df.repartition(5))
+    assert "FlatMapGroups" not in plan(grown)
+    want = {}
+    for page in range(300):
+        p = sorted([k, *rest] for q, k, *rest in rows if q == page)
+        for a in p:
+            if not a[5]:
+                edge = max((b[2] for b in p if abs(b[1] - a[1]) <= 5 and (b[5] or b[2] > a[2] + 30)), default=a[2])
+                stop = min((b[1] - 5 for b in p if b[1] > a[1] + 10 and b[4] >= a[3] - 2 and b[3] <= a[4] + 2), default=edge)
+                a[2] = max(a[2], min(edge, stop))
+        want |= {(page, a[0]): a[2] for a in p}
+    assert {(r.page_id, r.para_id): r.right for r in grown.collect()} == want
