@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as t
 from ..operators import content, formulas, jobs, layout, outline, state, terms, typeset
 from ..sources import jsonl, pages, store
-from .fixtures import fixture, tables
+from .fixtures import dealt, fixture, tables
 from .registry import query
 
 _STATE = "segment_id long, source_text string, source_hash string, status string, translation string, model string, timestamp double, retry_count int, tokens_in int, tokens_out int, error string"
@@ -108,7 +108,7 @@ def formula_backing(spark, sf_dir):
 @query("font_runs")
 def font_runs(spark, sf_dir):
     """Whole documents as runs of two fonts, with a formula behind each comma."""
-    d = tables(spark, sf_dir, "documents")["documents"]
+    d = dealt(tables(spark, sf_dir, "documents")["documents"].select("doc_id", "text"), "doc_id")
     p = d.select(F.col("doc_id").alias("para_id"), F.col("doc_id").alias("page_id"), F.replace(F.replace("text", F.lit("\n"), F.lit(" ")), F.lit(","), F.lit(",{v1}")).alias("text"), F.lit(60.0).alias("x"), F.lit(50.0).alias("x0"), F.lit(350.0).alias("x1"), F.lit(10.0).alias("size"))
     f = d.select(F.col("doc_id").alias("page_id"), F.lit(1).alias("vid"), F.lit(12.0).alias("width"), F.lit(2.0).alias("overhang"))
     return formulas.font_runs(p, f, {"tiro": "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789 .,;:!?'\"-()"}, "noto", {"i": 0.25, "l": 0.25, "m": 0.75, "w": 0.75, " ": 0.25})

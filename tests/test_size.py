@@ -5,7 +5,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from segmill.operators import layout, paragraphs, validate
+from segmill.operators import formulas, layout, paragraphs, validate
 from segmill.plans import queries
 
 SF = "/root/testdata/sf0.001"
@@ -94,3 +94,15 @@ def test_pages_grow_together(spark):
                 a[2] = max(a[2], min(edge, stop))
         want |= {(page, a[0]): a[2] for a in p}
     assert {(r.page_id, r.para_id): r.right for r in grown.collect()} == want
+
+
+def test_runs_of_arrays(spark):
+    """Runs from arrays of a text are those of the plain rule, in parts of the batch."""
+    rnd, widths, names = random.Random(1), {"i": 0.25, "m": 0.75, " ": 0.25}, ["t", "n"]
+    first = dict.fromkeys("abcdeim .,-", "t")
+    chars = formulas._Chars(dict.fromkeys(first, 0), 1, widths, 0.5)
+    for _ in range(500):
+        text = "".join(rnd.choice(["a", "i", "m", "é", "α", " ", " ", "{v1}", "{ V 2 }", "{v9}", "{v }", "{", "\n", "word ", "𝒜"]) for _ in range(rnd.choice([0, 1, 5, 60, 300])))
+        x, x1, size, of = rnd.choice([50.0, 60.0, 300.0]), rnd.choice([50.0, 120.0, 400.5]), rnd.choice([8.0, 9.3]), {1: (12.0, 2.0), 2: (30.5, 0.0)} if rnd.random() < 0.8 else {}
+        got = [(n, at, names[f] if f >= 0 else None, s, vid) for n, at, f, s, vid in zip(*formulas._runs(text, x, 50.0, x1, size, chars, of), strict=True)]
+        assert got == list(formulas.runs_of(text, x, 50.0, x1, size, lambda c: first.get(c, "n"), lambda c: widths.get(c, 0.5), of))
