@@ -6,10 +6,13 @@ takes lines as rows and aggregates them.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import NUM, S, lines_of
+from ..functions.text import NUM, S, lines_of, utrim
 
 # The patterns that lines are scored by.
 LEADER = r"[\x08\x{fffd}\x{2500}-\x{257f}]"
@@ -34,13 +37,38 @@ BOOK_OR_LINK = r"(?i)ISBN|ISSN|doi\.org|https?://"
 DIGITS = rf"^{NUM}+$"
 
 
+def _holds(x: Column, *parts: str) -> Column:
+    return reduce(or_, (F.contains(x, F.lit(p)) for p in parts))
+
+
+def _far(x: Column) -> Column:
+    """Whether a line holds what is no ASCII, or the control that stands for a leader: all leaders and wide spaces are such."""
+    return (F.octet_length(x) != F.length(x)) | F.contains(x, F.lit("\x08"))
+
+
+#: What a line must hold for a pattern to fit, told without a pattern: few lines hold it.
+_NEEDED = {
+    DOTS: lambda x: F.contains(x, F.lit(".")) | _far(x), LEADER_NUMBER: _far, WIDE_NUMBER: _far, WIDE_ROMAN: _far, COMMA_NUMBER: lambda x: F.contains(x, F.lit(",")), NUMBERED: lambda x: F.contains(x, F.lit(".")),
+    AUTHOR_YEAR: lambda x: F.contains(x, F.lit("(")), BRACKETED: lambda x: F.startswith(x, F.lit("[")), YEAR: lambda x: F.contains(x, F.lit("(")), BOOK_OR_LINK: lambda x: _holds(F.lower(x), "isbn", "issn", "doi.org", "http"),
+    ONLY_NUMBER: lambda x: F.octet_length(x) <= 20,
+}
+#: A digit at a line's end, which two patterns of spaces need; trimmed first, so that only one character is looked at.
+_NEEDED |= {p: lambda x: F.right(utrim(x), F.lit(1)).rlike(NUM) for p in (SPACED_NUMBER, ENDS_IN_NUMBER)}
+
+
+def _fits(x: Column, pattern: str) -> Column:
+    """Whether a pattern is found in a line."""
+    hit = x.rlike(pattern)
+    return _NEEDED[pattern](x) & hit if pattern in _NEEDED else hit
+
+
 def line_class(x: Column) -> Column:
     """How a line hints at a table of contents: 3 and 2 are its points, -1 spaced number, -2 number alone, 0 none."""
-    return F.when(x.rlike(DOTS), 3).when(x.rlike(LEADER_NUMBER), 2).when(x.rlike(SPACED_NUMBER), -1).when(x.rlike(ONLY_NUMBER), -2).otherwise(0)
+    return F.when(_fits(x, DOTS), 3).when(_fits(x, LEADER_NUMBER), 2).when(_fits(x, SPACED_NUMBER), -1).when(_fits(x, ONLY_NUMBER), -2).otherwise(0)
 
 
 def _is_wide(x: Column) -> Column:
-    return x.rlike(WIDE_NUMBER) | x.rlike(WIDE_ROMAN)
+    return _far(x) & (x.rlike(WIDE_NUMBER) | x.rlike(WIDE_ROMAN))
 
 
 def _is_pair(a: Column, b: Column) -> Column:
@@ -88,7 +116,7 @@ def page_kinds(pages: DataFrame, text_col: str = "text") -> DataFrame:
         "wide": count(_is_wide),
         "pairs": F.size(F.filter(F.zip_with("__l", F.slice("__l", 2, 1 << 30), lambda a, b: F.coalesce(_is_pair(a, b), F.lit(False))), lambda x: x)),
     }
-    fits = lambda pattern: lambda x: x.rlike(pattern)
+    fits = lambda pattern: lambda x: _fits(x, pattern)
     m |= {k: count(fits(v)) for k, v in _COUNTED.items()}
     m |= {k: F.exists(F.slice("__l", 1, n), fits(v)) for k, (v, n) in _HEADS.items()}
     # a generator of one row, so that the measures are made once and not again wherever the decision names them
@@ -104,7 +132,7 @@ def page_kinds_by_line(lines: DataFrame, page_col: str = "page_id", pos_col: str
     l = lines.where(x != "").select(page_col, x.alias("x"), F.row_number().over(order).alias("i"), F.lead(x).over(order).alias("next")).withColumn("c", line_class(F.col("x")))
     x = F.col("x")
     m = {"n": F.count("*"), "points": F.sum(F.greatest("c", F.lit(0))), "spaced": F.count_if(F.col("c") == -1), "alone": F.count_if(F.col("c") == -2), "wide": F.count_if(_is_wide(x)), "pairs": F.count_if(_is_pair(x, F.col("next")))}
-    m |= {k: F.count_if(x.rlike(v)) for k, v in _COUNTED.items()} | {k: F.bool_or(x.rlike(v) & (F.col("i") <= n)) for k, (v, n) in _HEADS.items()}
+    m |= {k: F.count_if(_fits(x, v)) for k, v in _COUNTED.items()} | {k: F.bool_or((F.col("i") <= n) & x.rlike(v)) for k, (v, n) in _HEADS.items()}
     g = l.groupBy(page_col).agg(*(c.alias(k) for k, c in m.items()))
     return g.withColumn("d", _decision({k: F.col(k) for k in m})).select(page_col, "d.kind", "d.detail")
 

@@ -5,7 +5,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from segmill.operators import formulas, layout, paragraphs, validate
+from segmill.operators import classify, formulas, layout, paragraphs, validate
 from segmill.plans import queries
 
 SF = "/root/testdata/sf0.001"
@@ -106,3 +106,15 @@ def test_runs_of_arrays(spark):
         x, x1, size, of = rnd.choice([50.0, 60.0, 300.0]), rnd.choice([50.0, 120.0, 400.5]), rnd.choice([8.0, 9.3]), {1: (12.0, 2.0), 2: (30.5, 0.0)} if rnd.random() < 0.8 else {}
         got = [(n, at, names[f] if f >= 0 else None, s, vid) for n, at, f, s, vid in zip(*formulas._runs(text, x, 50.0, x1, size, chars, of), strict=True)]
         assert got == list(formulas.runs_of(text, x, 50.0, x1, size, lambda c: first.get(c, "n"), lambda c: widths.get(c, 0.5), of))
+
+
+def test_guards_hide_no_match(spark):
+    """A pattern behind its guard fits the lines that it fits alone."""
+    rnd, bits = random.Random(2), ["a", "B", "1", "23", "٣", " ", "     ", ".", "....", ". ", ",", "(", "1999)", "[", "]", "\x08", "�", "─", " ", " ", "xiv", "ISBN", "Doi.org", "HTTP://", "Ab, c (1999)", "1. ", "\x85", "é", "\n"]
+    lines = ["1234", "a\u2002 12", "a\u2003xiv", "\u2500\u2500 12", "a      7", "Ab, c (1999)", "12. x", "𝟏𝟏𝟏𝟏", "𝟏𝟏𝟏𝟏 ", *("".join(rnd.choice(bits) for _ in range(rnd.randrange(1, 9))) for _ in range(4000))]
+    df = spark.createDataFrame([(x,) for x in lines], "x string")
+    patterns = [*classify._NEEDED, *classify._COUNTED.values()]
+    x = F.col("x")
+    got = df.select(*[(classify._fits(x, p) != x.rlike(p)).cast("int").alias(f"c{i}") for i, p in enumerate(patterns)], *[x.rlike(p).cast("int").alias(f"h{i}") for i, p in enumerate(patterns)])
+    total = got.agg(*(F.sum(c).alias(c) for c in got.columns)).first().asDict()
+    assert not any(total[f"c{i}"] for i in range(len(patterns))) and all(total[f"h{i}"] for i in range(len(patterns)))
