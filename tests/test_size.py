@@ -3,10 +3,13 @@
 import random
 import re
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
+from segmill.functions import text
 from segmill.operators import classify, formulas, layout, paragraphs, validate
 from segmill.plans import queries
+from segmill.sources import pages
 
 SF = "/root/testdata/sf0.001"
 
@@ -111,10 +114,39 @@ def test_runs_of_arrays(spark):
 def test_guards_hide_no_match(spark):
     """A pattern behind its guard fits the lines that it fits alone."""
     rnd, bits = random.Random(2), ["a", "B", "1", "23", "٣", " ", "     ", ".", "....", ". ", ",", "(", "1999)", "[", "]", "\x08", "�", "─", " ", " ", "xiv", "ISBN", "Doi.org", "HTTP://", "Ab, c (1999)", "1. ", "\x85", "é", "\n"]
-    lines = ["1234", "a\u2002 12", "a\u2003xiv", "\u2500\u2500 12", "a      7", "Ab, c (1999)", "12. x", "𝟏𝟏𝟏𝟏", "𝟏𝟏𝟏𝟏 ", *("".join(rnd.choice(bits) for _ in range(rnd.randrange(1, 9))) for _ in range(4000))]
+    lines = ["1234", "[12] x", "a\u2002 12", "a\u2003xiv", "\u2500\u2500 12", "a      7", "Ab, c (1999)", "12. x", "𝟏𝟏𝟏𝟏", "𝟏𝟏𝟏𝟏 ", *("".join(rnd.choice(bits) for _ in range(rnd.randrange(1, 9))) for _ in range(4000))]
     df = spark.createDataFrame([(x,) for x in lines], "x string")
     patterns = [*classify._NEEDED, *classify._COUNTED.values()]
     x = F.col("x")
     got = df.select(*[(classify._fits(x, p) != x.rlike(p)).cast("int").alias(f"c{i}") for i, p in enumerate(patterns)], *[x.rlike(p).cast("int").alias(f"h{i}") for i, p in enumerate(patterns)])
     total = got.agg(*(F.sum(c).alias(c) for c in got.columns)).first().asDict()
-    assert not any(total[f"c{i}"] for i in range(len(patterns))) and all(total[f"h{i}"] for i in range(len(patterns)))
+    assert {p: total[f"c{i}"] for i, p in enumerate(patterns) if total[f"c{i}"]} == {}
+    assert [p for i, p in enumerate(patterns) if not total[f"h{i}"]] == []
+
+
+def test_scan_by_batches(spark):
+    """Pages of many files are one Arrow batch; broken, empty and null files are as before."""
+
+    def reader(data):
+        for x in data.decode().split("|"):
+            if x == "bad":
+                raise ValueError(x)
+            if x:
+                yield 6.0, 8.0, 0, x, [(1, [0.0, 0.0, 1.0, 2.0])] if x == "i" else []
+
+    files = spark.createDataFrame([(1, b"a|i"), (2, b""), (3, None), (4, b"a|bad"), *((i, b"x") for i in range(5, 200))], "doc_id long, content binary").coalesce(1)
+    out = pages.scan(files, reader)
+    assert "MapInPandas" not in plan(out)
+    got = {(r.doc_id, r.pageno): (r.text, r.error, len(r.blocks or [])) for r in out.collect()}
+    want = {("1", 0): ("a", None, 0), ("1", 1): ("i", None, 1), ("4", 0): ("a", None, 0), ("4", -1): (None, "ValueError: bad", 0)}
+    assert got == want | {(str(i), 0): ("x", None, 0) for i in range(5, 200)}
+
+
+def test_texts_by_parts(spark):
+    """A batch of texts is not made Python strings at once."""
+    seen = []
+    texts = pa.array(["e\u0301", None, ""] * 400)
+    assert text._by_part(texts, lambda x: seen.append(x) or x).equals(texts) and len(seen) == 800
+    df = spark.createDataFrame([(x,) for x in texts.to_pylist()], "x string").coalesce(1).select(text.nfc("x").alias("y"), text.html_unescape("x").alias("z"))
+    assert sorted(map(repr, df.distinct().collect())) == sorted(["Row(y='é', z='e\u0301')", "Row(y=None, z=None)", "Row(y='', z='')"])
+    assert "pandas" not in str(text.nfc.func.__annotations__)
