@@ -8,9 +8,10 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
+from collections.abc import Callable
 from functools import lru_cache
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -82,16 +83,22 @@ def formula_placeholder(n: Column) -> Column:
     return F.concat(rich_placeholder(n), rich_placeholder(n, True))
 
 
-@F.pandas_udf(T.StringType())
-def nfc(s: pd.Series) -> pd.Series:
+def _by_part(c: pa.Array, f: Callable[[str], str]) -> pa.Array:
+    """f of each text, some texts at a time: an Arrow batch of whole texts is large, and so are its Python strings."""
+    parts = [pa.array([x if x is None else f(x) for x in c.slice(i, 256).to_pylist()], pa.string()) for i in range(0, len(c), 256)]
+    return pa.concat_arrays(parts) if parts else pa.array([], pa.string())
+
+
+@F.arrow_udf(T.StringType())
+def nfc(s: pa.Array) -> pa.Array:
     """Unicode NFC; Spark has no function for it."""
-    return s.map(lambda x: x if x is None else unicodedata.normalize("NFC", x))
+    return _by_part(s, lambda x: unicodedata.normalize("NFC", x))
 
 
-@F.pandas_udf(T.StringType())
-def html_unescape(s: pd.Series) -> pd.Series:
+@F.arrow_udf(T.StringType())
+def html_unescape(s: pa.Array) -> pa.Array:
     """HTML5 entities as characters; Spark has no function for it."""
-    return s.map(lambda x: x if x is None else html.unescape(x))
+    return _by_part(s, html.unescape)
 
 
 def bare_font(c: Column) -> Column:
